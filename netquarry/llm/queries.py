@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netquarry.llm.exact_dedup import exact_groups
+from netquarry.llm.packing import pack, tokenize
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,3 +31,20 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 """
+
+
+PACK_WIDTH = 4096
+END_ID = 1
+
+
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces with the sequence and the offset where each is packed."""
+    docs = _table(spark, sf_dir, "documents")
+    return pack(tokenize(docs, word_tokenizer_path(), PACK_WIDTH, END_ID), PACK_WIDTH)
