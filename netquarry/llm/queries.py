@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netquarry.llm import decontaminate, toxicity
 from netquarry.llm.exact_dedup import exact_groups
+from netquarry.llm.near_dedup import near_classes
 from netquarry.llm.packing import pack, tokenize
 
 QUERIES: dict = {}
@@ -102,3 +103,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return near_classes(_table(spark, sf_dir, "documents"))
