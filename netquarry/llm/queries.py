@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontaminate, toxicity
+from netquarry.llm import decontaminate, toxicity, url_reputation
 from netquarry.llm.exact_dedup import exact_groups
 from netquarry.llm.near_dedup import near_classes
 from netquarry.llm.packing import pack, tokenize
@@ -109,3 +109,70 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_classes(_table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    url_reputation.Rule("com", "/", "allow"),
+    url_reputation.Rule("example.com", "/en/", "block"),
+    url_reputation.Rule("www.example.com", "/en/", "allow"),
+    url_reputation.Rule("net", "/es/", "block"),
+    url_reputation.Rule("net", "/fr/", "block"),
+]
+
+
+@_query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page urls. A page's outcome is the quality label of the document whose number its path ends with."""
+    pages = _table(spark, sf_dir, "pages")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("outcome"))
+    number = F.regexp_extract(url_reputation.url_parts(F.col("url"))[1], r"/(\d{1,18})(?:\.html|/)?$", 1)
+    named = pages.select(F.col("url").alias("_url"), number.try_cast("bigint").alias("doc_id"))
+    return url_reputation.judge(pages, named.join(labels, "doc_id"), URL_RULES)
+
+
+ORACLE_SQL["op2_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id, u, CASE WHEN pos > 0 THEN substr(u, pos + 3) ELSE '' END AS rest
+  FROM (SELECT page_id, coalesce(url, '') AS u, instr(coalesce(url, ''), '://') AS pos FROM pages)),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+quality AS (SELECT doc_id, max(quality) AS good FROM labels GROUP BY 1),
+outcome AS (
+  SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(1 - good), 0) AS DOUBLE) AS bad
+  FROM (SELECT host, TRY_CAST(nullif(regexp_extract(path, '/(\d{1,18})(?:\.html|/)?$', 1), '') AS BIGINT) AS doc_id FROM split)
+  LEFT JOIN quality USING (doc_id) GROUP BY host),
+hosts AS (
+  SELECT host, n, bad, CASE WHEN list_contains(TWO, two) THEN two ELSE split_part(name, '.', -1) END AS suffix,
+         CASE WHEN list_contains(TWO, two) THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE two END AS domain
+  FROM (SELECT *, array_to_string(string_split(name, '.')[-2:], '.') AS two
+        FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS name FROM outcome))),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
+p0 AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS prior FROM suffixes),
+s1 AS (SELECT s.*, prior FROM suffixes s, p0),
+k1 AS (SELECT sum((bad - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0) AS rho FROM s1 WHERE n > 0),
+t1 AS (SELECT least(200.0, greatest(2.0, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE 200.0 END)) AS k FROM k1),
+q1 AS (SELECT suffix, (k * prior + bad) / (k + n) AS prior FROM s1, t1),
+s2 AS (SELECT d.*, prior FROM domains d JOIN q1 USING (suffix)),
+k2 AS (SELECT sum((bad - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0) AS rho FROM s2 WHERE n > 0),
+t2 AS (SELECT least(200.0, greatest(2.0, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE 200.0 END)) AS k FROM k2),
+q2 AS (SELECT domain, (k * prior + bad) / (k + n) AS prior FROM s2, t2),
+s3 AS (SELECT h.*, prior FROM hosts h JOIN q2 USING (domain)),
+k3 AS (SELECT sum((bad - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0) AS rho FROM s3 WHERE n > 0),
+t3 AS (SELECT least(200.0, greatest(2.0, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE 200.0 END)) AS k FROM k3),
+post AS (SELECT host, k * prior + bad AS a, k * (1 - prior) + n - bad AS b FROM s3, t3),
+rep AS (SELECT host, a / (a + b) AS bad_rate, 1 / (1 + exp(-(ln(a / b) - 1.2816 * sqrt(1 / a + 1 / b)))) AS lower FROM post),
+ruled AS (
+  SELECT s.*, bad_rate, lower,
+    CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM split s JOIN rep USING (host))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict, bad_rate, lower
+FROM ruled
+""".replace("TWO,", f"{url_reputation.TWO_LABEL_SUFFIXES},")
