@@ -1,22 +1,61 @@
-"""A cleaning pipeline over `documents`; each stage reads what its predecessor wrote."""
+"""From raw documents to packed training sequences.
+
+Each stage works on all that its predecessor kept and, but for the last, returns the columns of `documents`: toxic
+documents go, then exact copies, then near copies but for one of each class, then documents that hold a passage of the
+benchmark; what is left is packed into sequences of token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from netquarry.llm import decontaminate, toxicity
+from netquarry.llm.common import settle
 from netquarry.llm.exact_dedup import keep_first
+from netquarry.llm.near_dedup import keep_one
+from netquarry.llm.packing import pack, tokenize
+from netquarry.llm.queries import END_ID, PACK_WIDTH, word_tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.keep_below(docs, toxicity.train(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_first(docs)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(tokenize(docs, word_tokenizer_path(), PACK_WIDTH, END_ID), PACK_WIDTH)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: Training, order min-hash and packing are not expressible in SQL; the test compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn. Between stages the rows are settled in the shared folder and read from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = settle(docs)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontaminate, toxicity, url_reputation
+from netquarry.llm import decontaminate, edit_counts, sharding, toxicity, url_reputation
 from netquarry.llm.exact_dedup import exact_groups
 from netquarry.llm.near_dedup import near_classes
 from netquarry.llm.packing import pack, tokenize
@@ -176,3 +176,40 @@ SELECT page_id, host, path, rule,
             WHEN lower > 0.5 THEN 'block' ELSE 'allow' END AS verdict, bad_rate, lower
 FROM ruled
 """.replace("TWO,", f"{url_reputation.TWO_LABEL_SUFFIXES},")
+
+
+SHARDS = 40
+
+
+@_query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards of nearly equal bytes; equal texts share a shard."""
+    rows = sharding.shard(_table(spark, sf_dir, "documents"), SHARDS)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def made_edits(doc_id: F.Column, n_chars: F.Column, n: int = 6) -> F.Column:
+    """A document's edits by rule: at hashed places, in turn an insertion, a deletion and a replacement."""
+    at = lambda k: F.pmod(F.xxhash64(doc_id, k), F.greatest(n_chars, F.lit(0)) + 1)
+    kind = lambda k: F.pmod(k, F.lit(3))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda k: F.struct(
+            at(k).alias("at"),
+            F.when(kind(k) == 0, 0).when(kind(k) == 1, 9).otherwise(5).cast("long").alias("delete"),
+            F.when(kind(k) == 0, F.lit(" edited")).when(kind(k) == 1, F.lit("")).otherwise(F.lit("XXXXX")).alias("insert"),
+        ),
+    )
+
+
+@_query
+def op9_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after six edits each."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.withColumn("edits", made_edits(F.col("doc_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long")))
+    rows = edit_counts.edited_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")
