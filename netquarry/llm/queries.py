@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontaminate, edit_counts, sharding, toxicity, url_reputation
+from netquarry.llm import decontaminate, edit_counts, html_extract, sharding, toxicity, url_reputation
 from netquarry.llm.exact_dedup import exact_groups
 from netquarry.llm.near_dedup import near_classes
 from netquarry.llm.packing import pack, tokenize
@@ -213,3 +213,11 @@ def op9_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("edits", made_edits(F.col("doc_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long")))
     rows = edit_counts.edited_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return rows.withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")
+
+
+@_query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    field = html_extract.train(html_extract.labelled_pages())
+    rows = html_extract.extract(_table(spark, sf_dir, "pages"), field)
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
