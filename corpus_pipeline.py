@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm import decontaminate, toxicity
-from netquarry.llm.common import settle
+from netquarry.llm.common import stored
 from netquarry.llm.exact_dedup import keep_first
 from netquarry.llm.near_dedup import keep_one
 from netquarry.llm.packing import pack, tokenize
@@ -52,10 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn. Between stages the rows are settled in the shared folder and read from there."""
+    """All stages in turn. Between stages the rows are written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = settle(docs)
+            docs = stored(docs)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontaminate, edit_counts, html_extract, sharding, toxicity, url_reputation
+from netquarry.llm import decontaminate, edit_counts, html_extract, repeats, sharding, toxicity, url_reputation
 from netquarry.llm.exact_dedup import exact_groups
 from netquarry.llm.near_dedup import near_classes
 from netquarry.llm.packing import pack, tokenize
@@ -221,3 +221,16 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = html_extract.train(html_extract.labelled_pages())
     rows = html_extract.extract(_table(spark, sf_dir, "pages"), field)
     return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@_query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that repeats of 400 bytes cover."""
+    rows = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
