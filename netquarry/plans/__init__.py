@@ -1,3 +1,3 @@
 """Registered queries; importing a module registers its queries."""
 
-from netquarry.plans import flows  # noqa: F401
+from netquarry.plans import flows, texts  # noqa: F401
