@@ -1,3 +1,3 @@
 """Registered queries; importing a module registers its queries."""
 
-from netquarry.plans import flows, packets, texts  # noqa: F401
+from netquarry.plans import flows, packets, state, texts, trajectories  # noqa: F401
