@@ -92,7 +92,8 @@ def _sorted_groups(docs: DataFrame, id_col: str, text_col: str, payload: Column)
     )
 
 
-_STAYS = (F.col("_rank") == 1) & F.col("_id").eqNullSafe(F.col("_keep"))
+def _stays() -> Column:
+    return (F.col("_rank") == 1) & F.col("_id").eqNullSafe(F.col("_keep"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +103,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),
-        _STAYS.alias("kept"),
+        _stays().alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 
@@ -110,4 +111,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns as they came, whatever their names."""
     rows = _sorted_groups(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return rows.where(_STAYS).select("_row.*")
+    return rows.where(_stays()).select("_row.*")
