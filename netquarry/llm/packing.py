@@ -2,10 +2,10 @@
 
 A plan is made in length space, so its size depends on the sequence length and not on the number of documents:
 
-1. patterns of few lengths that fill a sequence are enumerated from the histogram's lengths (`patterns`);
+1. patterns of few documents that fill a sequence are enumerated from the histogram's lengths (`patterns`);
 2. non-negative least squares fits how often to repeat each pattern so that the histogram is met (`fit`);
-3. repeat counts are rounded down to what the histogram still has, and the residual lengths, longest first, go to
-   the open sequences where they fit best, whole classes of equal sequences at a time (`plan`).
+3. repeat counts are rounded (and cut to what the histogram still has), and the residual lengths, longest first, go
+   to the open sequences where they fit best, whole classes of equal sequences at a time (`plan`).
 
 Spark then numbers the documents of each length (salted, so a length that holds a third of all rows is many tasks'
 work) and joins them with the plan's slots. Only the histogram (at most `width` rows) comes to the driver and only
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from netquarry.llm.common import parts, ranked, settle
 
 BROADCAST_ROWS = 200_000
-GRID = 96  # lengths, at quantiles of the histogram, that start the enumerated patterns
+PATTERNS, MOST = 60_000, 10  # rows that are enumerated, and lengths that one takes before it is filled up
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -67,41 +67,44 @@ def _encoder(kind, path: str):
     return _ENCODERS[path]
 
 
-def patterns(lengths: np.ndarray, counts: np.ndarray, width: int) -> list[tuple[int, ...]]:
-    """Patterns of two to four lengths that leave little room: each begins with one or two lengths and is filled up
-    with the longest length that still fits. At most a few times GRID squared."""
-    have = lengths.tolist()
-    fits = lambda room: have[k - 1] if (k := bisect.bisect_right(have, room)) else 0
+def patterns(lengths: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """PATTERNS rows of few lengths (padded with 0) that leave little room in a sequence.
+
+    A row takes lengths as the histogram has them, from a fixed sequence of numbers, while they fit (at most MOST), and
+    then twice the longest that fits. So every length is in many rows and in different company; pairs of a length and
+    the longest that fits beside it are there for every length."""
     share = np.cumsum(counts) / counts.sum()
-    grid = sorted({have[min(len(have) - 1, int(np.searchsorted(share, q)))] for q in np.linspace(0, 1, GRID)})
-    found = set()
-    for a in have:
-        if b := fits(width - a):
-            found.add(tuple(sorted((a, b), reverse=True)))
-    for i, a in enumerate(grid):
-        for b in grid[: i + 1]:
-            if c := fits(width - a - b) if a + b < width else 0:
-                found.add(tuple(sorted((a, b, c), reverse=True)))
-                if d := fits(width - a - b - c):
-                    found.add(tuple(sorted((a, b, c, d), reverse=True)))
-    return sorted(found, reverse=True)
-
-
-def fit(shapes: list[tuple[int, ...]], counts: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Repeat counts x >= 0 that make |A x - counts|^2 least, A holding how often each shape has each length.
-
-    Multiplicative updates x <- x * A'h / A'Ax keep x non-negative and need A's few entries only."""
-    row = np.array([length for s in shapes for length in s])
-    col = np.repeat(np.arange(len(shapes)), [len(s) for s in shapes])
-    target = np.bincount(col, weights=counts[row], minlength=len(shapes))
-    size = np.array([len(s) for s in shapes])
-    x = target / np.maximum(1, size) / max(1, len(shapes)) + 1e-9
+    with_0 = np.concatenate([[0], lengths])
+    drawn = lengths[np.minimum(len(lengths) - 1, np.searchsorted(share, np.random.default_rng(1).random((PATTERNS, MOST))))]
+    rows = np.concatenate([np.where(np.cumsum(drawn, axis=1) <= width, drawn, 0), np.pad(lengths[:, None], ((0, 0), (0, MOST - 1)))])
+    room = width - rows.sum(axis=1)
+    next_ = with_0[np.searchsorted(lengths, room, side="right")]
+    last = with_0[np.searchsorted(lengths, room - next_, side="right")]
+    return np.unique(-np.sort(-np.column_stack([rows, next_, last]), axis=1), axis=0)
+
+
+def fit(shapes: np.ndarray, counts: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Repeat counts x >= 0 that make the sum of (A x - counts)^2 / counts least, A holding how often each shape has
+    each length. A miss is weighed by the count, so rare lengths are met as well as common ones.
+
+    Multiplicative updates x <- x * A'Wh / A'WAx keep x non-negative and need A's few entries only."""
+    col, place = np.nonzero(shapes)
+    row = shapes[col, place]
+    n = len(shapes)
+    weight = 1 / np.maximum(counts, 0.5)
+    target = np.bincount(col, weights=(weight * counts)[row], minlength=n)
+    x = np.full(n, counts.sum() / max(1, len(row)))
     for _ in range(steps):
-        made = np.bincount(row, weights=x[col], minlength=len(counts))
-        x *= target / np.maximum(np.bincount(col, weights=made[row], minlength=len(shapes)), 1e-12)
+        made = weight * np.bincount(row, weights=x[col], minlength=len(counts))
+        x *= target / np.maximum(np.bincount(col, weights=made[row], minlength=n), 1e-12)
     return x
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Whole numbers whose running sums are those of x rounded: neighbours share what rounding takes from each."""
+    return np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0).astype(np.int64)
+
+
 def plan(histogram: dict[int, int], width: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, number of such sequences) that use up the histogram."""
     counts = np.zeros(width + 1)
@@ -112,10 +115,12 @@ def plan(histogram: dict[int, int], width: int) -> list[tuple[tuple[int, ...], i
     left = counts.astype(np.int64)
     left[width] = 0
     opened: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))  # by the room left
-    if len(lengths) and (shapes := patterns(lengths, counts[lengths], width)):
-        x = fit(shapes, np.where(np.arange(width + 1) < width, counts, 0))
-        for k in np.argsort([sum(s) - width for s in shapes], kind="stable")[::-1].tolist():
-            shape, n = shapes[k], int(x[k])
+    if len(lengths):
+        shapes = patterns(lengths, counts[lengths], width)
+        shapes = shapes[np.lexsort((*shapes.T, -shapes.sum(axis=1)))]  # fullest first
+        repeats = rounded(fit(shapes, np.where(np.arange(width + 1) < width, counts, 0)))
+        for k in np.flatnonzero(repeats).tolist():
+            shape, n = tuple(x for x in shapes[k].tolist() if x), int(repeats[k])
             for length in set(shape):
                 n = min(n, int(left[length]) // shape.count(length))
             if n:

@@ -51,10 +51,23 @@ def test_least_squares_meets_a_histogram_that_patterns_can_meet():
 
     counts = np.zeros(11)
     counts[[3, 7, 5]] = [40, 40, 20]
-    x = packing.fit([(7, 3), (5, 5), (3, 3, 3)], counts, steps=3000)
+    x = packing.fit(np.array([(7, 3, 0), (5, 5, 0), (3, 3, 3)]), counts, steps=3000)
     assert abs(x[0] - 40) < 0.5 and abs(x[1] - 10) < 0.2 and x[2] < 0.5
 
 
+def test_most_documents_are_packed_by_the_fit():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    width = 512
+    counts = np.bincount(np.minimum(width - 1, r.lognormal(4.5, 0.9, 50_000).astype(int) + 1), minlength=width + 1).astype(float)
+    lengths = np.flatnonzero(counts)
+    shapes = packing.patterns(lengths, counts[lengths], width)
+    made = np.zeros(width + 1)
+    np.add.at(made, shapes, packing.rounded(packing.fit(shapes, counts))[:, None])
+    assert np.minimum(made, counts)[1:].sum() > 0.8 * counts.sum()
+
+
 def test_empty_histogram():
     assert packing.plan({}, 8) == []
 
