@@ -10,7 +10,7 @@ from netquarry.plans.registry import register, table
 
 
 @register("countdown_reward", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 0.0 WHEN o_orderkey % 4 = 0 THEN 1.0 ELSE 0.1 END AS reward FROM orders""")
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 = 3 THEN 0.0 WHEN o_orderkey % 4 = 0 THEN 1.0 ELSE 0.1 END AS DOUBLE) AS reward FROM orders""")
 def countdown_reward(spark, sf):
     """Equations that must use each number once and give the target."""
     k = F.col("o_orderkey") % 4
@@ -36,7 +36,7 @@ def answer_cascade(spark, sf):
 @register("reward_dispatch", """
 WITH x AS (SELECT doc_id, doc_id % 5 AS k, n_chars, lang FROM documents)
 SELECT doc_id, CASE k WHEN 0 THEN 'yesno' WHEN 1 THEN 'number' WHEN 2 THEN 'math' WHEN 3 THEN 'bool' ELSE 'text' END AS kind,
-  round(CASE k WHEN 0 THEN CAST(n_chars % 2 = 0 AS INT) WHEN 1 THEN 1 WHEN 2 THEN CAST(n_chars % 3 = 0 AS INT) WHEN 3 THEN 0 ELSE 0.5 END, 6) AS reward,
+  CAST(CASE k WHEN 0 THEN CAST(n_chars % 2 = 0 AS INT) WHEN 1 THEN 1 WHEN 2 THEN CAST(n_chars % 3 = 0 AS INT) WHEN 3 THEN 0 ELSE 0.5 END AS DOUBLE) AS reward,
   CASE k WHEN 0 THEN n_chars % 2 = 0 WHEN 1 THEN TRUE WHEN 2 THEN n_chars % 3 = 0 WHEN 3 THEN FALSE ELSE TRUE END AS "right" FROM x""")
 def reward_dispatch(spark, sf):
     """Rewards by the kind of the true answer."""

@@ -189,11 +189,11 @@ def repeat_rows(spark, sf):
 
 @register("full_batches", f"""
 WITH r AS (SELECT uid, bytes, row_number() OVER (ORDER BY ts, uid) AS rn FROM {_E})
-SELECT (rn - 1) // 64 AS batch, count(*) AS n, round(avg(bytes), 6) AS mean_bytes FROM r GROUP BY 1 HAVING count(*) = 64""")
+SELECT (rn - 1) // 64 AS batch, count(*) AS n, round(avg(bytes), 9) AS mean_bytes FROM r GROUP BY 1 HAVING count(*) = 64""")
 def full_batches(spark, sf):
     """Batches of a fixed size, the last one only if full."""
     rows = _by_day(_events(spark, sf)).withColumn("batch", F.floor((F.col("rn") - 1) / 64))
-    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bytes"), 6).alias("mean_bytes")).where("n = 64")
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bytes"), 9).alias("mean_bytes")).where("n = 64")
 
 
 @register("window_samples", f"""
@@ -331,7 +331,7 @@ def unlabelled_anti(spark, sf):
 
 
 _HOST_SQL = """
-SELECT ip, sum(sent) AS sent, sum(got) AS got, CAST(round(sum(bytes)) AS BIGINT) AS bytes FROM (
+SELECT ip, CAST(sum(sent) AS BIGINT) AS sent, CAST(sum(got) AS BIGINT) AS got, CAST(round(sum(bytes)) AS BIGINT) AS bytes FROM (
   SELECT l_partkey % 100 AS ip, 1 AS sent, 0 AS got, l_quantity AS bytes FROM lineitem
   UNION ALL SELECT l_suppkey % 100, 0, 1, l_quantity FROM lineitem) GROUP BY 1"""
 

@@ -105,13 +105,13 @@ def endpoint_totals(spark, sf):
 
 
 @register("capture_info", """
-SELECT count(*) AS n, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS duration, round(count(*) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6), 8) AS rate, round(avg(value), 6) AS mean_size FROM events""")
+SELECT count(*) AS n, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS duration, round(count(*) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6), 8) AS rate, round(avg(value), 9) AS mean_size FROM events""")
 def capture_info(spark, sf):
     """Count, duration, rate and mean size of a capture."""
     t = F.expr("unix_micros(cast(ts as timestamp))")
     span = (F.max(t) - F.min(t)) / 1e6
     n = F.count(F.lit(1))
-    return table(spark, sf, "events").agg(n.alias("n"), F.round(span, 3).alias("duration"), F.round(n / span, 8).alias("rate"), F.round(F.avg("value"), 6).alias("mean_size"))
+    return table(spark, sf, "events").agg(n.alias("n"), F.round(span, 3).alias("duration"), F.round(n / span, 8).alias("rate"), F.round(F.avg("value"), 9).alias("mean_size"))
 
 
 @register("protocol_hierarchy", """

@@ -126,9 +126,9 @@ def session_windows(spark, sf):
 
 
 @register("sliding_windows", """
-SELECT (b + k) * 43200 AS start, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT epoch_us(ts) // 43200000000 AS b, value FROM events), (SELECT unnest([-1, 0]) AS k) GROUP BY 1""")
+SELECT (b + k) * 43200 AS start, count(*) AS n, round(avg(value), 9) AS mean FROM (SELECT epoch_us(ts) // 43200000000 AS b, value FROM events), (SELECT unnest([-1, 0]) AS k) GROUP BY 1""")
 def sliding_windows(spark, sf):
     """Windows of a day that begin every twelve hours."""
     w = F.window(F.col("ts").cast("timestamp"), "1 day", "12 hours")
-    rows = table(spark, sf, "events").groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    rows = table(spark, sf, "events").groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("mean"))
     return rows.select(F.unix_seconds("w.start").alias("start"), "n", "mean")

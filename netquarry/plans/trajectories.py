@@ -154,7 +154,7 @@ def prefix_check(spark, sf):
 WITH s AS (SELECT conv_id, turn, substr(text, 1, 2 + (turn % 3)) AS cur FROM conversations),
 p AS (SELECT *, coalesce(NOT starts_with(cur, lag(cur) OVER (PARTITION BY conv_id ORDER BY turn)), TRUE) AS fresh FROM s),
 g AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM p)
-SELECT conv_id, seq, count(*) AS steps, arg_max(cur, turn) AS merged FROM g GROUP BY 1, 2""")
+SELECT conv_id, CAST(seq AS BIGINT) AS seq, count(*) AS steps, arg_max(cur, turn) AS merged FROM g GROUP BY 1, 2""")
 def prefix_merge(spark, sf):
     """Steps merged into one sequence while each goes on from the one before."""
     w = Window.partitionBy("conv_id").orderBy("turn")
