@@ -33,6 +33,7 @@ LEAST_GAIN = 12.0  # of the log-likelihood ratio (G), about p < 0.001
 TRAIN_ROWS = 24_000
 RANK = 6
 THRESHOLD = 0.7
+AT_ONCE = 256  # documents whose pair vectors are in memory at a time; each has at most KEPT
 _MOST = 300_000  # words that a worker remembers
 
 
@@ -51,9 +52,13 @@ class Model:
 
     def scores(self, rows: list[list[int]]) -> np.ndarray:
         """rows: the weight rows that each document has."""
-        n = np.array([len(r) for r in rows], dtype=np.int64)
-        flat = np.array([i for r in rows for i in r], dtype=np.int64)
-        return 1 / (1 + np.exp(-np.clip(_raw(self.bias, self.linear, self.pairs, n, flat)[0], -35, 35)))
+        out = [np.zeros(0)]
+        for at in range(0, len(rows), AT_ONCE):
+            part = rows[at : at + AT_ONCE]
+            n = np.array([len(r) for r in part], dtype=np.int64)
+            flat = np.array([i for r in part for i in r], dtype=np.int64)
+            out.append(1 / (1 + np.exp(-np.clip(_raw(self.bias, self.linear, self.pairs, n, flat)[0], -35, 35))))
+        return np.concatenate(out)
 
 
 def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
