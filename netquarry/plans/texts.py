@@ -231,6 +231,15 @@ def near_vectors(spark, sf):
     return rows.groupBy("q").agg(F.count_if(F.col("score") > 0.3).alias("close"), F.bool_or(F.col("score") > 0.3).alias("dropped"))
 
 
+def _two_stage(spark, sf, head):
+    e = table(spark, sf, "embeddings").withColumn("head", F.slice("embedding", 1, head))
+    pairs = retrieval.vector_pairs(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "head", 4).where("q <> c")
+    coarse = retrieval.best(pairs, "q", F.round("score", 6), ["c"], 100).select("q", "c")
+    full = e.select("vec_id", "embedding")
+    rows = coarse.join(full.withColumnsRenamed({"vec_id": "q", "embedding": "qv"}), "q").join(full.withColumnsRenamed({"vec_id": "c", "embedding": "cv"}), "c")
+    return retrieval.best(rows, "q", F.round(vectors.cosine(F.col("qv"), F.col("cv")), 6), ["c"], 3).select("q", "c", "score", "rank")
+
+
 @register("two_stage_match", f"""
 WITH v AS (SELECT vec_id, embedding AS e, embedding[1:16] AS h FROM embeddings),
 p AS (SELECT q.vec_id AS q, c.vec_id AS c, round({_DOT.format('q.h', 'c.h')} / (sqrt({_DOT.format('q.h', 'q.h')}) * sqrt({_DOT.format('c.h', 'c.h')})), 6) AS coarse,
@@ -239,24 +248,41 @@ p AS (SELECT q.vec_id AS q, c.vec_id AS c, round({_DOT.format('q.h', 'c.h')} / (
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY coarse DESC, c) AS n FROM p)
 SELECT q, c, fine AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY fine DESC, c) AS rank FROM r WHERE n <= 100) WHERE rank <= 3""")
 def two_stage_match(spark, sf):
-    """Coarse ranking by the first dimensions, fine ranking of its first hundred."""
-    e = table(spark, sf, "embeddings").withColumn("head", F.slice("embedding", 1, 16))
-    pairs = retrieval.vector_pairs(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "head", 4).where("q <> c")
-    coarse = retrieval.best(pairs, "q", F.round("score", 6), ["c"], 100).select("q", "c")
-    full = e.select("vec_id", "embedding")
-    rows = coarse.join(full.withColumnsRenamed({"vec_id": "q", "embedding": "qv"}), "q").join(full.withColumnsRenamed({"vec_id": "c", "embedding": "cv"}), "c")
-    return retrieval.best(rows, "q", F.round(vectors.cosine(F.col("qv"), F.col("cv")), 6), ["c"], 3).select("q", "c", "score", "rank")
+    """Coarse ranking by the first 16 dimensions, fine ranking of its first hundred; two_stage_match_whole has R6's 46."""
+    return _two_stage(spark, sf, 16)
+
+
+@register("two_stage_match_whole", f"""
+WITH v AS (SELECT vec_id, embedding AS e, embedding[1:46] AS h FROM embeddings),
+p AS (SELECT q.vec_id AS q, c.vec_id AS c, round({_DOT.format('q.h', 'c.h')} / (sqrt({_DOT.format('q.h', 'q.h')}) * sqrt({_DOT.format('c.h', 'c.h')})), 6) AS coarse,
+      round({_DOT.format('q.e', 'c.e')} / (sqrt({_DOT.format('q.e', 'q.e')}) * sqrt({_DOT.format('c.e', 'c.e')})), 6) AS fine
+      FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY coarse DESC, c) AS n FROM p)
+SELECT q, c, fine AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY fine DESC, c) AS rank FROM r WHERE n <= 100) WHERE rank <= 3""")
+def two_stage_match_whole(spark, sf):
+    """Coarse ranking by the first 46 dimensions, fine ranking of its first hundred by all."""
+    return _two_stage(spark, sf, 46)
 
 
 @register("fused_vectors", f"""
 WITH v AS (SELECT vec_id, list_concat(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE) * sqrt(0.6)), list_transform(embedding[9:16], lambda x: CAST(x AS DOUBLE) * sqrt(0.4))) AS f FROM embeddings)
 SELECT vec_id, round(f[1] / sqrt({_DOT.format('f', 'f')}), 6) AS first, round(f[16] / sqrt({_DOT.format('f', 'f')}), 6) AS last FROM v""")
 def fused_vectors(spark, sf):
-    """Two vectors weighted into one of norm 1."""
+    """Two vectors weighted into one of norm 1 (R2, R7), from 16 dimensions; fused_vectors_whole takes all."""
     f = vectors.fused(F.slice("embedding", 1, 8), F.slice("embedding", 9, 8))
     return table(spark, sf, "embeddings").withColumn("f", f).select("vec_id", F.round(F.col("f")[0], 6).alias("first"), F.round(F.col("f")[15], 6).alias("last"))
 
 
+@register("fused_vectors_whole", f"""
+WITH v AS (SELECT vec_id, list_concat(list_transform(embedding[1:46], lambda x: CAST(x AS DOUBLE) * sqrt(0.6)), list_transform(embedding[47:], lambda x: CAST(x AS DOUBLE) * sqrt(0.4))) AS f FROM embeddings),
+n AS (SELECT vec_id, f, sqrt({_DOT.format('f', 'f')}) AS n FROM v)
+SELECT vec_id, CAST(i AS INT) AS pos, round(f[i + 1] / n, 6) AS x FROM (SELECT vec_id, f, n, unnest(range(0, len(f))) AS i FROM n)""")
+def fused_vectors_whole(spark, sf):
+    """Statistics (46 dimensions) and payload (the rest) weighted into one vector of norm 1, every dimension."""
+    f = vectors.fused(F.slice("embedding", 1, 46), F.slice("embedding", F.lit(47), F.size("embedding")))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(f).alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
 @register("dataset_recall", f"""
 WITH u AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings),
 m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM u GROUP BY 1, 2), g AS (SELECT label, list(x ORDER BY i) AS e FROM m GROUP BY 1),
