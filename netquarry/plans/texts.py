@@ -313,32 +313,65 @@ s AS (SELECT q, d, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l
 r AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM s)"""
 
 
-def _bm25(spark, sf):
+_WHOLE_BM25_SQL = _BM25_SQL.replace(" WHERE lang = 'en'", "")
+
+
+def _corpus(spark, sf, whole):
+    docs = table(spark, sf, "documents")
+    return docs if whole else docs.where("lang = 'en'")
+
+
+def _word_tables(spark, sf, whole):
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", words.alias("ts"))
-    items = table(spark, sf, "benchmark").select("item_id", words.alias("ts"))
-    scores = retrieval.bm25(docs, items, "doc_id", "item_id", "ts")
+    return _corpus(spark, sf, whole).select("doc_id", words.alias("ts")), table(spark, sf, "benchmark").select("item_id", words.alias("ts"))
+
+
+def _bm25(spark, sf, whole=False):
+    scores = retrieval.bm25(*_word_tables(spark, sf, whole), "doc_id", "item_id", "ts")
     return retrieval.best(scores, "q", F.round("score", 5), ["d"], 1 << 30)
 
 
 @register("bm25_topk", _BM25_SQL + "SELECT q, d, score, rank FROM r WHERE rank <= 5")
 def bm25_topk(spark, sf):
-    """Okapi BM25 of queries over a corpus."""
+    """Okapi BM25 of queries over the English documents; bm25_topk_whole takes all."""
     return _bm25(spark, sf).where("rank <= 5").select("q", "d", "score", "rank")
 
 
-@register("rank_fusion", _BM25_SQL + """,
+@register("bm25_topk_whole", _WHOLE_BM25_SQL + "SELECT q, d, score, rank FROM r WHERE rank <= 5")
+def bm25_topk_whole(spark, sf):
+    """Okapi BM25 of queries over a corpus, documents of every language."""
+    return _bm25(spark, sf, whole=True).where("rank <= 5").select("q", "d", "score", "rank")
+
+
+_FUSION_SQL = """,
 b AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY abs(q * 25 - d), d) AS rank FROM (SELECT DISTINCT q FROM r), (SELECT d FROM dt)),
 f AS (SELECT coalesce(x.q, y.q) AS q, coalesce(x.d, y.d) AS d, round(coalesce(1.0 / (60 + x.rank), 0) + coalesce(1.0 / (60 + y.rank), 0), 8) AS score
       FROM (SELECT * FROM r WHERE rank <= 50) x FULL JOIN (SELECT * FROM b WHERE rank <= 50) y ON x.q = y.q AND x.d = y.d)
-SELECT q, d, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM f) WHERE rank <= 3""")
-def rank_fusion(spark, sf):
-    """Reciprocal rank fusion of two lists, the first three of each query."""
-    lexical = _bm25(spark, sf).where("rank <= 50")
-    near = table(spark, sf, "benchmark").select(F.col("item_id").alias("q")).join(lexical.select("q").distinct(), "q")
-    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("d"))
-    # Distance of numbers stands in for a semantic list: each query looks only at documents near its own number.
-    pairs = near.withColumn("d", F.explode(F.sequence(F.col("q") * 25 - 2000, F.col("q") * 25 + 2000))).join(docs, "d")
+SELECT q, d, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM f) WHERE rank <= 3"""
+
+
+def _fusion(spark, sf, whole):
+    lexical = _bm25(spark, sf, whole).where("rank <= 50")
+    texts, items = _word_tables(spark, sf, whole)
+    # Queries with any lexical match are found by their words, so that documents are scored once.
+    words = texts.select(F.explode("ts").alias("t")).distinct()
+    near = items.select(F.col("item_id").alias("q"), F.explode("ts").alias("t")).join(words, "t").select("q").distinct()
+    docs = _corpus(spark, sf, whole).select(F.col("doc_id").alias("d"))
+    # Distance of numbers stands in for a semantic list.
+    asked = items.select(F.col("item_id").alias("q"), (F.col("item_id") * 25).alias("x"))
+    pairs = retrieval.neighbours(asked, "q", "x", docs, "d", 50).join(near, "q")
     second = retrieval.best(pairs, "q", -F.abs(F.col("q") * 25 - F.col("d")), ["d"], 50)
     fused = retrieval.fuse_ranks(lexical, second)
     return retrieval.best(fused, "q", F.round("score", 8), ["d"], 3).select("q", "d", "score", "rank")
+
+
+@register("rank_fusion", _BM25_SQL + _FUSION_SQL)
+def rank_fusion(spark, sf):
+    """Reciprocal rank fusion of two lists over English documents; rank_fusion_whole takes all."""
+    return _fusion(spark, sf, False)
+
+
+@register("rank_fusion_whole", _WHOLE_BM25_SQL + _FUSION_SQL)
+def rank_fusion_whole(spark, sf):
+    """Reciprocal rank fusion of two lists, the first three of each query, documents of every language."""
+    return _fusion(spark, sf, True)

@@ -1,6 +1,9 @@
 """The whole job of queries whose first form reads a part of the texts, vectors or rows only, against plain Python."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -62,3 +65,58 @@ def test_fused_vectors_have_all_dimensions(spark, vectors):
         f = [x * (0.6 if k < 46 else 0.4) ** 0.5 for k, x in enumerate(v[i])]
         assert [got[i, k] for k in range(64)] == pytest.approx([x / _dot(f, f) ** 0.5 for x in f], abs=2e-6)
     assert len(got) == 64 * len(v)
+
+
+def _bm25(docs, items):
+    words = {d: re.findall("[a-z0-9]+", t.lower()) for d, t in docs.items()}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    idf = {w: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    low, mean = 0.25 * sum(idf.values()) / len(idf), sum(map(len, words.values())) / len(docs)
+    idf = {w: low if x < 0 else x for w, x in idf.items()}
+    out = {}
+    for q, text in items.items():
+        asked, scores = re.findall("[a-z0-9]+", text.lower()), {}
+        for d, ws in words.items():
+            tf = Counter(ws)
+            if met := [w for w in asked if w in tf]:
+                scores[d] = round(sum(idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in met), 5)
+        out[q] = sorted(scores, key=lambda d: (-scores[d], d))
+    return out
+
+
+def _fused(lexical, docs):
+    out = {}
+    for q, found in lexical.items():
+        near = sorted(docs, key=lambda d: (abs(q * 25 - d), d))[:50]
+        score = Counter()
+        for ranks in (found[:50], near):
+            for k, d in enumerate(ranks, 1):
+                score[d] += 1 / (60 + k)
+        out |= {(q, k): d for k, d in enumerate(sorted(score, key=lambda d: (-round(score[d], 8), d))[:3], 1)}
+    return out
+
+
+@pytest.fixture
+def corpus(tmp_path):
+    """Documents of several languages and of none, far apart in number."""
+    r = random.Random(5)
+    vocabulary = ["rot", "blau", "red", "blue", "über", "café", "x1", "net", "flow", "port", "scan", "key"]
+    docs = {d: (" ".join(r.choices(vocabulary, k=r.randint(3, 30))), lang) for d, lang in zip(range(7, 130 * 9000, 9000), ["en", "de", None, "en", "fr"] * 26, strict=True)}
+    items = {q: " ".join(r.choices(vocabulary, k=4)) for q in (0, 1, 9, 4000, 20_000)}
+    documents = {"doc_id": pa.array(docs, pa.int64()), "text": [t for t, _ in docs.values()], "lang": [x for _, x in docs.values()]}
+    return _write(tmp_path, documents=documents, benchmark={"item_id": pa.array(items, pa.int64()), "text": list(items.values())}), docs, items
+
+
+def test_bm25_scores_documents_of_every_language(spark, corpus):
+    folder, docs, items = corpus
+    got = {(r.q, r.rank): r.d for r in registry.QUERIES["bm25_topk_whole"](spark, folder).collect()}
+    ranked = _bm25({d: t for d, (t, _) in docs.items()}, items)
+    assert got == {(q, k): d for q, found in ranked.items() for k, d in enumerate(found[:5], 1)}
+
+
+@pytest.mark.parametrize("name", ["rank_fusion", "rank_fusion_whole"])
+def test_second_list_has_the_nearest_however_far(spark, corpus, name):
+    folder, docs, items = corpus
+    texts = {d: t for d, (t, lang) in docs.items() if lang == "en" or name.endswith("whole")}
+    got = {(r.q, r.rank): r.d for r in registry.QUERIES[name](spark, folder).collect()}
+    assert got == _fused(_bm25(texts, items), texts)
