@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,6 +60,25 @@ def token_f1(prediction: Column, gold: Column) -> Column:
     return F.when(strict & (prediction != gold), 0.0).otherwise(f1)
 
 
+@F.pandas_udf(T.StructType().add("f1", T.DoubleType()).add("exact", T.BooleanType()))
+def best_of_golds(predictions: pd.Series, golds: pd.Series) -> pd.DataFrame:
+    """Best F1 of a normal answer over its golds (as token_f1), and whether it equals any; in time linear in the texts."""
+    closed = {"yes", "no", "noanswer"}
+
+    def one(p, gs):
+        a = Counter(p.split(" "))
+        del a[""]
+        best = 0.0
+        for g in gs:
+            b = Counter(g.split(" "))
+            del b[""]
+            if n := 0 if p != g and (p in closed or g in closed) else (a & b).total():
+                best = max(best, 2.0 * n / (a.total() + b.total()))
+        return best, p in gs
+
+    return pd.DataFrame([one(p or "", list(gs)) for p, gs in zip(predictions, golds, strict=True)], columns=["f1", "exact"])
+
+
 def one_tag(text: Column, tag: str) -> Column:
     """The content of the only <tag> element; null if there is none or more than one."""
     found = F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), 1)

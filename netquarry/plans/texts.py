@@ -53,7 +53,7 @@ _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\
 
 @register("answer_norm", f"SELECT item_id, {_NORM.format('text')} AS answer FROM benchmark WHERE regexp_matches(text, '^[ -~\\s]*$')")
 def answer_norm(spark, sf):
-    """Normal form of answers."""
+    """Normal form of answers in ASCII; answer_norm_whole takes all."""
     rows = table(spark, sf, "benchmark").where(F.col("text").rlike(r"^[ -~\s]*$"))
     return rows.select("item_id", text.normal_answer(F.col("text")).alias("answer"))
 
@@ -78,7 +78,7 @@ s AS (SELECT doc_id, item_id, sum(least(pt.n, gt.n)) AS n FROM pt JOIN gt USING
 l AS (SELECT doc_id, item_id, len(list_filter(string_split(p, ' '), lambda y: y <> '')) + len(list_filter(string_split(g, ' '), lambda y: y <> '')) AS n FROM x)
 SELECT l.doc_id, l.item_id, round(coalesce(2.0 * s.n / l.n, 0), 6) AS f1, coalesce(2.0 * s.n / l.n, 0) >= 0.3 AS good FROM l LEFT JOIN s USING (doc_id, item_id)""")
 def token_f1(spark, sf):
-    """F1 over the multiset of tokens, and the decision by it."""
+    """F1 over the multiset of tokens of two beginnings, and the decision by it (F15, U5); token_f1_whole has whole texts and golds."""
     f1 = text.token_f1(F.col("p"), F.col("g"))
     return _answers(spark, sf).select("doc_id", "item_id", F.round(f1, 6).alias("f1"), (f1 >= 0.3).alias("good"))
 
@@ -86,11 +86,61 @@ def token_f1(spark, sf):
 @register("word_overlap", f"""
 WITH x AS ({_PAIR_SQL}) SELECT doc_id, len(list_intersect(list_distinct(string_split(p, ' ')), list_distinct(string_split(g, ' ')))) AS n, p = g AS exact FROM x""")
 def word_overlap(spark, sf):
-    """Set intersection of words, and exact match."""
+    """Set intersection of words, and exact match, of two beginnings; word_overlap_whole has whole texts."""
     words = F.array_intersect(F.split("p", " "), F.split("g", " "))
     return _answers(spark, sf).select("doc_id", F.size(words).cast("long").alias("n"), (F.col("p") == F.col("g")).alias("exact"))
 
 
+# A letter beyond ASCII is a word character, so it stands between underscores (none are left) while articles are cut.
+_NORM_ALL = (
+    r"trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[!-/:-@\[-`{{-~]', '', 'g'), "
+    r"'([\x{{aa}}\x{{b5}}\x{{ba}}\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{1fff}}\x{{2c00}}-\x{{2dff}}\x{{3040}}-\x{{d7ff}}])', '_\1_', 'g'), "
+    r"'\b(a|an|the)\b', ' ', 'g'), '_', ''), '\s+', ' ', 'g'))"
+)
+
+
+@register("answer_norm_whole", f"SELECT item_id, {_NORM_ALL.format('text')} AS answer FROM benchmark")
+def answer_norm_whole(spark, sf):
+    """Normal form of answers in any alphabet."""
+    return table(spark, sf, "benchmark").select("item_id", text.normal_answer(F.coalesce("text", F.lit(""))).alias("answer"))
+
+
+_GOLD_SQL = f"""
+WITH x AS MATERIALIZED (SELECT doc_id, item_id, p, g FROM (SELECT doc_id, {_NORM_ALL.format('text')} AS p FROM documents) JOIN
+  (SELECT item_id, {_NORM_ALL.format('text')} AS g FROM benchmark) ON item_id % 40 = doc_id % 40)"""
+
+
+def _all_answers(spark, sf):
+    """Documents and items by whole text; a document's golds are all items with its number modulo 40."""
+    normal = text.normal_answer(F.coalesce("text", F.lit("")))
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("k"), normal.alias("p"))
+    return docs, table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 40).alias("k"), normal.alias("g"))
+
+
+@register("token_f1_whole", _GOLD_SQL + """,
+pt AS (SELECT doc_id, item_id, t, count(*) AS n FROM (SELECT doc_id, item_id, unnest(string_split(p, ' ')) AS t FROM x) WHERE t <> '' GROUP BY ALL),
+gt AS (SELECT doc_id, item_id, t, count(*) AS n FROM (SELECT doc_id, item_id, unnest(string_split(g, ' ')) AS t FROM x) WHERE t <> '' GROUP BY ALL),
+s AS (SELECT doc_id, item_id, sum(least(pt.n, gt.n)) AS n FROM pt JOIN gt USING (doc_id, item_id, t) GROUP BY ALL),
+f AS (SELECT doc_id, p = g AS exact, CASE WHEN p <> g AND (p IN ('yes', 'no', 'noanswer') OR g IN ('yes', 'no', 'noanswer')) THEN 0 ELSE
+  coalesce(2.0 * s.n / (len(list_filter(string_split(p, ' '), lambda y: y <> '')) + len(list_filter(string_split(g, ' '), lambda y: y <> ''))), 0) END AS f1 FROM x LEFT JOIN s USING (doc_id, item_id))
+SELECT doc_id, round(max(f1), 6) AS f1, bool_or(exact) AS exact, bool_or(exact) OR max(f1) >= 0.3 AS good FROM f GROUP BY 1""")
+def token_f1_whole(spark, sf):
+    """Best F1 and exact match of whole texts over a list of golds, and the decision by them."""
+    docs, items = _all_answers(spark, sf)
+    golds = items.groupBy("k").agg(F.collect_list("g").alias("golds"))
+    rows = docs.join(F.broadcast(golds), "k").select("doc_id", text.best_of_golds("p", "golds").alias("b"))
+    return rows.select("doc_id", F.round("b.f1", 6).alias("f1"), "b.exact", (F.col("b.exact") | (F.col("b.f1") >= 0.3)).alias("good"))
+
+
+@register("word_overlap_whole", _GOLD_SQL + """
+SELECT doc_id, item_id, len(list_intersect(list_distinct(string_split(p, ' ')), list_distinct(string_split(g, ' ')))) AS n, p = g AS exact FROM x""")
+def word_overlap_whole(spark, sf):
+    """Set intersection of words, and exact match, of whole texts with every gold."""
+    docs, items = _all_answers(spark, sf)
+    words = F.array_intersect(F.split("p", " "), F.split("g", " "))
+    return docs.join(F.broadcast(items), "k").select("doc_id", "item_id", F.size(words).cast("long").alias("n"), (F.col("p") == F.col("g")).alias("exact"))
+
+
 @register("tag_answer", r"""
 WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a <answer> ' || n_chars || ' </answer>' WHEN 1 THEN '<answer>1</answer><answer>2</answer>' ELSE 'none' END AS s FROM documents),
 a AS (SELECT doc_id, s, CASE WHEN len(regexp_extract_all(s, '(?s)<answer>(.*?)</answer>', 1)) = 1 THEN trim(regexp_extract_all(s, '(?s)<answer>(.*?)</answer>', 1)[1]) END AS answer FROM t)

@@ -120,3 +120,35 @@ def test_second_list_has_the_nearest_however_far(spark, corpus, name):
     texts = {d: t for d, (t, lang) in docs.items() if lang == "en" or name.endswith("whole")}
     got = {(r.q, r.rank): r.d for r in registry.QUERIES[name](spark, folder).collect()}
     assert got == _fused(_bm25(texts, items), texts)
+
+
+def _normal(text):
+    out = re.sub(r"\b(a|an|the)\b", " ", re.sub(r"[!-/:-@\[-`{-~]", "", text.lower()))
+    return " ".join(out.split())
+
+
+def _f1(p, g):
+    a, b = Counter(p.split()), Counter(g.split())
+    n = (a & b).total()
+    return 2 * n / (a.total() + b.total()) if n else 0.0
+
+
+def test_answers_are_whole_and_golds_are_all(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = {0: long + " end", 1: "El año, “a” través del mar", 2: "nothing alike", 3: None}
+    golds = {0: "start of it", 40: long + " End.", 1: "año través del mar", 41: "the año", 2: "yes", 43: "x"}
+    folder = _write(
+        tmp_path,
+        documents={"doc_id": pa.array(docs, pa.int64()), "text": list(docs.values()), "lang": ["en", "es", None, "de"]},
+        benchmark={"item_id": pa.array(golds, pa.int64()), "text": list(golds.values())},
+    )
+    norm = {r.item_id: r.answer for r in registry.QUERIES["answer_norm_whole"](spark, folder).collect()}
+    assert norm == {i: _normal(t) for i, t in golds.items()}
+    got = {r.doc_id: (r.f1, r.exact, r.good) for r in registry.QUERIES["token_f1_whole"](spark, folder).collect()}
+    for d, t in docs.items():
+        p, gs = _normal(t or ""), [_normal(g) for i, g in golds.items() if i % 40 == d]
+        f1 = max(_f1(p, g) for g in gs)
+        assert got[d] == (round(f1, 6), p in gs, p in gs or f1 >= 0.3)
+    assert got[0] == (1.0, True, True)
+    words = {(r.doc_id, r.item_id): (r.n, r.exact) for r in registry.QUERIES["word_overlap_whole"](spark, folder).collect()}
+    assert words[0, 40] == (61, True) and (1, 41) in words and len(words) == 6
