@@ -19,7 +19,7 @@ WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think> ' || substr(
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(s, '(?s)<think>.*?</think>', '', 'g'), '\s+', ' ', 'g')) AS answer,
        trim(CASE WHEN contains(s, '<think>') THEN regexp_extract(s, '(?s)<think>(.*?)</think>', 1) ELSE s END) AS thought FROM t""")
 def think_strip(spark, sf):
-    """Thought blocks cut out and taken out."""
+    """Thought blocks cut out and taken out, of beginnings for some turns; think_strip_whole has whole texts."""
     s, n = F.col("text"), F.col("turn") % 3
     made = F.when(n == 0, F.concat(F.lit("<think> "), F.substring(s, 1, 20), F.lit(" </think>"), F.expr("substring(text, 21)")))
     made = made.when(n == 1, s).otherwise(F.concat(F.lit("<think></think>"), F.substring(s, 1, 9)))
@@ -27,6 +27,18 @@ def think_strip(spark, sf):
     return rows.select("conv_id", "turn", text.strip_think(F.col("s")).alias("answer"), text.think_text(F.col("s")).alias("thought"))
 
 
+@register("think_strip_whole", r"""
+WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think> ' || text || ' </think>' || text WHEN 1 THEN text ELSE '<think></think>' || text END AS s FROM conversations)
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(s, '(?s)<think>.*?</think>', '', 'g'), '\s+', ' ', 'g')) AS answer,
+       trim(CASE WHEN contains(s, '<think>') THEN regexp_extract(s, '(?s)<think>(.*?)</think>', 1) ELSE s END) AS thought FROM t""")
+def think_strip_whole(spark, sf):
+    """Thought blocks cut out and taken out, the whole text as thought and as answer."""
+    s, n = F.col("text"), F.col("turn") % 3
+    made = F.when(n == 0, F.concat(F.lit("<think> "), s, F.lit(" </think>"), s)).when(n == 1, s).otherwise(F.concat(F.lit("<think></think>"), s))
+    rows = _turns(spark, sf).withColumn("s", made)
+    return rows.select("conv_id", "turn", text.strip_think(F.col("s")).alias("answer"), text.think_text(F.col("s")).alias("thought"))
+
+
 @register("confidence_score", r"""
 WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Confidence: 0.' || (doc_id % 10) WHEN 1 THEN 'about 0.' || (doc_id % 100) || ' sure' WHEN 2 THEN 'confidence is 1' ELSE 'none' END AS s FROM documents)
 SELECT doc_id, round(coalesce(TRY_CAST(nullif(regexp_extract(s, '(?i)confidence\D{0,12}([01](?:\.\d+)?)', 1), '') AS DOUBLE),
@@ -43,11 +55,20 @@ def confidence_score(spark, sf):
 WITH t AS (SELECT doc_id, 'x ```python' || chr(10) || substr(text, 1, 9) || '``` y ```' || chr(10) || 'n = ' || n_chars || '```' AS s FROM documents)
 SELECT doc_id, regexp_extract_all(s, '(?s)```(?:\w+)?\n(.*?)```', 1)[-1] AS code FROM t""")
 def code_block(spark, sf):
-    """The last fenced code block (F8)."""
+    """The last fenced code block, of a short one; code_block_whole has whole texts."""
     s = F.concat(F.lit("x ```python\n"), F.substring("text", 1, 9), F.lit("``` y ```\nn = "), F.col("n_chars").cast("string"), F.lit("```"))
     return table(spark, sf, "documents").withColumn("s", s).select("doc_id", text.last_code_block(F.col("s")).alias("code"))
 
 
+@register("code_block_whole", r"""
+WITH t AS (SELECT doc_id, '```python' || chr(10) || 'x``` ```' || chr(10) || text || '```' AS s FROM documents)
+SELECT doc_id, regexp_extract_all(s, '(?s)```(?:\w+)?\n(.*?)```', 1)[-1] AS code FROM t""")
+def code_block_whole(spark, sf):
+    """The last fenced code block, a whole text (F8)."""
+    s = F.concat(F.lit("```python\nx``` ```\n"), F.col("text"), F.lit("```"))
+    return table(spark, sf, "documents").select("doc_id", text.last_code_block(s).alias("code"))
+
+
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -191,17 +212,35 @@ def report_arguments(spark, sf):
 @register("printable_hex", r"""
 SELECT doc_id, regexp_replace(substr(text, 1, 12), '[^\x20-\x7e]', '.', 'g') AS ascii, ord(substr(text, 1, 1)) AS first_byte FROM documents WHERE regexp_matches(substr(text, 1, 12), '^[\x00-\x7f]*$')""")
 def printable_hex(spark, sf):
-    """Hex payload as printable text, and its first byte."""
+    """Hex payload of 12 ASCII characters as printable text, and its first byte; printable_hex_whole has all bytes."""
     rows = table(spark, sf, "documents").where(F.substring("text", 1, 12).rlike(r"^[\x00-\x7f]*$")).withColumn("_hex", F.hex(F.substring("text", 1, 12)))
     return rows.select("doc_id", text.printable(F.col("_hex")).alias("ascii"), F.coalesce(F.conv(F.substring("_hex", 1, 2), 16, 10).cast("int"), F.lit(-1)).alias("first_byte"))
 
 
 @register("hex_text", "SELECT doc_id, substr(text, 1, 30) AS decoded FROM documents")
 def hex_text(spark, sf):
-    """Hex payload as UTF-8 (F1)."""
+    """Hex payload of 30 characters as UTF-8; hex_text_whole has all."""
     return table(spark, sf, "documents").select("doc_id", text.hex_to_text(F.hex(F.substring("text", 1, 30))).alias("decoded"))
 
 
+_BYTES_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{800}-\x{ffff}]', '...', 'g'), '[\x{10000}-\x{10ffff}]', '....', 'g'), '[\x{80}-\x{7ff}]', '..', 'g'), '[^\x20-\x7e]', '.', 'g')"
+
+
+@register("printable_hex_whole", f"""
+SELECT doc_id, {_BYTES_SQL} AS ascii, CASE WHEN coalesce(text, '') = '' THEN -1 ELSE CAST('0x' || substr(hex(encode(text)), 1, 2) AS INT) END AS first_byte FROM documents""")
+def printable_hex_whole(spark, sf):
+    """Hex payload as printable text, a dot for each other byte, and its first byte."""
+    rows = table(spark, sf, "documents").withColumn("_hex", F.hex(F.coalesce("text", F.lit(""))))
+    first = F.conv(F.substring("_hex", 1, 2), 16, 10).try_cast("int")
+    return rows.select("doc_id", text.printable(F.col("_hex")).alias("ascii"), F.coalesce(F.when(F.col("_hex") != "", first), F.lit(-1)).alias("first_byte"))
+
+
+@register("hex_text_whole", "SELECT doc_id, text AS decoded FROM documents")
+def hex_text_whole(spark, sf):
+    """Hex payload as UTF-8 (F1)."""
+    return table(spark, sf, "documents").select("doc_id", text.hex_to_text(F.hex("text")).alias("decoded"))
+
+
 @register("boxed_answer", "SELECT doc_id, '{' || n_chars || '}x' AS boxed FROM documents")
 def boxed_answer(spark, sf):
     """The last boxed answer with balanced braces."""

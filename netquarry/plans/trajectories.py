@@ -142,7 +142,7 @@ WITH s AS (SELECT conv_id, turn, string_split(substr(text, 1, turn * 6 + 3), ' '
 p AS (SELECT *, lag(cur) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM s)
 SELECT conv_id, turn, prev IS NOT NULL AND cur[1:len(prev)] = prev AS is_prefix FROM p""")
 def prefix_check(spark, sf):
-    """Whether the step before is a prefix of this one."""
+    """Whether the step before is a prefix of this one, by beginnings; prefix_check_whole has whole texts."""
     cur = F.split(F.substring(F.col("text"), F.lit(1), F.col("turn").cast("int") * 6 + 3), " ")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", cur.alias("cur"))
     rows = rows.withColumn("prev", F.lag("cur").over(Window.partitionBy("conv_id").orderBy("turn")))
@@ -150,21 +150,45 @@ def prefix_check(spark, sf):
     return rows.select("conv_id", "turn", (F.col("prev").isNotNull() & F.coalesce(same, F.lit(False))).alias("is_prefix"))
 
 
+@register("prefix_check_whole", """
+WITH s AS (SELECT conv_id, turn, string_split(text, ' ') AS cur FROM conversations),
+p AS (SELECT *, lag(cur) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM s)
+SELECT conv_id, turn, coalesce(prev IS NOT NULL AND cur[1:len(prev)] = prev, FALSE) AS is_prefix FROM p""")
+def prefix_check_whole(spark, sf):
+    """Whether the step before is a prefix of this one, word by word to the end."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("cur"))
+    rows = rows.withColumn("prev", F.lag("cur").over(Window.partitionBy("conv_id").orderBy("turn")))
+    same = F.slice("cur", F.lit(1), F.size("prev")) == F.col("prev")
+    return rows.select("conv_id", "turn", (F.col("prev").isNotNull() & F.coalesce(same, F.lit(False))).alias("is_prefix"))
+
+
 @register("prefix_merge", """
 WITH s AS (SELECT conv_id, turn, substr(text, 1, 2 + (turn % 3)) AS cur FROM conversations),
 p AS (SELECT *, coalesce(NOT starts_with(cur, lag(cur) OVER (PARTITION BY conv_id ORDER BY turn)), TRUE) AS fresh FROM s),
 g AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM p)
 SELECT conv_id, CAST(seq AS BIGINT) AS seq, count(*) AS steps, arg_max(cur, turn) AS merged FROM g GROUP BY 1, 2""")
 def prefix_merge(spark, sf):
-    """Steps merged into one sequence while each goes on from the one before."""
+    """Steps merged into one sequence while each goes on from the one before, by beginnings; prefix_merge_whole has whole texts."""
+    return _merged(spark, sf, F.substring(F.col("text"), F.lit(1), (2 + F.col("turn") % 3).cast("int")))
+
+
+def _merged(spark, sf, cur):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    cur = F.substring(F.col("text"), F.lit(1), (2 + F.col("turn") % 3).cast("int"))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", cur.alias("cur"))
     fresh = F.coalesce(~F.startswith(F.col("cur"), F.lag("cur").over(w)), F.lit(True))
     rows = rows.withColumn("fresh", fresh.cast("int")).withColumn("seq", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.groupBy("conv_id", "seq").agg(F.count(F.lit(1)).alias("steps"), F.max_by("cur", "turn").alias("merged"))
 
 
+@register("prefix_merge_whole", """
+WITH p AS (SELECT conv_id, turn, text AS cur, coalesce(NOT starts_with(text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn)), TRUE) AS fresh FROM conversations),
+g AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM p)
+SELECT conv_id, CAST(seq AS BIGINT) AS seq, count(*) AS steps, arg_max(cur, turn) AS merged FROM g GROUP BY 1, 2""")
+def prefix_merge_whole(spark, sf):
+    """Steps merged into one sequence while each whole text goes on from the one before."""
+    return _merged(spark, sf, F.col("text"))
+
+
 @register("task_order", """
 SELECT role, min((conv_id, turn))[1] AS first_conv, row_number() OVER (ORDER BY min((conv_id, turn))) AS pos FROM conversations GROUP BY 1""")
 def task_order(spark, sf):

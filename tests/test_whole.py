@@ -152,3 +152,22 @@ def test_answers_are_whole_and_golds_are_all(spark, tmp_path):
     assert got[0] == (1.0, True, True)
     words = {(r.doc_id, r.item_id): (r.n, r.exact) for r in registry.QUERIES["word_overlap_whole"](spark, folder).collect()}
     assert words[0, 40] == (61, True) and (1, 41) in words and len(words) == 6
+
+
+def test_text_operators_take_whole_texts(spark, tmp_path):
+    texts = {0: "x" * 50 + " naïve 日本 😀\tend", 1: "é" + "y" * 40, 2: "plain " * 20, 3: ""}
+    steps = ["same start of all, then this", "same start of all, then this and more", "same start of all, but that", "same start of all, but that too"]
+    folder = _write(
+        tmp_path,
+        documents={"doc_id": pa.array(texts, pa.int64()), "text": list(texts.values())},
+        conversations={"conv_id": pa.array([1] * 4, pa.int64()), "turn": pa.array(range(4), pa.int32()), "text": steps},
+    )
+    run = lambda name: registry.QUERIES[f"{name}_whole"](spark, folder).collect()
+    assert {r.doc_id: r.decoded for r in run("hex_text")} == texts
+    assert {r.doc_id: r.code for r in run("code_block")} == texts
+    want = {d: ("".join(chr(b) if 32 <= b <= 126 else "." for b in t.encode()), t.encode()[0] if t else -1) for d, t in texts.items()}
+    assert {r.doc_id: (r.ascii, r.first_byte) for r in run("printable_hex")} == want
+    thoughts = {r.turn: (r.answer, r.thought) for r in run("think_strip")}
+    assert thoughts[0] == (steps[0], steps[0]) and thoughts[2][0] == steps[2]
+    assert {r.turn: r.is_prefix for r in run("prefix_check")} == {0: False, 1: True, 2: False, 3: True}
+    assert {(r.seq, r.steps, r.merged) for r in run("prefix_merge")} == {(1, 2, steps[1]), (2, 2, steps[3])}
