@@ -52,10 +52,22 @@ def reward_dispatch(spark, sf):
 SELECT user_id AS host, string_agg(CASE event_type WHEN 'error' THEN '<- ' ELSE '-> ' END || strftime(ts, '%H:%M:%S.%g') || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS txt
 FROM events WHERE user_id < 20 GROUP BY 1""")
 def conversation_text(spark, sf):
+    """Packets of the first twenty hosts as text with arrows and times; conversation_text_whole has all."""
+    return _conversations(table(spark, sf, "events").where("user_id < 20"))
+
+
+@register("conversation_text_whole", """
+SELECT user_id AS host, string_agg(CASE event_type WHEN 'error' THEN '<- ' ELSE '-> ' END || strftime(ts, '%H:%M:%S.%g') || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS txt
+FROM events GROUP BY 1""")
+def conversation_text_whole(spark, sf):
     """A flow's packets as text with arrows and times."""
+    return _conversations(table(spark, sf, "events"))
+
+
+def _conversations(events):
     arrow = F.when(F.col("event_type") == "error", "<- ").otherwise("-> ")
     line = F.concat(arrow, F.date_format(F.col("ts").cast("timestamp"), "HH:mm:ss.SSS"), F.lit(" "), F.col("event_type"))
-    rows = table(spark, sf, "events").where("user_id < 20").withColumn("line", line)
+    rows = events.withColumn("line", line)
     got = rows.groupBy(F.col("user_id").alias("host")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))).alias("x"))
     return got.select("host", F.array_join(F.transform("x", lambda p: p["line"]), "\n").alias("txt"))
 
@@ -127,8 +139,20 @@ WITH e AS (SELECT l_orderkey AS kb, l_partkey AS uid, l_linenumber AS pos FROM l
 f AS (SELECT kb, uid, min(pos) AS pos FROM e GROUP BY 1, 2)
 SELECT kb, count(*) AS n, string_agg(CAST(uid AS VARCHAR), ',' ORDER BY pos, uid) AS uids FROM f GROUP BY 1""")
 def knowledge_pick(spark, sf):
+    """Nested elements of some documents, distinct in order of first appearance; knowledge_pick_whole has all."""
+    return _picked(table(spark, sf, "lineitem").where("l_suppkey < 20"))
+
+
+@register("knowledge_pick_whole", """
+WITH f AS (SELECT l_orderkey AS kb, l_partkey AS uid, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2)
+SELECT kb, count(*) AS n, string_agg(CAST(uid AS VARCHAR), ',' ORDER BY pos, uid) AS uids FROM f GROUP BY 1""")
+def knowledge_pick_whole(spark, sf):
     """Nested elements of documents, distinct in order of first appearance."""
-    rows = table(spark, sf, "lineitem").where("l_suppkey < 20").groupBy(F.col("l_orderkey").alias("kb"), F.col("l_partkey").alias("uid")).agg(F.min("l_linenumber").alias("pos"))
+    return _picked(table(spark, sf, "lineitem"))
+
+
+def _picked(lines):
+    rows = lines.groupBy(F.col("l_orderkey").alias("kb"), F.col("l_partkey").alias("uid")).agg(F.min("l_linenumber").alias("pos"))
     got = rows.groupBy("kb").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("pos", "uid"))).alias("x"))
     return got.select("kb", "n", F.array_join(F.transform("x", lambda p: p["uid"].cast("string")), ",").alias("uids"))
 

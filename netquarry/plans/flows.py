@@ -264,9 +264,22 @@ WITH c AS (SELECT * FROM {_E} WHERE uid % 5 = 0)
 SELECT c.uid AS anchor_uid, f.uid AS uid FROM c JOIN {_E} f ON c.host = f.host AND c.kind = f.kind AND f.uid <> c.uid
 AND f.ts BETWEEN c.ts - 3600 AND c.ts + 7200 WHERE c.bytes > 10""")
 def fragment_recovery(spark, sf):
-    """Other flows with the same keys in an interval round an anchor."""
+    """Other flows with the same keys in an interval round every fifth anchor; fragment_recovery_whole has all."""
     e = _events(spark, sf)
-    pairs = joins.range_join(e.where("uid % 5 = 0 and bytes > 10"), e, ["host", "kind"], F.col("ts"), F.col("ts"), 3600, 7200)
+    return _fragments(e.where("uid % 5 = 0 and bytes > 10"), e)
+
+
+@register("fragment_recovery_whole", f"""
+SELECT c.uid AS anchor_uid, f.uid AS uid FROM {_E} c JOIN {_E} f ON c.host = f.host AND c.kind = f.kind AND f.uid <> c.uid
+AND f.ts BETWEEN c.ts - 3600 AND c.ts + 7200 WHERE c.bytes > 10""")
+def fragment_recovery_whole(spark, sf):
+    """Other flows with the same keys in an interval round an anchor, which has more than 10 bytes."""
+    e = _events(spark, sf)
+    return _fragments(e.where("bytes > 10"), e)
+
+
+def _fragments(anchors, e):
+    pairs = joins.range_join(anchors, e, ["host", "kind"], F.col("ts"), F.col("ts"), 3600, 7200)
     return pairs.where("uid <> r_uid").select(F.col("uid").alias("anchor_uid"), F.col("r_uid").alias("uid"))
 
 

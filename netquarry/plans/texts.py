@@ -181,13 +181,26 @@ WITH t AS (SELECT event_id, '<tool_call>{"name": "' || event_type || '", "n": '
 SELECT event_id, json_extract_string(j, '$.name') AS name, CAST(json_extract(j, '$.n') AS BIGINT) AS n
 FROM (SELECT event_id, unnest(regexp_extract_all(s, '(?s)<tool_call>(.*?)</tool_call>', 1)) AS j FROM t) WHERE json_valid(j)""")
 def tool_calls(spark, sf):
-    """Calls in tagged JSON; bad JSON is skipped (F24, J-1)."""
+    """Calls of every seventh event in tagged JSON; tool_calls_whole has all."""
+    return _calls(table(spark, sf, "events").where("event_id % 7 = 0"))
+
+
+def _calls(events):
     s = F.concat(F.lit('<tool_call>{"name": "'), F.col("event_type"), F.lit('", "n": '), F.col("user_id").cast("string"), F.lit("}</tool_call><tool_call>{bad</tool_call>"))
-    rows = table(spark, sf, "events").where("event_id % 7 = 0").select("event_id", F.explode(F.regexp_extract_all(s, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), 1)).alias("j"))
+    rows = events.select("event_id", F.explode(F.regexp_extract_all(s, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), 1)).alias("j"))
     call = F.from_json("j", "name string, n bigint", {"mode": "PERMISSIVE"})
     return rows.select("event_id", call.alias("c")).where("c.name is not null").select("event_id", "c.name", "c.n")
 
 
+@register("tool_calls_whole", r"""
+WITH t AS (SELECT event_id, '<tool_call>{"name": "' || event_type || '", "n": ' || user_id || '}</tool_call><tool_call>{bad</tool_call>' AS s FROM events)
+SELECT event_id, json_extract_string(j, '$.name') AS name, CAST(json_extract(j, '$.n') AS BIGINT) AS n
+FROM (SELECT event_id, unnest(regexp_extract_all(s, '(?s)<tool_call>(.*?)</tool_call>', 1)) AS j FROM t) WHERE json_valid(j)""")
+def tool_calls_whole(spark, sf):
+    """Calls of all events in tagged JSON; bad JSON is skipped (F24, J-1)."""
+    return _calls(table(spark, sf, "events"))
+
+
 @register("props_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def props_json(spark, sf):
     """A field of JSON in a string (J-1, J-2)."""

@@ -171,3 +171,23 @@ def test_text_operators_take_whole_texts(spark, tmp_path):
     assert thoughts[0] == (steps[0], steps[0]) and thoughts[2][0] == steps[2]
     assert {r.turn: r.is_prefix for r in run("prefix_check")} == {0: False, 1: True, 2: False, 3: True}
     assert {(r.seq, r.steps, r.merged) for r in run("prefix_merge")} == {(1, 2, steps[1]), (2, 2, steps[3])}
+
+
+def test_rows_are_not_picked_by_number(spark, tmp_path):
+    ids = list(range(1, 13))
+    events = {
+        "event_id": pa.array(ids, pa.int64()),
+        "ts": pa.array([i * 60_000_000 for i in ids], pa.timestamp("us")),
+        "user_id": pa.array([18 + i % 4 for i in ids], pa.int64()),
+        "event_type": ["click" for _ in ids],
+        "value": pa.array([float(i * 3) for i in ids], pa.float64()),
+        "props": ["{}" for _ in ids],
+    }
+    lines = {"l_orderkey": [1, 1, 1, 2], "l_partkey": [7, 5, 7, 9], "l_linenumber": [1, 2, 3, 1], "l_suppkey": [50, 3, 1, 70]}
+    folder = _write(tmp_path, events=events, lineitem=lines)
+    run = lambda name: registry.QUERIES[f"{name}_whole"](spark, folder)
+    assert sorted(tuple(r) for r in run("tool_calls").collect()) == [(i, "click", 18 + i % 4) for i in ids]
+    texts = {r.host: r.txt.count("\n") + 1 for r in run("conversation_text").collect()}
+    assert texts == dict.fromkeys(range(18, 22), 3)
+    assert {tuple(r) for r in run("knowledge_pick").collect()} == {(1, 2, "7,5"), (2, 1, "9")}
+    assert {tuple(r) for r in run("fragment_recovery").collect()} == {(a, b) for a in ids for b in ids if a * 3 > 10 and a != b and a % 4 == b % 4}
