@@ -86,3 +86,14 @@ def test_cursor_equals_a_loop(spark):
     got = state.cursor_windows(spark.createDataFrame(rows, "d string, i int, f boolean"), "d", "i", "f").collect()
     for d, flags in sets.items():
         assert sorted(tuple(x)[1:] for x in got if x.d == d) == _cursor(flags)
+
+
+def test_cursor_gathers_no_runs(spark):
+    """Runs go on over the cuts of parts, and no row of the plan holds a dataset's runs."""
+    r = random.Random(2)
+    flags = [x for _ in range(60) for x in [r.random() < 0.3] * r.randint(1, 45)]
+    rows = spark.createDataFrame([("a", f"{i:06d}", f) for i, f in enumerate(flags)], "d string, i string, f boolean")
+    df = state.cursor_windows(rows, "d", "i", "f")
+    assert sorted(tuple(x)[1:] for x in df.collect()) == _cursor(flags)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "_part" in plan
