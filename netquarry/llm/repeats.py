@@ -1,6 +1,7 @@
 """Removal of long repeats: every byte covered by a string of `length` bytes that also starts somewhere else.
 
-A distributed suffix sort with a cover. The sample of suffixes must be a cover: wherever two equal strings of `length`
+Anchor hashing, in place of a suffix sort by difference cover: nothing is ranked, nothing recurses and no bytes are
+compared. The anchors must be a cover, like a sample of suffixes: wherever two equal strings of `length`
 bytes start, both have a sampled suffix at the same offset. A difference cover of positions modulo v has that property
 for any two positions, at a price of about 1.5 / sqrt(v) of all positions. Here equal strings only have to agree, so the
 cover is taken from content: the position whose `GRAM` bytes have the least hash among all in the string. It has the
@@ -8,11 +9,11 @@ same property with about 0.7 % of all positions, and the sampled suffixes of dif
 
 1. Sample: the starts i of strings are split into runs with the same sampled suffix p(i) (`samples`). A run has a name
    for the `GRAM` bytes at p and one for its whole context, which is all the strings of the run.
-2. Sort names: runs are grouped by (gram, context). A context that occurs twice is repeated as a whole. A gram with a
+2. Count names: runs are grouped by (gram, context). A context that occurs twice is repeated as a whole. A gram with a
    single context has no repeats. Counting is done before the shuffle, so copies of one text shrink there.
-3. Recurse: only grams with several contexts are left (ends of repeats). One run of each context is taken along.
-4. Merge the remaining suffixes: a string is named by its sampled suffix, its distance to it, and its bytes; strings of
-   a gram are sorted by name and neighbours compared (`_compared`). A gram with over `HOT` contexts is not gathered:
+3. Only grams with several contexts are left (ends of repeats). One run of each context is taken along.
+4. The remaining strings: each is named by a hash of its sampled suffix, its distance to it, and its bytes; names of a
+   gram are sorted and equal neighbours are repeats (`_compared`). A gram with over `HOT` contexts is not gathered:
    its strings are counted one by one in a shuffle.
 5. Repeats are merged to spans of each document and cut out.
 
