@@ -6,8 +6,9 @@ with shingles ordered by rarity over all documents the necessary prefix is each
 joined on these, a candidate must leave room for the window's words before and after the shingle (position and
 length bounds), and then the words are compared one by one over the whole window.
 
-Windows are taken in blocks of about `BLOCK` windows: each block's index is built and broadcast by itself and the
-documents pass all blocks in one go, so a benchmark of any size needs bounded memory and documents are not shuffled.
+Windows are taken in blocks of about `BLOCK` windows: each block's index is built on the driver and broadcast by itself,
+and the documents pass all blocks in one go without a shuffle. All blocks' broadcasts are held together, so memory grows
+with the benchmark.
 
 Null and wordless texts hold nothing; null, wordless and repeated benchmark items are allowed. Repeated document
 rows are judged one by one. Other columns, whatever their names, are not looked at.
