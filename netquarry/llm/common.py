@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,26 +26,62 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The checkpoint folder that driver and executors share; a temporary one only in local mode where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df as written to the shared checkpoint folder, with its lineage cut; for small rows."""
+    """df as written to the shared checkpoint folder, with its lineage cut. Spark's cleaner deletes it after its last use."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as written to a Parquet table in the shared folder, with its lineage cut; for wide or many rows."""
+    """df as written to a Parquet table in the shared folder, with its lineage cut; it stays there."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Parquet tables of one computation, in a folder of their own below the shared one.
+
+    A table is dropped as soon as what is made from it is written, and the rest at the end of the `with` block; so what
+    leaves the block must be settled. Lost executors read the tables again, as no machine keeps them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.number, self.paths = count(), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{next(self.number)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self._delete(self.paths.pop(id(df))[0])
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], salt: F.Column, n: int, name: str) -> DataFrame:
     """Adds `name`: 0-based gapless position of each row among the rows with equal keys.
 

@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import settle
+from netquarry.llm.common import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the undirected edges (a, b); root is the smallest node of the component.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) for each node of the undirected edges (a, b) but the roots; a root is the smallest node of its
+    component. Edges from a node to itself say nothing.
 
     Alternating large-star and small-star steps: each links a node's neighbours to the least of them, and the number
-    of rounds grows with the logarithm of the longest path. Each round is settled, so a lost executor costs one round.
-    Minima are taken before the shuffle, so a node with very many neighbours is not gathered in one task.
+    of rounds grows with the logarithm of the longest path. It ends when each node has one smaller neighbour, which has
+    none itself. Each round is written to the shared folder, so a lost executor costs one round. Minima are taken before
+    the shuffle and written before they are joined, so that a node with very many neighbours is neither gathered in one
+    task nor joined in one: the sides of the join are plain exchanges, which adaptive execution splits.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, state = settle(pairs), None
+    pairs = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m"), F.lit(1).alias("up")),
+                                              F.struct(F.col("v").alias("n"), F.col("u").alias("m"), F.lit(0).alias("up")))).alias("e"))
+        nodes = ends.groupBy("e.n").agg(F.least("n", F.min("e.m")).alias("m"), F.sum("e.up").alias("ups"), F.count(F.lit(1)).alias("all"))
+        nodes = scratch.keep(nodes)
+        if nodes.where((F.col("ups") > 1) | (F.col("ups") > 0) & (F.col("all") > F.col("ups"))).isEmpty():
+            scratch.drop(nodes)
+            return pairs.withColumnsRenamed({"u": "node", "v": "root"})
+        large = pairs.join(nodes.select(F.col("n").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
+        large = scratch.keep(large.distinct())
+        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+        made = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        scratch.drop(pairs, nodes, large, least)
+        pairs = made

@@ -22,8 +22,17 @@ band is aligned. At 0.8 a pair shares no value with a probability of about 5e-6.
 So no link between two components is lost among the candidates. Texts go to verification in blocks of a leader and
 some of its partners, streamed from a sorted partition; no group is gathered as a whole.
 
+Above `SPLIT` more pairs are candidates than below, where a pair must share a sketch value: the filter meets all similar
+pairs of the documents that it gets. So a larger bucket can only add links that hold at 0.8, and the tests run both ways.
+
 Documents of under five words are one shingle. Texts without words (null, empty, signs only) and rows without an
-identifier are left alone, each a class by itself. Rows that share an identifier are one document.
+identifier are left alone, each a class by itself. Rows that share an identifier are one document with several texts;
+each row counts in its class. Occurrence labels follow the text: where one more copy of a repeated shingle comes early,
+the later copies move on by one label and align only as far as that leaves them in order.
+
+Hot keys: exact copies are counted before the shuffle, and every join on words, values, leaders or roots has a written
+table on either side, so that both are plain exchanges and adaptive execution splits the partition of a key that holds
+very many rows. Tables that are no longer needed are deleted as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -39,7 +48,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import parts, settle, stored, words_of
+from netquarry.llm.common import Scratch, parts, settle, words_of
 from netquarry.llm.components import components
 
 SHINGLE = 5
@@ -48,7 +57,8 @@ SKETCHES = 12
 DRAWN = 2
 BLOCK = 256  # partners that are verified with one copy of a leader's text
 SPLIT = 16  # pairs between components over which a bucket's members are joined by prefix filter
-MAP = [f"bits{i}" for i in range(8)]  # 512 bits
+VALUES = [f"value{i}" for i in range(SKETCHES)]
+MAP = 8  # longs of a map of shingles
 SAMPLE_DOCS = 4096  # documents, about, that tell which shingles are common
 SLOT_BITS = 22
 _MOST = 300_000
@@ -180,34 +190,35 @@ def _unpacked(text: bytes) -> list[bytes]:
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, common) -> DataFrame:
-    """(id, key of the words, sketch, lead); key is null for a text without words.
+    """(id, key of the words, order, sketch values); key is null for a text without words.
 
-    lead is high for a document of many common shingles and few rare ones: of copies, one with few edits."""
+    order is high for a document of many common shingles and few rare ones: of copies, one with few edits. Its lower
+    bits come from the words, so that few documents are of the same order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
         for batch in batches:
-            keys, found, leads = [], [], []
-            for text in batch.column(1):
+            keys, found, orders = [], np.zeros((batch.num_rows, SKETCHES), dtype=np.int64), []
+            for k, text in enumerate(batch.column(1)):
                 words = words_of(text.as_py())
                 h = shingles(words, cache)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-                found.append(sketch(h).tolist() if words else None)
+                if words:
+                    found[k] = sketch(h)
                 many = int(np.count_nonzero(common.value[h >> _U(64 - SLOT_BITS)]))
-                leads.append(2 * many - len(h) if many else 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(leads, pa.int64())],
-                ["id", "key", "sketch", "lead"],
-            )
+                lead = max(-(1 << 22), min(1 << 22, 2 * many - len(h))) if many else 0
+                orders.append((lead << 40) + (int.from_bytes(keys[-1][:5]) if words else 0))
+            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(orders, pa.int64()), *map(pa.array, found.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "order", *VALUES])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, key binary, sketch array<long>, lead long")
+    kind, values = docs.schema[id_col].dataType.simpleString(), ", ".join(f"{v} long" for v in VALUES)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, key binary, order long, {values}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. docs: (id, text)."""
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    dealt = pairs.join(sizes.select("a", "blocks"), "a")
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The written pairs (a, b) whose texts are similar. docs: (id, text)."""
+    sizes = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
+    dealt = pairs.join(sizes, "a")
     members = dealt.select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.lit(1).alias("kind"))
     heads = sizes.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
     wanted = members.unionByName(heads)
@@ -215,30 +226,37 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.repartition(parts(docs.sparkSession), "a", "block").sortWithinPartitions("a", "block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, head, h = _Words(), None, None
+        cache, head, texts = _Words(), None, []
         for batch in batches:
             a, b = [], []
             for x, block, kind, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = shingles(_unpacked(text), cache)
                 if kind == 0:
-                    head, h = (x, block), own
-                elif head == (x, block) and similar(h, own):
+                    texts = [*texts, own] if head == (x, block) else [own]
+                    head = (x, block)
+                elif head == (x, block) and any(similar(h, own) for h in texts):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, batch.schema.field(0).type)], ["a", "b"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    out = scratch.keep(rows.mapInArrow(run, f"a {kind}, b {kind}"))
+    scratch.drop(sizes)
+    return out
 
 
-def _between(members: DataFrame) -> DataFrame:
-    """Members (value, id, root, ...) of buckets with several roots, with the commonest root and the pairs between roots."""
+def _between(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (value, id, root, ...), written, of buckets with several roots, with the commonest root and the number of
+    pairs between roots."""
     each = members.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
     most = each.groupBy("value").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"),
         F.sum(F.col("n") * F.col("n")).alias("inside"), F.count(F.lit(1)).alias("roots"),
     ).where("roots > 1")
-    return members.join(most.select("value", "main", ((F.col("all") ** 2 - F.col("inside")) / 2).alias("cross")), "value")
+    most = scratch.keep(most.select("value", "main", ((F.col("all") ** 2 - F.col("inside")) / 2).alias("cross")))
+    out = scratch.keep(members.join(most, "value"))
+    scratch.drop(most)
+    return out
 
 
 def _cross_pairs(labelled: DataFrame, fits=lambda x, y: F.lit(True), more: tuple[str, ...] = ()) -> DataFrame:
@@ -255,13 +273,13 @@ def _may_align(x: Column, y: Column) -> Column:
     map, so maps differ in no more bits than the documents do in shingles."""
     need = (x["n"] + y["n"]) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
     fresh = x["prev"].isNull() | y["prev"].isNull() | (x["prev"] != y["prev"])
-    apart = reduce(operator.add, [F.bit_count(x[b].bitwiseXOR(y[b])) for b in MAP])
+    apart = reduce(operator.add, [F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(MAP)])
     return fresh & (F.least(x["n"] - x["at"], y["n"] - y["at"]) >= need) & (apart <= x["n"] + y["n"] - 2 * need)
 
 
 def _prefixes(docs: DataFrame, common) -> DataFrame:
-    """(value, id, root, n, at, prev, map): the rarest shingles of documents (id, root, text), as many as a similar one
-    must meet, with the one before each and the document's map of all shingles."""
+    """Of documents (id, root, text): (value, id, root, n, at, prev), the rarest shingles, as many as a similar one must
+    meet, with the one before each; and a row (id, bits) with the map of all shingles for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
@@ -272,8 +290,8 @@ def _prefixes(docs: DataFrame, common) -> DataFrame:
             rows, maps = [], []
             for k, text in enumerate(batch.column(2)):
                 h = shingles(_unpacked(text.as_py()), cache)
-                odd = np.bincount((_mix(h) % _U(64 * len(MAP))).astype(np.int64), minlength=64 * len(MAP)) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                odd = np.bincount((_mix(h) % _U(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                 first = np.lexsort((h, common.value[h >> _U(64 - SLOT_BITS)]))[: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]
                 rows.append(np.full(len(first), k))
                 for column, x in zip(out, (h[first].view(np.int64), np.full(len(first), len(h)), np.arange(len(first))), strict=True):
@@ -282,54 +300,83 @@ def _prefixes(docs: DataFrame, common) -> DataFrame:
             value, n, place = (np.concatenate(c) for c in out)
             prev = pa.array(np.concatenate([value[:1], value[:-1]]), mask=place == 0)
             columns = [pa.array(value), batch.column(0).take(at), batch.column(1).take(at), pa.array(n), pa.array(place), prev]
-            bits = np.stack(maps)[np.concatenate(rows)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(b) for b in bits.T.copy())], ["value", "id", "root", "n", "at", "prev", *MAP])
+            none = pa.nulls(len(maps), pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(at), pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([none, batch.column(0), batch.column(1), none, none, none, pa.array(maps, pa.list_(pa.int64()))], names)
 
-    kind, bits = docs.schema["id"].dataType.simpleString(), ", ".join(f"{b} long" for b in MAP)
-    return docs.select("id", "root", "text").mapInArrow(run, f"value long, id {kind}, root {kind}, n long, at long, prev long, {bits}")
+    names = ["value", "id", "root", "n", "at", "prev", "bits"]
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"value long, id {kind}, root {kind}, n long, at long, prev long, bits array<long>"
+    return docs.select("id", "root", "text").mapInArrow(run, schema)
+
+
+def _unlinked(roots: DataFrame, shared: DataFrame, stars: DataFrame, texts: DataFrame, common, scratch: Scratch) -> DataFrame | None:
+    """Pairs of similar documents between components, from buckets with members of several; None if there is no such bucket."""
+    rooted = shared.select("value", F.col("node").alias("id")).join(roots, F.col("id") == F.col("node"), "left")
+    rooted = scratch.keep(rooted.select("value", "id", F.coalesce("root", "id").alias("root")))
+    several = rooted.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    several = scratch.keep(several.select("value"))
+    if several.isEmpty():
+        scratch.drop(rooted, several)
+        return None
+    mixed = scratch.keep(rooted.join(several, "value"))
+    scratch.drop(rooted, several)
+    labelled = _between(mixed, scratch)
+    scratch.drop(mixed)
+    pairs = _cross_pairs(labelled.where(F.col("cross") <= SPLIT))
+    many = labelled.where(F.col("cross") > SPLIT).select("id", "root").distinct()
+    rare = None
+    if not many.isEmpty():
+        places = scratch.keep(_prefixes(many.join(texts, "id"), common))
+        met = _between(places.where("value is not null").drop("bits"), scratch)
+        rare = scratch.keep(met.join(places.where("value is null").groupBy("id").agg(F.first("bits").alias("bits")), "id"))
+        scratch.drop(places, met)
+        pairs = pairs.unionByName(_cross_pairs(rare, _may_align, ("n", "at", "prev", "bits")))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+    scratch.drop(labelled, *[t for t in (rare,) if t is not None])
+    out = _verified(pairs, texts, scratch)
+    scratch.drop(pairs)
+    return out
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, class_id (the least identifier of its class), class_size, kept."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, key) of each row, settled, and (key, node, n, root) of each sequence of words, written: node is the least
+    identifier that has it, n the number of rows, root the least identifier of the class."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text_col))
-    made = settle(_sketched(docs, id_col, text_col, common))
-    known = made.where("key is not null and id is not null")
-    # One document for each sequence of words, found before any pairing.
-    owners = known.groupBy("key").agg(F.min("id").alias("owner"))
-    owned = settle(known.select("id", "key").join(owners, "key").select("id", "owner").distinct())
-    singles = known.join(owned.where("id = owner").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    members = singles.select("id", F.explode("sketch").alias("value"), "lead")
+    made = scratch.keep(_sketched(docs, id_col, text_col, common))
+    rows = settle(made.select("id", "key"))
+    # One document for each sequence of words, found before any pairing. Equal words have equal sketches.
+    known = made.where("key is not null and id is not null").groupBy("key")
+    owners = scratch.keep(known.agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("order", *VALUES)]))
+    scratch.drop(made)
+    members = owners.select("node", F.explode(F.array(*VALUES)).alias("value"), "order")
     texts = _packed(docs, id_col, text_col)
 
-    counts = members.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = settle(members.join(counts, "value"))
-    # The leader is a copy with few edits, which meets many others in its buckets. It is similar to more of them than
-    # others are, and leads most buckets of its group.
-    met = shared.groupBy("id").agg(F.sum("n").alias("met"))
-    leaders = shared.join(met, "id").groupBy("value").agg(F.max_by("id", F.struct("lead", "met", "id")).alias("a"))
-    stars = shared.select("value", F.col("id").alias("b")).join(leaders, "value").where("a <> b")
-    stars = stars.select("a", "b").distinct()
-    stars = settle(stars)
-    links = settle(_verified(stars, texts))
-    roots = components(links)
-
-    rooted = shared.select("value", "id").join(roots, F.col("id") == F.col("node"), "left")
-    labelled = settle(_between(rooted.select("value", "id", F.coalesce("root", "id").alias("root"))))
-    pairs = _cross_pairs(labelled.where(F.col("cross") <= SPLIT))
-    mixed = labelled.where(F.col("cross") > SPLIT).select("id", "root").distinct()
-    if not mixed.isEmpty():
-        rare = _between(stored(_prefixes(mixed.join(texts, "id"), common)))
-        pairs = pairs.unionByName(_cross_pairs(rare, _may_align, ("n", "at", "prev", *MAP)))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(settle(pairs), texts)
-    met = settle(links.unionByName(more))
-    roots = components(met)
-
-    whole = owned.join(roots, F.col("owner") == F.col("node"), "left").select("id", F.coalesce("root", "owner").alias("class_id"))
-    sizes = whole.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    whole = whole.join(sizes, "class_id")
-    out = made.select("id").join(whole, "id", "left")
+    # The leader is a copy with few edits, which meets many others in its buckets and leads most buckets of its group.
+    leaders = members.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", "order").alias("a")).where("n > 1")
+    leaders = scratch.keep(leaders.select("value", "a"))
+    shared = scratch.keep(members.select("value", "node").join(leaders, "value"))
+    stars = scratch.keep(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    links = _verified(stars, texts, scratch)
+    roots = components(links, scratch)
+    more = _unlinked(roots, shared, stars, texts, common, scratch)
+    scratch.drop(links, leaders, shared, stars)
+    if more is not None and not more.isEmpty():
+        both = more.unionByName(roots.withColumnsRenamed({"node": "a", "root": "b"}))
+        roots = components(both, scratch)
+    whole = owners.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    return rows, scratch.keep(whole)
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id, class_id (the least identifier of its class), class_size (its rows), kept."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows, whole = _classes(docs, id_col, text_col, scratch)
+        sizes = scratch.keep(whole.groupBy("root").agg(F.sum("n").alias("class_size")))
+        classes = settle(whole.join(sizes, "root").select("key", F.col("root").alias("class_id"), "class_size"))
+    known = F.col("id").isNotNull()
+    out = rows.select("id", F.when(known, F.col("key")).alias("key")).join(classes, "key", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
@@ -340,5 +387,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the document that stays from each class, with all their columns."""
-    gone = near_classes(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    with Scratch(docs.sparkSession) as scratch:
+        rows, whole = _classes(docs, id_col, text_col, scratch)
+        # Few words have a class of several documents or several rows.
+        several = scratch.keep(whole.where("n > 1 or node <> root").select("key", "root"))
+        gone = rows.join(several, "key").where("id <> root").select(F.col("id").alias("_gone")).distinct()
+        gone = settle(gone)
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
