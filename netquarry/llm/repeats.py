@@ -1,7 +1,7 @@
 """Removal of long repeats: every byte covered by a string of `length` bytes that also starts somewhere else.
 
-Anchor hashing, in place of a suffix sort by difference cover: nothing is ranked, nothing recurses and no bytes are
-compared. The anchors must be a cover, like a sample of suffixes: wherever two equal strings of `length`
+Anchor hashing, in place of a suffix sort by difference cover: nothing is ranked and nothing recurses. The anchors must
+be a cover, like a sample of suffixes: wherever two equal strings of `length`
 bytes start, both have a sampled suffix at the same offset. A difference cover of positions modulo v has that property
 for any two positions, at a price of about 1.5 / sqrt(v) of all positions. Here equal strings only have to agree, so the
 cover is taken from content: the position whose `GRAM` bytes have the least hash among all in the string. It has the
@@ -12,15 +12,15 @@ same property with about 0.7 % of all positions, and the sampled suffixes of dif
 2. Count names: runs are grouped by (gram, context). A context that occurs twice is repeated as a whole. A gram with a
    single context has no repeats. Counting is done before the shuffle, so copies of one text shrink there.
 3. Only grams with several contexts are left (ends of repeats). One run of each context is taken along.
-4. The remaining strings: each is named by a hash of its sampled suffix, its distance to it, and its bytes; names of a
-   gram are sorted and equal neighbours are repeats (`_compared`). A gram with over `HOT` contexts is not gathered:
-   its strings are counted one by one in a shuffle.
+4. The remaining strings are sorted by a hash of the sampled suffix, the distance to it, and the bytes; equal neighbours
+   are then compared byte by byte (`_repeated`). A gram with over `HOT` contexts is not gathered: its strings are
+   counted one by one in a shuffle, by two hashes of 64 bits (`_counted`). Both ways find the same strings.
 5. Repeats are merged to spans of each document and cut out.
 
-Names are 64-bit polynomial hashes over random byte values, and equal strings must agree in two of them. Matches do not
+Contexts are equal where a 64-bit hash of the gram and a 128-bit hash of the context are. Matches do not
 cross documents. Null text is empty; texts of under `length` bytes have no repeats; texts over `PART` bytes are
-sampled in overlapping parts. Rows that share identifier and text are copies like any other. Null identifiers are
-allowed. Other columns are not looked at.
+sampled in overlapping parts. Rows that share identifier and text are copies like any other. Identifiers can be of any
+type that Spark hashes, and null. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,55 +29,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import parts, stored
+from netquarry.llm.common import Scratch, parts, settle
 
 LENGTH = 400
 GRAM = 96
 PART = 1 << 22
-HOT = 20_000
+HOT = 400  # contexts of a gram that are compared in one task
 BUFFER = 4 << 20  # bytes of contexts that are compared at a time
 _U = np.uint64
-_RNG = np.random.default_rng(9)
-_BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x5851F42D4C957F2D
-_BACK = pow(_BASE, -1, 1 << 64)
+class _Sums:
+    """Polynomial hashes over random byte values."""
 
-
-class _Powers:
-    def __init__(self):
+    def __init__(self, seed: int, base: int):
+        self.bytes = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)
+        self.base, self.back = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def powers(self, n: int) -> None:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()
-            step = np.full(size, _BASE, dtype=np.uint64)
+            step = np.full(size, self.base, dtype=np.uint64)
             step[0] = 1
             self.up = np.multiply.accumulate(step)
-            step[1:] = _BACK
+            step[1:] = self.back
             self.down = np.multiply.accumulate(step)
-        return self.up, self.down
-
 
-_POWERS = _Powers()
+    def of(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums of byte values times powers of the base."""
+        self.powers(len(data) + 1)
+        out = np.empty(len(data) + 1, dtype=np.uint64)
+        out[0] = 0
+        np.cumsum(self.bytes[data] * self.up[: len(data)], out=out[1:])
+        return out
 
+    def names(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of data[begin:end]."""
+        return _mix((sums[end] - sums[begin]) * self.down[begin])
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte values times powers of the base."""
-    up, _ = _POWERS.get(len(data) + 1)
-    out = np.empty(len(data) + 1, dtype=np.uint64)
-    out[0] = 0
-    np.cumsum(_BYTES[data] * up[: len(data)], out=out[1:])
-    return out
 
-
-def _names(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[begin:end]."""
-    _, down = _POWERS.get(len(sums))
-    return _mix((sums[end] - sums[begin]) * down[begin])
+_FIRST, _SECOND = _Sums(9, 0x5851F42D4C957F2D), _Sums(10, 0x2545F4914F6CDD1D)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,14 +80,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def samples(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def samples(data: np.ndarray, length: int, gram: int) -> tuple:
     """(first, last, sampled, gram name, context name) of the runs of string starts with one sampled suffix."""
     n = len(data) - length + 1
     if n <= 0:
-        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),) * 2
-    sums = _sums(data)
+        return (*(np.zeros(0, dtype=np.int64),) * 3, np.zeros(0, dtype=np.uint64), [])
+    sums = _FIRST.of(data)
     at = np.arange(len(data) - gram + 1)
-    name = _names(sums, at, at + gram)
+    name = _FIRST.names(sums, at, at + gram)
     key = (name >> _U(32)) << _U(32) | at.astype(np.uint64)
     # Least key of each `w` neighbours: from the parts of two blocks, each scanned once in either direction.
     w = length - gram + 1
@@ -107,38 +102,44 @@ def samples(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     first = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1])
     last = np.concatenate([first[1:] - 1, [n - 1]])
     p = p[first]
-    shape = ((p - first) << 16 | (last - first)).astype(np.uint64)
-    context = _mix(_names(sums, first, last + length) + shape * _U(0xD6E8FEB86659FD93))
+    whole, digest = data.tobytes(), xxhash.xxh3_128_digest
+    shape = ((p - first) << 16 | (last - first)).tolist()
+    context = [digest(whole[i : j + length], x) for i, j, x in zip(first.tolist(), last.tolist(), shape, strict=True)]
     return first, last, p, name[p], context
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            contexts: list[bytes] = []
             for key, text_hash, data in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
                 whole = np.frombuffer(data.as_py(), dtype=np.uint8)
                 for at in range(0, max(1, len(whole) - length + 1), PART):
                     first, last, p, name, context = samples(whole[at : at + PART + length - 1], length, gram)
-                    row = (np.full(len(p), key), np.full(len(p), text_hash), first + at, last + at, p + at, name.view(np.int64), context.view(np.int64))
+                    row = (np.full(len(p), key), np.full(len(p), text_hash), first + at, last + at, p + at, name.view(np.int64))
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) if c else pa.array([], pa.int64()) for c in out], names)
+                    contexts += context
+            columns = [pa.array(np.concatenate(c)) if c else pa.array([], pa.int64()) for c in out]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(contexts, pa.binary())], names)
 
     names = ["_id", "_text", "first", "last", "p", "gram", "context"]
-    return docs.select("_id", "_text", "data").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    schema = "_id long, _text long, first long, last long, p long, gram long, context binary"
+    return docs.select("_id", "_text", "data").mapInArrow(run, schema)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(_id, _text, packed): texts compressed for the shuffle."""
+    """(_id, _text, packed, id): texts compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             data = pa.array([squeeze.compress(x.as_py()) for x in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], ["_id", "_text", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data, batch.column(3)], ["_id", "_text", "packed", "id"])
 
-    return docs.select("_id", "_text", "data").mapInArrow(run, "_id long, _text long, packed binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("_id", "_text", "data", "id").mapInArrow(run, f"_id long, _text long, packed binary, id {kind}")
 
 
 def _unpack(packed: pa.Scalar) -> bytes:
@@ -164,34 +165,64 @@ def _contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
     names = ["gram", "want", "_id", "_text", "first", "ahead", "context"]
     schema = "gram long, want boolean, _id long, _text long, first long, ahead long, context binary"
-    return _packed(docs).join(lists, ["_id", "_text"]).mapInArrow(run, schema)
+    rows = _packed(docs).drop("id").join(lists, ["_id", "_text"])
+    return rows.mapInArrow(run, schema)
 
 
-def _windows(context: pa.Array, ahead: np.ndarray, gram: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start in the row's context, name) of all strings of the contexts."""
+def _windows(context: pa.Array, length: int) -> tuple[np.ndarray, ...]:
+    """(bytes of all contexts, and of each string in them: row, start in the row's context, place in the bytes)."""
     sizes = np.array([len(x.as_buffer()) for x in context], dtype=np.int64)
     data = np.frombuffer(b"".join(x.as_py() for x in context), dtype=np.uint8)
-    sums = _sums(data)
     n = sizes - length + 1
     row = np.repeat(np.arange(len(n)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(np.cumsum(sizes) - sizes, n) + start
-    offset = (ahead[row] - start).astype(np.uint64)
-    name = _names(sums, at, at + length)
-    return row, start, _mix(name + offset * _U(0xD6E8FEB86659FD93) + _mix(gram.view(np.uint64))[row])
+    return data, row, start, np.repeat(np.cumsum(sizes) - sizes, n) + start
+
+
+def _name(hashes: _Sums, data: np.ndarray, at: np.ndarray, offset: np.ndarray, gram: np.ndarray, length: int) -> np.ndarray:
+    """Names of strings by their bytes, their distance to the sampled suffix, and the suffix's gram."""
+    name = hashes.names(hashes.of(data), at, at + length)
+    return _mix(name + offset.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _mix(gram.view(np.uint64)))
+
+
+def _checked(found: np.ndarray, partner: np.ndarray, name: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """found, without the strings whose bytes are not those of any other string of equal name. Neighbours with
+    neighbouring partners are compared as one piece."""
+    k = np.flatnonzero(found)
+    if not len(k):
+        return found
+    opens = np.ones(len(k), dtype=bool)
+    opens[1:] = (np.diff(at[k]) != 1) | (np.diff(at[partner[k]]) != 1)
+    i = np.flatnonzero(opens)
+    whole = memoryview(data)
+    for lo, hi in zip(i.tolist(), np.append(i[1:], len(k)).tolist(), strict=True):
+        a, b = int(at[k[lo]]), int(at[partner[k[lo]]])
+        n = hi - lo - 1 + length
+        if whole[a : a + n] != whole[b : b + n]:
+            for x in k[lo:hi].tolist():
+                others = np.flatnonzero(name == name[x])
+                found[x] = sum(whole[int(at[y]) : int(at[y]) + length] == whole[int(at[x]) : int(at[x]) + length] for y in others) > 1
+    return found
 
 
 def _repeated(table: pa.Table, length: int) -> pa.RecordBatch:
     """Spans of the wanted contexts whose strings occur twice in the table. It holds whole grams."""
     gram, ahead = table.column("gram").to_numpy(), table.column("ahead").to_numpy()
-    row, start, name = _windows(table.column("context").combine_chunks(), ahead, gram, length)
+    data, row, start, place = _windows(table.column("context").combine_chunks(), length)
+    name = _name(_FIRST, data, place, ahead[row] - start, gram[row], length)
     order = np.argsort(name, kind="stable")
     same = name[order][1:] == name[order][:-1]
+    # Each string's partner is the first one of its name, and that one's partner is the second.
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(name)), 0)) if len(name) else order
+    partner = np.empty(len(name), dtype=np.int64)
+    partner[order] = order[head]
+    twice = np.flatnonzero(same & (head[:-1] == np.arange(len(name))[:-1])) if len(name) else order
+    partner[order[twice]] = order[twice + 1]
     found = np.zeros(len(name), dtype=bool)
     found[order[1:][same]] = True
     found[order[:-1][same]] = True
     found &= table.column("want").to_numpy(zero_copy_only=False)[row]
-    at = np.flatnonzero(found)
+    at = np.flatnonzero(_checked(found, partner, name, data, place, length))
     opens = np.ones(len(at), dtype=bool)
     opens[1:] = (np.diff(at) > 1) | (np.diff(row[at]) > 0)
     i, j = at[opens], at[np.append(opens[1:], True)] if len(at) else at
@@ -227,53 +258,62 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, _SPAN)
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
+def _counted(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """The same, string by string: for grams with very many contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gram, ahead = batch.column(0).to_numpy(), batch.column(5).to_numpy()
-            row, start, name = _windows(batch.column(6), ahead, gram, length)
-            columns = [batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 2, 3)]
+            data, row, start, at = _windows(batch.column(6), length)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (1, 2, 3)]
             begin = batch.column(4).to_numpy()[row] + start
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, begin, name.view(np.int64))], names)
+            both = [_name(h, data, at, ahead[row] - start, gram[row], length).view(np.int64) for h in (_FIRST, _SECOND)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, begin, *both)], names)
 
-    names = ["gram", "want", "_id", "_text", "begin", "name"]
-    rows = contexts.mapInArrow(run, "gram long, want boolean, _id long, _text long, begin long, name long")
-    twice = rows.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    spans = rows.where("want").join(twice, ["gram", "name"])
+    names = ["want", "_id", "_text", "begin", "name", "other"]
+    rows = scratch.keep(contexts.mapInArrow(run, "want boolean, _id long, _text long, begin long, name long, other long"))
+    twice = scratch.keep(rows.groupBy("name", "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    spans = rows.where("want").join(twice, ["name", "other"])
     return spans.select("_id", "_text", "begin", (F.col("begin") + length).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(_id, _text, begin, end): byte ranges that together are the repeats. docs: (_id, _text, data)."""
-    runs = stored(_runs(docs, length, gram))
+def repeated_spans(docs: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
+    """(_id, _text, begin, end): byte ranges that together are the repeats, written. docs: (_id, _text, data, id).
+
+    Tables that are joined on a gram are written before, so that adaptive execution splits a gram with very many runs."""
+    runs = scratch.keep(_runs(docs, length, gram))
     # A text's own identity is (_id, _text); rows that share both are different places all the same.
     named = runs.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_text", "first")).alias("one"))
+    named = scratch.keep(named)
     grams = named.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("contexts")).where("all > 1")
-    labelled = stored(runs.join(named.join(grams, "gram"), ["gram", "context"]))
+    grams = scratch.keep(grams)
+    labelled = scratch.keep(runs.join(named.join(grams, "gram"), ["gram", "context"]))
+    scratch.drop(runs, named, grams)
     whole = labelled.where("n > 1").select("_id", "_text", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
     chosen = (F.col("n") == 1) | (F.struct("_id", "_text", "first") == F.col("one"))
     left = labelled.where((F.col("contexts") > 1) & chosen).withColumn("want", F.col("n") == 1)
     spans = whole.unionByName(_compared(_contexts(left.where(F.col("contexts") <= HOT), docs, length), length))
     hot = left.where(F.col("contexts") > HOT)
     if not hot.isEmpty():
-        spans = spans.unionByName(_counted(_contexts(hot, docs, length), length))
+        spans = spans.unionByName(_counted(_contexts(hot, docs, length), length, scratch))
+    spans = scratch.keep(spans)
+    scratch.drop(labelled)
     return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per row: id, n_bytes, spans (removed byte ranges), kept (the remaining bytes)."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    kind = docs.schema[id_col].dataType
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(data).alias("_text"), data.alias("data"))
-    spans = repeated_spans(keyed, length, gram)
-    lists = spans.groupBy("_id", "_text").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    # A row is told from others by hashes of identifier and text; rows of equal text have equal spans anyway.
+    keyed = docs.select(F.xxhash64(id_col).alias("_id"), F.xxhash64(data).alias("_text"), data.alias("data"), F.col(id_col).alias("id"))
+    with Scratch(docs.sparkSession) as scratch:
+        spans = repeated_spans(keyed, length, gram, scratch)
+        lists = settle(spans.groupBy("_id", "_text").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, merged, kept = [], [], []
-            for packed, spans in zip(batch.column(2), batch.column(3), strict=True):
+            for packed, spans in zip(batch.column(2), batch.column(4), strict=True):
                 text = _unpack(packed)
                 out: list[list[int]] = []
                 for s in sorted(spans.as_py() or [], key=lambda s: (s["begin"], s["end"])):
@@ -287,9 +327,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             arrays = [pa.array(n_bytes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), *arrays], ["id", "n_bytes", "spans", "kept"])
 
     rows = _packed(keyed).join(lists, ["_id", "_text"], "left")
-    out = rows.mapInArrow(run, "_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
-    name = F.when(F.col("_id") != F.lit(-(2**63)), F.col("_id")).cast(kind)
-    return out.select(name.alias(id_col), "n_bytes", "spans", "kept")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")

@@ -62,5 +62,27 @@ def test_repeated_and_null_identifiers(spark):
     assert sorted((g.doc_id is None, g.n_bytes, len(g.kept)) for g in got) == [(False, 900, 0), (False, 900, 0), (True, 0, 0), (True, 501, 1)]
 
 
+def test_equal_names_of_different_bytes_are_no_repeats(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "_name", lambda hashes, data, at, *_: np.zeros(len(at), dtype=np.uint64))
+    rows = {"gram": [1, 1, 1], "want": [True] * 3, "_id": [1, 2, 3], "_text": [0] * 3, "first": [0] * 3, "ahead": [0] * 3}
+    rows["context"] = [b"abcdefgh", b"xbcdefgy", b"zzzz1111"]
+    table = pa.table({k: pa.array(v, pa.binary()) if k == "context" else v for k, v in rows.items()})
+    got = repeats._repeated(table, 4).to_pylist()
+    assert sorted((g["_id"], g["begin"], g["end"]) for g in got) == [(1, 1, 7), (2, 1, 7)]
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "date"])
+def test_identifiers_of_other_types(spark, kind):
+    t = "".join(random.Random(5).choice("abcdef") for _ in range(900))
+    df = spark.createDataFrame([(t,), (t + "x",), ("short",)], "text string")
+    ids = {"string": "concat('d', length(text))", "date": "date_add(date'2020-01-01', length(text))"}.get(kind, f"cast(length(text) as {kind})")
+    df = df.selectExpr(f"{ids} as doc_id", "text")
+    got = repeats.remove_repeats(df)
+    assert got.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    assert sorted((g.n_bytes, len(g.kept)) for g in got.collect()) == [(5, 5), (900, 0), (901, 1)]
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
