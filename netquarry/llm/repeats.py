@@ -40,7 +40,7 @@ LENGTH = 400
 GRAM = 96
 PART = 1 << 22
 HOT = 400  # contexts of a gram that are compared in one task
-BUFFER = 4 << 20  # bytes of contexts that are compared at a time
+BUFFER = 1 << 20  # bytes of contexts that are compared at a time
 _U = np.uint64
 class _Sums:
     """Polynomial hashes over random byte values."""
@@ -282,15 +282,17 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, scratch: Scratch) ->
 
     Tables that are joined on a gram are written before, so that adaptive execution splits a gram with very many runs."""
     runs = scratch.keep(_runs(docs, length, gram))
-    # A text's own identity is (_id, _text); rows that share both are different places all the same.
-    named = runs.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_text", "first")).alias("one"))
+    # A text's own identity is (_id, _text); rows that share both are different places all the same. One run of each
+    # context goes along with its gram, the one of the least hash; two of them do no harm.
+    place = F.xxhash64("_id", "_text", "first")
+    named = runs.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
     named = scratch.keep(named)
     grams = named.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("contexts")).where("all > 1")
     grams = scratch.keep(grams)
     labelled = scratch.keep(runs.join(named.join(grams, "gram"), ["gram", "context"]))
     scratch.drop(runs, named, grams)
     whole = labelled.where("n > 1").select("_id", "_text", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
-    chosen = (F.col("n") == 1) | (F.struct("_id", "_text", "first") == F.col("one"))
+    chosen = (F.col("n") == 1) | (place == F.col("one"))
     left = labelled.where((F.col("contexts") > 1) & chosen).withColumn("want", F.col("n") == 1)
     spans = whole.unionByName(_compared(_contexts(left.where(F.col("contexts") <= HOT), docs, length), length))
     hot = left.where(F.col("contexts") > HOT)
