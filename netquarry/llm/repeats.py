@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -237,22 +238,28 @@ _SPAN = "_id long, _text long, begin long, end long"
 def _compared(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of repeated strings; contexts of a gram are neighbours in a sorted partition and compared together."""
 
+    def pieces(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole grams of about BUFFER bytes at a time."""
+        gram = table.column("gram").to_numpy()
+        opens = np.append(np.flatnonzero(np.diff(gram)) + 1, len(gram))
+        upto = np.cumsum(pc.binary_length(table.column("context")).to_numpy())[opens - 1] // BUFFER
+        ends = opens[np.append(np.diff(upto) > 0, True)].tolist()
+        for i, j in zip([0, *ends], ends, strict=False):
+            yield _repeated(table.slice(i, j - i), length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        held: pa.Table | None = None
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= BUFFER:
-                table = pa.Table.from_batches(held)
-                gram = table.column("gram").to_numpy()
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows:
+                gram = held.column("gram").to_numpy()
                 cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
                 if cut:
-                    yield _repeated(table.slice(0, cut), length)
-                    held = table.slice(cut).combine_chunks().to_batches()
-                    size = sum(b.nbytes for b in held)
-        if held:
-            yield _repeated(pa.Table.from_batches(held), length)
+                    yield from pieces(held.slice(0, cut))
+                    held = held.slice(cut).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from pieces(held)
 
     dealt = contexts.repartition(parts(contexts.sparkSession), "gram").sortWithinPartitions("gram")
     return dealt.mapInArrow(run, _SPAN)
