@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import Scratch, parts, settle
+from netquarry.llm.common import Scratch, parts, settle, small
 
 LENGTH = 400
 GRAM = 96
@@ -111,7 +111,7 @@ def samples(data: np.ndarray, length: int, gram: int) -> tuple:
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             contexts: list[bytes] = []
             for key, text_hash, data in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
@@ -135,7 +135,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in small(batches):
             data = pa.array([squeeze.compress(x.as_py()) for x in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data, batch.column(3)], ["_id", "_text", "packed", "id"])
 
@@ -152,7 +152,7 @@ def _contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     lists = wanted.groupBy("_id", "_text").agg(F.collect_list(F.struct("gram", "want", "first", "last", "p")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(7)]
             for key, text_hash, packed, runs in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3), strict=True):
                 data = _unpack(packed)
@@ -269,7 +269,7 @@ def _counted(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """The same, string by string: for grams with very many contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             gram, ahead = batch.column(0).to_numpy(), batch.column(5).to_numpy()
             data, row, start, at = _windows(batch.column(6), length)
             columns = [batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (1, 2, 3)]
@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lists = settle(spans.groupBy("_id", "_text").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n_bytes, merged, kept = [], [], []
             for packed, spans in zip(batch.column(2), batch.column(4), strict=True):
                 text = _unpack(packed)
