@@ -304,7 +304,8 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, scratch: Scratch) ->
     spans = whole.unionByName(_compared(_contexts(left.where(F.col("contexts") <= HOT), docs, length), length))
     hot = left.where(F.col("contexts") > HOT)
     if not hot.isEmpty():
-        spans = spans.unionByName(_counted(_contexts(hot, docs, length), length, scratch))
+        # Written first, so that a task needs one Python worker at a time.
+        spans = spans.unionByName(_counted(scratch.keep(_contexts(hot, docs, length)), length, scratch))
     spans = scratch.keep(spans)
     scratch.drop(labelled)
     return spans
