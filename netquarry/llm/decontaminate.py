@@ -6,11 +6,12 @@ with shingles ordered by rarity over all documents the necessary prefix is each
 joined on these, a candidate must leave room for the window's words before and after the shingle (position and
 length bounds), and then the words are compared one by one over the whole window.
 
-Windows are taken in blocks of about `BLOCK` windows: each block's index is built on the driver and broadcast by itself,
-and the documents pass all blocks in one go without a shuffle. All blocks' broadcasts are held together, so memory grows
-with the benchmark.
+Windows are taken in blocks of about `BLOCK` windows, so memory doesn't grow with the benchmark: a block's index is
+built on the driver and broadcast, the documents pass it without a shuffle, and where there are several blocks what is
+found is written and the broadcast destroyed before the next block. A benchmark of one block needs one pass.
 
-Null and wordless texts hold nothing; null, wordless and repeated benchmark items are allowed. Repeated document
+Null and wordless texts hold nothing; null, wordless and repeated benchmark items are allowed. Items without an
+identifier can't be named in a result and are left out of the benchmark. Repeated document
 rows are judged one by one. Other columns, whatever their names, are not looked at.
 """
 
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import words_of
+from netquarry.llm.common import Scratch, settle, words_of
 
-BLOCK = 200_000
+BLOCK = 50_000
 SIZE = 10
 
 
@@ -112,51 +113,89 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SIZE, item_id: str = "item_id", item_text: str = "text") -> list:
-    """Broadcast indexes of the benchmark's blocks of windows."""
-    made = windows(benchmark, size, item_id, item_text)
+def _indexes(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str, size: int = SIZE, item_id: str = "item_id", item_text: str = "text"):
+    """(broadcast index of a block of windows, whether it is the only one), one after the other."""
+    made = scratch.keep(windows(benchmark, size, item_id, item_text))
     blocks = -(-made.count() // BLOCK)
-    out = []
     for k in range(blocks):
         rows = made.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()
         shingles = {s for r in rows for s in _shingles(bytes(r.window).split(b" "))}
-        frequency = _document_frequency(docs, text_col, shingles)
-        out.append(docs.sparkSession.sparkContext.broadcast(_index(rows, frequency)))
-    return out
+        yield docs.sparkSession.sparkContext.broadcast(_index(rows, _document_frequency(docs, text_col, shingles))), blocks == 1
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: id, n_words, spans (merged, in words, end exclusive), items (sorted)."""
-    found = indexes(docs, benchmark, text_col, **options)
+_FOUND = "n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
+
+
+def _scanned(rows: DataFrame, index, found_only: bool) -> DataFrame:
+    """rows (..., text), the text replaced by n_words, spans and items; only rows with spans if found_only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, items = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(batch.num_columns - 1):
                 words = words_of(text.as_py())
-                parts = [scan(words, b.value) for b in found]
+                found = scan(words, index.value) if index else ([], ())
                 n_words.append(len(words))
-                spans.append([{"begin": a, "end": b} for a, b in _merged([s for p in parts for s in p[0]])])
-                items.append(sorted(set().union(*[p[1] for p in parts])))
+                spans.append([{"begin": a, "end": b} for a, b in _merged(found[0])])
+                items.append(sorted(found[1]))
             span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))],
-                ["id", "n_words", "spans", "items"],
-            )
+            made = [pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "n_words", "spans", "items"])
+            yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if found_only else out
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(run, kinds + _FOUND)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: id, n_words, spans (merged, in words, end exclusive), items (sorted)."""
+    with Scratch(docs.sparkSession) as scratch:
+        found = []
+        # A row is told from others by hashes of identifier and text; rows of equal text have equal hits anyway.
+        keys = [F.xxhash64(id_col).alias("_row"), F.xxhash64(F.lit(1), text_col).alias("_text")]
+        for index, only in _indexes(docs, benchmark, scratch, text_col, **options):
+            if only:
+                return _scanned(docs.select(id_col, text_col), index, False)
+            found.append(scratch.keep(_scanned(docs.select(*keys, text_col), index, True)))
+            index.destroy()
+        if not found:
+            return _scanned(docs.select(id_col, text_col), None, False)
+        all_found = found[0]
+        for more in found[1:]:
+            all_found = all_found.unionByName(more)
+        sums = all_found.groupBy("_row", "_text").agg(F.collect_set("spans").alias("_spans"), F.collect_set("items").alias("_items"))
+        sums = settle(sums)
+    rows = _scanned(docs.select(id_col, *keys, text_col), None, False).drop("spans", "items").join(sums, ["_row", "_text"], "left")
+    spans = F.array_sort(F.coalesce(F.flatten("_spans"), F.expr("array()")))
+    last = lambda out: F.element_at(out, -1)
+    merged = F.aggregate(
+        spans,
+        F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)"),
+        lambda out, s: F.when((F.size(out) > 0) & (s["begin"] <= F.get(out, F.size(out) - 1)["end"]),
+                              F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last(out)["begin"].alias("begin"), F.greatest(last(out)["end"], s["end"]).alias("end")))))
+        .otherwise(F.concat(out, F.array(s))),
+    )
+    items = F.array_sort(F.array_distinct(F.coalesce(F.flatten("_items"), F.expr("array()"))))
+    return rows.select(id_col, "n_words", merged.alias("spans"), items.alias("items"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows whose text holds no benchmark window, with all their columns."""
-    found = indexes(docs, benchmark, text_col, **options)
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = (words_of(t.as_py()) for t in batch.column(at))
-            yield batch.filter(pa.array([not any(scan(w, b.value)[0] for b in found) for w in words], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def clean(rows: DataFrame, index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not scan(words_of(t.as_py()), index.value)[0] for t in batch.column(at)], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    with Scratch(docs.sparkSession) as scratch:
+        for index, only in _indexes(docs, benchmark, scratch, text_col, **options):
+            if only:
+                return clean(docs, index)
+            before, docs = docs, scratch.keep(clean(docs, index))
+            index.destroy()
+            if id(before) in scratch.paths:
+                scratch.drop(before)
+        return settle(docs) if id(docs) in scratch.paths else docs

@@ -13,6 +13,8 @@ BLOCK_TAGS = frozenset(
     "optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Raw content that may close itself; HTML gives script, style and the like no such form.
+SELF_CLOSING = ("svg", "math")
 RAW_TAGS = frozenset("script style template svg math".split())  # their content is no text of the page
 #: What a start tag ends if it is open and nothing in the second set is open above it.
 IMPLIED_END = {
@@ -115,7 +117,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag, end, attributes = tag.lower(), bool(m[1]), m[3] or ""
         if tag in RAW_TAGS:
-            if not end and not attributes.endswith("/"):
+            if not end and not (tag in SELF_CLOSING and attributes.endswith("/")):
                 close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
                 stop = page.find(">", close.start()) if close else -1
                 at = stop + 1 if stop >= 0 else len(page)

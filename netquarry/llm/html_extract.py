@@ -235,7 +235,7 @@ def main_text(page: str | None, field: Field) -> str:
 
 
 def extract(pages: DataFrame, field: Field, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """One row per page: id, the columns to keep, text."""
+    """One row per page: id, the columns to keep (but for the id and `text`, which is the result), text."""
     shared = pages.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +244,6 @@ def extract(pages: DataFrame, field: Field, id_col: str = "page_id", html_col: s
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*batch.schema.names[:-1], "text"])
 
-    names = [id_col, *keep]
+    names = [id_col, *(c for c in dict.fromkeys(keep) if c not in (id_col, "text"))]
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names)
     return pages.select(*names, F.col(html_col).alias("_html")).mapInArrow(run, f"{kinds}, text string")

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from netquarry.llm.common import parts, ranked, settle
 
 BROADCAST_ROWS = 200_000
-PATTERNS, MOST = 60_000, 10  # rows that are enumerated, and lengths that one takes before it is filled up
+COMPANY = 5  # lengths that stand for all, as many documents being between each and the next
+SPLITS = 5  # documents that share the room beside a length and its company
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -68,19 +69,25 @@ def _encoder(kind, path: str):
 
 
 def patterns(lengths: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
-    """PATTERNS rows of few lengths (padded with 0) that leave little room in a sequence.
+    """Rows of up to 3 + SPLITS lengths (padded with 0) that leave little room in a sequence.
 
-    A row takes lengths as the histogram has them, from a fixed sequence of numbers, while they fit (at most MOST), and
-    then twice the longest that fits. So every length is in many rows and in different company; pairs of a length and
-    the longest that fits beside it are there for every length."""
+    Each length is enumerated alone, beside each of COMPANY lengths that stand for all documents (quantiles), and beside
+    each two of them, as far as they fit. The room that is left is shared by 1, 2, ... SPLITS documents: each takes the
+    longest length within an equal share of it, and the last one the longest that still fits."""
     share = np.cumsum(counts) / counts.sum()
-    with_0 = np.concatenate([[0], lengths])
-    drawn = lengths[np.minimum(len(lengths) - 1, np.searchsorted(share, np.random.default_rng(1).random((PATTERNS, MOST))))]
-    rows = np.concatenate([np.where(np.cumsum(drawn, axis=1) <= width, drawn, 0), np.pad(lengths[:, None], ((0, 0), (0, MOST - 1)))])
+    few = np.unique(lengths[np.searchsorted(share, (np.arange(COMPANY) + 0.5) / COMPANY)])
+    company = [(0, 0), *((0, x) for x in few), *((x, y) for x in few for y in few if x <= y)]
+    rows = np.column_stack([np.repeat(lengths, len(company)), np.tile(np.array(company), (len(lengths), 1))])
     room = width - rows.sum(axis=1)
-    next_ = with_0[np.searchsorted(lengths, room, side="right")]
-    last = with_0[np.searchsorted(lengths, room - next_, side="right")]
-    return np.unique(-np.sort(-np.column_stack([rows, next_, last]), axis=1), axis=0)
+    rows, room = rows[room >= 0], room[room >= 0]
+    with_0 = np.concatenate([[0], lengths])
+    out = []
+    for n in range(1, SPLITS + 1):
+        each = with_0[np.searchsorted(lengths, room // n, side="right")]
+        last = with_0[np.searchsorted(lengths, room - each * (n - 1), side="right")]
+        equal = np.where(np.arange(SPLITS - 1) < n - 1, each[:, None], 0)
+        out.append(np.column_stack([rows, equal, last]))
+    return np.unique(-np.sort(-np.concatenate(out), axis=1), axis=0)
 
 
 def fit(shapes: np.ndarray, counts: np.ndarray, steps: int = 200) -> np.ndarray:

@@ -40,7 +40,7 @@ from netquarry.llm.common import Scratch, parts, settle, small
 LENGTH = 400
 GRAM = 96
 PART = 1 << 22
-HOT = 400  # contexts of a gram that are compared in one task
+HOT = 256  # contexts of a gram that are compared in one task
 BUFFER = 1 << 20  # bytes of contexts that are compared at a time
 _U = np.uint64
 class _Sums:

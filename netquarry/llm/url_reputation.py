@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.llm.common import settle
+
 LIMIT = 0.5
 CERTAINTY_Z = 1.2816  # one-sided 90 %
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 200.0
@@ -87,13 +89,13 @@ def reputations(pages: DataFrame) -> DataFrame:
     domain, suffix = levels(F.col("host"))
     bad = F.when(F.col("outcome") == 0, 1).when(F.col("outcome").isNotNull(), 0)
     hosts = pages.groupBy("host").agg(F.coalesce(F.sum(bad), F.lit(0)).alias("bad"), F.count(bad).alias("n"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    hosts = settle(hosts.withColumn("domain", domain).withColumn("suffix", suffix))  # one row per host, read by three levels
     sums = [F.sum("bad").alias("bad"), F.sum("n").alias("n")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("all", F.lit(1))
     top = suffixes.groupBy("all").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("p"))
     suffixes = _shrunk(suffixes, top, "all").select("suffix", "p")
-    domains = _shrunk(domains, suffixes, "suffix").select("domain", "p")
+    domains = settle(_shrunk(settle(domains), settle(suffixes), "suffix").select("domain", "p"))
     found = _shrunk(hosts, domains, "domain")
     sd = F.sqrt(1 / F.col("a") + 1 / F.col("b"))
     lower = 1 / (1 + F.exp(-(F.log(F.col("a") / F.col("b")) - CERTAINTY_Z * sd)))

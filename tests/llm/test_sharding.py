@@ -40,6 +40,15 @@ def test_a_group_above_a_shards_share_stays_whole(spark):
     assert max(rest) - min(rest) < 60
 
 
+def test_many_small_buckets_and_levels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "IN_BUCKET", 50)
+    monkeypatch.setattr(sharding, "MOST_LOTS", 40)
+    r = random.Random(2)
+    rows = [(i, "é" * r.randint(0, 300) + str(i), "x", "y") for i in range(3000)] + [(9000, "long " * 20_000, "x", "y")]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA), 5).collect()
+    _check(rows, got, 5, sum(g.size for g in got) / 5 * 0.2)
+
+
 def test_few_rows_and_none(spark):
     got = sharding.shard(spark.createDataFrame([(1, "a", "x", "y")], SCHEMA), 40).collect()
     assert len(got) == 1 and got[0].slot == 0
