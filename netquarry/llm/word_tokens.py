@@ -25,7 +25,7 @@ def _cls(first: str) -> str:
 _NOT_PLAIN = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_cls('L')}]+|[{_cls('N')}]|[^\s{_cls('L')}{_cls('N')}]+")
 _NONE = 1 << 62
-_MOST = 500_000  # entries that each cache holds before it starts anew
+_MOST = 200_000  # entries that each cache holds before it starts anew
 
 
 def _byte_letters() -> dict[int, str]:
