@@ -19,23 +19,33 @@ from netquarry.llm.queries import END_ID, PACK_WIDTH, word_tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below the threshold. Null, empty and very long texts are scored like any other; repeated rows get equal
+    scores; an empty table stays empty, and without labels of both kinds no row is dropped by more than the labels' share."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
     return toxicity.keep_below(docs, toxicity.train(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each normalised text, the one of the least identifier (null last). Null counts as empty, so one of all null
+    and empty texts stays; of rows that share text and identifier one stays."""
     return keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of one document of each class of near copies. Texts without words and rows without an identifier all stay;
+    rows that share the identifier that stays all stay."""
     return keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a benchmark window. Null and wordless texts hold none; repeated rows are judged alike; an empty
+    benchmark drops nothing."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences. Null and empty texts are one end token; repeated rows are packed as often as they
+    come; longer texts than a sequence are cut; an empty table gives no piece."""
     return pack(tokenize(docs, word_tokenizer_path(), PACK_WIDTH, END_ID), PACK_WIDTH)
 
 
