@@ -327,7 +327,8 @@ def _unlinked(roots: DataFrame, shared: DataFrame, stars: DataFrame, texts: Data
     many = labelled.where(F.col("cross") > SPLIT).select("id", "root").distinct()
     rare = None
     if not many.isEmpty():
-        places = scratch.keep(_prefixes(many.join(texts, "id"), common))
+        # A shuffle even for few rows: without it a task packs texts and unpacks them in two Python workers at once.
+        places = scratch.keep(_prefixes(many.hint("merge").join(texts, "id"), common))
         met = _between(places.where("value is not null").drop("bits"), scratch)
         rare = scratch.keep(met.join(places.where("value is null").groupBy("id").agg(F.first("bits").alias("bits")), "id"))
         scratch.drop(places, met)
