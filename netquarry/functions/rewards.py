@@ -36,18 +36,25 @@ def value_of(expression: str) -> Fraction | None:
         return None
 
 
+def countdown_equation(solution: Column) -> Column:
+    """The last answer in what follows the assistant's mark, if there is one; null without an answer."""
+    after = lambda mark: F.substring(solution, F.instr(solution, mark) + len(mark), F.length(solution))
+    marks = ("Assistant:", "<|im_start|>assistant")
+    said = F.when(F.contains(solution, F.lit(marks[0])), after(marks[0])).when(F.contains(solution, F.lit(marks[1])), after(marks[1])).otherwise(solution)
+    found = F.regexp_extract_all(said, F.lit(r"<answer>(.*?)</answer>"), 1)
+    return F.when(F.size(found) > 0, F.trim(F.element_at(found, -1)))
+
+
 @F.pandas_udf(T.DoubleType())
 def countdown_reward(equation: pd.Series, numbers: pd.Series, target: pd.Series) -> pd.Series:
-    """1 if the equation uses each number once and gives the target, 0.1 if it is an equation, else 0."""
+    """1 if the equation uses each number once and gives the target, 0.1 for any other equation, 0 for none."""
 
     def one(text, nums, goal):
         if text is None or nums is None or goal is None:
             return 0.0
-        left = text.split("=")[0]
-        if value_of(left) is None:
-            return 0.0
-        used = sorted(int(x) for x in re.findall(r"\d+", left))
-        return 1.0 if used == sorted(int(x) for x in nums) and value_of(left) == goal else 0.1
+        used = sorted(int(x) for x in re.findall(r"\d+", text))
+        value = value_of(text) if used == sorted(int(x) for x in nums) else None
+        return 1.0 if value is not None and abs(value - int(goal)) < Fraction(1, 10**5) else 0.1
 
     return pd.Series([one(*x) for x in zip(equation, numbers, target, strict=True)])
 
@@ -81,3 +88,39 @@ def reward(prediction: Column, gold: Column) -> Column:
     sums = (math_normal(prediction) == math_normal(gold)).cast("double")
     score = F.when(kind.isin("yesno", "bool"), equal).when(kind.isin("number", "fraction", "math"), sums).otherwise(token_f1(p, g))
     return F.struct(kind.alias("kind"), score.alias("reward"), (score >= F.when(kind == "text", RIGHT_AT).otherwise(1.0)).alias("right"))
+
+
+def _interval_score(s: Column, e: Column, ts: Column, te: Column, labels: Column, partly: float, more: float) -> Column:
+    """Score of [s, e] against [ts, te]: equal, before, behind, covering, inside, or partly over it by more + partly * IoU.
+
+    Places outside that a covering interval takes along cost 0.2 where their label is 1, else 1."""
+    outside = F.aggregate(
+        F.sequence(s, F.greatest(s, e)), F.lit(0.0),
+        lambda sum_, i: sum_ + F.when((i >= ts) & (i <= te), 0.0).when(F.get(labels, F.when(i > 0, i - 1).otherwise(-1).cast("int")) == 1, 0.2).otherwise(1.0),
+    )
+    iou = (F.least(e, te) - F.greatest(s, ts) + 1) / (F.greatest(e, te) - F.least(s, ts) + 1)
+    return (
+        F.when((s == ts) & (e == te), 1.0)
+        .when(e < ts, -0.5 + 0.4 * F.exp(-0.2 * (ts - e)))
+        .when(s > te, -0.9 + 0.4 * F.exp(-0.2 * (s - te)))
+        .when((s <= ts) & (e >= te), 0.5 + 0.4 * F.exp(-0.2 * outside))
+        .when((s >= ts) & (e <= te), 0.1 + 0.4 * F.exp(-0.3 * ((s - ts) + 0.2 * (te - e))))
+        .otherwise(more + partly * iou)
+    )
+
+
+def interval_reward(suspicious: Column, start: Column, duration: Column, true_start: Column, true_end: Column, labels: Column) -> Column:
+    """Reward of a report (attack or not, first flow, number of flows). Normal traffic: 1 if it says so, else -1. A missed
+    attack and a report without valid places earn -1."""
+    said = F.coalesce(suspicious, F.lit(False))
+    score = _interval_score(start, start + duration - 1, true_start, true_end, labels, 0.8, 0.0)
+    valid = F.coalesce((start >= 1) & (duration >= 1), F.lit(False))
+    normal = F.when(suspicious.isNotNull() & ~said, 1.0).otherwise(-1.0)
+    return F.when(true_start.isNull(), normal).when(~said | ~valid, -1.0).otherwise(score)
+
+
+def interval_reward_by_end(start: Column, end: Column, true_start: Column, true_end: Column, labels: Column) -> Column:
+    """The older reward, of a report by first and last flow; no report is right for normal traffic."""
+    score = _interval_score(start, end, true_start, true_end, labels, 0.2, -0.1)
+    missing = F.when(true_start.isNull(), 1.0).otherwise(-1.0)
+    return F.when(start.isNull() | end.isNull(), missing).when((start > end) | (start < 1) | true_start.isNull(), -1.0).otherwise(score)

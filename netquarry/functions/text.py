@@ -16,16 +16,27 @@ def strip_think(text: Column) -> Column:
 
 
 def think_text(text: Column) -> Column:
-    """The first thought block, or the whole text if it has none; trimmed."""
-    inner = F.regexp_extract(text, r"(?s)<think>(.*?)</think>", 1)
-    return F.trim(F.when(F.contains(text, F.lit("<think>")), inner).otherwise(text))
+    """The first closed thought block, trimmed; the text as it is if it has none; nothing for null and blank texts."""
+    block = r"(?s)<think>(.*?)</think>"
+    inner = F.regexp_replace(F.regexp_extract(text, block, 1), r"^\s+|\s+$", "")
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"^\s*$"), "").when(text.rlike(block), inner).otherwise(text)
 
 
-def confidence(text: Column) -> Column:
-    """The score after 'confidence', else any decimal of 0 to 1, else -1."""
-    strict = F.regexp_extract(text, r"(?i)confidence\D{0,12}([01](?:\.\d+)?)", 1)
-    loose = F.regexp_extract(text, r"\b(0\.\d+|1\.0+)\b", 1)
-    return F.coalesce(strict.try_cast("double"), loose.try_cast("double"), F.lit(-1.0))
+#: The tag before a score, and the word that a looser search looks for.
+SCORE_TAG, SCORE_WORD = "【置信度】", "置信度"
+
+
+def confidence(text: Column, tag: str = SCORE_TAG, word: str = SCORE_WORD) -> Column:
+    """The number after the tag and a colon, else the first number after the word, else -1."""
+    number = r"([0-9]*\.?[0-9]+)"
+    strict = F.regexp_extract(text, rf"{tag}[：:]\s*{number}", 1)
+    loose = F.regexp_extract(text, rf"{word}.*?{number}", 1)
+    return F.coalesce(F.nullif(strict, F.lit("")).try_cast("double"), F.nullif(loose, F.lit("")).try_cast("double"), F.lit(-1.0))
+
+
+def byte_position(data: Column, pattern: bytes) -> Column:
+    """1-based place of the first byte where the pattern begins in binary data, 0 if it is nowhere."""
+    return F.instr(F.decode(data, "ISO-8859-1"), pattern.decode("iso-8859-1")).cast("long")
 
 
 def last_code_block(text: Column) -> Column:
@@ -97,7 +108,7 @@ def answer_kind(text: Column) -> Column:
 
 def printable(hex_text: Column) -> Column:
     """Hex as ASCII, a dot for bytes that aren't printable, ? where it is no hex."""
-    return F.coalesce(F.regexp_replace(F.expr("decode(try_to_binary({0}, 'hex'), 'ISO-8859-1')".replace("{0}", "`_hex`")), r"[^\x20-\x7e]", "."), F.lit("?"))
+    return F.coalesce(F.regexp_replace(F.decode(F.try_to_binary(hex_text, F.lit("hex")), "ISO-8859-1"), r"[^\x20-\x7e]", "."), F.lit("?"))
 
 
 @F.pandas_udf(T.StringType())

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -37,11 +39,36 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def pass_at_k(attempts: DataFrame, problem: str, order: list[str], ok: Column) -> DataFrame:
-    """Per k: share right among k-th attempts (pass@1 of round k), and share of problems with a right one in the first k."""
-    w = Window.partitionBy(problem).orderBy(*order)
-    rows = attempts.withColumn("k", F.row_number().over(w)).withColumn("_ok", ok.cast("int"))
-    rows = rows.withColumn("_any", F.max("_ok").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("_ok").alias("pass_1"), F.avg("_any").alias("pass_k"))
+    """Per k: attempts and share right among the k-th ones (pass@1 of round k), and the share of all problems that have a
+    right one among their first k, or all they have."""
+    rows = attempts.withColumn("k", F.row_number().over(Window.partitionBy(problem).orderBy(*order))).withColumn("_ok", ok.cast("int"))
+    rounds = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("_ok").alias("pass_1"))
+    firsts = rows.groupBy(problem).agg(F.coalesce(F.min(F.when(F.col("_ok") == 1, F.col("k"))), F.lit(0)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("_new"))
+    # One row for each number of attempts that any problem has.
+    both = rounds.join(firsts, "k", "full")
+    upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    solved = F.sum(F.when(F.col("k") > 0, F.coalesce("_new", F.lit(0))).otherwise(0)).over(upto)
+    every = F.sum(F.coalesce("_new", F.lit(0))).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return both.withColumn("pass_k", solved / every).where("n is not null").select("k", "n", "pass_1", "pass_k")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _discounted(rewards: pd.Series, gamma: pd.Series) -> pd.Series:
+    def one(values, g):
+        out, total = [0.0] * len(values), 0.0
+        for i in range(len(values) - 1, -1, -1):
+            out[i] = total = float(values[i]) + g * total
+        return out
+
+    return pd.Series([one(v, g) for v, g in zip(rewards, gamma, strict=True)])
+
+
+def discounted_return(steps: DataFrame, trajectory: str, order: str, reward: str, gamma: float) -> DataFrame:
+    """(trajectory, order, ret): discounted sum of the rewards from each step on, folded from a trajectory's last step, so
+    that it holds for trajectories of any length."""
+    runs = steps.groupBy(trajectory).agg(F.array_sort(F.collect_list(F.struct(order, F.coalesce(reward, F.lit(0.0)).cast("double").alias("r")))).alias("s"))
+    made = runs.withColumn("g", _discounted(F.col("s.r"), F.lit(gamma)))
+    return made.select(trajectory, F.explode(F.arrays_zip(F.col(f"s.{order}").alias(order), F.col("g").alias("ret"))).alias("x")).select(trajectory, f"x.{order}", "x.ret")
 
 
 def group_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:
@@ -55,7 +82,7 @@ def group_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:
 def varied_groups(df: DataFrame, group: str, reward: str) -> DataFrame:
     """Rows of groups whose rewards differ; if there are none, those of the first group."""
     stats = df.groupBy(group).agg(F.min(reward).alias("_lo"), F.max(reward).alias("_hi"))
-    all_ = stats.groupBy().agg(F.max((F.col("_hi") > F.col("_lo")).cast("int")).alias("_some"), F.min(group).alias("_first"))
-    some = all_.first()
-    keep = stats.where("_hi > _lo") if some and some["_some"] else stats.where(F.col(group).eqNullSafe(some["_first"] if some else None))
+    all_ = stats.groupBy().agg(F.max((F.col("_hi") > F.col("_lo")).cast("int")).alias("_some"), F.min(group).alias("_first")).withColumn("_one", F.lit(1))
+    judged = stats.withColumn("_one", F.lit(1)).join(F.broadcast(all_), "_one")  # a single row
+    keep = judged.where(F.when(F.col("_some") == 1, F.col("_hi") > F.col("_lo")).otherwise(F.col(group) == F.col("_first")))
     return df.join(keep.select(group), group, "left_semi")

@@ -42,12 +42,14 @@ def batch_profile(flows: DataFrame, by: str, measures: list[str], ports: list[st
 
 
 def heartbeat(packets: DataFrame, by: str, second: Column, most: int = 10) -> DataFrame:
-    """Per flow the commonest gap between seconds with 1 to `most` packets: at least 5 s and seen twice."""
+    """Flows with a period: the commonest gap between seconds of 1 to `most` packets, of equal ones the first, if there are
+    at least three such seconds and the gap is 5 s or more and seen twice."""
     seconds = packets.groupBy(by, second.alias("s")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
     gaps = seconds.withColumn("gap", F.col("s") - F.lag("s").over(Window.partitionBy(by).orderBy("s")))
-    counts = gaps.where("gap >= 5").groupBy(by, "gap").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    best = F.max_by("gap", F.struct("n", -F.col("gap")))
-    return counts.groupBy(by).agg(best.alias("period"), F.max("n").alias("times"))
+    counts = gaps.where("gap is not null").groupBy(by, "gap").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("first"))
+    best = F.max_by("gap", F.struct("n", -F.col("first")))
+    found = counts.groupBy(by).agg(best.alias("period"), F.max("n").alias("times"))
+    return found.where("period >= 5 and times >= 2")  # two gaps are three seconds
 
 
 def size_buckets(packets: DataFrame, size: Column, edges: list[int] = SIZE_EDGES) -> DataFrame:
@@ -69,18 +71,19 @@ def endpoints(packets: DataFrame, src: str, dst: str, size: str) -> DataFrame:
 def verdict(evidence: DataFrame, case: str, skill: str, step: str) -> DataFrame:
     """The skill that the evidence of each case speaks for, with a confidence.
 
-    Steps after a hard hit, or after a failed step that aborts, don't count. A hard hit wins; else the skill with the
-    highest passes + 3 * specific passes + 0.5 * pass rate, at a confidence of 0.8 * rate. Attack above 0.5."""
+    Steps after a hard hit (hard and passed), or after a failed step that aborts, don't count. The skill with most hard
+    hits wins; else the one with the highest passes + 3 * specific passes + 0.5 * pass rate, at a confidence of
+    0.8 * rate. Of equal skills the one whose evidence comes first wins. Attack above 0.5."""
     before = Window.partitionBy(case, skill).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    stop = F.max((F.col("hard") | (~F.col("passed") & F.col("aborts"))).cast("int")).over(before)
+    stop = F.max(((F.col("hard") & F.col("passed")) | (~F.col("passed") & F.col("aborts"))).cast("int")).over(before)
     rows = evidence.withColumn("_stop", F.coalesce(stop, F.lit(0))).where("_stop = 0")
     per = rows.groupBy(case, skill).agg(
-        F.count_if("passed").alias("n_pass"), F.count(F.lit(1)).alias("n"), F.max("hard").alias("hard"),
+        F.count_if("passed").alias("n_pass"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("hard") & F.col("passed")).alias("n_hard"), F.min(step).alias("_first"),
         F.count_if(F.col("passed") & F.col("specific")).alias("n_specific"),
     )
     rate = F.col("n_pass") / F.col("n")
-    per = per.withColumn("score", F.when(F.col("hard"), 1000.0).otherwise(F.col("n_pass") + 3 * F.col("n_specific") + 0.5 * rate))
-    per = per.withColumn("confidence", F.when(F.col("hard"), 1.0).otherwise(0.8 * rate))
-    w = Window.partitionBy(case).orderBy(F.desc(F.round("score", 6)), skill)
+    per = per.withColumn("score", F.when(F.col("n_hard") > 0, 1e9 * F.col("n_hard")).otherwise(F.col("n_pass") + 3 * F.col("n_specific") + 0.5 * rate))
+    per = per.withColumn("confidence", F.when(F.col("n_hard") > 0, 1.0).otherwise(0.8 * rate))
+    w = Window.partitionBy(case).orderBy(F.desc(F.round("score", 6)), "_first", skill)
     best = per.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return best.select(case, skill, "n_pass", "confidence", (F.col("confidence") > 0.5).alias("attack"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netquarry.functions import text
 from netquarry.operators import packets
 
 Tool = Callable[[DataFrame, dict], DataFrame]
@@ -62,10 +63,9 @@ def size_buckets(rows: DataFrame, params: dict) -> DataFrame:
 
 @tool
 def byte_pattern(rows: DataFrame, params: dict) -> DataFrame:
-    """Rows whose payload holds a hex pattern on a byte border."""
-    at = F.instr(F.lower("payload_hex"), params["pattern"].lower())
-    hit = F.col("payload_hex").rlike(f"(?i)^(?:..)*?{params['pattern']}")
-    return _filtered(rows, {k: v for k, v in params.items() if k != "pattern"}).where(hit).withColumn("at", at)
+    """Rows whose payload holds a hex pattern on a byte border, and the byte where it begins, from 1."""
+    at = text.byte_position(F.try_to_binary("payload_hex", F.lit("hex")), bytes.fromhex(params["pattern"]))
+    return _filtered(rows, {k: v for k, v in params.items() if k != "pattern"}).withColumn("at", at).where("at > 0")
 
 
 @tool

@@ -10,16 +10,20 @@ from netquarry.plans.registry import register, table
 
 
 @register("countdown_reward", """
-SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 = 3 THEN 0.0 WHEN o_orderkey % 4 = 0 THEN 1.0 ELSE 0.1 END AS DOUBLE) AS reward FROM orders""")
+WITH x AS (SELECT o_orderkey, o_orderkey % 8 AS k, o_custkey % 9 + 2 AS a, o_orderkey % 7 + 11 AS b FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN k IN (0, 4) THEN 1.0 WHEN k = 3 THEN 0.0 WHEN k = 5 AND b - a = a + b THEN 1.0 WHEN k = 6 AND (a + b) % 1 = 0 AND a * b = a + b THEN 1.0 ELSE 0.1 END AS DOUBLE) AS reward FROM x""")
 def countdown_reward(spark, sf):
-    """Equations that must use each number once and give the target."""
-    k = F.col("o_orderkey") % 4
+    """Answers that must use each number once and give the target: right, too few or repeated numbers, a wrong result, no
+    arithmetic, no answer (F23)."""
+    k = F.col("o_orderkey") % 8
     a, b = (F.col("o_custkey") % 9 + 2).cast("string"), (F.col("o_orderkey") % 7 + 11).cast("string")
-    made = F.when(k == 0, F.concat(F.lit("("), a, F.lit(" + "), b, F.lit(") * 1 = ?"))).when(k == 1, F.concat(a, F.lit(" + "), b))
-    made = made.when(k == 2, F.concat(a, F.lit(" - "), b, F.lit(" * 1"))).otherwise("import os")
+    tagged = lambda *x: F.concat(F.lit("so <answer> "), *[F.lit(y) if isinstance(y, str) else y for y in x], F.lit(" </answer>"))
+    made = F.when(k == 0, tagged("(", a, " + ", b, ") * 1")).when(k == 1, tagged(a, " + ", b)).when(k == 2, tagged(a, " + ", b, " + 1 - 1"))
+    made = made.when(k == 3, F.concat(a, F.lit(" + "), b)).when(k == 4, F.concat(F.lit("<answer>1</answer> Assistant: "), tagged("0"), tagged(a, " / 1 + ", b)))
+    made = made.when(k == 5, tagged(b, " - ", a, " * 1")).when(k == 6, tagged(a, " * (", b, " / 1)")).otherwise(tagged("import ", a, b, " 1"))
     nums = F.array(a.cast("long"), b.cast("long"), F.lit(1).cast("long"))
     goal = a.cast("long") + b.cast("long")
-    return table(spark, sf, "orders").select("o_orderkey", rewards.countdown_reward(made, nums, goal).alias("reward"))
+    return table(spark, sf, "orders").select("o_orderkey", rewards.countdown_reward(rewards.countdown_equation(made), nums, goal).alias("reward"))
 
 
 @register("answer_cascade", """
@@ -50,16 +54,8 @@ def reward_dispatch(spark, sf):
 
 @register("conversation_text", """
 SELECT user_id AS host, string_agg(CASE event_type WHEN 'error' THEN '<- ' ELSE '-> ' END || strftime(ts, '%H:%M:%S.%g') || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS txt
-FROM events WHERE user_id < 20 GROUP BY 1""")
-def conversation_text(spark, sf):
-    """Packets of the first twenty hosts as text with arrows and times; conversation_text_whole has all."""
-    return _conversations(table(spark, sf, "events").where("user_id < 20"))
-
-
-@register("conversation_text_whole", """
-SELECT user_id AS host, string_agg(CASE event_type WHEN 'error' THEN '<- ' ELSE '-> ' END || strftime(ts, '%H:%M:%S.%g') || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS txt
 FROM events GROUP BY 1""")
-def conversation_text_whole(spark, sf):
+def conversation_text(spark, sf):
     """A flow's packets as text with arrows and times."""
     return _conversations(table(spark, sf, "events"))
 
@@ -135,18 +131,9 @@ def context_lookup(spark, sf):
 
 
 @register("knowledge_pick", """
-WITH e AS (SELECT l_orderkey AS kb, l_partkey AS uid, l_linenumber AS pos FROM lineitem WHERE l_suppkey < 20),
-f AS (SELECT kb, uid, min(pos) AS pos FROM e GROUP BY 1, 2)
-SELECT kb, count(*) AS n, string_agg(CAST(uid AS VARCHAR), ',' ORDER BY pos, uid) AS uids FROM f GROUP BY 1""")
-def knowledge_pick(spark, sf):
-    """Nested elements of some documents, distinct in order of first appearance; knowledge_pick_whole has all."""
-    return _picked(table(spark, sf, "lineitem").where("l_suppkey < 20"))
-
-
-@register("knowledge_pick_whole", """
 WITH f AS (SELECT l_orderkey AS kb, l_partkey AS uid, min(l_linenumber) AS pos FROM lineitem GROUP BY 1, 2)
 SELECT kb, count(*) AS n, string_agg(CAST(uid AS VARCHAR), ',' ORDER BY pos, uid) AS uids FROM f GROUP BY 1""")
-def knowledge_pick_whole(spark, sf):
+def knowledge_pick(spark, sf):
     """Nested elements of documents, distinct in order of first appearance."""
     return _picked(table(spark, sf, "lineitem"))
 
@@ -157,8 +144,12 @@ def _picked(lines):
     return got.select("kb", "n", F.array_join(F.transform("x", lambda p: p["uid"].cast("string")), ",").alias("uids"))
 
 
-@register("thought_blocks", "SELECT conv_id, turn, 'idea ' || turn AS thought, role AS response FROM conversations")
+@register("thought_blocks", r"""
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'idea ' || turn WHEN 1 THEN '<think> open ' || text WHEN 2 THEN CASE WHEN regexp_full_match(text, '\s*') THEN '' ELSE text END ELSE '' END AS thought,
+  CASE turn % 4 WHEN 0 THEN role WHEN 1 THEN trim(regexp_replace('<think> open ' || text, '\s+', ' ', 'g')) WHEN 2 THEN trim(regexp_replace(text, '\s+', ' ', 'g')) ELSE '' END AS response FROM conversations""")
 def thought_blocks(spark, sf):
-    """Thought and response apart."""
-    s = F.concat(F.lit("<think> idea "), F.col("turn").cast("string"), F.lit(" </think>\n "), F.col("role"))
+    """Thought and response apart: a closed block, an open one, none, and a blank text."""
+    k = F.col("turn") % 4
+    s = F.when(k == 0, F.concat(F.lit("<think> idea "), F.col("turn").cast("string"), F.lit(" </think>\n "), F.col("role")))
+    s = s.when(k == 1, F.concat(F.lit("<think> open "), F.col("text"))).when(k == 2, F.col("text")).otherwise(" \n")
     return table(spark, sf, "conversations").select("conv_id", "turn", text.think_text(s).alias("thought"), text.strip_think(s).alias("response"))

@@ -260,19 +260,9 @@ def anchor_match(spark, sf):
 
 
 @register("fragment_recovery", f"""
-WITH c AS (SELECT * FROM {_E} WHERE uid % 5 = 0)
-SELECT c.uid AS anchor_uid, f.uid AS uid FROM c JOIN {_E} f ON c.host = f.host AND c.kind = f.kind AND f.uid <> c.uid
-AND f.ts BETWEEN c.ts - 3600 AND c.ts + 7200 WHERE c.bytes > 10""")
-def fragment_recovery(spark, sf):
-    """Other flows with the same keys in an interval round every fifth anchor; fragment_recovery_whole has all."""
-    e = _events(spark, sf)
-    return _fragments(e.where("uid % 5 = 0 and bytes > 10"), e)
-
-
-@register("fragment_recovery_whole", f"""
 SELECT c.uid AS anchor_uid, f.uid AS uid FROM {_E} c JOIN {_E} f ON c.host = f.host AND c.kind = f.kind AND f.uid <> c.uid
 AND f.ts BETWEEN c.ts - 3600 AND c.ts + 7200 WHERE c.bytes > 10""")
-def fragment_recovery_whole(spark, sf):
+def fragment_recovery(spark, sf):
     """Other flows with the same keys in an interval round an anchor, which has more than 10 bytes."""
     e = _events(spark, sf)
     return _fragments(e.where("bytes > 10"), e)
@@ -496,18 +486,17 @@ def first_packets(spark, sf):
 
 
 @register("packet_tokens", f"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, uid) - 1 AS j, ts - min(ts) OVER (PARTITION BY host) AS since,
-                  ts - lag(ts) OVER (PARTITION BY host ORDER BY ts, uid) AS delta FROM {_E})
-SELECT uid, host, j, round(since, 3) AS since, CASE WHEN j = 0 THEN 0 WHEN delta <= 3600 THEN least(2 * j + 1, 199) ELSE least(2 * j, 199) END AS time_token,
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, uid) - 1 AS j, ts - min(ts) OVER (PARTITION BY host) AS since FROM {_E})
+SELECT uid, host, j, round(since, 3) AS since, CASE WHEN j = 0 THEN 0 WHEN since <= 0.01 THEN least(2 * j + 1, 199) ELSE least(2 * j, 199) END AS time_token,
        least(CAST(trunc(bytes * 10) AS INT), 1499) + CASE kind WHEN 'view' THEN 0 WHEN 'click' THEN 1500 ELSE 3000 END AS size_token
 FROM r WHERE j < 100""")
 def packet_tokens(spark, sf):
-    """Position, time and size tokens of the first 100 packets of each host."""
+    """Position, time since the first packet (odd tokens up to 0.01 s) and size tokens of the first 100 packets of each host."""
     w = Window.partitionBy("host").orderBy("ts", "uid")
-    rows = _events(spark, sf).withColumn("j", F.row_number().over(w) - 1).withColumn("delta", F.col("ts") - F.lag("ts").over(w))
+    rows = _events(spark, sf).withColumn("j", F.row_number().over(w) - 1)
     rows = rows.withColumn("since", F.col("ts") - F.min("ts").over(Window.partitionBy("host"))).where("j < 100")
     j = F.col("j")
-    time = F.when(j == 0, 0).when(F.col("delta") <= 3600, F.least(2 * j + 1, F.lit(199))).otherwise(F.least(2 * j, F.lit(199)))
+    time = F.when(j == 0, 0).when(F.col("since") <= 0.01, F.least(2 * j + 1, F.lit(199))).otherwise(F.least(2 * j, F.lit(199)))
     offset = F.when(F.col("kind") == "view", 0).when(F.col("kind") == "click", 1500).otherwise(3000)
     size = F.least((F.col("bytes") * 10).cast("int"), F.lit(1499)) + offset
     return rows.select("uid", "host", "j", F.round("since", 3).alias("since"), time.alias("time_token"), size.alias("size_token"))

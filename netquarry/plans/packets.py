@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from netquarry.functions import text
 from netquarry.operators import packets
 from netquarry.plans.registry import register, table
 
@@ -59,9 +60,10 @@ def payload_summary(spark, sf):
 
 @register("heartbeat_gap", """
 WITH s AS (SELECT user_id AS host, epoch_us(ts) // 60000000 AS s, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) <= 10),
-g AS (SELECT host, s - lag(s) OVER (PARTITION BY host ORDER BY s) AS gap FROM s),
-c AS (SELECT host, gap, count(*) AS n FROM g WHERE gap >= 5 GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT host, arg_max(gap, (n, -gap)) AS period, max(n) AS times FROM c GROUP BY 1""")
+g AS (SELECT host, s, s - lag(s) OVER (PARTITION BY host ORDER BY s) AS gap FROM s),
+c AS (SELECT host, gap, count(*) AS n, min(s) AS f FROM g WHERE gap IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT host, arg_max(gap, (n, -f)) AS period, max(n) AS times, sum(n) + 1 AS slots FROM c GROUP BY 1)
+SELECT host, period, times FROM b WHERE period >= 5 AND times >= 2 AND slots >= 3""")
 def heartbeat_gap(spark, sf):
     """The commonest gap between quiet time slots."""
     rows = table(spark, sf, "events").withColumn("host", F.col("user_id"))
@@ -142,11 +144,14 @@ def handshake_sets(spark, sf):
     )
 
 
-@register("byte_pattern", """SELECT doc_id, instr(text, 'the ') AS at, contains(hex(encode(text)), '746865') AS in_hex FROM documents WHERE contains(text, 'the ')""")
+@register("byte_pattern", """
+SELECT doc_id, instr(t, 'a t') AS at, CASE WHEN instr(t, 'a t') > 0 THEN strlen(substr(t, 1, CAST(instr(t, 'a t') AS INT) - 1)) + 1 ELSE 0 END AS byte_at, instr(t, 'a t') > 0 AS subset
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def byte_pattern(spark, sf):
     """Byte and text pattern search."""
-    rows = table(spark, sf, "documents").where(F.contains("text", F.lit("the ")))
-    return rows.select("doc_id", F.instr("text", "the ").cast("long").alias("at"), F.contains(F.hex("text"), F.lit("746865")).alias("in_hex"))
+    rows = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    byte_at = text.byte_position(F.encode("t", "UTF-8"), bytes.fromhex("612074"))
+    return rows.select("doc_id", F.instr("t", "a t").cast("long").alias("at"), byte_at.alias("byte_at"), (byte_at > 0).alias("subset"))
 
 
 _EVIDENCE = """SELECT user_id AS c, event_type AS skill, event_id AS step, event_id % 3 <> 0 AS passed, event_id % 97 = 5 AS hard, event_id % 5 = 0 AS specific, event_id % 41 = 0 AS aborts FROM events"""
@@ -154,10 +159,10 @@ _EVIDENCE = """SELECT user_id AS c, event_type AS skill, event_id AS step, event
 
 @register("verdict_score", f"""
 WITH e AS ({_EVIDENCE}),
-m AS (SELECT *, coalesce(max(CAST(hard OR (NOT passed AND aborts) AS INT)) OVER (PARTITION BY c, skill ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stop FROM e),
-p AS (SELECT c, skill, count(*) FILTER (passed) AS n_pass, count(*) AS n, bool_or(hard) AS hard, count(*) FILTER (passed AND specific) AS n_specific FROM m WHERE stop = 0 GROUP BY 1, 2),
-s AS (SELECT *, CASE WHEN hard THEN 1000.0 ELSE n_pass + 3 * n_specific + 0.5 * (n_pass / n) END AS score, CASE WHEN hard THEN 1.0 ELSE 0.8 * (n_pass / n) END AS confidence FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(score, 6) DESC, skill) AS k FROM s)
+m AS (SELECT *, coalesce(max(CAST((hard AND passed) OR (NOT passed AND aborts) AS INT)) OVER (PARTITION BY c, skill ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stop FROM e),
+p AS (SELECT c, skill, count(*) FILTER (passed) AS n_pass, count(*) AS n, count(*) FILTER (hard AND passed) AS n_hard, min(step) AS f, count(*) FILTER (passed AND specific) AS n_specific FROM m WHERE stop = 0 GROUP BY 1, 2),
+s AS (SELECT *, CASE WHEN n_hard > 0 THEN 1e9 * n_hard ELSE n_pass + 3 * n_specific + 0.5 * (n_pass / n) END AS score, CASE WHEN n_hard > 0 THEN 1.0 ELSE 0.8 * (n_pass / n) END AS confidence FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(score, 6) DESC, f, skill) AS k FROM s)
 SELECT c AS "case", skill, n_pass, round(confidence, 6) AS confidence, confidence > 0.5 AS attack FROM r WHERE k = 1""")
 def verdict_score(spark, sf):
     """Evidence masked after hard hits and aborts, scored by skill."""

@@ -15,23 +15,10 @@ def _turns(spark, sf):
 
 
 @register("think_strip", r"""
-WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think> ' || substr(text, 1, 20) || ' </think>' || substr(text, 21) WHEN 1 THEN text ELSE '<think></think>' || substr(text, 1, 9) END AS s FROM conversations)
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(s, '(?s)<think>.*?</think>', '', 'g'), '\s+', ' ', 'g')) AS answer,
-       trim(CASE WHEN contains(s, '<think>') THEN regexp_extract(s, '(?s)<think>(.*?)</think>', 1) ELSE s END) AS thought FROM t""")
-def think_strip(spark, sf):
-    """Thought blocks cut out and taken out, of beginnings for some turns; think_strip_whole has whole texts."""
-    s, n = F.col("text"), F.col("turn") % 3
-    made = F.when(n == 0, F.concat(F.lit("<think> "), F.substring(s, 1, 20), F.lit(" </think>"), F.expr("substring(text, 21)")))
-    made = made.when(n == 1, s).otherwise(F.concat(F.lit("<think></think>"), F.substring(s, 1, 9)))
-    rows = _turns(spark, sf).withColumn("s", made)
-    return rows.select("conv_id", "turn", text.strip_think(F.col("s")).alias("answer"), text.think_text(F.col("s")).alias("thought"))
-
-
-@register("think_strip_whole", r"""
 WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think> ' || text || ' </think>' || text WHEN 1 THEN text ELSE '<think></think>' || text END AS s FROM conversations)
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(s, '(?s)<think>.*?</think>', '', 'g'), '\s+', ' ', 'g')) AS answer,
-       trim(CASE WHEN contains(s, '<think>') THEN regexp_extract(s, '(?s)<think>(.*?)</think>', 1) ELSE s END) AS thought FROM t""")
-def think_strip_whole(spark, sf):
+       CASE WHEN regexp_full_match(s, '\s*') THEN '' WHEN regexp_matches(s, '(?s)<think>(.*?)</think>') THEN regexp_replace(regexp_extract(s, '(?s)<think>(.*?)</think>', 1), '^\s+|\s+$', '', 'g') ELSE s END AS thought FROM t""")
+def think_strip(spark, sf):
     """Thought blocks cut out and taken out, the whole text as thought and as answer."""
     s, n = F.col("text"), F.col("turn") % 3
     made = F.when(n == 0, F.concat(F.lit("<think> "), s, F.lit(" </think>"), s)).when(n == 1, s).otherwise(F.concat(F.lit("<think></think>"), s))
@@ -40,30 +27,22 @@ def think_strip_whole(spark, sf):
 
 
 @register("confidence_score", r"""
-WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Confidence: 0.' || (doc_id % 10) WHEN 1 THEN 'about 0.' || (doc_id % 100) || ' sure' WHEN 2 THEN 'confidence is 1' ELSE 'none' END AS s FROM documents)
-SELECT doc_id, round(coalesce(TRY_CAST(nullif(regexp_extract(s, '(?i)confidence\D{0,12}([01](?:\.\d+)?)', 1), '') AS DOUBLE),
-       TRY_CAST(nullif(regexp_extract(s, '\b(0\.\d+|1\.0+)\b', 1), '') AS DOUBLE), -1.0), 6) AS score FROM t""")
+WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'x 0.7 【置信度】：0.' || (doc_id % 10) WHEN 1 THEN '置信度 is about 0.' || (doc_id % 100) || ' sure' WHEN 2 THEN '【置信度】:  1' WHEN 3 THEN '【置信度】 .5' ELSE 'none 0.9' END AS s FROM documents)
+SELECT doc_id, round(coalesce(TRY_CAST(nullif(regexp_extract(s, '【置信度】[：:]\s*([0-9]*\.?[0-9]+)', 1), '') AS DOUBLE),
+       TRY_CAST(nullif(regexp_extract(s, '置信度.*?([0-9]*\.?[0-9]+)', 1), '') AS DOUBLE), -1.0), 6) AS score FROM t""")
 def confidence_score(spark, sf):
-    """A score in free text, with a looser pattern and a default behind it."""
-    d, n = F.col("doc_id"), F.col("doc_id") % 4
-    s = F.when(n == 0, F.concat(F.lit("Confidence: 0."), (d % 10).cast("string"))).when(n == 1, F.concat(F.lit("about 0."), (d % 100).cast("string"), F.lit(" sure")))
-    rows = table(spark, sf, "documents").withColumn("s", s.when(n == 2, "confidence is 1").otherwise("none"))
+    """A score after its tag in free text, with a looser pattern and a default behind it."""
+    d, n = F.col("doc_id"), F.col("doc_id") % 5
+    s = F.when(n == 0, F.concat(F.lit("x 0.7 【置信度】：0."), (d % 10).cast("string"))).when(n == 1, F.concat(F.lit("置信度 is about 0."), (d % 100).cast("string"), F.lit(" sure")))
+    s = s.when(n == 2, "【置信度】:  1").when(n == 3, "【置信度】 .5")
+    rows = table(spark, sf, "documents").withColumn("s", s.otherwise("none 0.9"))
     return rows.select("doc_id", F.round(text.confidence(F.col("s")), 6).alias("score"))
 
 
 @register("code_block", r"""
-WITH t AS (SELECT doc_id, 'x ```python' || chr(10) || substr(text, 1, 9) || '``` y ```' || chr(10) || 'n = ' || n_chars || '```' AS s FROM documents)
-SELECT doc_id, regexp_extract_all(s, '(?s)```(?:\w+)?\n(.*?)```', 1)[-1] AS code FROM t""")
-def code_block(spark, sf):
-    """The last fenced code block, of a short one; code_block_whole has whole texts."""
-    s = F.concat(F.lit("x ```python\n"), F.substring("text", 1, 9), F.lit("``` y ```\nn = "), F.col("n_chars").cast("string"), F.lit("```"))
-    return table(spark, sf, "documents").withColumn("s", s).select("doc_id", text.last_code_block(F.col("s")).alias("code"))
-
-
-@register("code_block_whole", r"""
 WITH t AS (SELECT doc_id, '```python' || chr(10) || 'x``` ```' || chr(10) || text || '```' AS s FROM documents)
 SELECT doc_id, regexp_extract_all(s, '(?s)```(?:\w+)?\n(.*?)```', 1)[-1] AS code FROM t""")
-def code_block_whole(spark, sf):
+def code_block(spark, sf):
     """The last fenced code block, a whole text (F8)."""
     s = F.concat(F.lit("```python\nx``` ```\n"), F.col("text"), F.lit("```"))
     return table(spark, sf, "documents").select("doc_id", text.last_code_block(s).alias("code"))
@@ -72,13 +51,6 @@ def code_block_whole(spark, sf):
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@register("answer_norm", f"SELECT item_id, {_NORM.format('text')} AS answer FROM benchmark WHERE regexp_matches(text, '^[ -~\\s]*$')")
-def answer_norm(spark, sf):
-    """Normal form of answers in ASCII; answer_norm_whole takes all."""
-    rows = table(spark, sf, "benchmark").where(F.col("text").rlike(r"^[ -~\s]*$"))
-    return rows.select("item_id", text.normal_answer(F.col("text")).alias("answer"))
-
-
 _PAIR_SQL = f"""
 SELECT d.doc_id, b.item_id, {_NORM.format("substr(d.text, 1, 80)")} AS p, {_NORM.format("substr(b.text, 1, 80)")} AS g
 FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.lang = 'en' AND regexp_matches(substr(d.text, 1, 80) || substr(b.text, 1, 80), '^[ -~\\s]*$')"""
@@ -92,26 +64,6 @@ def _answers(spark, sf):
     return rows.select("doc_id", "item_id", text.normal_answer(a).alias("p"), text.normal_answer(b).alias("g"))
 
 
-@register("token_f1", f"""
-WITH x AS ({_PAIR_SQL}), pt AS (SELECT doc_id, item_id, t, count(*) AS n FROM (SELECT doc_id, item_id, unnest(string_split(p, ' ')) AS t FROM x) WHERE t <> '' GROUP BY ALL),
-gt AS (SELECT doc_id, item_id, t, count(*) AS n FROM (SELECT doc_id, item_id, unnest(string_split(g, ' ')) AS t FROM x) WHERE t <> '' GROUP BY ALL),
-s AS (SELECT doc_id, item_id, sum(least(pt.n, gt.n)) AS n FROM pt JOIN gt USING (doc_id, item_id, t) GROUP BY ALL),
-l AS (SELECT doc_id, item_id, len(list_filter(string_split(p, ' '), lambda y: y <> '')) + len(list_filter(string_split(g, ' '), lambda y: y <> '')) AS n FROM x)
-SELECT l.doc_id, l.item_id, round(coalesce(2.0 * s.n / l.n, 0), 6) AS f1, coalesce(2.0 * s.n / l.n, 0) >= 0.3 AS good FROM l LEFT JOIN s USING (doc_id, item_id)""")
-def token_f1(spark, sf):
-    """F1 over the multiset of tokens of two beginnings, and the decision by it (F15, U5); token_f1_whole has whole texts and golds."""
-    f1 = text.token_f1(F.col("p"), F.col("g"))
-    return _answers(spark, sf).select("doc_id", "item_id", F.round(f1, 6).alias("f1"), (f1 >= 0.3).alias("good"))
-
-
-@register("word_overlap", f"""
-WITH x AS ({_PAIR_SQL}) SELECT doc_id, len(list_intersect(list_distinct(string_split(p, ' ')), list_distinct(string_split(g, ' ')))) AS n, p = g AS exact FROM x""")
-def word_overlap(spark, sf):
-    """Set intersection of words, and exact match, of two beginnings; word_overlap_whole has whole texts."""
-    words = F.array_intersect(F.split("p", " "), F.split("g", " "))
-    return _answers(spark, sf).select("doc_id", F.size(words).cast("long").alias("n"), (F.col("p") == F.col("g")).alias("exact"))
-
-
 # A letter beyond ASCII is a word character, so it stands between underscores (none are left) while articles are cut.
 _NORM_ALL = (
     r"trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[!-/:-@\[-`{{-~]', '', 'g'), "
@@ -120,8 +72,8 @@ _NORM_ALL = (
 )
 
 
-@register("answer_norm_whole", f"SELECT item_id, {_NORM_ALL.format('text')} AS answer FROM benchmark")
-def answer_norm_whole(spark, sf):
+@register("answer_norm", f"SELECT item_id, {_NORM_ALL.format('text')} AS answer FROM benchmark")
+def answer_norm(spark, sf):
     """Normal form of answers in any alphabet."""
     return table(spark, sf, "benchmark").select("item_id", text.normal_answer(F.coalesce("text", F.lit(""))).alias("answer"))
 
@@ -138,14 +90,14 @@ def _all_answers(spark, sf):
     return docs, table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 40).alias("k"), normal.alias("g"))
 
 
-@register("token_f1_whole", _GOLD_SQL + """,
+@register("token_f1", _GOLD_SQL + """,
 pt AS (SELECT doc_id, item_id, t, count(*) AS n FROM (SELECT doc_id, item_id, unnest(string_split(p, ' ')) AS t FROM x) WHERE t <> '' GROUP BY ALL),
 gt AS (SELECT doc_id, item_id, t, count(*) AS n FROM (SELECT doc_id, item_id, unnest(string_split(g, ' ')) AS t FROM x) WHERE t <> '' GROUP BY ALL),
 s AS (SELECT doc_id, item_id, sum(least(pt.n, gt.n)) AS n FROM pt JOIN gt USING (doc_id, item_id, t) GROUP BY ALL),
 f AS (SELECT doc_id, p = g AS exact, CASE WHEN p <> g AND (p IN ('yes', 'no', 'noanswer') OR g IN ('yes', 'no', 'noanswer')) THEN 0 ELSE
   coalesce(2.0 * s.n / (len(list_filter(string_split(p, ' '), lambda y: y <> '')) + len(list_filter(string_split(g, ' '), lambda y: y <> ''))), 0) END AS f1 FROM x LEFT JOIN s USING (doc_id, item_id))
 SELECT doc_id, round(max(f1), 6) AS f1, bool_or(exact) AS exact, bool_or(exact) OR max(f1) >= 0.3 AS good FROM f GROUP BY 1""")
-def token_f1_whole(spark, sf):
+def token_f1(spark, sf):
     """Best F1 and exact match of whole texts over a list of golds, and the decision by them."""
     docs, items = _all_answers(spark, sf)
     golds = items.groupBy("k").agg(F.collect_list("g").alias("golds"))
@@ -153,9 +105,9 @@ def token_f1_whole(spark, sf):
     return rows.select("doc_id", F.round("b.f1", 6).alias("f1"), "b.exact", (F.col("b.exact") | (F.col("b.f1") >= 0.3)).alias("good"))
 
 
-@register("word_overlap_whole", _GOLD_SQL + """
+@register("word_overlap", _GOLD_SQL + """
 SELECT doc_id, item_id, len(list_intersect(list_distinct(string_split(p, ' ')), list_distinct(string_split(g, ' ')))) AS n, p = g AS exact FROM x""")
-def word_overlap_whole(spark, sf):
+def word_overlap(spark, sf):
     """Set intersection of words, and exact match, of whole texts with every gold."""
     docs, items = _all_answers(spark, sf)
     words = F.array_intersect(F.split("p", " "), F.split("g", " "))
@@ -176,15 +128,6 @@ def tag_answer(spark, sf):
     return rows.select("doc_id", "answer", F.when(F.contains("s", F.lit("<answer>")), 1).otherwise(-1).alias("format_reward"), kind.alias("kind"))
 
 
-@register("tool_calls", r"""
-WITH t AS (SELECT event_id, '<tool_call>{"name": "' || event_type || '", "n": ' || user_id || '}</tool_call><tool_call>{bad</tool_call>' AS s FROM events WHERE event_id % 7 = 0)
-SELECT event_id, json_extract_string(j, '$.name') AS name, CAST(json_extract(j, '$.n') AS BIGINT) AS n
-FROM (SELECT event_id, unnest(regexp_extract_all(s, '(?s)<tool_call>(.*?)</tool_call>', 1)) AS j FROM t) WHERE json_valid(j)""")
-def tool_calls(spark, sf):
-    """Calls of every seventh event in tagged JSON; tool_calls_whole has all."""
-    return _calls(table(spark, sf, "events").where("event_id % 7 = 0"))
-
-
 def _calls(events):
     s = F.concat(F.lit('<tool_call>{"name": "'), F.col("event_type"), F.lit('", "n": '), F.col("user_id").cast("string"), F.lit("}</tool_call><tool_call>{bad</tool_call>"))
     rows = events.select("event_id", F.explode(F.regexp_extract_all(s, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), 1)).alias("j"))
@@ -192,11 +135,11 @@ def _calls(events):
     return rows.select("event_id", call.alias("c")).where("c.name is not null").select("event_id", "c.name", "c.n")
 
 
-@register("tool_calls_whole", r"""
+@register("tool_calls", r"""
 WITH t AS (SELECT event_id, '<tool_call>{"name": "' || event_type || '", "n": ' || user_id || '}</tool_call><tool_call>{bad</tool_call>' AS s FROM events)
 SELECT event_id, json_extract_string(j, '$.name') AS name, CAST(json_extract(j, '$.n') AS BIGINT) AS n
 FROM (SELECT event_id, unnest(regexp_extract_all(s, '(?s)<tool_call>(.*?)</tool_call>', 1)) AS j FROM t) WHERE json_valid(j)""")
-def tool_calls_whole(spark, sf):
+def tool_calls(spark, sf):
     """Calls of all events in tagged JSON; bad JSON is skipped (F24, J-1)."""
     return _calls(table(spark, sf, "events"))
 
@@ -222,34 +165,20 @@ def report_arguments(spark, sf):
     return rows.select("event_id", (get(r"is_suspicious=(\w+)") == "True").alias("flag"), get(r"start=(-?\d+)").try_cast("int").alias("start"), duration.alias("duration"))
 
 
-@register("printable_hex", r"""
-SELECT doc_id, regexp_replace(substr(text, 1, 12), '[^\x20-\x7e]', '.', 'g') AS ascii, ord(substr(text, 1, 1)) AS first_byte FROM documents WHERE regexp_matches(substr(text, 1, 12), '^[\x00-\x7f]*$')""")
-def printable_hex(spark, sf):
-    """Hex payload of 12 ASCII characters as printable text, and its first byte; printable_hex_whole has all bytes."""
-    rows = table(spark, sf, "documents").where(F.substring("text", 1, 12).rlike(r"^[\x00-\x7f]*$")).withColumn("_hex", F.hex(F.substring("text", 1, 12)))
-    return rows.select("doc_id", text.printable(F.col("_hex")).alias("ascii"), F.coalesce(F.conv(F.substring("_hex", 1, 2), 16, 10).cast("int"), F.lit(-1)).alias("first_byte"))
-
-
-@register("hex_text", "SELECT doc_id, substr(text, 1, 30) AS decoded FROM documents")
-def hex_text(spark, sf):
-    """Hex payload of 30 characters as UTF-8; hex_text_whole has all."""
-    return table(spark, sf, "documents").select("doc_id", text.hex_to_text(F.hex(F.substring("text", 1, 30))).alias("decoded"))
-
-
 _BYTES_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{800}-\x{ffff}]', '...', 'g'), '[\x{10000}-\x{10ffff}]', '....', 'g'), '[\x{80}-\x{7ff}]', '..', 'g'), '[^\x20-\x7e]', '.', 'g')"
 
 
-@register("printable_hex_whole", f"""
+@register("printable_hex", f"""
 SELECT doc_id, {_BYTES_SQL} AS ascii, CASE WHEN coalesce(text, '') = '' THEN -1 ELSE CAST('0x' || substr(hex(encode(text)), 1, 2) AS INT) END AS first_byte FROM documents""")
-def printable_hex_whole(spark, sf):
+def printable_hex(spark, sf):
     """Hex payload as printable text, a dot for each other byte, and its first byte."""
     rows = table(spark, sf, "documents").withColumn("_hex", F.hex(F.coalesce("text", F.lit(""))))
     first = F.conv(F.substring("_hex", 1, 2), 16, 10).try_cast("int")
     return rows.select("doc_id", text.printable(F.col("_hex")).alias("ascii"), F.coalesce(F.when(F.col("_hex") != "", first), F.lit(-1)).alias("first_byte"))
 
 
-@register("hex_text_whole", "SELECT doc_id, text AS decoded FROM documents")
-def hex_text_whole(spark, sf):
+@register("hex_text", "SELECT doc_id, text AS decoded FROM documents")
+def hex_text(spark, sf):
     """Hex payload as UTF-8 (F1)."""
     return table(spark, sf, "documents").select("doc_id", text.hex_to_text(F.hex("text")).alias("decoded"))
 
@@ -261,8 +190,6 @@ def boxed_answer(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.last_boxed(s).alias("boxed"))
 
 
-
-
 @register("community_id", """
 WITH f AS (SELECT DISTINCT l_orderkey % 500 AS a, l_suppkey % 250 AS b, l_linenumber + 1000 AS sp, l_linenumber * 7 + 998 AS dp FROM lineitem),
 x AS (SELECT a, b, sp, dp, printf('0A00%02X%02X', a // 256, a % 256) AS ha, printf('0A00%02X%02X', b // 256, b % 256) AS hb FROM f),
@@ -343,43 +270,22 @@ def _two_stage(spark, sf, head):
 
 
 @register("two_stage_match", f"""
-WITH v AS (SELECT vec_id, embedding AS e, embedding[1:16] AS h FROM embeddings),
-p AS (SELECT q.vec_id AS q, c.vec_id AS c, round({_DOT.format('q.h', 'c.h')} / (sqrt({_DOT.format('q.h', 'q.h')}) * sqrt({_DOT.format('c.h', 'c.h')})), 6) AS coarse,
-      round({_DOT.format('q.e', 'c.e')} / (sqrt({_DOT.format('q.e', 'q.e')}) * sqrt({_DOT.format('c.e', 'c.e')})), 6) AS fine
-      FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY coarse DESC, c) AS n FROM p)
-SELECT q, c, fine AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY fine DESC, c) AS rank FROM r WHERE n <= 100) WHERE rank <= 3""")
-def two_stage_match(spark, sf):
-    """Coarse ranking by the first 16 dimensions, fine ranking of its first hundred; two_stage_match_whole has R6's 46."""
-    return _two_stage(spark, sf, 16)
-
-
-@register("two_stage_match_whole", f"""
 WITH v AS (SELECT vec_id, embedding AS e, embedding[1:46] AS h FROM embeddings),
 p AS (SELECT q.vec_id AS q, c.vec_id AS c, round({_DOT.format('q.h', 'c.h')} / (sqrt({_DOT.format('q.h', 'q.h')}) * sqrt({_DOT.format('c.h', 'c.h')})), 6) AS coarse,
       round({_DOT.format('q.e', 'c.e')} / (sqrt({_DOT.format('q.e', 'q.e')}) * sqrt({_DOT.format('c.e', 'c.e')})), 6) AS fine
       FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY coarse DESC, c) AS n FROM p)
 SELECT q, c, fine AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY fine DESC, c) AS rank FROM r WHERE n <= 100) WHERE rank <= 3""")
-def two_stage_match_whole(spark, sf):
+def two_stage_match(spark, sf):
     """Coarse ranking by the first 46 dimensions, fine ranking of its first hundred by all."""
     return _two_stage(spark, sf, 46)
 
 
 @register("fused_vectors", f"""
-WITH v AS (SELECT vec_id, list_concat(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE) * sqrt(0.6)), list_transform(embedding[9:16], lambda x: CAST(x AS DOUBLE) * sqrt(0.4))) AS f FROM embeddings)
-SELECT vec_id, round(f[1] / sqrt({_DOT.format('f', 'f')}), 6) AS first, round(f[16] / sqrt({_DOT.format('f', 'f')}), 6) AS last FROM v""")
-def fused_vectors(spark, sf):
-    """Two vectors weighted into one of norm 1 (R2, R7), from 16 dimensions; fused_vectors_whole takes all."""
-    f = vectors.fused(F.slice("embedding", 1, 8), F.slice("embedding", 9, 8))
-    return table(spark, sf, "embeddings").withColumn("f", f).select("vec_id", F.round(F.col("f")[0], 6).alias("first"), F.round(F.col("f")[15], 6).alias("last"))
-
-
-@register("fused_vectors_whole", f"""
 WITH v AS (SELECT vec_id, list_concat(list_transform(embedding[1:46], lambda x: CAST(x AS DOUBLE) * sqrt(0.6)), list_transform(embedding[47:], lambda x: CAST(x AS DOUBLE) * sqrt(0.4))) AS f FROM embeddings),
 n AS (SELECT vec_id, f, sqrt({_DOT.format('f', 'f')}) AS n FROM v)
 SELECT vec_id, CAST(i AS INT) AS pos, round(f[i + 1] / n, 6) AS x FROM (SELECT vec_id, f, n, unnest(range(0, len(f))) AS i FROM n)""")
-def fused_vectors_whole(spark, sf):
+def fused_vectors(spark, sf):
     """Statistics (46 dimensions) and payload (the rest) weighted into one vector of norm 1, every dimension."""
     f = vectors.fused(F.slice("embedding", 1, 46), F.slice("embedding", F.lit(47), F.size("embedding")))
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode(f).alias("pos", "x")).withColumn("x", F.round("x", 6))
@@ -404,7 +310,7 @@ def dataset_recall(spark, sf):
 
 
 _BM25_SQL = r"""
-WITH dt AS (SELECT doc_id AS d, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM documents WHERE lang = 'en'),
+WITH dt AS (SELECT doc_id AS d, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM documents),
 qt AS (SELECT item_id AS q, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark),
 st AS (SELECT count(*) AS n_docs, avg(len(ts)) AS mean_len FROM dt),
 tf AS (SELECT d, l, t, count(*) AS tf FROM (SELECT d, len(ts) AS l, unnest(ts) AS t FROM dt) GROUP BY 1, 2, 3),
@@ -415,34 +321,15 @@ s AS (SELECT q, d, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l
 r AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM s)"""
 
 
-_WHOLE_BM25_SQL = _BM25_SQL.replace(" WHERE lang = 'en'", "")
-
-
-def _corpus(spark, sf, whole):
-    docs = table(spark, sf, "documents")
-    return docs if whole else docs.where("lang = 'en'")
-
-
-def _word_tables(spark, sf, whole):
+def _word_tables(spark, sf):
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    return _corpus(spark, sf, whole).select("doc_id", words.alias("ts")), table(spark, sf, "benchmark").select("item_id", words.alias("ts"))
-
-
-def _bm25(spark, sf, whole=False):
-    scores = retrieval.bm25(*_word_tables(spark, sf, whole), "doc_id", "item_id", "ts")
-    return retrieval.best(scores, "q", F.round("score", 5), ["d"], 1 << 30)
+    return table(spark, sf, "documents").select("doc_id", words.alias("ts")), table(spark, sf, "benchmark").select("item_id", words.alias("ts"))
 
 
 @register("bm25_topk", _BM25_SQL + "SELECT q, d, score, rank FROM r WHERE rank <= 5")
 def bm25_topk(spark, sf):
-    """Okapi BM25 of queries over the English documents; bm25_topk_whole takes all."""
-    return _bm25(spark, sf).where("rank <= 5").select("q", "d", "score", "rank")
-
-
-@register("bm25_topk_whole", _WHOLE_BM25_SQL + "SELECT q, d, score, rank FROM r WHERE rank <= 5")
-def bm25_topk_whole(spark, sf):
-    """Okapi BM25 of queries over a corpus, documents of every language."""
-    return _bm25(spark, sf, whole=True).where("rank <= 5").select("q", "d", "score", "rank")
+    """Okapi BM25 of queries over a corpus, documents of every language."""
+    return retrieval.bm25(*_word_tables(spark, sf), "doc_id", "item_id", "ts", 5).select("q", "d", "score", "rank")
 
 
 _FUSION_SQL = """,
@@ -452,28 +339,18 @@ f AS (SELECT coalesce(x.q, y.q) AS q, coalesce(x.d, y.d) AS d, round(coalesce(1.
 SELECT q, d, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM f) WHERE rank <= 3"""
 
 
-def _fusion(spark, sf, whole):
-    lexical = _bm25(spark, sf, whole).where("rank <= 50")
-    texts, items = _word_tables(spark, sf, whole)
+@register("rank_fusion", _BM25_SQL + _FUSION_SQL)
+def rank_fusion(spark, sf):
+    """Reciprocal rank fusion of two lists, the first three of each query, documents of every language."""
+    texts, items = _word_tables(spark, sf)
+    lexical = retrieval.bm25(texts, items, "doc_id", "item_id", "ts", 50)
     # Queries with any lexical match are found by their words, so that documents are scored once.
     words = texts.select(F.explode("ts").alias("t")).distinct()
     near = items.select(F.col("item_id").alias("q"), F.explode("ts").alias("t")).join(words, "t").select("q").distinct()
-    docs = _corpus(spark, sf, whole).select(F.col("doc_id").alias("d"))
+    docs = texts.select(F.col("doc_id").alias("d"))
     # Distance of numbers stands in for a semantic list.
     asked = items.select(F.col("item_id").alias("q"), (F.col("item_id") * 25).alias("x"))
     pairs = retrieval.neighbours(asked, "q", "x", docs, "d", 50).join(near, "q")
     second = retrieval.best(pairs, "q", -F.abs(F.col("q") * 25 - F.col("d")), ["d"], 50)
     fused = retrieval.fuse_ranks(lexical, second)
     return retrieval.best(fused, "q", F.round("score", 8), ["d"], 3).select("q", "d", "score", "rank")
-
-
-@register("rank_fusion", _BM25_SQL + _FUSION_SQL)
-def rank_fusion(spark, sf):
-    """Reciprocal rank fusion of two lists over English documents; rank_fusion_whole takes all."""
-    return _fusion(spark, sf, False)
-
-
-@register("rank_fusion_whole", _WHOLE_BM25_SQL + _FUSION_SQL)
-def rank_fusion_whole(spark, sf):
-    """Reciprocal rank fusion of two lists, the first three of each query, documents of every language."""
-    return _fusion(spark, sf, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from netquarry.functions import rewards
 from netquarry.operators import metrics, ordering
 from netquarry.plans.registry import register, table
 
@@ -20,9 +21,7 @@ def _steps(spark, sf):
 SELECT a.conv_id, a.turn, round(sum(b.reward * power(0.9, b.turn - a.turn)), 6) AS ret FROM {_S} a JOIN {_S} b ON a.conv_id = b.conv_id AND b.turn >= a.turn GROUP BY 1, 2""")
 def discounted_return(spark, sf):
     """Discounted sum of the rewards from each step on."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    weighted = F.sum(F.col("reward") * F.pow(F.lit(0.9), F.col("turn"))).over(w)
-    return _steps(spark, sf).select("conv_id", "turn", F.round(weighted / F.pow(F.lit(0.9), F.col("turn")), 6).alias("ret"))
+    return metrics.discounted_return(_steps(spark, sf), "conv_id", "turn", "reward", 0.9).select("conv_id", "turn", F.round("ret", 6).alias("ret"))
 
 
 @register("reward_shaping", f"""
@@ -54,8 +53,8 @@ def constant_group_filter(spark, sf):
 
 @register("pass_at_k", f"""
 WITH r AS (SELECT conv_id % 20 AS p, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS k, CAST(reward >= 0.8 AS INT) AS ok FROM {_S}),
-a AS (SELECT *, max(ok) OVER (PARTITION BY p ORDER BY k) AS hit FROM r)
-SELECT k, count(*) AS n, round(avg(ok), 6) AS pass_1, round(avg(hit), 6) AS pass_k FROM a GROUP BY 1""")
+f AS (SELECT p, min(k) FILTER (ok = 1) AS first FROM r GROUP BY 1)
+SELECT k, count(*) AS n, round(avg(ok), 6) AS pass_1, round((SELECT count(*) FROM f WHERE first <= r.k) / (SELECT count(*) FROM f), 6) AS pass_k FROM r GROUP BY 1""")
 def pass_at_k(spark, sf):
     """pass@1 of each round and pass@k."""
     rows = _steps(spark, sf).withColumn("p", F.col("conv_id") % 20)
@@ -138,23 +137,10 @@ def rank_sample(spark, sf):
 
 
 @register("prefix_check", """
-WITH s AS (SELECT conv_id, turn, string_split(substr(text, 1, turn * 6 + 3), ' ') AS cur FROM conversations),
-p AS (SELECT *, lag(cur) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM s)
-SELECT conv_id, turn, prev IS NOT NULL AND cur[1:len(prev)] = prev AS is_prefix FROM p""")
-def prefix_check(spark, sf):
-    """Whether the step before is a prefix of this one, by beginnings; prefix_check_whole has whole texts."""
-    cur = F.split(F.substring(F.col("text"), F.lit(1), F.col("turn").cast("int") * 6 + 3), " ")
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", cur.alias("cur"))
-    rows = rows.withColumn("prev", F.lag("cur").over(Window.partitionBy("conv_id").orderBy("turn")))
-    same = F.slice("cur", F.lit(1), F.size("prev")) == F.col("prev")
-    return rows.select("conv_id", "turn", (F.col("prev").isNotNull() & F.coalesce(same, F.lit(False))).alias("is_prefix"))
-
-
-@register("prefix_check_whole", """
 WITH s AS (SELECT conv_id, turn, string_split(text, ' ') AS cur FROM conversations),
 p AS (SELECT *, lag(cur) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM s)
 SELECT conv_id, turn, coalesce(prev IS NOT NULL AND cur[1:len(prev)] = prev, FALSE) AS is_prefix FROM p""")
-def prefix_check_whole(spark, sf):
+def prefix_check(spark, sf):
     """Whether the step before is a prefix of this one, word by word to the end."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("cur"))
     rows = rows.withColumn("prev", F.lag("cur").over(Window.partitionBy("conv_id").orderBy("turn")))
@@ -162,16 +148,6 @@ def prefix_check_whole(spark, sf):
     return rows.select("conv_id", "turn", (F.col("prev").isNotNull() & F.coalesce(same, F.lit(False))).alias("is_prefix"))
 
 
-@register("prefix_merge", """
-WITH s AS (SELECT conv_id, turn, substr(text, 1, 2 + (turn % 3)) AS cur FROM conversations),
-p AS (SELECT *, coalesce(NOT starts_with(cur, lag(cur) OVER (PARTITION BY conv_id ORDER BY turn)), TRUE) AS fresh FROM s),
-g AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM p)
-SELECT conv_id, CAST(seq AS BIGINT) AS seq, count(*) AS steps, arg_max(cur, turn) AS merged FROM g GROUP BY 1, 2""")
-def prefix_merge(spark, sf):
-    """Steps merged into one sequence while each goes on from the one before, by beginnings; prefix_merge_whole has whole texts."""
-    return _merged(spark, sf, F.substring(F.col("text"), F.lit(1), (2 + F.col("turn") % 3).cast("int")))
-
-
 def _merged(spark, sf, cur):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", cur.alias("cur"))
@@ -180,11 +156,11 @@ def _merged(spark, sf, cur):
     return rows.groupBy("conv_id", "seq").agg(F.count(F.lit(1)).alias("steps"), F.max_by("cur", "turn").alias("merged"))
 
 
-@register("prefix_merge_whole", """
+@register("prefix_merge", """
 WITH p AS (SELECT conv_id, turn, text AS cur, coalesce(NOT starts_with(text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn)), TRUE) AS fresh FROM conversations),
 g AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM p)
 SELECT conv_id, CAST(seq AS BIGINT) AS seq, count(*) AS steps, arg_max(cur, turn) AS merged FROM g GROUP BY 1, 2""")
-def prefix_merge_whole(spark, sf):
+def prefix_merge(spark, sf):
     """Steps merged into one sequence while each whole text goes on from the one before."""
     return _merged(spark, sf, F.col("text"))
 
@@ -199,25 +175,28 @@ def task_order(spark, sf):
 
 
 @register("interval_reward", """
-WITH x AS (SELECT doc_id, doc_id % 30 AS s, (doc_id % 30) + (n_chars % 9) AS e, (doc_id * 7) % 30 AS ts, ((doc_id * 7) % 30) + (n_chars % 13) AS te FROM documents),
-o AS (SELECT *, greatest(0, least(e, te) - greatest(s, ts) + 1) AS inter, greatest(e, te) - least(s, ts) + 1 AS span FROM x)
-SELECT doc_id, inter, round(CASE WHEN s = ts AND e = te THEN 1.0 WHEN inter = 0 THEN -0.5 * (1 - exp(-abs((s + e) / 2.0 - (ts + te) / 2.0) / 10.0))
-  WHEN s <= ts AND e >= te THEN 0.8 * exp(-0.1 * ((e - s) - (te - ts))) WHEN s >= ts AND e <= te THEN 0.6 * (e - s + 1) / (te - ts + 1)
-  ELSE 0.8 * inter / span END, 6) AS reward FROM o""")
+WITH y AS (SELECT doc_id, doc_id % 11 <> 0 AS susp, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 0 ELSE doc_id % 30 + 1 END AS s, n_chars % 9 + 1 AS dur,
+             CASE WHEN doc_id % 7 <> 0 THEN doc_id * 7 % 30 + 1 END AS ts, doc_id * 7 % 30 + 1 + n_chars % 13 AS te FROM documents),
+x AS (SELECT *, s + dur - 1 AS e FROM y),
+p AS (SELECT *, list_sum(list_transform(range(s, e + 1), lambda i: CASE WHEN i BETWEEN ts AND te THEN 0.0 WHEN i BETWEEN 1 AND 40 AND (i * 3 + doc_id) % 4 = 0 THEN 0.2 ELSE 1.0 END)) AS pen FROM x),
+q AS (SELECT *, CASE WHEN s = ts AND e = te THEN 1.0 WHEN e < ts THEN -0.5 + 0.4 * exp(-0.2 * (ts - e)) WHEN s > te THEN -0.9 + 0.4 * exp(-0.2 * (s - te))
+  WHEN s <= ts AND e >= te THEN 0.5 + 0.4 * exp(-0.2 * pen) WHEN s >= ts AND e <= te THEN 0.1 + 0.4 * exp(-0.3 * ((s - ts) + 0.2 * (te - e))) END AS score,
+  (least(e, te) - greatest(s, ts) + 1) / (greatest(e, te) - least(s, ts) + 1) AS iou FROM p)
+SELECT doc_id, round(CASE WHEN ts IS NULL THEN CASE WHEN susp THEN -1.0 ELSE 1.0 END WHEN NOT susp OR s IS NULL OR s < 1 THEN -1.0 ELSE coalesce(score, 0.8 * iou) END, 6) AS reward,
+  round(CASE WHEN s IS NULL THEN CASE WHEN ts IS NULL THEN 1.0 ELSE -1.0 END WHEN s < 1 OR ts IS NULL THEN -1.0 ELSE coalesce(score, -0.1 + 0.2 * iou) END, 6) AS by_end FROM q""")
 def interval_reward(spark, sf):
-    """Reward of a reported interval by its overlap with the true one."""
+    """Reward of a reported interval by its overlap with the true one: by duration, and the older form by end."""
     d, n = F.col("doc_id"), F.col("n_chars")
-    x = table(spark, sf, "documents").select("doc_id", (d % 30).alias("s"), (d % 30 + n % 9).alias("e"), (d * 7 % 30).alias("ts"), (d * 7 % 30 + n % 13).alias("te"))
-    s, e, ts, te = (F.col(c) for c in ("s", "e", "ts", "te"))
-    inter = F.greatest(F.lit(0), F.least(e, te) - F.greatest(s, ts) + 1)
-    span = F.greatest(e, te) - F.least(s, ts) + 1
-    apart = F.abs((s + e) / 2 - (ts + te) / 2)
-    reward = (
-        F.when((s == ts) & (e == te), 1.0).when(inter == 0, -0.5 * (1 - F.exp(-apart / 10)))
-        .when((s <= ts) & (e >= te), 0.8 * F.exp(-0.1 * ((e - s) - (te - ts)))).when((s >= ts) & (e <= te), 0.6 * (e - s + 1) / (te - ts + 1))
-        .otherwise(0.8 * inter / span)
+    labels = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: ((i * 3 + d) % 4 == 0).cast("int"))
+    s = F.when(d % 13 == 0, F.lit(None)).when(d % 17 == 0, 0).otherwise(d % 30 + 1)
+    rows = table(spark, sf, "documents").select(
+        "doc_id", (d % 11 != 0).alias("susp"), s.alias("s"), (n % 9 + 1).alias("dur"), F.when(d % 7 != 0, d * 7 % 30 + 1).alias("ts"),
+        F.when(d % 7 != 0, d * 7 % 30 + 1 + n % 13).alias("te"), labels.alias("labels"),
     )
-    return x.select("doc_id", inter.alias("inter"), F.round(reward, 6).alias("reward"))
+    s, dur, ts, te = (F.col(c) for c in ("s", "dur", "ts", "te"))
+    reward = rewards.interval_reward(F.col("susp"), s, dur, ts, te, F.col("labels"))
+    by_end = rewards.interval_reward_by_end(s, s + dur - 1, ts, te, F.col("labels"))
+    return rows.select("doc_id", F.round(reward, 6).alias("reward"), F.round(by_end, 6).alias("by_end"))
 
 
 @register("percentile_rank", """

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -97,3 +98,66 @@ def test_cursor_gathers_no_runs(spark):
     assert sorted(tuple(x)[1:] for x in df.collect()) == _cursor(flags)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "_part" in plan
+
+
+def _interval(spark, **row):
+    from netquarry.functions import rewards
+
+    base = {"susp": True, "s": 5, "dur": 3, "ts": 5, "te": 7, "labels": [0] * 10} | row
+    df = spark.createDataFrame([tuple(base.values())], "susp boolean, s int, dur int, ts int, te int, labels array<int>")
+    c = [F.col(x) for x in ("s", "dur", "ts", "te", "labels")]
+    new = rewards.interval_reward(F.col("susp"), *c)
+    old = rewards.interval_reward_by_end(c[0], c[0] + c[1] - 1, *c[2:])
+    return tuple(round(x, 6) for x in df.select(new, old).first())
+
+
+def test_interval_reward_of_each_branch(spark):
+    assert _interval(spark) == (1.0, 1.0)
+    assert _interval(spark, s=1, dur=2) == (round(-0.5 + 0.4 * math.exp(-0.6), 6),) * 2
+    assert _interval(spark, s=9, dur=1) == (round(-0.9 + 0.4 * math.exp(-0.4), 6),) * 2
+    assert _interval(spark, s=4, dur=5, labels=[0, 0, 0, 1, 0, 0, 0, 0]) == (round(0.5 + 0.4 * math.exp(-0.2 * 1.2), 6),) * 2
+    assert _interval(spark, s=6, dur=1) == (round(0.1 + 0.4 * math.exp(-0.3 * 1.2), 6),) * 2
+    assert _interval(spark, s=6, dur=4) == (round(0.8 * 2 / 5, 6), round(-0.1 + 0.2 * 2 / 5, 6))
+    assert _interval(spark, susp=False) == (-1.0, 1.0)
+    assert _interval(spark, s=None) == (-1.0, -1.0)
+    assert _interval(spark, s=0) == (-1.0, -1.0)
+    assert _interval(spark, ts=None, te=None) == (-1.0, -1.0)
+    assert _interval(spark, ts=None, te=None, susp=False, s=None) == (1.0, 1.0)
+    assert _interval(spark, ts=None, te=None, susp=None, s=None) == (-1.0, 1.0)
+
+
+def test_discounted_return_of_a_long_trajectory(spark):
+    from netquarry.operators import metrics
+
+    steps = spark.range(9000).select(F.lit(1).alias("t"), F.col("id").alias("turn"), F.lit(1.0).alias("r"))
+    got = metrics.discounted_return(steps, "t", "turn", "r", 0.9).where("turn in (0, 8999)").orderBy("turn").collect()
+    assert [round(g.ret, 6) for g in got] == [10.0, 1.0]
+
+
+def test_pass_at_k_counts_all_problems(spark):
+    from netquarry.operators import metrics
+
+    rows = [("a", 1, 0), ("a", 2, 1), ("b", 1, 1), ("c", 1, 0)]
+    got = metrics.pass_at_k(spark.createDataFrame(rows, "p string, i int, ok int"), "p", ["i"], F.col("ok") == 1).orderBy("k").collect()
+    assert [(g.k, g.n, round(g.pass_1, 4), round(g.pass_k, 4)) for g in got] == [(1, 3, 0.3333, 0.3333), (2, 1, 1.0, 0.6667)]
+
+
+def test_verdict_and_heartbeat(spark):
+    from netquarry.operators import packets
+
+    rows = [(1, "x", 1, True, False, False, False), (1, "y", 2, False, True, False, False), (1, "z", 3, True, True, False, False), (2, "q", 1, True, False, False, False), (2, "p", 2, True, False, False, False)]
+    df = spark.createDataFrame(rows, "case int, skill string, step int, passed boolean, hard boolean, specific boolean, aborts boolean")
+    got = {g.case: (g.skill, g.confidence) for g in packets.verdict(df, "case", "skill", "step").collect()}
+    assert got == {1: ("z", 1.0), 2: ("q", 0.8)}  # a hard step that fails is no hit; the first of equals wins
+    beat = lambda *at: packets.heartbeat(spark.createDataFrame([(1, x) for x in at], "h int, s int"), "h", F.col("s")).collect()
+    assert [(g.period, g.times) for g in beat(0, 30, 60, 61)] == [(30, 2)]
+    assert beat(0, 1, 2, 3, 33, 63) == []  # the commonest gap is 1
+    assert beat(0, 30) == [] and beat(0, 30, 35, 60) == []
+
+
+def test_thought_confidence_bytes_and_hex(spark):
+    from netquarry.functions import text
+
+    df = spark.createDataFrame([("<think>open", "置信度 0.4", "00ff41"), (" \n", "【置信度】: .5", "zz"), ("a <think> b </think>", "0.9", "")], "t string, c string, h string")
+    got = df.select(text.think_text(F.col("t")), text.confidence(F.col("c")), text.printable(F.col("h")), text.byte_position(F.try_to_binary("h", F.lit("hex")), b"\xff")).collect()
+    assert [tuple(g) for g in got] == [("<think>open", 0.4, "..A", 2), ("", 0.5, "?", None), ("b", -1.0, "", 0)]

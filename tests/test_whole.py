@@ -39,7 +39,7 @@ def _cosine(a, b):
 
 def test_incremental_search_reads_all_rows_and_dimensions(spark, vectors):
     folder, v = vectors
-    got = {r.q: (r.best, r.seen) for r in registry.QUERIES["incremental_search_whole"](spark, folder).collect()}
+    got = {r.q: (r.best, r.seen) for r in registry.QUERIES["incremental_search"](spark, folder).collect()}
     want = {}
     for q in v:
         if q % 50 == 0 and (before := [c for c in v if c < q]):
@@ -49,7 +49,7 @@ def test_incremental_search_reads_all_rows_and_dimensions(spark, vectors):
 
 def test_two_stages_rank_by_46_dimensions(spark, vectors):
     folder, v = vectors
-    got = {(r.q, r.rank): r.c for r in registry.QUERIES["two_stage_match_whole"](spark, folder).collect()}
+    got = {(r.q, r.rank): r.c for r in registry.QUERIES["two_stage_match"](spark, folder).collect()}
     want = {}
     for q in (q for q in v if q % 50 == 0):
         coarse = sorted((c for c in v if c != q), key=lambda c: (-round(_cosine(v[q][:46], v[c][:46]), 6), c))[:100]
@@ -60,7 +60,7 @@ def test_two_stages_rank_by_46_dimensions(spark, vectors):
 
 def test_fused_vectors_have_all_dimensions(spark, vectors):
     folder, v = vectors
-    got = {(r.vec_id, r.pos): r.x for r in registry.QUERIES["fused_vectors_whole"](spark, folder).collect()}
+    got = {(r.vec_id, r.pos): r.x for r in registry.QUERIES["fused_vectors"](spark, folder).collect()}
     for i in v:
         f = [x * (0.6 if k < 46 else 0.4) ** 0.5 for k, x in enumerate(v[i])]
         assert [got[i, k] for k in range(64)] == pytest.approx([x / _dot(f, f) ** 0.5 for x in f], abs=2e-6)
@@ -109,15 +109,24 @@ def corpus(tmp_path):
 
 def test_bm25_scores_documents_of_every_language(spark, corpus):
     folder, docs, items = corpus
-    got = {(r.q, r.rank): r.d for r in registry.QUERIES["bm25_topk_whole"](spark, folder).collect()}
+    got = {(r.q, r.rank): r.d for r in registry.QUERIES["bm25_topk"](spark, folder).collect()}
     ranked = _bm25({d: t for d, (t, _) in docs.items()}, items)
     assert got == {(q, k): d for q, found in ranked.items() for k, d in enumerate(found[:5], 1)}
 
 
-@pytest.mark.parametrize("name", ["rank_fusion", "rank_fusion_whole"])
+def test_bm25_of_many_query_terms_is_the_same(spark, corpus, monkeypatch):
+    from netquarry.operators import retrieval
+
+    rows = lambda: sorted(map(tuple, registry.QUERIES["bm25_topk"](spark, corpus[0]).collect()))
+    few = rows()
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 1)
+    assert rows() == few
+
+
+@pytest.mark.parametrize("name", ["rank_fusion"])
 def test_second_list_has_the_nearest_however_far(spark, corpus, name):
     folder, docs, items = corpus
-    texts = {d: t for d, (t, lang) in docs.items() if lang == "en" or name.endswith("whole")}
+    texts = {d: t for d, (t, _) in docs.items()}
     got = {(r.q, r.rank): r.d for r in registry.QUERIES[name](spark, folder).collect()}
     assert got == _fused(_bm25(texts, items), texts)
 
@@ -142,15 +151,15 @@ def test_answers_are_whole_and_golds_are_all(spark, tmp_path):
         documents={"doc_id": pa.array(docs, pa.int64()), "text": list(docs.values()), "lang": ["en", "es", None, "de"]},
         benchmark={"item_id": pa.array(golds, pa.int64()), "text": list(golds.values())},
     )
-    norm = {r.item_id: r.answer for r in registry.QUERIES["answer_norm_whole"](spark, folder).collect()}
+    norm = {r.item_id: r.answer for r in registry.QUERIES["answer_norm"](spark, folder).collect()}
     assert norm == {i: _normal(t) for i, t in golds.items()}
-    got = {r.doc_id: (r.f1, r.exact, r.good) for r in registry.QUERIES["token_f1_whole"](spark, folder).collect()}
+    got = {r.doc_id: (r.f1, r.exact, r.good) for r in registry.QUERIES["token_f1"](spark, folder).collect()}
     for d, t in docs.items():
         p, gs = _normal(t or ""), [_normal(g) for i, g in golds.items() if i % 40 == d]
         f1 = max(_f1(p, g) for g in gs)
         assert got[d] == (round(f1, 6), p in gs, p in gs or f1 >= 0.3)
     assert got[0] == (1.0, True, True)
-    words = {(r.doc_id, r.item_id): (r.n, r.exact) for r in registry.QUERIES["word_overlap_whole"](spark, folder).collect()}
+    words = {(r.doc_id, r.item_id): (r.n, r.exact) for r in registry.QUERIES["word_overlap"](spark, folder).collect()}
     assert words[0, 40] == (61, True) and (1, 41) in words and len(words) == 6
 
 
@@ -162,7 +171,7 @@ def test_text_operators_take_whole_texts(spark, tmp_path):
         documents={"doc_id": pa.array(texts, pa.int64()), "text": list(texts.values())},
         conversations={"conv_id": pa.array([1] * 4, pa.int64()), "turn": pa.array(range(4), pa.int32()), "text": steps},
     )
-    run = lambda name: registry.QUERIES[f"{name}_whole"](spark, folder).collect()
+    run = lambda name: registry.QUERIES[f"{name}"](spark, folder).collect()
     assert {r.doc_id: r.decoded for r in run("hex_text")} == texts
     assert {r.doc_id: r.code for r in run("code_block")} == texts
     want = {d: ("".join(chr(b) if 32 <= b <= 126 else "." for b in t.encode()), t.encode()[0] if t else -1) for d, t in texts.items()}
@@ -185,7 +194,7 @@ def test_rows_are_not_picked_by_number(spark, tmp_path):
     }
     lines = {"l_orderkey": [1, 1, 1, 2], "l_partkey": [7, 5, 7, 9], "l_linenumber": [1, 2, 3, 1], "l_suppkey": [50, 3, 1, 70]}
     folder = _write(tmp_path, events=events, lineitem=lines)
-    run = lambda name: registry.QUERIES[f"{name}_whole"](spark, folder)
+    run = lambda name: registry.QUERIES[f"{name}"](spark, folder)
     assert sorted(tuple(r) for r in run("tool_calls").collect()) == [(i, "click", 18 + i % 4) for i in ids]
     texts = {r.host: r.txt.count("\n") + 1 for r in run("conversation_text").collect()}
     assert texts == dict.fromkeys(range(18, 22), 3)
