@@ -21,22 +21,37 @@ def conversations(packets: DataFrame, src: str, dst: str, size: Column, time: Co
     )
 
 
-def batch_profile(flows: DataFrame, by: str, measures: list[str], ports: list[str], risky: list[int], kind: str) -> DataFrame:
-    """A vector of statistics for each batch, at norm 1: spread of the measures and ports, port bins, diversity, shares.
-
-    All of it is one aggregate but for the commonest kind's share, which is counted by (batch, kind) first and summed
-    up after, so a batch is never collected."""
-    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    per_kind = flows.groupBy(by, kind).agg(F.count(F.lit(1)).alias("_n")).groupBy(by).agg(F.max("_n").alias("_mode"))
-    stats = [f(zero(c)) for c in [*measures, *ports] for f in (F.max, F.min, F.median, F.stddev_pop)]
-    total = F.count(F.lit(1))
-    for p in ports:
-        stats += [F.count_if(zero(p).between(lo, hi)) / total for lo, hi in ((0, 49), (50, 499), (500, 1 << 31))]
-        stats += [F.count_if(F.col(p).isin(risky)) / total, F.countDistinct(p) / total]
-    stats += [F.sum(zero(m)) / (F.sum(zero(measures[0])) + 1) for m in measures[1:]]
-    made = flows.groupBy(by).agg(total.alias("_n"), *[s.cast("double").alias(f"_s{i}") for i, s in enumerate(stats)])
-    vec = F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(len(stats))], F.col("_mode") / F.col("_n"))
-    rows = made.join(per_kind, by).select(by, vec.alias("v"))
+#: Ports of services that are often attacked, and the bounds of the port bins.
+RISK_PORTS = [22, 23, 25, 53, 80, 135, 139, 443, 445, 993, 995, 1433, 1521, 3306, 3389, 4444, 5432, 5900, 6379, 8080, 8443, 8888, 9200]
+PORT_BINS = [(0, 1023), (1024, 49151), (49152, 1 << 31)]
+MEASURES = ["duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts"]
+
+
+def batch_profile(flows: DataFrame, by: str) -> DataFrame:
+    """(batch, v): 46 statistics of each batch of flows, at norm 1.
+
+    Of the five measures and of the ports of either side: max, min, median and deviation; of the ports: shares of the
+    bins and of risk ports; distinct addresses of either side by flows, share of sent bytes, TCP and UDP; distinct ports
+    of either side by flows, share of the commonest one, share of port 53. Nulls count as 0. A batch is a window of some 30
+    rows, so its ports and addresses are one small array."""
+    zero = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    n = F.count(F.lit(1))
+    port = {c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)) for c in ("resp_p", "orig_p")}
+    spread = lambda c: [F.max(c), F.min(c), F.median(c), F.stddev_pop(c)]
+    stats = [x for c in MEASURES for x in spread(zero(c))] + [x for p in port.values() for x in spread(p)]
+    for p in port.values():
+        stats += [F.count_if(p.between(lo, hi)) / n for lo, hi in PORT_BINS] + [F.count_if(p.isin(RISK_PORTS)) / n]
+    stats += [F.size(F.collect_set(F.coalesce(F.col(c), F.lit("")))) / n for c in ("orig_h", "resp_h")]
+    sent, got = F.sum(zero("orig_bytes")), F.sum(zero("resp_bytes"))
+    stats += [sent / (sent + got + 1)] + [F.count_if(F.lower("proto") == x) / n for x in ("tcp", "udp")]
+    stats += [F.size(F.collect_set(p)) / n for p in port.values()]
+    made = flows.groupBy(by).agg(
+        n.alias("_n"), *[F.collect_list(p).alias(f"_{c}") for c, p in port.items()], (F.count_if(port["resp_p"] == 53) / n).alias("_dns"),
+        *[s.cast("double").alias(f"_s{i}") for i, s in enumerate(stats)],
+    )
+    commonest = lambda ps: F.array_max(F.transform(F.array_distinct(ps), lambda p: F.size(F.filter(ps, lambda x: x == p))))
+    often = [commonest(F.col(f"_{c}")) / F.col("_n") for c in port]
+    rows = made.select(by, F.array(*[F.col(f"_s{i}") for i in range(len(stats))], *often, F.col("_dns")).alias("v"))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return rows.withColumn("v", F.when(size > 0, F.transform("v", lambda x: x / size)).otherwise(F.col("v")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import text
-from netquarry.operators import packets
+from netquarry.operators import ordering, packets
 from netquarry.plans.registry import register, table
 
 _T = "epoch_us(l_shipdate) / 1e6"
@@ -27,26 +27,34 @@ def conversations(spark, sf):
     return packets.conversations(_packets(spark, sf), "src", "dst", F.col("l_quantity"), F.col("t"))
 
 
-_STATS = ", ".join(f"{f}(coalesce({c}, 0))" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_partkey", "l_suppkey") for f in ("max", "min", "median", "stddev_pop"))
-_BINS = ", ".join(
-    f"count(*) FILTER ({p} BETWEEN 0 AND 49) / count(*), count(*) FILTER ({p} BETWEEN 50 AND 499) / count(*), count(*) FILTER ({p} >= 500) / count(*), "
-    f"count(*) FILTER ({p} IN (7, 22, 443)) / count(*), count(DISTINCT {p}) / count(*)" for p in ("l_partkey", "l_suppkey")
-)
+def _spread(c):
+    return f"max({c}), min({c}), median({c}), stddev_pop({c})"
+
+
+_RISK = "22, 23, 25, 53, 80, 135, 139, 443, 445, 993, 995, 1433, 1521, 3306, 3389, 4444, 5432, 5900, 6379, 8080, 8443, 8888, 9200"
+_BINS = "count(*) FILTER ({0} BETWEEN 0 AND 1023) / count(*), count(*) FILTER ({0} BETWEEN 1024 AND 49151) / count(*), count(*) FILTER ({0} > 49151) / count(*), count(*) FILTER ({0} IN ({1})) / count(*)"
 
 
 @register("batch_profile", f"""
-WITH m AS (SELECT l_linenumber AS batch, max(n) AS mode FROM (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1),
-v AS (SELECT l_linenumber AS batch, list_transform([{_STATS}, {_BINS}, sum(l_extendedprice) / (sum(l_quantity) + 1), sum(l_discount) / (sum(l_quantity) + 1)], lambda x: CAST(x AS DOUBLE)) AS v, count(*) AS n FROM lineitem GROUP BY 1),
-w AS (SELECT batch, list_append(v, mode / n) AS v FROM v JOIN m USING (batch)),
-z AS (SELECT batch, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM w)
-SELECT batch, len(v) AS dims, round(v[1] / s, 6) AS first, round(v[5] / s, 6) AS fifth, round(v[len(v)] / s, 9) AS last, round(list_sum(v) / s, 5) AS total FROM z""")
+WITH f AS (SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) // 30 AS batch, l_quantity AS m1, l_extendedprice AS m2,
+  l_discount * 100000 AS m3, l_linenumber AS m4, l_tax AS m5, CASE WHEN l_partkey % 9 = 0 THEN 53 ELSE l_partkey * 37 % 65536 END AS rp, l_suppkey * 991 % 65536 AS op,
+  l_suppkey AS oh, l_partkey % 10 AS rh, CASE l_returnflag WHEN 'A' THEN 'tcp' WHEN 'N' THEN 'udp' ELSE 'icmp' END AS pr FROM lineitem),
+v AS (SELECT batch, list_transform([{', '.join(_spread(c) for c in ('m1', 'm2', 'm3', 'm4', 'm5', 'rp', 'op'))}, {_BINS.format('rp', _RISK)}, {_BINS.format('op', _RISK)},
+  count(DISTINCT oh) / count(*), count(DISTINCT rh) / count(*), sum(m2) / (sum(m2) + sum(m3) + 1), count(*) FILTER (pr = 'tcp') / count(*), count(*) FILTER (pr = 'udp') / count(*),
+  count(DISTINCT rp) / count(*), count(DISTINCT op) / count(*), max(rpn) / count(*), max(opn) / count(*), count(*) FILTER (rp = 53) / count(*)], lambda x: CAST(x AS DOUBLE)) AS v
+  FROM (SELECT *, count(*) OVER (PARTITION BY batch, rp) AS rpn, count(*) OVER (PARTITION BY batch, op) AS opn FROM f) GROUP BY 1),
+z AS (SELECT batch, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM v)
+SELECT batch, CAST(i AS INT) AS pos, round(v[i + 1] / s, 7) AS x FROM (SELECT *, unnest(range(0, len(v))) AS i FROM z)""")
 def batch_profile(spark, sf):
-    """Statistical profile of each batch at norm 1 (A10, C5, 1.4 items 5 and 6)."""
-    rows = table(spark, sf, "lineitem").withColumn("batch", F.col("l_linenumber"))
-    out = packets.batch_profile(rows, "batch", ["l_quantity", "l_extendedprice", "l_discount"], ["l_partkey", "l_suppkey"], [7, 22, 443], "l_returnflag")
-    v = F.col("v")
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    return out.select("batch", F.size(v).cast("long").alias("dims"), F.round(v[0], 6).alias("first"), F.round(v[4], 6).alias("fifth"), F.round(F.element_at(v, -1), 9).alias("last"), F.round(total, 5).alias("total"))
+    """Statistical profile of each window of 30 flows: 46 numbers at norm 1 (A10, C5, 1.4 items 5 and 6)."""
+    rows = ordering.global_index(table(spark, sf, "lineitem"), F.floor(F.col("l_orderkey") / 4096), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    proto = F.when(F.col("l_returnflag") == "A", "TCP").when(F.col("l_returnflag") == "N", "udp").otherwise("icmp")
+    flows = rows.select(
+        F.floor((F.col("rn") - 1) / 30).alias("batch"), F.col("l_quantity").alias("duration"), F.col("l_extendedprice").alias("orig_bytes"), (F.col("l_discount") * 100000).alias("resp_bytes"),
+        F.col("l_linenumber").alias("orig_pkts"), F.col("l_tax").alias("resp_pkts"), F.when(F.col("l_partkey") % 9 == 0, 53).otherwise(F.col("l_partkey") * 37 % 65536).alias("resp_p"),
+        (F.col("l_suppkey") * 991 % 65536).alias("orig_p"), F.col("l_suppkey").cast("string").alias("orig_h"), (F.col("l_partkey") % 10).cast("string").alias("resp_h"), proto.alias("proto"),
+    )
+    return packets.batch_profile(flows, "batch").select("batch", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 7))
 
 
 @register("payload_summary", """

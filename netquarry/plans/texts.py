@@ -242,7 +242,7 @@ p AS (SELECT q.vec_id AS q, c.vec_id AS c, c.label AS label, round({_DOT.format(
 
 def _cosine(spark, sf):
     e = table(spark, sf, "embeddings")
-    pairs = retrieval.vector_pairs(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", 4)
+    pairs = retrieval.vector_pairs(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding")
     return pairs.where("q <> c").withColumn("score", F.round("score", 6))
 
 
@@ -262,7 +262,7 @@ def near_vectors(spark, sf):
 
 def _two_stage(spark, sf, head):
     e = table(spark, sf, "embeddings").withColumn("head", F.slice("embedding", 1, head))
-    pairs = retrieval.vector_pairs(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "head", 4).where("q <> c")
+    pairs = retrieval.vector_pairs(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "head").where("q <> c")
     coarse = retrieval.best(pairs, "q", F.round("score", 6), ["c"], 100).select("q", "c")
     full = e.select("vec_id", "embedding")
     rows = coarse.join(full.withColumnsRenamed({"vec_id": "q", "embedding": "qv"}), "q").join(full.withColumnsRenamed({"vec_id": "c", "embedding": "cv"}), "c")
@@ -303,7 +303,7 @@ def dataset_recall(spark, sf):
     means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("embedding"))
     means = means.withColumnRenamed("label", "vec_id")
     q = e.where("vec_id % 50 = 0").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
-    pairs = retrieval.vector_pairs(q, means, "vec_id", "vec_id", "embedding", 4)
+    pairs = retrieval.vector_pairs(q, means, "vec_id", "vec_id", "embedding")
     ranked = retrieval.best(pairs, "q", F.round("score", 6), ["c"], 1 << 30)
     true = e.select(F.col("vec_id").alias("q"), F.col("label").alias("c"))
     return ranked.join(true, ["q", "c"]).select(F.col("q").alias("vec_id"), "rank")

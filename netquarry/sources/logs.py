@@ -122,3 +122,23 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
         return out
 
     return df.select(*walk(df.schema, []))
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, name, length, modified) of a folder's files by name; their contents aren't read."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
+
+
+def read_named(spark: SparkSession, root: str, split: str, name: str) -> DataFrame:
+    """A dataset by split and name: the JSON file <root>/<split>/<name>.json, names in lower case."""
+    return read_dataset(spark, f"{root}/{split.lower()}/{name.lower()}.json")
+
+
+def read_with_failures(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows that parse, manifest of those that don't: file, number of lines, the least such line)."""
+    known = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    lines = lines.select("_file", F.from_json("value", known, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("_file", "r.*")
+    failed = lines.where("_bad is not null").groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("lines"), F.min("_bad").alias("first"))
+    return lines.where("_bad is null").select(*[f.name for f in schema]), failed

@@ -44,6 +44,31 @@ def sort_for_lookup(df: DataFrame, path: str, *keys: str) -> None:
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Appends rows as JSON lines. Each write adds files of its own, committed as a whole, so writers need no lock."""
+    rows.write.mode("append").json(path)
+
+
+def serialised(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row, with all that is nested in it, as one JSON text; null fields stay."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias(name))
+
+
+def write_episodes(episodes: DataFrame, path: str, step: str = "training_step") -> DataFrame:
+    """Episodes as JSON by training step, and the summary of each step, which is written beside them.
+
+    episodes: the step, episode_id, is_correct, trajectories (array), ..."""
+    episodes.write.mode("append").partitionBy(step).json(f"{path}/episodes")
+    right = F.count_if(F.coalesce(F.col("is_correct"), F.lit(False)))
+    n = F.count(F.lit(1))
+    summary = episodes.groupBy(step).agg(
+        n.alias("num_episodes"), right.alias("total_correct"), (n - right).alias("total_incorrect"), (right / n).alias("accuracy"),
+        F.avg(F.greatest(F.size("trajectories"), F.lit(0))).alias("avg_trajectories_per_episode"),
+    )
+    summary.write.mode("append").json(f"{path}/summaries")
+    return summary
+
+
 class Datasets:
     """Named datasets with splits as tables of the session's catalogue."""
 

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netquarry.sources import logs, sinks
 
@@ -99,3 +100,28 @@ def test_underscored_reset_and_sorted_files(spark, tmp_path):
     assert sinks.reset(sinks.underscored(df), "rag_score").columns == ["id_resp_p"]
     sinks.sort_for_lookup(spark.range(100).withColumn("k", F.col("id") % 7), str(tmp_path / "s"), "k")
     assert spark.read.parquet(str(tmp_path / "s")).count() == 100
+
+
+def test_listing_named_datasets_and_failures(spark, tmp_path):
+    (tmp_path / "train").mkdir()
+    _write(tmp_path / "train" / "math.json", ['[{"q": "1+1", "a": 2}, {"q": "x", "a": null}]'])
+    _write(tmp_path / "a.log", ['{"uid": "C1", "n": 1}', "{broken", '{"uid": "C2"}'])
+    listed = logs.list_files(spark, str(tmp_path), "*.log").collect()
+    assert [(r.name, r.length) for r in listed] == [("a.log", (tmp_path / "a.log").stat().st_size)]
+    assert sorted((r.q, r.a) for r in logs.read_named(spark, str(tmp_path), "TRAIN", "Math").collect()) == [("1+1", 2), ("x", None)]
+    good, failed = logs.read_with_failures(spark, str(tmp_path / "a.log"), T.StructType.fromDDL("uid string, n long"))
+    assert sorted(r.uid for r in good.collect()) == ["C1", "C2"]
+    assert [tuple(r) for r in failed.collect()] == [("a.log", 1, "{broken")]
+
+
+def test_appended_lines_episodes_and_serialised_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", True, [1, 2]), (1, "b", None, None), (2, "c", False, [])], "training_step int, episode_id string, is_correct boolean, trajectories array<int>")
+    for _ in range(2):
+        sinks.append_lines(rows, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 6
+    got = {r.training_step: tuple(r)[1:] for r in sinks.write_episodes(rows, str(tmp_path / "e")).collect()}
+    assert got == {1: (2, 1, 1, 0.5, 1.0), 2: (1, 0, 1, 0.0, 0.0)}
+    assert sorted((r.training_step, r.episode_id) for r in spark.read.json(str(tmp_path / "e/episodes")).collect()) == [(1, "a"), (1, "b"), (2, "c")]
+    assert spark.read.json(str(tmp_path / "e/summaries")).count() == 2
+    text = sinks.serialised(rows.where("episode_id = 'b'")).first().json
+    assert json.loads(text) == {"training_step": 1, "episode_id": "b", "is_correct": None, "trajectories": None}
