@@ -90,7 +90,7 @@ def patterns(lengths: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
     return np.unique(-np.sort(-np.concatenate(out), axis=1), axis=0)
 
 
-def fit(shapes: np.ndarray, counts: np.ndarray, steps: int = 200) -> np.ndarray:
+def fit(shapes: np.ndarray, counts: np.ndarray, steps: int = 120) -> np.ndarray:
     """Repeat counts x >= 0 that make the sum of (A x - counts)^2 / counts least, A holding how often each shape has
     each length. A miss is weighed by the count, so rare lengths are met as well as common ones.
 

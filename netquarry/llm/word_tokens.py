@@ -25,7 +25,7 @@ def _cls(first: str) -> str:
 _NOT_PLAIN = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_cls('L')}]+|[{_cls('N')}]|[^\s{_cls('L')}{_cls('N')}]+")
 _NONE = 1 << 62
-_MOST = 200_000  # entries that each cache holds before it starts anew
+_MOST = 200_000  # entries of a cache's generation; a cache holds two
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,8 +51,8 @@ class WordEncoder:
         self.merges = {at[a] << 20 | at[b]: k << 20 | at[a + b] for k, (a, b) in enumerate(pairs)}
         letters = _byte_letters()
         self.inner, self.final = [at[letters[b]] for b in range(256)], [at[letters[b] + mark] for b in range(256)]
-        self.pieces: dict[str, bytes] = {}
-        self.chunks = _Chunks(self)
+        self.pieces = _Known(self._bpe)
+        self.chunks = _Known(self._chunk)
 
     def _bpe(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
@@ -71,17 +71,7 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        out = []
-        for piece in _PIECE.findall(chunk):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= _MOST:
-                    self.pieces.clear()
-                ids = self._bpe(piece)
-                if len(piece) <= 64:
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(chunk)))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -89,18 +79,24 @@ class WordEncoder:
         if _NOT_PLAIN.search(text) or "<|" in text and any(s in text for s in self.special):
             ids = self.library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.chunks) >= _MOST:
-            self.chunks.clear()
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
-class _Chunks(dict):
-    def __init__(self, encoder: WordEncoder):
-        super().__init__()
-        self.encoder = encoder
+class _Known(dict):
+    """text -> ids, remembered. A full generation becomes the old one; what is still met there moves to the new one, so
+    that words in use stay whatever else comes by."""
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encoder._chunk(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
+    def __init__(self, made):
+        super().__init__()
+        self.made, self.old = made, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.made(text)
+        if len(text) <= 64:
+            if len(self) >= _MOST:
+                self.old = dict(self)
+                self.clear()
+            self[text] = ids
         return ids
