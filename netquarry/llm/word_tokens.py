@@ -2,8 +2,9 @@
 
 The tokenizer's file says: NFC, white space to a space, lower case, split into contractions, letter runs, single
 digits and runs of other signs, then BPE with an end-of-word mark inside each piece. A piece's ids depend on nothing
-around it, so they are kept by piece and by white-space chunk. Texts with characters outside `PLAIN` (or with a
-special token's string) go to the tokenizers library whole, so all texts get the library's ids.
+around it, so they are kept by piece and by white-space chunk; a new piece goes to the library's BPE model. Texts with
+characters outside `PLAIN` (or with a special token's string) go to the tokenizers library whole, so all texts get the
+library's ids.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ def _cls(first: str) -> str:
 
 _NOT_PLAIN = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_cls('L')}]+|[{_cls('N')}]|[^\s{_cls('L')}{_cls('N')}]+")
-_NONE = 1 << 62
 _MOST = 200_000  # entries of a cache's generation; a cache holds two
 
 
@@ -44,30 +44,14 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, mark = spec["model"], spec["model"].get("end_of_word_suffix") or ""
-        at = model["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {at[a] << 20 | at[b]: k << 20 | at[a + b] for k, (a, b) in enumerate(pairs)}
-        letters = _byte_letters()
-        self.inner, self.final = [at[letters[b]] for b in range(256)], [at[letters[b] + mark] for b in range(256)]
+        self.letters = _byte_letters()
         self.pieces = _Known(self._bpe)
         self.chunks = _Known(self._chunk)
 
     def _bpe(self, piece: str) -> bytes:
-        data = piece.encode("utf-8")
-        ids = [self.inner[b] for b in data]
-        ids[-1] = self.final[data[-1]]
-        get = self.merges.get
-        ranks = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]  # what joining ids[i] and ids[i + 1] gives
-        while ranks and (best := min(ranks)) != _NONE:
-            i = ranks.index(best)
-            new = ids[i] = best & 0xFFFFF
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | new, _NONE)
-            if i < len(ranks):
-                ranks[i] = get(new << 20 | ids[i + 1], _NONE)
+        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.library.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
