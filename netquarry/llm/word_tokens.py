@@ -50,7 +50,7 @@ class WordEncoder:
         self.chunks = _Known(self._chunk)
 
     def _bpe(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.library.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
