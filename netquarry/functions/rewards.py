@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netquarry.functions.text import answer_kind, last_boxed, normal_answer, one_tag, token_f1
+from netquarry.functions.text import answer_kind, first_boxed, normal_answer, strip_think, token_f1
 
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
 RIGHT_AT = 0.3  # token F1 from which a text answer counts as right
@@ -69,24 +69,62 @@ def math_normal(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+#: Fixed values of the extraction rules.
+BOLD = [r"\*\*([^*]+)\*\*", r"\*([^*]+)\*"]
+DATES = [
+    r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b",
+    r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b",
+    r"\b(?:March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b",
+    r"\b\d{4}\b",
+]
+NAME = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+NOT_NAMES = ["United States", "New York", "Los Angeles", "Great Britain", "Middle East", "South Africa"]
+NUMBERS = [
+    r"\b(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:votes?|dollars?|years?|months?|days?|people|million|billion|percent|%)\b",
+    r"\b(\d+(?:,\d{3})*(?:\.\d+)?)\b",
+]
+SAID = [
+    r"(?:the\s+)?(?:correct\s+)?answer\s+is\s*:?\s*([^.!?]+)",
+    r"(?:therefore|thus|so|hence)\s*,?\s*([^.!?]+)",
+    r"(?:in\s+conclusion|to\s+summarize|in\s+summary)\s*,?\s*([^.!?]+)",
+    r"(?:^|\.\s+)([A-Z][^.!?]*(?:was|is|are|were)\s+[^.!?]+)",
+    r"(?:the\s+answer\s+would\s+be|it\s+(?:is|was))\s*:?\s*([^.!?]+)",
+]
+POINTS = [(r"\b\d{4}\b", 3), (NAME, 2), (r"(?i)\b(?:was|is|are|were)\b", 1)]
+
+
 def extracted(text: Column) -> Column:
-    """An answer by the first rule that finds one: the only tag, the last box, 'answer is', a bold part, the last number,
-    the last line."""
-    said = F.regexp_extract(text, r"(?i)(?:final )?answer(?: is|:)\s*([^\n.]+)", 1)
-    bold = F.regexp_extract(text, r"\*\*([^*]+)\*\*", 1)
-    number = F.try_element_at(F.regexp_extract_all(text, F.lit(r"-?\d+(?:\.\d+)?"), 0), F.lit(-1))
-    last = F.element_at(F.split(F.trim(text), "\n"), -1)
-    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    return F.coalesce(blank(one_tag(text, "answer")), blank(last_boxed(text)), blank(said), blank(bold), number, last)
+    """An answer by the first rule that finds one, thoughts aside: a box, bold words, a date, a name, a number, what is said
+    to be the answer, the sentence that tells most, the first sentence, the first 100 characters."""
+    t = strip_think(text)
+    found = lambda pattern, group=0: F.regexp_extract_all(t, F.lit(f"(?U){pattern}"), group)
+    first = lambda xs: F.try_element_at(xs, F.lit(1))
+    telling = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: (F.length(x) > 2) & x.rlike(r"(?U)\w"))
+    names = F.filter(found(NAME), lambda x: ~x.isin(*NOT_NAMES) & (F.size(F.split(x, " ")) <= 4))
+    said = [F.regexp_replace(F.regexp_extract(t, f"(?imU){p}", 1), r"(?U)^\W+|\W+$", "") for p in SAID]
+    sentences = F.transform(F.split(t, "[.!?]+"), lambda s: F.trim(s))
+
+    def rated(s: Column, i: Column) -> Column:
+        points = F.when(F.size(F.split(s, " ")) < 15, 1).otherwise(0)
+        for pattern, n in POINTS:
+            points = points + F.when(s.rlike(f"(?U){pattern}"), n).otherwise(0)
+        return F.struct(points.alias("points"), (-i).alias("place"), s.alias("s"))
+
+    most = F.array_max(F.transform(F.filter(sentences, lambda s: F.length(s) > 10), rated))
+    return F.coalesce(
+        F.trim(first_boxed(t)), *[first(telling(found(p, 1))) for p in BOLD], *[first(found(f"(?i){p}")) for p in DATES], first(names),
+        *[first(found(p, 1)) for p in NUMBERS], *[F.when(F.length(c) > 3, c) for c in said], F.when(most["points"] > 0, most["s"]),
+        first(F.filter(sentences, lambda s: F.length(s) > 5)), F.trim(F.substring(t, 1, 100)),
+    )
 
 
 def reward(prediction: Column, gold: Column) -> Column:
-    """(kind, reward): equality for yes/no and true/false, normal forms for mathematics, token F1 for text."""
+    """(kind, reward): the gold word is in it for yes/no and true/false, normal forms for mathematics, token F1 for text."""
     kind = answer_kind(gold)
-    p, g = normal_answer(prediction), normal_answer(gold)
-    equal = (p == g).cast("double")
+    named = F.contains(F.lower(prediction), F.lower(F.trim(gold))).cast("double")
     sums = (math_normal(prediction) == math_normal(gold)).cast("double")
-    score = F.when(kind.isin("yesno", "bool"), equal).when(kind.isin("number", "fraction", "math"), sums).otherwise(token_f1(p, g))
+    words = token_f1(normal_answer(prediction), normal_answer(gold))
+    score = F.when(kind.isin("yesno", "bool"), named).when(kind == "math", sums).otherwise(words)
     return F.struct(kind.alias("kind"), score.alias("reward"), (score >= F.when(kind == "text", RIGHT_AT).otherwise(1.0)).alias("right"))
 
 

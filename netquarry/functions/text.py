@@ -96,14 +96,36 @@ def one_tag(text: Column, tag: str) -> Column:
     return F.when(F.size(found) == 1, F.trim(found[0]))
 
 
+#: Patterns of a mathematical answer.
+MATH = [
+    r"^[+-]?\d+$",
+    r"^[+-]?\d*\.\d+$",
+    r"^[+-]?\d+/\d+$",
+    r"\\boxed\{.*\}",
+    r"\\[dtf]?frac\{.*\}\{.*\}",
+    r"^\$.*\$$",
+    r"[+\-*/=<>≤≥≠∫∑∏]",
+    r"^[+-]?\d*\.?\d+[eE][+-]?\d+$",
+    r"[a-zA-Z]\s*[\^+\-*/]|[\^+\-*/]\s*[a-zA-Z]",
+]
+
+
 def answer_kind(text: Column) -> Column:
-    """Type of an answer by ordered patterns."""
+    """yesno, bool, math or text."""
     t = F.trim(text)
-    return (
-        F.when(F.lower(t).rlike(r"^(yes|no)$"), "yesno").when(F.lower(t).rlike(r"^(true|false)$"), "bool")
-        .when(t.rlike(r"^[-+]?\d+(\.\d+)?%?$"), "number").when(t.rlike(r"^[-+]?\d+/\d+$"), "fraction")
-        .when(t.rlike(r"\\(frac|sqrt|pi)|\^|="), "math").otherwise("text")
-    )
+    sums = F.lit(False)
+    for pattern in MATH:
+        sums = sums | t.rlike(pattern)
+    closed = lambda *words: F.lower(t).isin(*words)
+    return F.when(closed("yes", "no"), "yesno").when(closed("true", "false"), "bool").when(sums, "math").otherwise("text")
+
+
+def search_words(text: Column) -> Column:
+    """Lower-case words for retrieval: runs of letters, digits and marks, each Han character by itself; one marker word for
+    a text that has none."""
+    apart = F.regexp_replace(F.lower(text), r"(\p{IsHan})", " $1 ")
+    found = F.regexp_extract_all(apart, F.lit(r"[\p{L}\p{N}\p{M}_]+"), 0)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("__empty__")))
 
 
 def printable(hex_text: Column) -> Column:
@@ -126,19 +148,23 @@ def hex_to_text(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+def _braced(value: str, begin: int) -> str | None:
+    """From `begin` to the brace that closes the one before it; None if it stays open."""
+    depth = 1
+    for k in range(begin, len(value)):
+        depth += {"{": 1, "}": -1}.get(value[k], 0)
+        if not depth:
+            return value[begin:k]
+    return None
+
+
 @F.pandas_udf(T.StringType())
 def last_boxed(values: pd.Series) -> pd.Series:
     """Content of the last \\boxed{...}, braces balanced; null if there is none."""
+    return values.map(lambda v: _braced(v, at + 7) if (at := (v or "").rfind("\\boxed{")) >= 0 else None)
 
-    def one(value):
-        at = (value or "").rfind("\\boxed{")
-        if at < 0:
-            return None
-        depth, begin = 1, at + 7
-        for k in range(begin, len(value)):
-            depth += {"{": 1, "}": -1}.get(value[k], 0)
-            if not depth:
-                return value[begin:k]
-        return None
 
-    return values.map(one)
+@F.pandas_udf(T.StringType())
+def first_boxed(values: pd.Series) -> pd.Series:
+    """Content of the first boxed{...}, with or without a backslash; null if there is none or it stays open."""
+    return values.map(lambda v: _braced(v, at + 6) if (at := (v or "").find("boxed{")) >= 0 else None)

@@ -86,3 +86,40 @@ def varied_groups(df: DataFrame, group: str, reward: str) -> DataFrame:
     judged = stats.withColumn("_one", F.lit(1)).join(F.broadcast(all_), "_one")  # a single row
     keep = judged.where(F.when(F.col("_some") == 1, F.col("_hi") > F.col("_lo")).otherwise(F.col(group) == F.col("_first")))
     return df.join(keep.select(group), group, "left_semi")
+
+
+def contest_ratings(tries: DataFrame, standings: DataFrame, most_tries: int) -> DataFrame:
+    """Per contest: score, penalty, rank, rating, percentile.
+
+    `tries` (contest, problem, points, nth from 0, right): a problem counts by its first right attempt of the first
+    `most_tries`, at 50 less for each before it, or where it has no points at 1 and a penalty of 10 for each. `standings`
+    (contest, r, points, late): those who aren't beaten by score, then penalty, are ahead. The rating is the largest whole
+    number whose expected place isn't better than the rank, found by halving over a histogram of ratings (as many rows as
+    there are ratings, not people). Percentile: share of all ratings below."""
+    first = F.min(F.when(F.col("right") & (F.col("nth") < most_tries), F.col("nth")))
+    solved = tries.groupBy("contest", "problem", "points").agg(first.alias("i"))
+    bare = F.col("points").isNull()
+    gain = F.when(F.col("i").isNull(), 0).when(bare, 1).otherwise(F.greatest(F.lit(0), F.col("points") - 50 * F.col("i")))
+    lost = F.when(bare & F.col("i").isNotNull(), 10 * F.col("i")).otherwise(0)
+    scores = solved.groupBy("contest").agg(F.sum(gain).cast("long").alias("score"), F.sum(lost).cast("long").alias("penalty"))
+    hist = standings.groupBy("contest", "r").agg(F.count(F.lit(1)).alias("n"))
+    people = standings.groupBy("contest", "points", "late").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(scores), "contest")
+    behind = (F.col("points") < F.col("score")) | ((F.col("points") == F.col("score")) & (F.col("late") > F.col("penalty")))
+    ranks = people.groupBy("contest", "score", "penalty").agg(F.sum(F.when(behind, 0).otherwise(F.col("n"))).alias("rank"))
+    ratings = hist.groupBy("contest").agg(F.collect_list(F.struct("r", "n")).alias("hist"), F.max("r").alias("most"))
+
+    def halved(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2)
+        place = F.aggregate("hist", F.lit(1.0), lambda x, h: x + h["n"] / (1 + F.pow(F.lit(10.0), (mid - h["r"]) / 400)))
+        low = place >= F.col("rank")
+        go = at["hi"] - at["lo"] > 1
+        return F.struct(F.when(go & low, mid).otherwise(at["lo"]).alias("lo"), F.when(go & ~low, mid).otherwise(at["hi"]).alias("hi"))
+
+    ends = F.struct(F.lit(0).cast("long").alias("lo"), (F.col("most") + 100).cast("long").alias("hi"))
+    found = ranks.join(ratings, "contest").withColumn("rating", F.aggregate(F.sequence(F.lit(1), F.lit(40)), ends, halved)["lo"])
+    found = found.select("contest", "score", "penalty", "rank", "rating")
+    # Both sides in one order, as many rows as ratings and contests: no pairs of them.
+    both = hist.groupBy("r").agg(F.sum("n").alias("n")).unionByName(found.withColumn("r", F.col("rating")).withColumn("n", F.lit(0)), allowMissingColumns=True)
+    below = F.coalesce(F.sum("n").over(Window.orderBy("r").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.round(below / F.sum("n").over(Window.partitionBy()) * 100, 1)
+    return both.withColumn("percentile", share).where("rating is not null").select(*found.columns, "percentile")

@@ -102,3 +102,50 @@ def verdict(evidence: DataFrame, case: str, skill: str, step: str) -> DataFrame:
     w = Window.partitionBy(case).orderBy(F.desc(F.round("score", 6)), "_first", skill)
     best = per.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return best.select(case, skill, "n_pass", "confidence", (F.col("confidence") > 0.5).alias("attack"))
+
+
+#: Ports that speak for a skill.
+QUIC_PORTS, WEB_PORTS = [443, 7003, 8443, 4433], [80, 8080, 7004]
+
+
+def skill_order(udp: Column, tcp: Column, ports: Column, tls: Column, skills: list[str]) -> Column:
+    """Array of (score, skill), best fit first and `skills` order among equals, from counts of UDP and TCP, the ports met and
+    whether there is TLS."""
+    met = lambda xs: F.arrays_overlap(ports, F.array(*map(F.lit, xs)))
+    has_udp, has_tcp, web, quic = udp > 0, tcp > 0, met(WEB_PORTS), met(QUIC_PORTS)
+    std = F.array_contains(ports, 443)
+    fit = {
+        "quic": F.when(has_udp & quic, 100).when(has_udp, 50).otherwise(5),
+        "kcp": F.when(has_udp & ~quic, 90).when(has_udp, 40).otherwise(10),
+        "wss": F.when(has_tcp & std & tls, 95).otherwise(25),
+        "ws": F.when(has_tcp & web & ~tls, 85).otherwise(20),
+        "tcp_tls": F.when(has_tcp & tls & ~std, 75).otherwise(30),
+        "tcp": F.when(has_tcp, 60).otherwise(5),
+    }
+    rated = [F.struct((-fit.get(s, F.lit(1))).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("skill")) for i, s in enumerate(skills)]
+    return F.transform(F.array_sort(F.array(*rated)), lambda x: F.struct((-x["less"]).alias("score"), x["skill"].alias("skill")))
+
+
+def flow_features(flows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(uid, f0 .. f17), log1p of 12 host counts and 6 of the flow.
+
+    Flows, packets and bytes sent and received by the source, then by the destination; the flow's packets, duration and
+    bytes, and least, largest and mean packet length of `lengths` (uid, lo, hi, mean), for a flow without packets 0, 0 and
+    the mean of its own counts. `flows`: uid, src, dst, orig_pkts, resp_pkts, orig_bytes, resp_bytes, duration."""
+    zero = F.lit(0)
+    end = lambda host, sent, got: F.struct(
+        F.col(host).alias("host"), *[x.alias(n) for n, x in zip(("sf", "sp", "sb"), sent)], *[x.alias(n) for n, x in zip(("rf", "rp", "rb"), got)]
+    )
+    nothing = [zero.cast("long")] * 3
+    counts = lambda side: [F.lit(1).cast("long"), F.col(f"{side}_pkts").cast("long"), F.col(f"{side}_bytes").cast("long")]
+    ends = flows.select(F.explode(F.array(end("src", counts("orig"), nothing), end("dst", nothing, counts("resp")))).alias("x")).select("x.*")
+    names = ["sf", "sp", "sb", "rf", "rp", "rb"]
+    hosts = ends.groupBy("host").agg(*[F.sum(n).alias(n) for n in names])
+    rows = flows.join(lengths, "uid", "left")
+    for side in ("src", "dst"):
+        rows = rows.join(hosts.select(F.col("host").alias(side), *[F.col(n).alias(f"{side}_{n}") for n in names]), side, "left")
+    packets, size = F.col("orig_pkts") + F.col("resp_pkts"), F.col("orig_bytes") + F.col("resp_bytes")
+    mean = F.coalesce("mean", F.when(packets > 0, size / packets).otherwise(0.0))
+    values = [F.coalesce(f"{side}_{n}", zero) for side in ("src", "dst") for n in names]
+    values += [packets, F.col("duration"), size, F.coalesce("lo", zero), F.coalesce("hi", zero), mean]
+    return rows.select("uid", *[F.log1p(v.cast("double")).alias(f"f{i}") for i, v in enumerate(values)])

@@ -26,3 +26,21 @@ def directions(packets: DataFrame, key: str, order: list[str], text: str, forwar
     part = F.struct(*order, F.col(text).alias("_text"))
     stream = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda p: p["_text"]), "")
     return packets.groupBy(key).agg(stream(F.when(forward, part)).alias("out"), stream(F.when(~forward, part)).alias("back"))
+
+
+def conversation(head: dict[str, Column], packets: Column) -> Column:
+    """A flow as text for a reader: a header of `head` (uid, proto, service, src, sport, dst, dport) and each of `packets`
+    (ts, nth, forward, length, decoded, hex) in order, the beginning of its hex where it has no text."""
+    ends = [F.concat_ws(":", head[a], head[p].cast("string")) for a, p in (("src", "sport"), ("dst", "dport"))]
+    header = F.concat(
+        F.lit("Session UID: "), head["uid"].cast("string"), F.lit("\nProtocol: "), head["proto"], F.lit(" | Service: "),
+        F.coalesce(head["service"], F.lit("none")), F.lit("\n"), ends[0], F.lit("  -->  "), ends[1], F.lit("\n" + "=" * 50),
+    )
+
+    def line(p: Column) -> Column:
+        sender = F.when(p["forward"], F.concat(head["src"], F.lit(" --> ("))).otherwise(F.concat(head["dst"], F.lit(" <-- (")))
+        shown = F.coalesce(F.nullif(p["decoded"], F.lit("")), F.concat(F.lit("[HEX ONLY]: "), F.substring(p["hex"], 1, 50), F.lit("...")))
+        at = F.concat(F.lit("\n["), F.date_format(p["ts"], "HH:mm:ss.SSS"), F.lit("] "))
+        return F.concat(at, sender, p["length"].cast("string"), F.lit(" bytes):\n"), shown, F.lit("\n" + "-" * 20))
+
+    return F.array_join(F.concat(F.array(header), F.transform(F.array_sort(packets), line)), "\n")

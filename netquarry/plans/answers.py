@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import rewards, text
+from netquarry.operators import packets, payload
 from netquarry.plans.registry import register, table
 
 
@@ -26,46 +27,67 @@ def countdown_reward(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", rewards.countdown_reward(rewards.countdown_equation(made), nums, goal).alias("reward"))
 
 
-@register("answer_cascade", """
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'tag' WHEN 1 THEN CAST(n_chars AS VARCHAR) WHEN 2 THEN 'said ' || lang WHEN 3 THEN lang WHEN 4 THEN CAST(n_chars AS VARCHAR) ELSE 'last line' END AS answer FROM documents""")
+@register("answer_cascade", r"""
+WITH x AS (SELECT doc_id, doc_id % 12 AS k, n_chars AS n, lang, CAST(n_chars % 900 + 1 AS VARCHAR) AS few, CAST(1900 + n_chars % 100 AS VARCHAR) AS y FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 'f{' || n || '}' WHEN 1 THEN lang || 'x' WHEN 2 THEN 'then' WHEN 3 THEN 'March ' || (n % 28 + 1) || ', ' || y WHEN 4 THEN y WHEN 5 THEN 'Mary Ann Lee'
+  WHEN 6 THEN few WHEN 7 THEN few WHEN 8 THEN 'blue ' || lang WHEN 9 THEN 'we go' WHEN 10 THEN 'no hint here at all' ELSE 'tiny' END AS answer FROM x""")
 def answer_cascade(spark, sf):
-    """The first extraction rule that finds an answer."""
-    k, n = F.col("doc_id") % 6, F.col("n_chars").cast("string")
-    s = F.when(k == 0, F.lit("x <answer> tag </answer> \\boxed{no}")).when(k == 1, F.concat(F.lit("so \\boxed{"), n, F.lit("} ok")))
-    s = s.when(k == 2, F.concat(F.lit("The answer is said "), F.col("lang"), F.lit(". Done"))).when(k == 3, F.concat(F.lit("it is **"), F.col("lang"), F.lit("** here")))
-    s = s.when(k == 4, F.concat(F.lit("7 and then "), n, F.lit(" of them"))).otherwise("first\nlast line")
+    """The first extraction rule that finds an answer: each of the nine with a text that later rules would read otherwise."""
+    n, lang = F.col("n_chars"), F.col("lang")
+    few, year = (n % 900 + 1).cast("string"), (1900 + n % 100).cast("string")
+    texts = [
+        F.concat(F.lit("<think>**no**</think> \\boxed{f{"), n.cast("string"), F.lit("}} **x yz** 1999")),
+        F.concat(F.lit("it is **"), lang, F.lit("x** or *other* in 1999")), F.lit("** a ** **!!** then *word*"),
+        F.concat(F.lit("on March "), (n % 28 + 1).cast("string"), F.lit(", "), year, F.lit(" or 1/2/2003")),
+        F.concat(F.lit("around february "), year), F.lit("we saw United States and Mary Ann Lee, 7"),
+        F.concat(F.lit("all 1,234 of "), few, F.lit(" people")), F.concat(F.lit("got "), few, F.lit(" of them")),
+        F.concat(F.lit("so: the answer is: blue "), lang, F.lit("! ok")), F.lit("therefore, we go. fine"), F.lit("short. no hint here at all. x"), F.lit("tiny"),
+    ]
+    s = F.get(F.array(*texts), (F.col("doc_id") % len(texts)).cast("int"))
     return table(spark, sf, "documents").select("doc_id", rewards.extracted(s).alias("answer"))
 
 
 @register("reward_dispatch", """
-WITH x AS (SELECT doc_id, doc_id % 5 AS k, n_chars, lang FROM documents)
-SELECT doc_id, CASE k WHEN 0 THEN 'yesno' WHEN 1 THEN 'number' WHEN 2 THEN 'math' WHEN 3 THEN 'bool' ELSE 'text' END AS kind,
-  CAST(CASE k WHEN 0 THEN CAST(n_chars % 2 = 0 AS INT) WHEN 1 THEN 1 WHEN 2 THEN CAST(n_chars % 3 = 0 AS INT) WHEN 3 THEN 0 ELSE 0.5 END AS DOUBLE) AS reward,
-  CASE k WHEN 0 THEN n_chars % 2 = 0 WHEN 1 THEN TRUE WHEN 2 THEN n_chars % 3 = 0 WHEN 3 THEN FALSE ELSE TRUE END AS "right" FROM x""")
+WITH x AS (SELECT doc_id, doc_id % 8 AS k, n_chars AS n FROM documents),
+r AS (SELECT doc_id, k, CASE k WHEN 0 THEN CAST(n % 2 = 0 AS INT) WHEN 1 THEN 1 WHEN 2 THEN CAST(n % 3 = 0 AS INT) WHEN 3 THEN 0 WHEN 4 THEN 0.5 WHEN 5 THEN 1 WHEN 6 THEN CAST(n % 2 = 0 AS INT) ELSE CAST(n % 7 = 3 AS INT) END AS reward FROM x)
+SELECT doc_id, CASE k WHEN 0 THEN 'yesno' WHEN 3 THEN 'bool' WHEN 4 THEN 'text' ELSE 'math' END AS kind, CAST(reward AS DOUBLE) AS reward, CASE k WHEN 4 THEN reward >= 0.3 ELSE reward = 1 END AS "right" FROM r""")
 def reward_dispatch(spark, sf):
     """Rewards by the kind of the true answer."""
-    k, n = F.col("doc_id") % 5, F.col("n_chars")
-    p = F.when(k == 0, F.when(n % 2 == 0, "Yes.").otherwise("no")).when(k == 1, F.concat(F.lit(" "), n.cast("string"), F.lit(".50 %")))
-    p = p.when(k == 2, F.when(n % 3 == 0, "\\dfrac{1}{2} \\text{cm}").otherwise("\\frac{1}{3}")).when(k == 3, "maybe").otherwise("the red car")
-    g = F.when(k == 0, "yes").when(k == 1, F.concat(n.cast("string"), F.lit(".5"))).when(k == 2, "\\frac{1}{2}").when(k == 3, "true").otherwise("a blue car")
-    rows = table(spark, sf, "documents").select("doc_id", rewards.reward(p, g).alias("r"))
+    n = F.col("n_chars")
+    s = n.cast("string")
+    cases = [
+        (F.when(n % 2 == 0, "Yes, it is.").otherwise("no"), F.lit(" yes")), (F.concat(F.lit(" "), s, F.lit(".50 %")), F.concat(s, F.lit(".5"))),
+        (F.when(n % 3 == 0, "\\dfrac{1}{2} \\text{cm}").otherwise("\\frac{1}{3}"), F.lit("\\frac{1}{2}")), (F.lit("maybe"), F.lit("True")),
+        (F.lit("the red car"), F.lit("a blue car")), (F.concat(F.lit("1e"), s), F.concat(F.lit("1e"), s)),
+        (F.when(n % 2 == 0, "x ^2").otherwise("x^3"), F.lit("x^2")), ((n % 7).cast("string"), F.lit("$3$")),
+    ]
+    pick = lambda i: F.get(F.array(*[c[i] for c in cases]), (F.col("doc_id") % len(cases)).cast("int"))
+    rows = table(spark, sf, "documents").select("doc_id", rewards.reward(pick(0), pick(1)).alias("r"))
     return rows.select("doc_id", "r.kind", F.round("r.reward", 6).alias("reward"), "r.right")
 
 
 @register("conversation_text", """
-SELECT user_id AS host, string_agg(CASE event_type WHEN 'error' THEN '<- ' ELSE '-> ' END || strftime(ts, '%H:%M:%S.%g') || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS txt
-FROM events GROUP BY 1""")
+WITH p AS (SELECT *, '10.0.0.' || user_id AS src, coalesce(props, '') AS raw FROM events)
+SELECT user_id AS host, 'Session UID: ' || user_id || chr(10) || 'Protocol: tcp | Service: none' || chr(10) || min(src) || ':4000  -->  10.1.0.1:443' || chr(10) || repeat('=', 50) || chr(10) ||
+  string_agg(chr(10) || '[' || strftime(ts, '%H:%M:%S.%g') || '] ' || CASE event_type WHEN 'error' THEN '10.1.0.1 <-- (' ELSE src || ' --> (' END || length(raw) || ' bytes):' || chr(10) ||
+    CASE event_type WHEN 'view' THEN '[HEX ONLY]: ' || substr(hex(raw), 1, 50) || '...' ELSE raw END || chr(10) || repeat('-', 20), chr(10) ORDER BY ts, event_id) AS txt
+FROM p GROUP BY 1""")
 def conversation_text(spark, sf):
-    """A flow's packets as text with arrows and times."""
+    """A flow with its header and its packets in order: times, senders, arrows, bytes, text or hex."""
     return _conversations(table(spark, sf, "events"))
 
 
 def _conversations(events):
-    arrow = F.when(F.col("event_type") == "error", "<- ").otherwise("-> ")
-    line = F.concat(arrow, F.date_format(F.col("ts").cast("timestamp"), "HH:mm:ss.SSS"), F.lit(" "), F.col("event_type"))
-    rows = events.withColumn("line", line)
-    got = rows.groupBy(F.col("user_id").alias("host")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))).alias("x"))
-    return got.select("host", F.array_join(F.transform("x", lambda p: p["line"]), "\n").alias("txt"))
+    raw = F.coalesce("props", F.lit(""))
+    shown = F.when(F.col("event_type") == "view", "").otherwise(raw)
+    packet = F.struct(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("nth"), (F.col("event_type") != "error").alias("forward"),
+        F.length(raw).alias("length"), shown.alias("decoded"), F.hex(F.encode(raw, "UTF-8")).alias("hex"),
+    )
+    rows = events.groupBy(F.col("user_id").alias("host")).agg(F.collect_list(packet).alias("packets"))
+    head = {"uid": F.col("host"), "proto": F.lit("tcp"), "service": F.lit(None).cast("string"), "src": F.concat(F.lit("10.0.0."), F.col("host").cast("string"))}
+    head |= {"sport": F.lit(4000), "dst": F.lit("10.1.0.1"), "dport": F.lit(443)}
+    return rows.select("host", payload.conversation(head, F.col("packets")).alias("txt"))
 
 
 @register("label_from_name", """
@@ -95,12 +117,22 @@ def compact_filter(spark, sf):
 
 
 @register("skill_order", """
-SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_acctbal > 5000 THEN 2 WHEN s_acctbal > 0 THEN 1 ELSE 0 END DESC, s_suppkey) AS pos FROM supplier""")
+WITH f AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'R') AS udp, count(*) FILTER (l_returnflag <> 'R') AS tcp, list([443, 80, 7003, 22, 8080, 9000][1 + l_partkey % 6]) AS ports, bool_or(l_linestatus = 'O') AS tls FROM lineitem GROUP BY 1),
+q AS (SELECT *, list_has_any(ports, [443, 7003, 8443, 4433]) AS quic, list_has_any(ports, [80, 8080, 7004]) AS web, list_contains(ports, 443) AS std FROM f),
+s AS (SELECT k, unnest([{'i': 0, 'skill': 'tcp', 'score': CASE WHEN tcp > 0 THEN 60 ELSE 5 END}, {'i': 1, 'skill': 'tcp_tls', 'score': CASE WHEN tcp > 0 AND tls AND NOT std THEN 75 ELSE 30 END},
+  {'i': 2, 'skill': 'ws', 'score': CASE WHEN tcp > 0 AND web AND NOT tls THEN 85 ELSE 20 END}, {'i': 3, 'skill': 'wss', 'score': CASE WHEN tcp > 0 AND std AND tls THEN 95 ELSE 25 END},
+  {'i': 4, 'skill': 'kcp', 'score': CASE WHEN udp > 0 AND NOT quic THEN 90 WHEN udp > 0 THEN 40 ELSE 10 END}, {'i': 5, 'skill': 'quic', 'score': CASE WHEN udp > 0 AND quic THEN 100 WHEN udp > 0 THEN 50 ELSE 5 END}]) AS x FROM q)
+SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY x.score DESC, x.i) AS INT) AS pos, x.skill AS skill, x.score AS score FROM s""")
 def skill_order(spark, sf):
-    """Rules in a stable order by heuristic score."""
-    score = F.when(F.col("s_acctbal") > 5000, 2).when(F.col("s_acctbal") > 0, 1).otherwise(0)
-    w = Window.partitionBy("s_nationkey").orderBy(score.desc(), "s_suppkey")
-    return table(spark, sf, "supplier").select("s_suppkey", F.row_number().over(w).alias("pos"))
+    """Rules in a stable order by how well a capture's transport, ports and encryption fit them."""
+    port = F.get(F.array(*map(F.lit, [443, 80, 7003, 22, 8080, 9000])), (F.col("l_partkey") % 6).cast("int"))
+    flows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.count_if(F.col("l_returnflag") == "R").alias("udp"), F.count_if(F.col("l_returnflag") != "R").alias("tcp"),
+        F.collect_set(port).alias("ports"), F.bool_or(F.col("l_linestatus") == "O").alias("tls"),
+    )
+    order = packets.skill_order(F.col("udp"), F.col("tcp"), F.col("ports"), F.col("tls"), ["tcp", "tcp_tls", "ws", "wss", "kcp", "quic"])
+    rows = flows.select("k", F.posexplode(order).alias("pos", "x"))
+    return rows.select("k", (F.col("pos") + 1).alias("pos"), "x.skill", "x.score")
 
 
 @register("trace_query", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netquarry.operators import joins, metrics, ordering, payload
+from netquarry.operators import joins, metrics, ordering, packets, payload
 from netquarry.plans.registry import register, table
 
 PACKET_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -502,9 +502,26 @@ def packet_tokens(spark, sf):
     return rows.select("uid", "host", "j", F.round("since", 3).alias("since"), time.alias("time_token"), size.alias("size_token"))
 
 
+_FLOW_SQL = "SELECT o_orderkey AS uid, o_custkey % 150 AS src, o_orderkey % 150 AS dst, o_orderkey % 13 AS op, o_custkey % 11 AS rp, o_orderkey % 17 * 100 AS ob, CAST(round(o_totalprice) AS BIGINT) AS rb, o_orderkey % 600 / 10.0 AS dur FROM orders"
+_ENDS = ["coalesce(a.sf, 0)", "coalesce(a.sp, 0)", "coalesce(a.sb, 0)", "coalesce(c.rf, 0)", "coalesce(c.rp, 0)", "coalesce(c.rb, 0)"]
+_SOURCE, _TARGET = _ENDS, [x.replace("(a.", "(b.").replace("(c.", "(d.") for x in _ENDS]
+_OWN = ["op + rp", "dur", "ob + rb", "coalesce(lo, 0)", "coalesce(hi, 0)", "coalesce(mean, CASE WHEN op + rp > 0 THEN (ob + rb) / (op + rp) ELSE 0 END)"]
+
+
 @register("feature_vector", f"""
-SELECT host, round(ln(1 + count(*)), 6) AS f0, round(ln(1 + sum(bytes)), 6) AS f1, round(ln(1 + max(bytes)), 6) AS f2, round(ln(1 + count(*) FILTER (kind = 'error')), 6) AS f3 FROM {_E} GROUP BY 1""")
+WITH f AS ({_FLOW_SQL}), s AS (SELECT src AS h, count(*) AS sf, sum(op) AS sp, sum(ob) AS sb FROM f GROUP BY 1), r AS (SELECT dst AS h, count(*) AS rf, sum(rp) AS rp, sum(rb) AS rb FROM f GROUP BY 1),
+p AS (SELECT uid, min(l_quantity) AS lo, max(l_quantity) AS hi, avg(l_quantity) AS mean FROM (SELECT l_orderkey AS uid, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_quantity) AS n FROM lineitem) WHERE n <= 100 GROUP BY 1)
+SELECT uid, {', '.join(f'round(ln(1 + {x}), 6) AS f{i}' for i, x in enumerate(_SOURCE + _TARGET + [y.replace("rp", "f.rp").replace("rb", "f.rb") for y in _OWN]))}
+FROM f LEFT JOIN p USING (uid) LEFT JOIN s a ON a.h = src LEFT JOIN r c ON c.h = src LEFT JOIN s b ON b.h = dst LEFT JOIN r d ON d.h = dst""")
 def feature_vector(spark, sf):
-    """log1p features of each host."""
-    f = [F.count(F.lit(1)), F.sum("bytes"), F.max("bytes"), F.count_if(F.col("kind") == "error")]
-    return _events(spark, sf).groupBy("host").agg(*[F.round(F.log1p(c), 6).alias(f"f{i}") for i, c in enumerate(f)])
+    """Twelve log counts of both hosts and six of the flow itself."""
+    key, who = F.col("o_orderkey"), F.col("o_custkey")
+    flows = table(spark, sf, "orders").select(
+        key.alias("uid"), (who % 150).alias("src"), (key % 150).alias("dst"), (key % 13).alias("orig_pkts"), (who % 11).alias("resp_pkts"),
+        (key % 17 * 100).alias("orig_bytes"), F.round("o_totalprice").cast("long").alias("resp_bytes"), (key % 600 / 10).alias("duration"),
+    )
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("uid"), "l_shipdate", "l_linenumber", "l_quantity")
+    first = ordering.top_k(lines, ["uid"], [F.col(c) for c in ("l_shipdate", "l_linenumber", "l_quantity")], 100)
+    lengths = first.groupBy("uid").agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.avg("l_quantity").alias("mean"))
+    rows = packets.flow_features(flows, lengths)
+    return rows.select("uid", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(18)])

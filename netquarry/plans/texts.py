@@ -118,7 +118,7 @@ def word_overlap(spark, sf):
 WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a <answer> ' || n_chars || ' </answer>' WHEN 1 THEN '<answer>1</answer><answer>2</answer>' ELSE 'none' END AS s FROM documents),
 a AS (SELECT doc_id, s, CASE WHEN len(regexp_extract_all(s, '(?s)<answer>(.*?)</answer>', 1)) = 1 THEN trim(regexp_extract_all(s, '(?s)<answer>(.*?)</answer>', 1)[1]) END AS answer FROM t)
 SELECT doc_id, answer, CASE WHEN contains(s, '<answer>') THEN 1 ELSE -1 END AS format_reward,
-  CASE WHEN regexp_matches(answer, '^[-+]?\d+(\.\d+)?%?$') THEN 'number' WHEN answer IS NOT NULL THEN 'text' END AS kind FROM a""")
+  CASE WHEN regexp_matches(answer, '^[-+]?\d+$') THEN 'math' WHEN answer IS NOT NULL THEN 'text' END AS kind FROM a""")
 def tag_answer(spark, sf):
     """The only tagged answer, its type, and the reward for having a tag."""
     n = F.col("doc_id") % 3
@@ -310,8 +310,8 @@ def dataset_recall(spark, sf):
 
 
 _BM25_SQL = r"""
-WITH dt AS (SELECT doc_id AS d, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM documents),
-qt AS (SELECT item_id AS q, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM benchmark),
+WITH dt AS (SELECT doc_id AS d, CASE WHEN len(ts) > 0 THEN ts ELSE ['__empty__'] END AS ts FROM (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{N}\p{M}_]+') AS ts FROM documents)),
+qt AS (SELECT item_id AS q, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE ['__empty__'] END) AS t FROM (SELECT item_id, regexp_extract_all(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{N}\p{M}_]+') AS ts FROM benchmark)),
 st AS (SELECT count(*) AS n_docs, avg(len(ts)) AS mean_len FROM dt),
 tf AS (SELECT d, l, t, count(*) AS tf FROM (SELECT d, len(ts) AS l, unnest(ts) AS t FROM dt) GROUP BY 1, 2, 3),
 i0 AS (SELECT t, ln(n_docs - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, st GROUP BY t, n_docs),
@@ -322,13 +322,13 @@ r AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC,
 
 
 def _word_tables(spark, sf):
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    words = text.search_words(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", words.alias("ts")), table(spark, sf, "benchmark").select("item_id", words.alias("ts"))
 
 
 @register("bm25_topk", _BM25_SQL + "SELECT q, d, score, rank FROM r WHERE rank <= 5")
 def bm25_topk(spark, sf):
-    """Okapi BM25 of queries over a corpus, documents of every language."""
+    """Okapi BM25 of queries over a corpus, documents of every language."""
     return retrieval.bm25(*_word_tables(spark, sf), "doc_id", "item_id", "ts", 5).select("q", "d", "score", "rank")
 
 

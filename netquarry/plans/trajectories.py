@@ -215,17 +215,23 @@ def percentile_rank(spark, sf):
 
 
 @register("contest_rating", """
-WITH c AS (SELECT o_custkey % 5 AS contest, 800 + o_custkey % 2000 AS r FROM orders GROUP BY ALL), h AS (SELECT contest, r, count(*) AS n FROM c GROUP BY 1, 2),
-g AS (SELECT unnest(range(0, 3001, 25)) AS m), e AS (SELECT contest, m, abs(sum(n / (1 + power(10, (m - r) / 400.0))) - 30) AS miss FROM h, g GROUP BY 1, 2)
-SELECT contest, arg_min(m, (round(miss, 6), m)) AS rating FROM e GROUP BY 1""")
+WITH c AS (SELECT o_custkey AS h, o_custkey % 5 AS contest, 800 + o_custkey % 2000 AS r, 30000 * count(*) AS points, sum(o_orderkey % 60) AS late FROM orders GROUP BY 1),
+a AS (SELECT o_custkey AS h, o_orderstatus = 'F' AS ok, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders), p AS (SELECT h, min(i) AS i FROM a WHERE ok AND i < 16 GROUP BY 1),
+s AS (SELECT contest, coalesce(sum(CASE WHEN i IS NULL THEN 0 WHEN h % 3 = 0 THEN 1 ELSE greatest(0, 500 * (1 + h % 4) - 50 * i) END), 0) AS score, coalesce(sum(CASE WHEN h % 3 = 0 THEN 10 * i END), 0) AS penalty FROM c LEFT JOIN p USING (h) GROUP BY 1),
+k AS (SELECT contest, score, penalty, count(*) FILTER (NOT (c.points < score OR c.points = score AND c.late > penalty)) AS rank, max(r) AS most FROM c JOIN s USING (contest) GROUP BY 1, 2, 3),
+g AS (SELECT contest, rank, unnest(range(1, most + 100)) AS m FROM k), e AS (SELECT contest, rank, m, 1 + sum(1 / (1 + power(10, (m - r) / 400.0))) AS seed FROM g JOIN c USING (contest) GROUP BY 1, 2, 3),
+b AS (SELECT contest, max(CASE WHEN seed >= rank THEN m ELSE 0 END) AS rating FROM e GROUP BY 1)
+SELECT contest, CAST(score AS BIGINT) AS score, CAST(penalty AS BIGINT) AS penalty, rank, rating, round((SELECT count(*) FILTER (r < rating) FROM c) / (SELECT count(*) FROM c) * 100, 1) AS percentile FROM k JOIN b USING (contest)""")
 def contest_rating(spark, sf):
-    """The rating whose expected rank in each contest is nearest to the one reached."""
-    rows = table(spark, sf, "orders").select((F.col("o_custkey") % 5).alias("contest"), (F.col("o_custkey") % 2000 + 800).alias("r")).distinct()
-    hist = rows.groupBy("contest", "r").agg(F.count(F.lit(1)).alias("n"))  # at most a row for each rating
-    grid = hist.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(3000), F.lit(25))))
-    miss = grid.groupBy("contest", "m").agg(F.abs(F.sum(F.col("n") / (1 + F.pow(F.lit(10.0), (F.col("m") - F.col("r")) / 400))) - 30).alias("miss"))
-    best = miss.groupBy("contest").agg(F.min(F.struct(F.round("miss", 6).alias("miss"), "m")).alias("b"))
-    return best.select("contest", F.col("b.m").alias("rating"))
+    """Score with attempts taken off, place in the standings, and the rating whose expected place is that one."""
+    o = table(spark, sf, "orders")
+    people = o.groupBy("o_custkey").agg((F.count(F.lit(1)) * 30000).alias("points"), F.sum(F.col("o_orderkey") % 60).alias("late"))
+    people = people.select((F.col("o_custkey") % 5).alias("contest"), (F.col("o_custkey") % 2000 + 800).alias("r"), "points", "late")
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    h = F.col("o_custkey")
+    worth = F.when(h % 3 != 0, 500 * (h % 4 + 1))  # some problems have no points
+    tries = o.select((h % 5).alias("contest"), h.alias("problem"), worth.alias("points"), nth.alias("nth"), (F.col("o_orderstatus") == "F").alias("right"))
+    return metrics.contest_ratings(tries, people, 16)
 
 
 @register("difficulty_mean", """
