@@ -196,7 +196,7 @@ def test_rows_are_not_picked_by_number(spark, tmp_path):
     folder = _write(tmp_path, events=events, lineitem=lines)
     run = lambda name: registry.QUERIES[f"{name}"](spark, folder)
     assert sorted(tuple(r) for r in run("tool_calls").collect()) == [(i, "click", 18 + i % 4) for i in ids]
-    texts = {r.host: r.txt.count("\n") + 1 for r in run("conversation_text").collect()}
+    texts = {r.host: r.txt.count(" bytes):\n") for r in run("conversation_text").collect()}
     assert texts == dict.fromkeys(range(18, 22), 3)
     assert {tuple(r) for r in run("knowledge_pick").collect()} == {(1, 2, "7,5"), (2, 1, "9")}
     assert {tuple(r) for r in run("fragment_recovery").collect()} == {(a, b) for a in ids for b in ids if a * 3 > 10 and a != b and a % 4 == b % 4}
