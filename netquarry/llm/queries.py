@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontaminate, edit_counts, html_extract, repeats, sharding, toxicity, url_reputation
+from netquarry.llm import chat_format, decontaminate, edit_counts, html_extract, repeats, resample, sharding, token_alignment, toxicity, url_reputation
 from netquarry.llm.exact_dedup import exact_groups
 from netquarry.llm.near_dedup import near_classes
 from netquarry.llm.packing import pack, tokenize
@@ -234,3 +234,104 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def byte_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def piece_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@_query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of all documents, rated by how many documents hold each link."""
+    rows = token_alignment.aligned(_table(spark, sf_dir, "documents"), byte_tokenizer_path(), piece_tokenizer_path())
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return token_alignment.rated(rows.withColumn("groups_sha256", digest).drop("groups"))
+
+
+@_query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, as read back from their formatted text."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = chat_format.formatted(given.unionByName(hard))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return rows.withColumn("loss", chat_format.loss_text("formatted", "loss_spans")).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE_SQL["op12_chat_format"] = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+safe AS (
+  SELECT *, regexp_replace(text, '([\[<]\\*)(/?INST\]|/?ROLE\b|/?s>)', '\1\\\2', 'g') AS kept,
+         replace(replace(role, '%', '%25'), ']', '%5D') AS name FROM given)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(kept) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE 16 + length(name) END) AS BIGINT)
+         AS formatted_chars
+FROM safe GROUP BY conv_id
+"""
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighted towards the benchmark's word runs, with the rank of those that are drawn."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 has no function there: it is folded over the bytes of each different feature.
+ORACLE_SQL["op13_importance_resampling"] = r"""
+WITH RECURSIVE crc_steps(b, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_steps WHERE k = 8),
+texts AS (
+  SELECT 0 AS kind, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+split AS (
+  SELECT kind, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT kind, r, array_to_string(w[i:i + n - 1], ' ') AS feature
+  FROM (SELECT kind, r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)),
+bytes AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM runs)),
+hashed AS (
+  SELECT feature, xor(list_reduce(list_transform(range(1, CAST(length(h) AS BIGINT), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+         lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM bytes, crc_table),
+counts AS (
+  SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM runs JOIN hashed USING (feature) GROUP BY 1),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS g
+  FROM counts),
+weights AS (
+  SELECT r, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS weight FROM runs JOIN hashed USING (feature) JOIN gain USING (bucket)
+  WHERE kind = 0 GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM split LEFT JOIN weights USING (r) WHERE kind = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS p, count(*) FILTER (fit) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND p <= 5 * n // 100 THEN p END AS rank FROM placed
+"""
