@@ -110,6 +110,11 @@ def _placed(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.withColumn("_row", F.row_number().over(inside)).join(starts, [by, "_part"])
 
 
+def numbered(rows: DataFrame, by: str, order: str, name: str = "place") -> DataFrame:
+    """Adds the 0-based place of each row in its dataset. Equal values of `order` get places in any order."""
+    return _placed(rows, by, order).withColumn(name, (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_start")
+
+
 def first_valid(candidates: list[tuple[str, Column]], valid) -> tuple[Column, Column]:
     """(name, value) of the first candidate that holds: the ordered fallback of case 1, case 2, case 3."""
     name, value = F.lit(None).cast("string"), F.lit(None)

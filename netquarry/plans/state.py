@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import vectors
+from netquarry.durable import shared_folder
 from netquarry.operators import state
+from netquarry.operators.queue import DetectionCursor, WorkQueue
 from netquarry.plans.registry import register, table
 
 _CURSOR = """
@@ -23,12 +25,73 @@ SELECT d AS dataset, win AS "window", skip, coalesce(a - skip + 1, -1) AS start,
 
 @register("cursor_fold", _CURSOR)
 def cursor_fold(spark, sf):
-    """Windows whose next start depends on the result before."""
+    """Windows whose next start depends on the result before (X1, K6); detection_queue is the durable form."""
     bad = (F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)
     rows = table(spark, sf, "events").select((F.col("user_id") % 4).alias("dataset"), "event_id", bad.alias("bad"))
     return state.cursor_windows(rows, "dataset", "event_id", "bad")
 
 
+def _first_bad_run(window):
+    """The first run of flagged rows; windows that begin at some identifiers are poisoned."""
+    if window["event_id"].iloc[0] % 7 == 3:
+        raise ValueError(f"no answer for {window['event_id'].iloc[0]}")
+    bad = window["bad"].tolist()
+    if True not in bad:
+        return None
+    a = bad.index(True)
+    return a + 1, (bad[a:] + [False]).index(False)
+
+
+@register("detection_queue", """
+WITH RECURSIVE r AS (SELECT user_id % 4 AS d, event_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS rn, event_type = 'error' AND event_id % 3 = 0 AS bad FROM events),
+n AS (SELECT d, count(*) AS n FROM r GROUP BY 1),
+nxt AS (SELECT d, rn, event_id, min(CASE WHEN bad THEN rn END) OVER (PARTITION BY d ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a,
+               min(CASE WHEN NOT bad THEN rn END) OVER (PARTITION BY d ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM r),
+step AS (SELECT x.d, x.rn AS skip, x.event_id, x.event_id % 7 = 3 AS poison, least(30, n.n - x.rn) AS rows,
+                CASE WHEN x.a < least(x.rn + 30, n.n) AND x.event_id % 7 <> 3 THEN x.a END AS a, least(coalesce(y.z, n.n), x.rn + 30, n.n) - 1 AS b
+         FROM nxt x JOIN n USING (d) LEFT JOIN nxt y ON y.d = x.d AND y.rn = x.a),
+w AS (SELECT 0::BIGINT AS win, * FROM step WHERE skip = 0
+      UNION ALL SELECT w.win + 1, s.* FROM w JOIN step s ON s.d = w.d AND s.skip = CASE WHEN w.a IS NOT NULL THEN w.b + 1 ELSE w.skip + 25 END)
+SELECT d AS dataset, win AS "window", skip, rows, coalesce(a - skip + 1, -1) AS start, CASE WHEN a IS NULL THEN -1 ELSE b - a + 1 END AS duration,
+       CASE WHEN poison THEN 'failed' ELSE 'processed' END AS status, CASE WHEN poison THEN 'ValueError: no answer for ' || event_id END AS error FROM w""")
+def detection_queue(spark, sf):
+    """A cursor that is stopped after five windows of each dataset, goes on from its log, and passes over windows whose
+    judge raises (X2, X3, K6)."""
+    bad = (F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)
+    rows = table(spark, sf, "events").select((F.col("user_id") % 4).alias("dataset"), "event_id", bad.alias("bad"))
+    rows, folder = state.numbered(rows, "dataset", "event_id"), shared_folder(spark)
+    DetectionCursor(spark, folder, "dataset", "place").run(rows, _first_bad_run, budget=5)
+    found = DetectionCursor(spark, folder, "dataset", "place").run_all(rows, _first_bad_run)
+    return found.drop("round", "next")
+
+
+def _doubled(row: dict) -> int:
+    """Some rows fail at their first attempt, some at every one."""
+    if row["n_chars"] % 11 == 0 and (row["attempt"] == 0 or row["n_chars"] % 3 == 0):
+        raise ValueError(f"{row['n_chars']} characters")
+    return 2 * row["n_chars"]
+
+
+@register("work_queue", """
+WITH o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS p FROM documents),
+f AS (SELECT *, CASE WHEN p <= 600 THEN 1 ELSE 0 END AS tried, n_chars % 11 = 0 AS bad FROM o),
+t AS (SELECT *, row_number() OVER (PARTITION BY tried = 0 OR bad ORDER BY doc_id) AS again FROM f),
+a AS (SELECT doc_id, n_chars, bad, tried + CASE WHEN (tried = 0 OR bad) AND again <= 50 THEN 1 ELSE 0 END AS attempt FROM t)
+SELECT doc_id, attempt, CASE WHEN attempt = 0 THEN NULL WHEN bad AND (attempt = 1 OR n_chars % 3 = 0) THEN 'failed' ELSE 'processed' END AS status,
+       CASE WHEN attempt > 0 AND bad AND (attempt = 1 OR n_chars % 3 = 0) THEN 'ValueError: ' || n_chars || ' characters' END AS error,
+       CASE WHEN attempt > 0 AND NOT (bad AND (attempt = 1 OR n_chars % 3 = 0)) THEN CAST(2 * n_chars AS VARCHAR) END AS result FROM a""")
+def work_queue(spark, sf):
+    """Three pulls of the next 200 unprocessed documents and one of 50 that tries failed ones again; every document with its
+    mark (X4, X6)."""
+    docs, folder = table(spark, sf, "documents").select("doc_id", "n_chars"), shared_folder(spark)
+    for _ in range(3):
+        WorkQueue(spark, folder, "doc_id", "doc_id").run(docs, _doubled, 200)
+    queue = WorkQueue(spark, folder, "doc_id", "doc_id")
+    queue.run(docs, _doubled, 50, retry=True)
+    marks = queue.marks().select("doc_id", "status", "error", "result", "attempt")
+    return docs.drop("n_chars").join(marks, "doc_id", "left").withColumn("attempt", F.coalesce("attempt", F.lit(0).cast("long")))
+
+
 @register("kb_upsert", """
 SELECT k, arg_max(v, (fresh, seq)) AS v, arg_max(seq, (fresh, seq)) AS seq FROM (
   SELECT o_custkey AS k, o_orderstatus AS v, o_orderkey AS seq, 0 AS fresh FROM orders WHERE o_orderkey % 2 = 0
