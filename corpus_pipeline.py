@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.llm import decontaminate, toxicity
-from netquarry.llm.common import stored
+from netquarry.llm.common import Scratch, settle
 from netquarry.llm.exact_dedup import keep_first
 from netquarry.llm.near_dedup import keep_one
 from netquarry.llm.packing import pack, tokenize
@@ -62,10 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn. Between stages the rows are written as Parquet in the shared folder and read again."""
+    """All stages in turn. Between stages the rows are written as Parquet in the shared folder and read again; a stage's table
+    is dropped as soon as the next one's is written. The last stage settles what it reads twice, so its rows outlive the
+    table that it began with."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    with Scratch(spark) as scratch:
+        for k, (_, stage) in enumerate(STAGES):
+            made = stage(spark, docs, sf_dir)
+            if k == len(STAGES) - 1:
+                return settle(made)
+            made = scratch.keep(made)
+            if k:
+                scratch.drop(docs)
+            docs = made

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import parts
+from netquarry.llm.common import parts, settle
 
 SAMPLE_PER_PARTITION = 64  # sort keys that the driver gets for each splitter
 HEAD = 24  # characters of normalised text at the start of a sort key
@@ -58,13 +58,14 @@ def _bucket(key: Column, cuts: list[str]) -> Column:
     return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
 
 
-def _sorted_groups(docs: DataFrame, id_col: str, text_col: str, payload: Column) -> DataFrame:
-    """Rows with keep id, group size and rank in the group, whole groups that a splitter cuts included."""
+def _sorted_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _sha, _rank, _again, _keep, _size) of each row, whole groups that a splitter cuts included. Only identifier
+    and normalised text go through the sort. _again: the next row of the group has the same identifier."""
     spark = docs.sparkSession
     n = parts(spark)
     cuts = splitters(docs, id_col, text_col, n)
     heads = sorted({c.rpartition("\u0002")[0] for c in cuts})
-    keyed = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"), payload.alias("_row"))
+    keyed = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
     keyed = keyed.withColumn("_head", _head(F.col("_norm")))
     cut = F.array_contains(F.array(*map(F.lit, heads)), F.col("_head")) if heads else F.lit(False)
     keyed = keyed.withColumn("_cut", cut).withColumn("_bucket", _bucket(F.concat("_head", _tail(F.col("_id"))), cuts))
@@ -73,8 +74,9 @@ def _sorted_groups(docs: DataFrame, id_col: str, text_col: str, payload: Column)
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     dealt = keyed.drop("_head").repartitionById(n, F.col("_bucket"))
     local = dealt.select(
-        "_id", "_row", "_cut",
+        "_id", "_cut",
         F.sha2(F.col("_norm"), 256).alias("_sha"),
+        F.coalesce(F.lead(F.struct("_id")).over(group) == F.struct("_id"), F.lit(False)).alias("_again"),
         F.row_number().over(group).alias("_rank"),
         F.min("_id").over(whole).alias("_keep"),
         F.count(F.lit(1)).over(whole).alias("_size"),
@@ -86,7 +88,7 @@ def _sorted_groups(docs: DataFrame, id_col: str, text_col: str, payload: Column)
         {"_k": F.lit(None).cast(local.schema["_keep"].dataType), "_s": F.lit(None).cast("long")}
     )
     return joined.select(
-        "_id", "_row", "_sha", "_rank",
+        "_id", "_sha", "_rank", "_again",
         F.when(F.col("_s").isNotNull(), F.col("_k")).otherwise(F.col("_keep")).alias("_keep"),
         F.coalesce("_s", "_size").alias("_size"),
     )
@@ -98,7 +100,7 @@ def _stays() -> Column:
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256 of the normalised text."""
-    rows = _sorted_groups(docs, id_col, text_col, F.lit(None).cast("boolean"))
+    rows = _sorted_groups(docs, id_col, text_col)
     return rows.select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
@@ -109,6 +111,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns as they came, whatever their names."""
-    rows = _sorted_groups(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return rows.where(_stays()).select("_row.*")
+    """The rows that stay, with all their columns as they came, whatever their names.
+
+    The sort finds identifier and digest of what stays; this small table is written, and the rows join it. Of rows that share
+    both, one stays: those few identifiers go through an aggregate that keeps one row in each task before the shuffle."""
+    stays = _sorted_groups(docs, id_col, text_col).where(_stays())
+    stays = settle(stays.select(F.struct(F.col("_id").alias("i"), F.col("_sha").alias("s")).alias("_key"), "_again"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    sha = F.sha2(normalised(F.col(text_col)), 256)
+    rows = docs.select(F.struct(F.col(id_col).alias("i"), sha.alias("s")).alias("_key"), row)
+    once = rows.join(stays.where("not _again"), "_key").select("_row.*")
+    if stays.where("_again").isEmpty():
+        return once
+    several = rows.join(stays.where("_again"), "_key").groupBy("_key").agg(F.first("_row").alias("_row"))
+    return once.unionByName(several.select("_row.*"))

@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import Scratch, parts, settle, words_of
+from netquarry.llm.common import Scratch, parts, settle, small, words_of
 from netquarry.llm.components import components
 
 SHINGLE = 5
@@ -177,7 +177,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in small(batches):
             data = pa.array([squeeze.compress((t.as_py() or "").encode("utf-8")) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), data], ["id", "text"])
 
@@ -197,7 +197,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, common) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
-        for batch in batches:
+        for batch in small(batches):
             keys, found, orders = [], np.zeros((batch.num_rows, SKETCHES), dtype=np.int64), []
             for k, text in enumerate(batch.column(1)):
                 words = words_of(text.as_py())
@@ -283,7 +283,7 @@ def _prefixes(docs: DataFrame, common) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
-        for batch in batches:
+        for batch in small(batches, 256):
             if not batch.num_rows:
                 continue
             out: list[list[np.ndarray]] = [[], [], []]
@@ -392,6 +392,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows, whole = _classes(docs, id_col, text_col, scratch)
         # Few words have a class of several documents or several rows.
         several = scratch.keep(whole.where("n > 1 or node <> root").select("key", "root"))
-        gone = rows.join(several, "key").where("id <> root").select(F.col("id").alias("_gone")).distinct()
-        gone = settle(gone)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+        gone = settle(rows.join(several, "key").where("id <> root").select("id").distinct())
+    # Columns of docs may have any names, so they are out of the way while the names of `gone` count.
+    whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.join(gone, "id", "left_anti").select("row.*")
