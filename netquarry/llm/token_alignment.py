@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 
 from netquarry.llm.common import Scratch, settle
 
-SLICE_BYTES = 4_000_000  # of text in one set of interval tables
+SLICE_BYTES = 2_000_000  # of text in one set of interval tables
 LARGE = 256  # links in a group from which equal ids are counted before the join
 KEPT_PAIRS = 2_000_000  # partial counts that a partition holds before it gives them away
 BROADCAST_PAIRS = 500_000
-_MOST = 200_000  # words with known ids, in each of a cache's two generations
 _BLOCK = 65_536  # partial counts in one row
 
 _ALIGN = """
@@ -55,58 +54,9 @@ JOIN (SELECT g, id, count(*) AS n FROM group_b GROUP BY ALL) b USING (g) GROUP B
 """
 
 
-class _Known(dict):
-    """word -> (ids as bytes, whether their bytes are the word's), remembered in two generations."""
-
-    def __init__(self, made):
-        super().__init__()
-        self.made, self.old = made, {}
-
-    def __missing__(self, word: str) -> tuple[bytes, bool]:
-        found = self.old.get(word) or self.made(word)
-        if len(word) <= 64:
-            if len(self) >= _MOST:
-                self.old = dict(self)
-                self.clear()
-            self[word] = found
-        return found
-
-
-class _Encoder:
-    """Ids and token bytes of one tokenizer. A tokenizer `by_word` joins nothing over a space between other signs, so texts
-    whose spaces are all such are encoded by the word."""
-
-    spelled: list[bytes]  # by id
-    by_word: bool
-
-    def __init__(self):
-        self.known = _Known(self._checked)
-        self.sizes = np.array([len(s) for s in self.spelled], dtype=np.int64)
-
-    def ids(self, text: str) -> list[int]:
-        """Of a space and the text."""
-        raise NotImplementedError
-
-    def _checked(self, text: str) -> tuple[bytes, bool]:
-        ids = self.ids(text)
-        good = b"".join(map(self.spelled.__getitem__, ids)) == b" " + text.encode("utf-8")
-        return np.array(ids, dtype=np.int32).tobytes(), good
-
-    def encode(self, text: str) -> np.ndarray | None:
-        """Ids of a space and the text; None where their bytes differ from it."""
-        words = text.split(" ")
-        if self.by_word and all(words) and not any(w[0].isspace() for w in words):
-            found = list(map(self.known.__getitem__, words))
-        else:
-            found = [self._checked(text)]
-        return np.frombuffer(b"".join([f[0] for f in found]), dtype=np.int32) if all([f[1] for f in found]) else None
-
-
-class ByteLevel(_Encoder):
-    """Byte-level BPE from a tokenizers file, run by tiktoken, whose ids are the file's as merges rank by id. In the pattern
-    a space may only begin a word or stand among other white space."""
-
-    by_word = True
+class ByteLevel:
+    """Byte-level BPE from a tokenizers file, run by tiktoken, whose ids are the file's as merges rank by id. It never alters a
+    text: any bytes are made of its tokens."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -117,17 +67,17 @@ class ByteLevel(_Encoder):
         byte = {chr(b): b for b in keep} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in keep)}
         special = {t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if i not in special}
-        self.spelled = [b""] * (1 + max([*ranks.values(), *special]))
+        self.sizes = np.zeros(1 + max([*ranks.values(), *special]), dtype=np.int64)
         for token, i in ranks.items():
-            self.spelled[i] = token
+            self.sizes[i] = len(token)
         self.library = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        super().__init__()
 
-    def ids(self, text: str) -> list[int]:
-        return self.library.encode_ordinary(" " + text)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of a space and each text."""
+        return [np.array(self.library.encode_ordinary(" " + t), dtype=np.int32) for t in texts]
 
 
-class Pieces(_Encoder):
+class Pieces:
     """A sentencepiece model that adds a space itself."""
 
     def __init__(self, path: str):
@@ -138,17 +88,22 @@ class Pieces(_Encoder):
             bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode("utf-8")
             for i in range(m.get_piece_size())
         ]
-        self.by_word = not any(b" " in s.lstrip(b" ") for s in self.spelled)
-        super().__init__()
+        self.sizes = np.array([len(s) for s in self.spelled], dtype=np.int64)
+
 
-    def ids(self, text: str) -> list[int]:
-        return self.library.encode(text)
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of a space and each text; None where their bytes differ from it."""
+        spelled, out = self.spelled.__getitem__, []
+        for text, ids in zip(texts, self.library.encode(texts, num_threads=1), strict=True):
+            same = b"".join(map(spelled, ids)) == b" " + text.encode("utf-8")
+            out.append(np.array(ids, dtype=np.int32) if same else None)
+        return out
 
 
 _WORKER: dict = {}
 
 
-def _encoders(path_a: str, path_b: str, pattern: str) -> tuple[_Encoder, _Encoder]:
+def _encoders(path_a: str, path_b: str, pattern: str) -> tuple[ByteLevel, Pieces]:
     """One pair for all tasks of a Python worker."""
     key = path_a, path_b, pattern
     if key not in _WORKER:
@@ -177,6 +132,12 @@ def _names(n: int, after_a: str, last: str) -> np.ndarray:
     return np.array([f"{i}{sign}" for sign in (after_a, last) for i in range(n)], dtype=object)
 
 
+def _ordered(table: pa.Table, by: str) -> pa.Table:
+    """Sorted by a column that mostly is in order."""
+    key = table[by].to_numpy()
+    return table if (key[1:] >= key[:-1]).all() else table.take(pa.array(np.argsort(key, kind="stable")))
+
+
 def _group_texts(a: pa.Table, b: pa.Table, names_a: np.ndarray, names_b: np.ndarray, ends: np.ndarray) -> list[str]:
     """`a1,a2|b1;a3|b2,b3` for each document: A's tokens of a group, then B's. ends: number of A's and of B's tokens, and so
     of places, up to each document's end."""
@@ -209,7 +170,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
         import duckdb
 
         enc_a, enc_b = _encoders(path_a, path_b, pattern)
-        names_a, names_b = _names(len(enc_a.spelled), ",", "|"), _names(len(enc_b.spelled), ",", ";")
+        names_a, names_b = _names(len(enc_a.sizes), ",", "|"), _names(len(enc_b.sizes), ",", ";")
         number = TaskContext.get().partitionId() << 33
         first = next(batches, None)
         if first is None:
@@ -239,8 +200,9 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
         held = 0
         for ids, texts in _texts(again()):
             n = len(ids)
-            found = [(enc_a.encode(t), enc_b.encode(t)) if t else (None, None) for t in texts]
-            found = [(k, x, y) for k, (x, y) in enumerate(found) if x is not None and y is not None]
+            full = [k for k, t in enumerate(texts) if t]
+            texts = [texts[k] for k in full]
+            found = [(k, x, y) for k, x, y in zip(full, enc_a.encode(texts), enc_b.encode(texts), strict=True) if y is not None]
             numbers, groups, bounds = np.zeros((4, n), dtype=np.int64), [""] * n, np.zeros(n + 1, dtype=np.int64)
             pairs_table = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n")})
             if found:
@@ -250,18 +212,18 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
                 tokens_a = pa.table({"doc": np.repeat(at, sizes_a).astype(np.int32), "id": a, "e": np.cumsum(enc_a.sizes[a])})  # noqa: F841
                 tokens_b = pa.table({"id": b, "e": np.cumsum(enc_b.sizes[b])})  # noqa: F841
                 db.execute(_ALIGN)
-                side_a = db.sql("SELECT id, g, doc, hit FROM group_a ORDER BY e").to_arrow_table()
-                side_b = db.sql("SELECT id, g FROM group_b ORDER BY e").to_arrow_table()
+                side_a = db.sql("SELECT id, g, doc, hit, e FROM group_a").to_arrow_table()
+                side_b = db.sql("SELECT id, g, e FROM group_b").to_arrow_table()
                 each = np.bincount(side_a["g"].to_numpy()) * np.bincount(side_b["g"].to_numpy())
                 db.execute(_LINK if each.max() < LARGE else _LINK_LARGE)
                 db.execute("INSERT INTO pair_docs SELECT a, b, count(*) FROM links GROUP BY ALL")
-                pairs_table = db.sql("SELECT doc, a, b, n FROM links ORDER BY doc, a, b").to_arrow_table()
+                pairs_table = _ordered(db.sql("SELECT doc, a, b, n FROM links").to_arrow_table(), "doc")
                 numbers[0][at], numbers[1][at] = sizes_a, sizes_b
                 numbers[2] = np.bincount(side_a["doc"].to_numpy(), weights=side_a["hit"].to_numpy(), minlength=n)
                 of = pairs_table["doc"].to_numpy()
                 numbers[3] = np.bincount(of, weights=pairs_table["n"].to_numpy(), minlength=n)
                 bounds = np.searchsorted(of, np.arange(n + 1))
-                for k, text in zip(at.tolist(), _group_texts(side_a, side_b, names_a, names_b, np.cumsum(sizes_a + sizes_b)), strict=True):
+                for k, text in zip(at.tolist(), _group_texts(_ordered(side_a, "e"), _ordered(side_b, "e"), names_a, names_b, np.cumsum(sizes_a + sizes_b)), strict=True):
                     groups[k] = text
                 held = db.sql("SELECT count(*) FROM pair_docs").fetchall()[0][0]
             rows = pa.array(np.arange(number, number + n))
