@@ -67,3 +67,10 @@ class Rounds:
         paths = [f"{self.folder}/round={k}" for k in range(n)]
         reader = self.spark.read.option("basePath", self.folder)
         return (reader.schema(schema) if schema else reader).parquet(*paths)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df as written to the shared checkpoint folder, with its lineage cut. Spark's cleaner deletes it after its last use."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from netquarry.durable import settle
 from netquarry.functions import hashing, text, vectors
 from netquarry.operators import ordering, retrieval
+from netquarry.operators.vector_index import VectorIndex
 from netquarry.plans.registry import register, table
 
 
@@ -253,11 +255,12 @@ def cosine_topk(spark, sf):
 
 
 @register("near_vectors", _COS_SQL + """
-SELECT q, count(*) FILTER (score > 0.3) AS close, bool_or(score > 0.3) AS dropped FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM p) WHERE rank <= 3 GROUP BY 1""")
+SELECT q, max(score) AS nearest, count(*) FILTER (score > 0.95) AS close, bool_or(score > 0.95) AS dropped FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM p) WHERE rank <= 3 GROUP BY 1""")
 def near_vectors(spark, sf):
     """Rows whose three nearest are too similar (U8)."""
     rows = retrieval.best(_cosine(spark, sf), "q", F.col("score"), ["c"], 3)
-    return rows.groupBy("q").agg(F.count_if(F.col("score") > 0.3).alias("close"), F.bool_or(F.col("score") > 0.3).alias("dropped"))
+    close = F.col("score") > 0.95
+    return rows.groupBy("q").agg(F.max("score").alias("nearest"), F.count_if(close).alias("close"), F.bool_or(close).alias("dropped"))
 
 
 def _two_stage(spark, sf, head):
@@ -332,25 +335,39 @@ def bm25_topk(spark, sf):
     return retrieval.bm25(*_word_tables(spark, sf), "doc_id", "item_id", "ts", 5).select("q", "d", "score", "rank")
 
 
-_FUSION_SQL = """,
-b AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY abs(q * 25 - d), d) AS rank FROM (SELECT DISTINCT q FROM r), (SELECT d FROM dt)),
-f AS (SELECT coalesce(x.q, y.q) AS q, coalesce(x.d, y.d) AS d, round(coalesce(1.0 / (60 + x.rank), 0) + coalesce(1.0 / (60 + y.rank), 0), 8) AS score
-      FROM (SELECT * FROM r WHERE rank <= 50) x FULL JOIN (SELECT * FROM b WHERE rank <= 50) y ON x.q = y.q AND x.d = y.d)
+_FUSION_SQL = f"""
+WITH kb AS (SELECT doc_id AS d, text, embedding AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+dt AS (SELECT d, CASE WHEN len(ts) > 0 THEN ts ELSE ['__empty__'] END AS ts FROM (SELECT d, regexp_extract_all(regexp_replace(lower(text), '(\\p{{Han}})', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS ts FROM kb)),
+st AS (SELECT count(*) AS n_docs, avg(len(ts)) AS mean_len FROM dt),
+tf AS (SELECT d, l, t, count(*) AS tf FROM (SELECT d, len(ts) AS l, unnest(ts) AS t FROM dt) GROUP BY 1, 2, 3),
+i0 AS (SELECT t, ln(n_docs - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, st GROUP BY t, n_docs),
+idf AS (SELECT t, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0),
+s AS (SELECT q.d AS q, x.d AS d, round(sum(q.tf * idf * x.tf * 2.5 / (x.tf + 1.5 * (0.25 + 0.75 * x.l / mean_len))), 5) AS score
+      FROM tf q JOIN idf USING (t) JOIN tf x USING (t), st WHERE q.d % 50 = 0 AND q.d <> x.d GROUP BY 1, 2),
+l AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM s),
+v AS (SELECT q.d AS q, c.d AS d, round({_DOT.format('q.e', 'c.e')} / (sqrt({_DOT.format('q.e', 'q.e')}) * sqrt({_DOT.format('c.e', 'c.e')})), 6) AS score
+      FROM kb q, kb c WHERE q.d % 50 = 0 AND q.d <> c.d),
+n AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM v),
+f AS (SELECT coalesce(l.q, n.q) AS q, coalesce(l.d, n.d) AS d, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + n.rank), 0), 8) AS score
+      FROM (SELECT * FROM l WHERE rank <= 100) l FULL JOIN (SELECT * FROM n WHERE rank <= 100) n ON l.q = n.q AND l.d = n.d)
 SELECT q, d, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM f) WHERE rank <= 3"""
 
 
-@register("rank_fusion", _BM25_SQL + _FUSION_SQL)
+@register("rank_fusion", _FUSION_SQL)
 def rank_fusion(spark, sf):
-    """Reciprocal rank fusion of two lists, the first three of each query, documents of every language."""
-    texts, items = _word_tables(spark, sf)
-    lexical = retrieval.bm25(texts, items, "doc_id", "item_id", "ts", 50)
-    # Queries with any lexical match are found by their words, so that documents are scored once.
-    words = texts.select(F.explode("ts").alias("t")).distinct()
-    near = items.select(F.col("item_id").alias("q"), F.explode("ts").alias("t")).join(words, "t").select("q").distinct()
-    docs = texts.select(F.col("doc_id").alias("d"))
-    # Distance of numbers stands in for a semantic list.
-    asked = items.select(F.col("item_id").alias("q"), (F.col("item_id") * 25).alias("x"))
-    pairs = retrieval.neighbours(asked, "q", "x", docs, "d", 50).join(near, "q")
-    second = retrieval.best(pairs, "q", -F.abs(F.col("q") * 25 - F.col("d")), ["d"], 50)
-    fused = retrieval.fuse_ranks(lexical, second)
+    """A knowledge base searched by meaning and by words: the three best of each query by reciprocal rank fusion of the first
+    hundred of either list, itself and entries without a vector left out (R4, R5, W18)."""
+    words, vectors_ = table(spark, sf, "documents").select("doc_id", text.search_words(F.col("text")).alias("ts")), table(spark, sf, "embeddings")
+    kb = settle(words.join(vectors_.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id"))
+    asked = kb.where("doc_id % 50 = 0")
+    lexical = retrieval.bm25(kb, asked, "doc_id", "doc_id", "ts", 100, itself=False)
+    near = VectorIndex(kb, "doc_id", "embedding").search(asked, "doc_id", "embedding", 100, exact=True)
+    fused = retrieval.fuse_ranks(lexical, near.withColumnRenamed("c", "d"))
     return retrieval.best(fused, "q", F.round("score", 8), ["d"], 3).select("q", "d", "score", "rank")
+
+
+@register("indexed_topk", _COS_SQL + "SELECT q, c, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM p) WHERE rank <= 10")
+def indexed_topk(spark, sf):
+    """Vector search through an inverted file, read until it is proved exact."""
+    e = table(spark, sf, "embeddings")
+    return VectorIndex(e, "vec_id", "embedding").search(e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, exact=True)
