@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import operator
 import re
 from fractions import Fraction
@@ -14,25 +13,57 @@ from pyspark.sql import types as T
 
 from netquarry.functions.text import answer_kind, first_boxed, normal_answer, strip_think, token_f1
 
-_OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
+_OPS = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv}
 RIGHT_AT = 0.3  # token F1 from which a text answer counts as right
 
 
+_TOKEN = re.compile(r"\s*(?:(\d+)|([-+*/()]))")
+_RANK = {"+": 1, "-": 1, "*": 2, "/": 2, "sign": 3}
+
+
 def value_of(expression: str) -> Fraction | None:
-    """Exact value of + - * / over whole numbers and brackets; None for anything else."""
+    """Exact value of + - * / over whole numbers and brackets, however long or nested; None for anything else."""
+    values: list[Fraction] = []
+    waiting: list[str] = []
 
-    def walk(node):
-        if isinstance(node, ast.BinOp) and type(node.op) in _OPS:
-            return _OPS[type(node.op)](walk(node.left), walk(node.right))
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
-            return -walk(node.operand)
-        if isinstance(node, ast.Constant) and type(node.value) is int:
-            return Fraction(node.value)
-        raise ValueError
+    def settle(rank: int) -> None:
+        while waiting and waiting[-1] != "(" and _RANK[waiting[-1]] >= rank:
+            op, right = waiting.pop(), values.pop()
+            values.append(-right if op == "sign" else _OPS[op](values.pop(), right))
 
+    at, operand, text = 0, False, expression.strip()
     try:
-        return walk(ast.parse(expression.strip(), mode="eval").body) if len(expression) <= 1000 else None
-    except (ValueError, SyntaxError, ZeroDivisionError, RecursionError, MemoryError):
+        while at < len(text):
+            found = _TOKEN.match(text, at)
+            if not found:
+                return None
+            at = found.end()
+            number, sign = found.groups()
+            if number:
+                if operand or len(number) > 1 and number[0] == "0" and number.strip("0"):
+                    return None
+                values.append(Fraction(int(number)))
+                operand = True
+            elif sign == "(" and not operand:
+                waiting.append("(")
+            elif sign == ")" and operand:
+                settle(1)
+                if not waiting:
+                    return None
+                waiting.pop()
+            elif sign == "-" and not operand:
+                waiting.append("sign")
+            elif sign in _OPS and operand:
+                settle(_RANK[sign])
+                waiting.append(sign)
+                operand = False
+            else:
+                return None
+        if not operand or "(" in waiting:
+            return None
+        settle(1)
+        return values[0]
+    except (ZeroDivisionError, ValueError):
         return None
 
 

@@ -39,6 +39,21 @@ def byte_position(data: Column, pattern: bytes) -> Column:
     return F.instr(F.decode(data, "ISO-8859-1"), pattern.decode("iso-8859-1")).cast("long")
 
 
+def report_arguments(text: Column) -> Column:
+    """(flag, start, duration) of a report call in text, in JSON, keyword or tag form; no flag is false, no number null."""
+    number = lambda name: F.regexp_extract(text, name + r"""["']?(?:>|\s*[:=])\s*(-?\d+)""", 1).try_cast("int")
+    flag = F.regexp_extract(text, r"""(?i)is_suspicious["']?(?:>|\s*[:=])\s*(true|false)""", 1)
+    return F.struct(
+        F.coalesce(F.lower(flag) == "true", F.lit(False)).alias("flag"), number("suspicious_flows_start").alias("start"), number("suspicious_flows_duration").alias("duration")
+    )
+
+
+def resolved(value: Column, context: Column) -> Column:
+    """What a `$name` stands for in a map of names, '' if nothing; any other value as it is."""
+    found = F.try_element_at(context, F.substr(value, F.lit(2)))
+    return F.when(F.startswith(value, F.lit("$")), F.coalesce(found, F.lit(""))).otherwise(value)
+
+
 def last_code_block(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"(?s)```(?:\w+)?\n(.*?)```"), 1)
     return F.when(F.size(found) > 0, F.element_at(found, -1))

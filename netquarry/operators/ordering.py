@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netquarry.durable import settle
+
 
 def global_index(df: DataFrame, bucket: Column, order: list[str], name: str = "rn") -> DataFrame:
     """1-based position of each row in the total order (bucket, order).
 
-    Rows are numbered inside each bucket and shifted by the counts of the buckets before; only those counts, one row a
-    bucket, are ordered in one place. The bucket must rise with the order (say, the day of a time stamp).
+    Rows are dealt to as many ranges as there are shuffle partitions, by a sample that Spark takes, and sorted there: a bucket
+    that holds all rows is many tasks' work, as long as the order tells rows apart. Sorted ranges are written once, so that
+    numbers and counts agree; a row's number is its place in its range and the counts of the ranges before, one row each.
     """
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    numbered = df.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(starts), "_bucket")
-    return numbered.withColumn(name, F.col("_start") + F.col("_row")).drop("_bucket", "_row", "_start")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_bucket", bucket)
+    keys = [c for c in ("_bucket", *order)]
+    dealt = dealt.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).drop("_bucket")
+    dealt = settle(dealt)
+    part = F.shiftright("_at", 33).cast("int")
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row for each range
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    numbered = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(name, F.col("_start") + place).drop("_part", "_at", "_start")
 
 
 def page(df: DataFrame, skip: int, limit: int, name: str = "rn") -> DataFrame:

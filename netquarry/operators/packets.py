@@ -68,13 +68,19 @@ def heartbeat(packets: DataFrame, by: str, second: Column, most: int = 10) -> Da
 
 
 def size_buckets(packets: DataFrame, size: Column, edges: list[int] = SIZE_EDGES) -> DataFrame:
-    """Packets and their share in each bucket of sizes."""
+    """Packets, mean size and percent in each bucket of sizes, with the percent of full packets (mtu_pct, the last closed
+    bucket) and of small ones (small_pct, the first four). Sizes below the first edge or null are in a bucket of null."""
     bucket = F.lit(None).cast("string")
     for lo, hi in zip(edges, edges[1:], strict=False):
         bucket = F.when(size.between(lo, hi - 1), f"{lo}-{hi - 1}").otherwise(bucket)
-    counts = packets.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.sum("n").alias("all")).withColumn("one", F.lit(1))
-    return counts.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").select("bucket", "n", (F.col("n") / F.col("all")).alias("share"))
+    bucket = F.when(size >= edges[-1], f"{edges[-1]}_and_greater").otherwise(bucket)
+    names = [f"{lo}-{hi - 1}" for lo, hi in zip(edges, edges[1:], strict=False)]
+    counts = packets.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avg"))
+    of = lambda some: F.coalesce(F.sum(F.when(F.col("bucket").isin(some), F.col("n"))), F.lit(0))
+    whole = counts.agg(F.sum("n").alias("all"), of(names[-1:]).alias("mtu"), of(names[:4]).alias("small")).withColumn("one", F.lit(1))
+    rows = counts.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # a row for each bucket
+    percent = lambda c: F.col(c) * 100 / F.col("all")
+    return rows.select("bucket", "n", "avg", percent("n").alias("percent"), percent("mtu").alias("mtu_pct"), percent("small").alias("small_pct"))
 
 
 def endpoints(packets: DataFrame, src: str, dst: str, size: str) -> DataFrame:
@@ -87,13 +93,14 @@ def verdict(evidence: DataFrame, case: str, skill: str, step: str) -> DataFrame:
     """The skill that the evidence of each case speaks for, with a confidence.
 
     Steps after a hard hit (hard and passed), or after a failed step that aborts, don't count. The skill with most hard
-    hits wins; else the one with the highest passes + 3 * specific passes + 0.5 * pass rate, at a confidence of
+    hits wins, of equal ones the one whose first hard hit comes first; else the one with the highest passes + 3 * specific passes + 0.5 * pass rate, at a confidence of
     0.8 * rate. Of equal skills the one whose evidence comes first wins. Attack above 0.5."""
     before = Window.partitionBy(case, skill).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     stop = F.max(((F.col("hard") & F.col("passed")) | (~F.col("passed") & F.col("aborts"))).cast("int")).over(before)
     rows = evidence.withColumn("_stop", F.coalesce(stop, F.lit(0))).where("_stop = 0")
     per = rows.groupBy(case, skill).agg(
-        F.count_if("passed").alias("n_pass"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("hard") & F.col("passed")).alias("n_hard"), F.min(step).alias("_first"),
+        F.count_if("passed").alias("n_pass"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("hard") & F.col("passed")).alias("n_hard"),
+        F.coalesce(F.min(F.when(F.col("hard") & F.col("passed"), F.col(step))), F.min(step)).alias("_first"),
         F.count_if(F.col("passed") & F.col("specific")).alias("n_specific"),
     )
     rate = F.col("n_pass") / F.col("n")

@@ -28,6 +28,21 @@ def directions(packets: DataFrame, key: str, order: list[str], text: str, forwar
     return packets.groupBy(key).agg(stream(F.when(forward, part)).alias("out"), stream(F.when(~forward, part)).alias("back"))
 
 
+def summary(flows: DataFrame, key: str, text: str, head: int = 256, limit: int = 1500, between: str = "\n---\n") -> DataFrame:
+    """(key, summary): the distinct beginnings of a key's payloads, in order, joined and cut at `limit` characters.
+
+    Only as many beginnings as can show are gathered: each has a character at least and a separator, so a key with very many
+    payloads still is a small row, and each task keeps that many before the shuffle. Blank payloads don't count; a key
+    without any has an empty summary."""
+    most = limit // (1 + len(between)) + 1
+    begin = F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), 1, head)
+    distinct = flows.select(F.col(key), begin.alias("_head")).distinct()
+    w = Window.partitionBy(key).orderBy((F.col("_head") == "").cast("int"), "_head")
+    few = distinct.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    heads = F.array_sort(F.collect_list(F.when(F.col("_head") != "", F.col("_head"))))
+    return few.groupBy(key).agg(F.substring(F.array_join(heads, between), 1, limit).alias("summary"))
+
+
 def conversation(head: dict[str, Column], packets: Column) -> Column:
     """A flow as text for a reader: a header of `head` (uid, proto, service, src, sport, dst, dport) and each of `packets`
     (ts, nth, forward, length, decoded, hex) in order, the beginning of its hex where it has no text."""

@@ -158,8 +158,7 @@ def context_lookup(spark, sf):
     k = F.col("s_suppkey") % 3
     v = F.when(k == 0, "$host").when(k == 1, "$unknown").otherwise("plain")
     ctx = F.create_map(F.lit("host"), F.col("s_name"))
-    found = F.coalesce(F.try_element_at(ctx, F.substring(v, 2, 100)), F.lit(""))
-    return table(spark, sf, "supplier").select("s_suppkey", F.when(F.startswith(v, F.lit("$")), found).otherwise(v).alias("value"))
+    return table(spark, sf, "supplier").select("s_suppkey", text.resolved(v, ctx).alias("value"))
 
 
 @register("knowledge_pick", """

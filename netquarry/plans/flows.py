@@ -282,7 +282,7 @@ SELECT uid, near_uid, gap FROM (
 def asof_nearest(spark, sf):
     """Nearest as-of join by key within a tolerance."""
     e = _events(spark, sf)
-    got = joins.nearest(e.where("uid % 3 = 0"), e.where("uid % 3 <> 0"), ["kind"], "uid", F.col("ts"), F.col("ts"), 900, [F.desc("r_uid")])
+    got = joins.nearest(e.where("uid % 3 = 0"), e.where("uid % 3 <> 0"), ["kind"], F.col("ts"), F.col("ts"), 900, [F.desc("r_uid")])
     return got.select("uid", F.col("r_uid").alias("near_uid"), F.round(F.col("r_ts") - F.col("ts"), 6).alias("gap"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import text
-from netquarry.operators import ordering, packets
+from netquarry.operators import ordering, packets, payload
 from netquarry.plans.registry import register, table
 
 _T = "epoch_us(l_shipdate) / 1e6"
@@ -57,13 +57,13 @@ def batch_profile(spark, sf):
     return packets.batch_profile(flows, "batch").select("batch", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 7))
 
 
-@register("payload_summary", """
-SELECT l_suppkey, substr(string_agg(DISTINCT substr(l_linestatus || l_partkey, 1, 3), '|' ORDER BY substr(l_linestatus || l_partkey, 1, 3)), 1, 200) AS summary FROM lineitem GROUP BY 1""")
+@register("payload_summary", r"""
+SELECT role, part, coalesce(substr(string_agg(DISTINCT h, chr(10) || '---' || chr(10) ORDER BY h) FILTER (h <> ''), 1, 1500), '') AS summary
+FROM (SELECT role, conv_id % 40 AS part, substr(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), 1, 256) AS h FROM conversations) GROUP BY 1, 2""")
 def payload_summary(spark, sf):
-    """Distinct payload prefixes in order, cut."""
-    prefix = F.substring(F.concat("l_linestatus", F.col("l_partkey").cast("string")), 1, 3)
-    joined = F.array_join(F.array_sort(F.collect_set(prefix)), "|")
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.substring(joined, 1, 200).alias("summary"))
+    """Distinct beginnings of 256 characters in order, cut at 1500."""
+    rows = table(spark, sf, "conversations").select(F.struct("role", (F.col("conv_id") % 40).alias("part")).alias("k"), "text")
+    return payload.summary(rows, "k", "text").select("k.*", "summary")
 
 
 @register("heartbeat_gap", """
@@ -80,11 +80,14 @@ def heartbeat_gap(spark, sf):
 
 @register("size_buckets", """
 WITH b AS (SELECT CASE WHEN n < 20 THEN '0-19' WHEN n < 40 THEN '20-39' WHEN n < 80 THEN '40-79' WHEN n < 160 THEN '80-159' WHEN n < 320 THEN '160-319'
-  WHEN n < 640 THEN '320-639' WHEN n < 1280 THEN '640-1279' WHEN n < 2560 THEN '1280-2559' END AS bucket FROM (SELECT n_chars AS n FROM documents))
-SELECT bucket, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM b GROUP BY 1""")
+  WHEN n < 640 THEN '320-639' WHEN n < 1280 THEN '640-1279' WHEN n < 2560 THEN '1280-2559' ELSE '2560_and_greater' END AS bucket, n AS size FROM (SELECT n_chars AS n FROM documents)),
+c AS (SELECT bucket, count(*) AS n, round(avg(size), 6) AS avg FROM b GROUP BY 1)
+SELECT bucket, n, avg, round(n * 100 / sum(n) OVER (), 6) AS percent, round(coalesce(sum(n) FILTER (bucket = '1280-2559') OVER (), 0) * 100 / sum(n) OVER (), 6) AS mtu_pct,
+       round(coalesce(sum(n) FILTER (bucket IN ('0-19', '20-39', '40-79', '80-159')) OVER (), 0) * 100 / sum(n) OVER (), 6) AS small_pct FROM c""")
 def size_buckets(spark, sf):
     """Packet-size histogram with shares."""
-    return packets.size_buckets(table(spark, sf, "documents"), F.col("n_chars")).select("bucket", "n", F.round("share", 6).alias("share"))
+    rows = packets.size_buckets(table(spark, sf, "documents"), F.col("n_chars"))
+    return rows.select("bucket", "n", *[F.round(c, 6).alias(c) for c in ("avg", "percent", "mtu_pct", "small_pct")])
 
 
 @register("direction_ratio", """
@@ -168,7 +171,7 @@ _EVIDENCE = """SELECT user_id AS c, event_type AS skill, event_id AS step, event
 @register("verdict_score", f"""
 WITH e AS ({_EVIDENCE}),
 m AS (SELECT *, coalesce(max(CAST((hard AND passed) OR (NOT passed AND aborts) AS INT)) OVER (PARTITION BY c, skill ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stop FROM e),
-p AS (SELECT c, skill, count(*) FILTER (passed) AS n_pass, count(*) AS n, count(*) FILTER (hard AND passed) AS n_hard, min(step) AS f, count(*) FILTER (passed AND specific) AS n_specific FROM m WHERE stop = 0 GROUP BY 1, 2),
+p AS (SELECT c, skill, count(*) FILTER (passed) AS n_pass, count(*) AS n, count(*) FILTER (hard AND passed) AS n_hard, coalesce(min(step) FILTER (hard AND passed), min(step)) AS f, count(*) FILTER (passed AND specific) AS n_specific FROM m WHERE stop = 0 GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN n_hard > 0 THEN 1e9 * n_hard ELSE n_pass + 3 * n_specific + 0.5 * (n_pass / n) END AS score, CASE WHEN n_hard > 0 THEN 1.0 ELSE 0.8 * (n_pass / n) END AS confidence FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(score, 6) DESC, f, skill) AS k FROM s)
 SELECT c AS "case", skill, n_pass, round(confidence, 6) AS confidence, confidence > 0.5 AS attack FROM r WHERE k = 1""")

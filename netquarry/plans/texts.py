@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netquarry.durable import settle
 from netquarry.functions import hashing, text, vectors
-from netquarry.operators import ordering, retrieval
+from netquarry.operators import masking, ordering, retrieval
 from netquarry.operators.vector_index import VectorIndex
 from netquarry.plans.registry import register, table
 
@@ -152,19 +152,29 @@ def props_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@register("report_arguments", r"""
-WITH t AS (SELECT event_id, 'report(is_suspicious=' || CASE WHEN user_id % 2 = 0 THEN 'True' ELSE 'False' END || ', start=' || user_id || CASE WHEN event_id % 5 = 0 THEN '' ELSE ', duration=' || (event_id % 9) END || ')' AS s FROM events)
-SELECT event_id, regexp_extract(s, 'is_suspicious=(\w+)', 1) = 'True' AS flag, CAST(regexp_extract(s, 'start=(-?\d+)', 1) AS INT) AS start,
-       coalesce(TRY_CAST(nullif(regexp_extract(s, 'duration=(-?\d+)', 1), '') AS INT), -1) AS duration FROM t""")
+_CALLS = {  # a call in four forms; the numbers come from the row
+    0: ("is_suspicious: True, suspicious_flows_start=", ", suspicious_flows_duration = -"),
+    1: ('{"is_suspicious": false, "suspicious_flows_start": ', ', "suspicious_flows_duration": '),
+    2: ("<is_suspicious>TRUE</is_suspicious><suspicious_flows_start>", "</suspicious_flows_start> duration="),
+    3: ("is_suspicious maybe start=", ""),
+}
+_CALL_SQL = "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN '{a}' || (n_chars % 97) || '{b}' || (n_chars % 13)" for k, (a, b) in _CALLS.items()) + " END"
+
+
+@register("report_arguments", rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') || ' ' || {_CALL_SQL} || ' ' || coalesce(text, '') AS s FROM documents)
+SELECT doc_id, lower(regexp_extract(s, '(?i)is_suspicious["'']?(?:>|\s*[:=])\s*(true|false)', 1)) = 'true' AS flag,
+       TRY_CAST(nullif(regexp_extract(s, 'suspicious_flows_start["'']?(?:>|\s*[:=])\s*(-?\d+)', 1), '') AS INT) AS start,
+       TRY_CAST(nullif(regexp_extract(s, 'suspicious_flows_duration["'']?(?:>|\s*[:=])\s*(-?\d+)', 1), '') AS INT) AS duration FROM t""")
 def report_arguments(spark, sf):
-    """Arguments of a call in text, with defaults."""
-    flag = F.when(F.col("user_id") % 2 == 0, "True").otherwise("False")
-    last = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit(", duration="), (F.col("event_id") % 9).cast("string")))
-    s = F.concat(F.lit("report(is_suspicious="), flag, F.lit(", start="), F.col("user_id").cast("string"), last, F.lit(")"))
-    get = lambda p: F.regexp_extract("s", p, 1)
-    rows = table(spark, sf, "events").withColumn("s", s)
-    duration = F.coalesce(get(r"duration=(-?\d+)").try_cast("int"), F.lit(-1))
-    return rows.select("event_id", (get(r"is_suspicious=(\w+)") == "True").alias("flag"), get(r"start=(-?\d+)").try_cast("int").alias("start"), duration.alias("duration"))
+    """Arguments of a report call inside whole texts, in several forms."""
+    call = F.lit(None).cast("string")
+    for k, (a, b) in _CALLS.items():
+        form = F.concat(F.lit(a), (F.col("n_chars") % 97).cast("string"), F.lit(b), (F.col("n_chars") % 13).cast("string"))
+        call = F.when(F.col("doc_id") % 4 == k, form).otherwise(call)
+    own = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(own, F.lit(" "), call, F.lit(" "), own).alias("s"))
+    return rows.select("doc_id", text.report_arguments(F.col("s")).alias("r")).select("doc_id", "r.*")
 
 
 _BYTES_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{800}-\x{ffff}]', '...', 'g'), '[\x{10000}-\x{10ffff}]', '....', 'g'), '[\x{80}-\x{7ff}]', '..', 'g'), '[^\x20-\x7e]', '.', 'g')"
@@ -211,6 +221,23 @@ def flow_uid(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", hashing.flow_uid(F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderpriority")).alias("uid"))
 
 
+_ADDRESS_SQL = masking.ADDRESS
+
+
+@register("text_masking", rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_ADDRESS_SQL}') AS ips FROM documents),
+f AS (SELECT doc_id, unnest(ips) AS ip, unnest(range(len(ips))) AS place FROM d),
+p AS (SELECT ip, 'Masked_IP_' || row_number() OVER (ORDER BY min((doc_id, place))) AS name FROM f GROUP BY 1),
+n AS (SELECT doc_id, list(name ORDER BY place) AS names FROM f JOIN p USING (ip) GROUP BY 1),
+s AS (SELECT doc_id, coalesce(names, []) AS names, string_split_regex(regexp_replace(t, '{_ADDRESS_SQL}', chr(1), 'g'), chr(1)) AS pieces FROM d LEFT JOIN n USING (doc_id))
+SELECT doc_id, array_to_string(list_transform(pieces, lambda x, i: regexp_replace(x, ':\d{{2,5}}\b', ':[PORT]', 'g') || coalesce(names[i], '')), '') AS masked, len(names) AS n FROM s""")
+def text_masking(spark, sf):
+    """Addresses inside whole texts under stable pseudonyms."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("masked"))
+    out, _ = masking.mask_addresses(docs, ["doc_id"], [], ["masked"])
+    return out.withColumn("n", F.regexp_count("masked", F.lit(r"Masked_IP_\d+")).cast("long"))
+
+
 @register("ip_mask", r"""
 WITH e AS (SELECT event_id, epoch_us(ts) AS t, '10.0.0.' || user_id AS ip FROM events),
 p AS (SELECT ip, 'IP_' || row_number() OVER (ORDER BY min((t, event_id))) AS pseudonym FROM e GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import rewards
-from netquarry.operators import metrics, ordering
+from netquarry.operators import metrics, ordering, sequences
 from netquarry.plans.registry import register, table
 
 _S = "(SELECT conv_id, turn, role, length(text) % 11 / 10.0 AS reward, length(text) AS n FROM conversations)"
@@ -258,3 +258,37 @@ def paired_cases(spark, sf):
     rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("x"))
     pairs = F.zip_with(F.col("x.o_orderkey"), F.col("x.o_orderstatus"), lambda a, b: F.concat(a.cast("string"), F.lit(">"), b))
     return rows.select("o_custkey", F.array_join(pairs, " ").alias("cases"))
+
+
+_TURN_TOKENS = """
+WITH w AS (SELECT conv_id, turn, role, list_transform(string_split(coalesce(text, ''), ' '), lambda x: CAST(length(x) AS INT)) AS r FROM conversations),
+b AS (SELECT conv_id, turn, role, r, coalesce(flatten(list(r) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS h FROM w),
+s AS (SELECT conv_id, turn, r, CASE WHEN conv_id % 3 = 0 AND turn % 3 = 2 THEN h[2:] ELSE h END AS p FROM b WHERE role = 'assistant')"""
+
+
+@register("masked_sequences", _TURN_TOKENS + """,
+l AS (SELECT *, lag(p || r) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM s),
+x AS (SELECT *, CASE WHEN f IS NOT NULL AND p[:len(f)] = f THEN len(f) ELSE 0 END AS skip, CASE WHEN f IS NOT NULL AND p[:len(f)] = f THEN 0 ELSE 1 END AS fresh FROM l),
+q AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence, len(p) - skip AS m FROM x),
+g AS (SELECT conv_id, sequence, count(*) AS steps, flatten(list(p[skip + 1:] || r ORDER BY turn)) AS t, flatten(list(list_transform(range(m), lambda i: 0) || list_transform(r, lambda i: 1) ORDER BY turn)) AS k,
+             sum(list_sum(list_transform(r, lambda i: -i / 16.0))) AS logp, sum(len(r) * (turn + 1)) AS adv FROM q GROUP BY 1, 2)
+SELECT conv_id, sequence, steps, len(t) - 1 AS n, array_to_string(t[:-2], ' ') AS inputs, array_to_string(t[2:], ' ') AS targets, array_to_string(k[2:], '') AS mask, round(logp, 6) AS logp, CAST(adv AS DOUBLE) AS adv FROM g""")
+def masked_sequences(spark, sf):
+    """Steps merged where a prompt goes on from all tokens before it, with masks, log-probabilities and advantages, shifted to
+    inputs and targets (W16, C4). Steps are the assistant's turns, their prompts all turns before; a turn's tokens are the lengths
+    of its words, and some prompts lose their first token."""
+    turns = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.transform(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda x: F.char_length(x))
+    rows = turns.select("conv_id", "turn", "role", own.alias("r")).withColumn("h", F.flatten(F.collect_list("r").over(w)))
+    cut = (F.col("conv_id") % 3 == 0) & (F.col("turn") % 3 == 2)
+    held = F.when(cut, F.slice("h", F.lit(2), F.greatest(F.size("h"), F.lit(1)))).otherwise(F.col("h"))
+    rows = rows.withColumn("p", held).where("role = 'assistant'")
+    rows = rows.withColumns({"l": F.transform("r", lambda x: -x / F.lit(16.0)), "a": F.col("turn") + 1})
+    got = sequences.shifted(sequences.merged(rows, "conv_id", "turn", "p", "r", "l", "a"))
+    text_of = lambda c, sep: F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return got.select(
+        "conv_id", "sequence", F.col("steps").cast("long").alias("steps"), F.size("target_tokens").cast("long").alias("n"), text_of("input_tokens", " ").alias("inputs"),
+        text_of("target_tokens", " ").alias("targets"), text_of("mask", "").alias("mask"), F.round(total("logprobs"), 6).alias("logp"), total("advantages").alias("adv"),
+    )

@@ -161,3 +161,14 @@ def test_thought_confidence_bytes_and_hex(spark):
     df = spark.createDataFrame([("<think>open", "置信度 0.4", "00ff41"), (" \n", "【置信度】: .5", "zz"), ("a <think> b </think>", "0.9", "")], "t string, c string, h string")
     got = df.select(text.think_text(F.col("t")), text.confidence(F.col("c")), text.printable(F.col("h")), text.byte_position(F.try_to_binary("h", F.lit("hex")), b"\xff")).collect()
     assert [tuple(g) for g in got] == [("<think>open", 0.4, "..A", 2), ("", 0.5, "?", None), ("b", -1.0, "", 0)]
+
+
+def test_expressions_of_any_length_and_depth():
+    from fractions import Fraction
+
+    from netquarry.functions.rewards import value_of
+
+    assert value_of("+".join(["1"] * 5000)) == 5000 and value_of("(" * 3000 + "7" + ")" * 3000) == 7
+    assert value_of("2 - 3 - 4 * -(5 + 1) / 8") == 2 and value_of("--3*-2") == -6 and value_of("1/3") == Fraction(1, 3)
+    for bad in ("", "()", "1 +", "2 3", "(1", "1)", "07", "1/0", "2**3", "+3", "a", "1.5", "3(4)"):
+        assert value_of(bad) is None
