@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netquarry.functions import text
-from netquarry.operators import ordering, packets, payload
+from netquarry.functions import text, tls
+from netquarry.operators import handshakes, ordering, packets, payload
 from netquarry.plans.registry import register, table
 
 _T = "epoch_us(l_shipdate) / 1e6"
@@ -254,3 +254,72 @@ def allow_list(spark, sf):
     names = F.array(F.concat(F.lit("name"), F.col("s_nationkey").cast("string"), F.lit(".example.com")), F.lit("x.org"))
     odd = F.exists(names, lambda n: ~F.exists(F.array(*map(F.lit, allowed)), lambda a: F.contains(n, a)))
     return table(spark, sf, "supplier").select("s_suppkey", odd.alias("foreign_name"))
+
+
+@register("tls_fingerprint", """
+WITH g AS (SELECT l_orderkey, '771,' || string_agg(CAST(l_partkey % 60000 AS VARCHAR), '-' ORDER BY l_linenumber, l_partkey, l_suppkey) || ',0-10-11,' ||
+    string_agg(CAST(l_suppkey % 30 AS VARCHAR), '-' ORDER BY l_linenumber, l_partkey, l_suppkey) || ',' || string_agg(CAST(l_linenumber % 3 AS VARCHAR), '-' ORDER BY l_linenumber, l_partkey, l_suppkey) AS s FROM lineitem
+    WHERE l_partkey % 60000 NOT IN (2570, 6682, 10794, 14906, 19018, 23130, 27242, 31354, 35466, 39578, 43690, 47802, 51914, 56026) GROUP BY 1),
+k AS (SELECT md5(s) AS hash, 'order ' || min(l_orderkey) AS known_as FROM g WHERE l_orderkey % 100 = 0 GROUP BY 1)
+SELECT l_orderkey, 'h' || l_orderkey || '.example.com' AS server_name, s AS ja3_string, md5(s) AS ja3, known_as FROM g LEFT JOIN k ON md5(s) = hash""")
+def tls_fingerprint(spark, sf):
+    """Client hellos read from the bytes of a record, their fingerprints, and the names of known ones (A43, A44, B1, B3). A hello's
+    numbers are an order's lines; reserved values are mixed in."""
+    lines = table(spark, sf, "lineitem").where(~(F.col("l_partkey") % 60000).isin([0x0A0A + 0x1010 * k for k in range(14)]))
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    g = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("x"))
+    number = lambda n, size: F.lpad(F.hex(n), 2 * size, "0")
+    joined = lambda f: F.array_join(F.transform("x", f), "")
+    name = F.concat(F.lit("h"), F.col("l_orderkey").cast("string"), F.lit(".example.com"))
+    n, size = F.char_length(name), F.size("x")
+    ext = lambda kind, data: F.struct(F.lit(kind).alias("kind"), data.alias("data"))
+    parts = F.array(
+        ext(0x2A2A, F.lit("")), ext(0, F.concat(number(n + 3, 2), F.lit("00"), number(n, 2), F.hex(name))),
+        ext(10, F.concat(number(2 * size, 2), joined(lambda r: number(r["l_suppkey"] % 30, 2)))), ext(11, F.concat(number(size, 1), joined(lambda r: number(r["l_linenumber"] % 3, 1)))),
+    )
+    ciphers = F.concat(F.array(F.lit(0x1A1A).cast("long")), F.transform("x", lambda r: r["l_partkey"] % 60000))
+    once = F.md5(F.col("l_orderkey").cast("string"))
+    stream = F.concat(F.lit("474554200A"), tls.hello_hex(F.lit(771), ciphers, parts, F.concat(once, once)))  # behind other bytes
+    hellos = g.select("l_orderkey", tls.first_client_hello(stream).alias("h")).select("l_orderkey", "h.server_name", "h.ja3_string", "h.ja3")
+    some = hellos.where("l_orderkey % 100 = 0").groupBy(F.col("ja3").alias("hash")).agg(F.min("l_orderkey").alias("k"))
+    known = some.select("hash", F.concat(F.lit("order "), F.col("k").cast("string")).alias("name"))
+    return tls.known_fingerprints(hellos, known)
+
+
+@register("http_exchanges", """
+WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '') AS host, '/' || page_id AS uri, length(html) AS n FROM pages)
+SELECT page_id, 0 AS nth, 'GET' AS method, uri, host, 'bot/' || (page_id % 7) AS user_agent, CASE WHEN page_id % 3 = 0 THEN 'websocket' ELSE '' END AS upgrade, CASE WHEN page_id % 3 = 0 THEN 'k' || page_id ELSE '' END AS websocket_key,
+  200 AS status, 'OK' AS phrase, 'srv' || (page_id % 5) AS server, 'text/html; charset=utf-8' AS content_type, '' AS accept_key FROM p
+UNION ALL SELECT page_id, 1, 'POST', uri || '?n=' || n, host, '', '', '', CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 101 ELSE 404 END,
+  CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'Switching Protocols' ELSE 'Not Found' END, CASE WHEN page_id % 4 > 0 THEN '' END, CASE WHEN page_id % 4 > 0 THEN '' END,
+  CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'a' || page_id ELSE '' END FROM p""")
+def http_exchanges(spark, sf):
+    """Requests and responses of each flow, paired in stream order, with their headers (A46). Streams carry whole pages."""
+    p = table(spark, sf, "pages").withColumn("host", F.coalesce(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1), F.lit("")))
+    i = F.col("page_id")
+    s, end = i.cast("string"), F.lit("\r\n")
+    upgrade = F.when(i % 3 == 0, F.concat(F.lit("Upgrade: websocket\r\nSec-WebSocket-Key: k"), s, end)).otherwise("")
+    client = F.concat(
+        F.lit("GET /"), s, F.lit(" HTTP/1.1\r\nHost: "), F.col("host"), F.lit("\r\nUser-Agent:bot/"), (i % 7).cast("string"), end, upgrade, end,
+        F.lit("POST /"), s, F.lit("?n="), F.length("html").cast("string"), F.lit(" HTTP/1.1\r\nhost:  "), F.col("host"), F.lit("\r\n\r\nuser-agent: body"),
+    )
+    second = F.when(i % 4 == 0, "").when(i % 3 == 0, F.concat(F.lit("HTTP/1.1 101 Switching Protocols\r\nSec-WebSocket-Accept: a"), s, F.lit("\r\n\r\n"))).otherwise("HTTP/1.1 404 Not Found\r\n\r\n")
+    server = F.concat(F.lit("HTTP/1.1 200 OK\r\nServer: srv"), (i % 5).cast("string"), F.lit("\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.coalesce("html", F.lit("")), end, second)
+    return handshakes.http_records(p.select("page_id", client.alias("client"), server.alias("server")), ["page_id"], "client", "server")
+
+
+@register("quic_handshakes", """
+WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 3 = 1 THEN 1798521807 ELSE 0 END AS version, event_id % 4 AS kind, event_id % 5 = 0 AS short FROM events),
+q AS (SELECT *, kind = CASE WHEN version = 1 THEN 0 ELSE 1 END AS initial FROM e WHERE version > 0 AND NOT short)
+SELECT user_id, array_to_string(list_sort(list(DISTINCT version)), ' ') AS versions, count(*) FILTER (initial) AS initials, count(DISTINCT event_id % 1000) AS connections,
+       bool_or(event_id % 11 = 0) AS has_token, string_agg(DISTINCT CASE WHEN event_id % 11 = 0 THEN 'frp' ELSE 'h3' END, ' ' ORDER BY CASE WHEN event_id % 11 = 0 THEN 'frp' ELSE 'h3' END) AS alpn FROM q GROUP BY 1""")
+def quic_handshakes(spark, sf):
+    """Long headers read from datagrams: versions, Initial packets, connections, protocol sets."""
+    i = F.col("event_id")
+    version = F.when(i % 3 == 0, "00000001").when(i % 3 == 1, "6b3343cf").otherwise("00000000")
+    first = F.when(i % 5 == 0, F.hex(64 + i % 4)).otherwise(F.hex(192 + 16 * (i % 4)))
+    datagram = F.concat(first, version, F.lit("04"), F.lpad(F.hex(i % 1000), 8, "0"), F.lit("02"), F.lpad(F.hex(i % 7), 4, "0"), F.lit("00ff"))
+    rows = table(spark, sf, "events").select("user_id", datagram.alias("data"), F.when(i % 11 == 0, "frp").otherwise("h3").alias("alpn"))
+    got = handshakes.quic_summary(handshakes.quic_headers(rows, "data"), ["user_id"], "alpn")
+    text_of = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return got.select("user_id", text_of("versions").alias("versions"), "initials", "connections", "has_token", text_of("alpn").alias("alpn"))
