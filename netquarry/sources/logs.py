@@ -68,14 +68,29 @@ def parse_time(text: Column, shift_seconds: float = 0.0) -> Column:
 PROTOCOLS = {6: "tcp", 17: "udp", 1: "icmp"}
 
 
+def protocol_name(number: Column, default: str = "unknown") -> Column:
+    names = F.create_map(*[F.lit(x) for pair in PROTOCOLS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, number.cast("int")), F.lit(default))
+
+
+def protocol_number(name: Column) -> Column:
+    """Number of a protocol's name in any case, null for another one."""
+    numbers = F.create_map(*[F.lit(x) for k, v in PROTOCOLS.items() for x in (v, k)])
+    return F.try_element_at(numbers, F.lower(name))
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """A CSV with a header, all columns as text: names trimmed and without a byte-order mark, values as they are."""
+    raw = spark.read.options(header=True, sep=delimiter, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+
+
 def read_truth(spark: SparkSession, path: str, shift_seconds: float = 12 * 3600.0) -> DataFrame:
     """The labelled CSV: header names trimmed, bad ports -1, unknown protocols 'unknown', durations in seconds."""
-    raw = spark.read.option("header", True).csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    proto = F.create_map(*[x for k, v in PROTOCOLS.items() for x in (F.lit(k), F.lit(v))])
+    raw = read_csv(spark, path)
     return raw.select(
         F.coalesce(F.col("Dst Port").try_cast("int"), F.lit(-1)).alias("dst_port"),
-        F.coalesce(F.try_element_at(proto, F.col("Protocol").try_cast("int")), F.lit("unknown")).alias("proto"),
+        protocol_name(F.col("Protocol").try_cast("int")).alias("proto"),
         parse_time(F.col("Timestamp"), shift_seconds).alias("ts"),
         (F.col("Flow Duration").try_cast("double") / 1e6).alias("duration"),
         (F.coalesce(F.col("Tot Fwd Pkts").try_cast("long"), F.lit(0)) + F.coalesce(F.col("Tot Bwd Pkts").try_cast("long"), F.lit(0))).alias("packets"),
@@ -108,6 +123,20 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+def checked(df: DataFrame, shape: str) -> DataFrame:
+    """df in the columns and types of a DDL text, or an error. A column that is absent or can't be cast without loss fails when
+    the rows are read, with the first such column's name."""
+    schema = T.StructType.fromDDL(shape)
+    require_columns(df, schema.names)
+
+    def one(f: T.StructField) -> Column:
+        made = F.col(f"`{f.name}`").try_cast(f.dataType)
+        bad = made.isNull() & F.col(f"`{f.name}`").isNotNull()
+        return F.when(bad, F.raise_error(F.lit(f"wrong shape: {f.name}")).cast(f.dataType)).otherwise(made).alias(f.name)
+
+    return df.select(*map(one, schema))
+
+
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     """Nested structs as columns of their own, names joined by sep."""
 
