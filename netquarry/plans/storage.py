@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from netquarry.durable import names, settle, shared_folder
 from netquarry.functions import tls
 from netquarry.plans.registry import register, table
-from netquarry.sources import logs, sinks
+from netquarry.sources import captures, logs, sinks
 
 
 def _micros(c="ts"):
@@ -260,3 +260,45 @@ def renamed_reset(spark, sf):
     sinks.replace(sinks.underscored(rows), folder)
     again = sinks.reset(spark.read.parquet(folder), "rag_score")
     return again.groupBy(*again.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CAPTURED = """
+WITH e AS (SELECT *, 'c' || (event_id // 2000) || '.pcap' AS file, event_id % 3 = 0 AS udp, user_id % 5 AS a, event_id % 7 < 3 AS back FROM events),
+p AS (SELECT file, event_id, row_number() OVER (PARTITION BY file ORDER BY event_id) AS frame, epoch_us(ts) / 1e6 AS ts, udp,
+  CASE WHEN back THEN '192.168.0.' || a ELSE '10.0.0.' || user_id END AS src, CASE WHEN back THEN 443 ELSE 40000 + user_id END AS src_port,
+  CASE WHEN back THEN '10.0.0.' || user_id ELSE '192.168.0.' || a END AS dst, CASE WHEN back THEN 40000 + user_id ELSE 443 END AS dst_port,
+  CASE WHEN udp THEN 'udp' ELSE 'tcp' END AS proto, CASE WHEN udp THEN 42 ELSE 54 END + length(event_type) AS length, event_type AS payload, back, user_id, a FROM e)"""
+
+
+def _captured(spark, sf):
+    """The events as packets in capture files of 2,000 each, read back in small stretches."""
+    folder, i, u = shared_folder(spark), F.col("event_id"), F.col("user_id")
+    e = table(spark, sf, "events").withColumns({"udp": i % 3 == 0, "back": i % 7 < 3, "host": F.lit(0x0A000000) + u, "far": F.lit(0xC0A80000) + u % 5})
+    pick = lambda a, b: F.when(F.col("back"), a).otherwise(b)
+    frame = captures.frame_hex(pick(F.col("far"), F.col("host")), pick(F.lit(443), 40000 + u), pick(F.col("host"), F.col("far")), pick(40000 + u, F.lit(443)), F.col("udp"), i, F.hex("event_type"))
+    file = F.concat(F.lit("c"), F.floor(i / 2000).cast("string"), F.lit(".pcap"))
+    rows = e.select(file.alias("file"), i.alias("nth"), (_micros() / 1_000_000).cast("long").alias("seconds"), (_micros() % 1_000_000).alias("micros"), frame.alias("frame"))
+    captures.write_captures(rows, folder)
+    return captures.read_captures(spark, folder, split=1 << 15)
+
+
+@register("capture_packets", _CAPTURED + """
+SELECT file, frame, ts, src, CAST(src_port AS INT) AS src_port, dst, CAST(dst_port AS INT) AS dst_port, proto, CAST(length AS INT) AS length, CASE WHEN NOT udp THEN event_id END AS seq, payload FROM p""")
+def capture_packets(spark, sf):
+    """Packets read from the bytes of capture files, in stretches."""
+    rows = _captured(spark, sf).withColumn("payload", F.decode("payload", "UTF-8"))
+    return rows.select("file", "frame", "ts", "src", "src_port", "dst", "dst_port", "proto", "length", "seq", "payload")
+
+
+@register("capture_conversations", _CAPTURED + """,
+g AS (SELECT file, proto, user_id, a, min(ts) AS t, max(ts) AS z, arg_min(back, frame) AS b, count(*) FILTER (back) AS nb, count(*) FILTER (NOT back) AS nf,
+        coalesce(sum(length) FILTER (back), 0) AS sb, coalesce(sum(length) FILTER (NOT back), 0) AS sf, list(payload ORDER BY frame) FILTER (back) AS pb, list(payload ORDER BY frame) FILTER (NOT back) AS pf FROM p GROUP BY 1, 2, 3, 4),
+f AS (SELECT file, min(ts) AS t0 FROM p WHERE frame = 1 GROUP BY 1)
+SELECT file, proto, CASE WHEN b THEN '192.168.0.' || a ELSE '10.0.0.' || user_id END AS id_orig_h, round(t - t0, 6) AS ts, round(z - t, 6) AS duration,
+  CASE WHEN b THEN nb ELSE nf END AS orig_pkts, CASE WHEN b THEN nf ELSE nb END AS resp_pkts, CAST(CASE WHEN b THEN sb ELSE sf END AS BIGINT) AS orig_bytes, CAST(CASE WHEN b THEN sf ELSE sb END AS BIGINT) AS resp_bytes,
+  coalesce(array_to_string((CASE WHEN b THEN pb ELSE pf END)[1:5], ''), '') AS stream_payload_decoded FROM g JOIN f USING (file)""")
+def capture_conversations(spark, sf):
+    """Conversations of capture files with both ways' packets and bytes and the first payloads."""
+    rows = captures.capture_flows(_captured(spark, sf))
+    exact = [F.round(c, 6).alias(c) for c in ("ts", "duration")]
+    return rows.select("file", "proto", "id_orig_h", *exact, "orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes", "stream_payload_decoded")
