@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netquarry.functions import vectors
 from netquarry.durable import shared_folder
 from netquarry.operators import state
+from netquarry.operators.keyed import KeyedTable, edges_merged
 from netquarry.operators.queue import DetectionCursor, WorkQueue
 from netquarry.plans.registry import register, table
 
@@ -104,6 +105,35 @@ def kb_upsert(spark, sf):
     return state.upsert(old, new, "k", "seq")
 
 
+@register("bucketed_upsert", """
+WITH p AS (SELECT o_custkey AS k, o_orderpriority AS v, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 0 WHEN o_orderkey % 10 = 1 THEN 1 ELSE 2 END AS fresh FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 10 IN (1, 3)),
+b AS (SELECT k, arg_max(v, (fresh, seq)) AS v, arg_max(seq, (fresh, seq)) AS seq FROM p GROUP BY 1)
+SELECT k, v, seq, 3 AS versions, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderkey % 2 = 0) AS at_first FROM b""")
+def bucketed_upsert(spark, sf):
+    """Three upserts that rewrite touched buckets only, and the first version read again (K3, K4)."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), F.col("o_orderkey").alias("seq"))
+    t = KeyedTable(spark, shared_folder(spark), "k long, v string, seq long", "k", "seq", 16)
+    for part in ("seq % 2 = 0", "seq % 10 = 1", "seq % 10 = 3"):
+        t.upsert(o.where(part))
+    first = t.read(0).count()
+    return t.read().withColumns({"versions": F.lit(t.version() + 1), "at_first": F.lit(first).cast("long")})
+
+
+@register("graph_upsert", """
+SELECT l_partkey % 40 || '>' || l_suppkey % 40 AS edge, count(*) AS flows, CAST(sum(l_quantity) AS BIGINT) AS packets,
+  array_to_string(list(CAST(l_orderkey AS VARCHAR) ORDER BY l_orderkey, l_linenumber)[-3:], ',') AS last3 FROM lineitem GROUP BY 1""")
+def graph_upsert(spark, sf):
+    """Edges of a snapshot and of two later batches: counts add up, the last three records stay."""
+    li = table(spark, sf, "lineitem")
+    edge = F.concat((F.col("l_partkey") % 40).cast("string"), F.lit(">"), (F.col("l_suppkey") % 40).cast("string"))
+    rows = li.select(edge.alias("edge"), F.lit(1).cast("long").alias("flows"), F.col("l_quantity").cast("long").alias("packets"), F.array(F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("int").alias("n"))).alias("last"))
+    t = KeyedTable(spark, shared_folder(spark), "edge string, flows long, packets long, last array<struct<o:long,n:int>>", "edge", "flows", 8)
+    for k in range(3):
+        t.upsert(rows.where(F.col("last")[0]["o"] % 3 == k), edges_merged("edge", ["flows", "packets"], "last"))
+    last3 = F.array_join(F.transform("last", lambda x: x["o"].cast("string")), ",")
+    return t.read().select("edge", "flows", "packets", last3.alias("last3"))
+
+
 @register("trace_upsert", """
 SELECT k, min(made) AS created_at, max(made) AS updated_at, arg_max(v, (fresh, made)) AS v FROM (
   SELECT user_id AS k, event_id AS made, event_type AS v, 0 AS fresh FROM events WHERE event_id % 2 = 0
