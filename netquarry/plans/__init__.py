@@ -1,3 +1,3 @@
 """Registered queries; importing a module registers its queries."""
 
-from netquarry.plans import answers, flows, packets, state, storage, texts, trajectories  # noqa: F401
+from netquarry.plans import answers, evaluations, flows, packets, state, storage, texts, trajectories  # noqa: F401

@@ -30,7 +30,7 @@ MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4
 _INDEX = "path string, start long, stop long, first long, magic binary, link int"
 PACKETS = (
     "file string, frame long, ts double, src string, src_port int, dst string, dst_port int, proto string, length int, captured int, "
-    "seq long, flags int, payload binary"
+    "seq long, flags int, payload binary, data binary"
 )
 #: IP protocol numbers by name.
 _NAMES = {1: "icmp", 6: "tcp", 17: "udp", 58: "icmpv6"}
@@ -107,8 +107,9 @@ def _packets(path: str, start: int, stop: int, first: int, magic: bytes, link: i
         data, at, number = f.read_at(stop - start, start), 0, first
         while at < len(data):
             seconds, fraction, captured, length = head(data, at)
-            src, sport, dst, dport, proto, seq, flags, payload = parsed(data[at + 16 : at + 16 + captured], link)
-            yield name, number, seconds + fraction / parts, src, sport, dst, dport, proto, length, captured, seq, flags, payload
+            whole = data[at + 16 : at + 16 + captured]
+            src, sport, dst, dport, proto, seq, flags, payload = parsed(whole, link)
+            yield name, number, seconds + fraction / parts, src, sport, dst, dport, proto, length, captured, seq, flags, payload, whole
             at, number = at + 16 + captured, number + 1
 
 
@@ -123,8 +124,18 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+def write_subset(packets: DataFrame, folder: str, file: Column) -> int:
+    """Writes packets of `read_captures`, as they were captured, to captures named by `file`; returns how many."""
+    micros = F.round(F.col("ts") * 1_000_000).cast("long")
+    nth = F.struct(F.col("file").alias("f"), "frame")
+    whole = packets.select(file.alias("file"), nth.alias("nth"), (micros / 1_000_000).cast("long").alias("seconds"), (micros % 1_000_000).alias("micros"), F.hex("data").alias("frame"))
+    whole = settle(whole)
+    write_captures(whole, folder)
+    return whole.count()
+
+
 def read_captures(spark: SparkSession, folder: str, pattern: str = "*.pcap", split: int = SPLIT) -> DataFrame:
-    """(file, frame, ts, src, src_port, dst, dst_port, proto, length, captured, seq, flags, payload) of all captures."""
+    """(file, frame, ts, src, src_port, dst, dst_port, proto, length, captured, seq, flags, payload, data (whole)) of all captures."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path")
     index_type = to_arrow_schema(spark.createDataFrame([], _INDEX).schema)
     packet_type = to_arrow_schema(spark.createDataFrame([], PACKETS).schema)

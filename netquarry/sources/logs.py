@@ -137,6 +137,21 @@ def checked(df: DataFrame, shape: str) -> DataFrame:
     return df.select(*map(one, schema))
 
 
+def read_index(spark: SparkSession, vectors: str, corpus: str, id_col: str = "id") -> DataFrame:
+    """The documents of a JSON-lines corpus with their vectors from a Parquet table of (id, vec). An identifier that only one of
+    them has, or that one has twice, is an error."""
+    docs, held = spark.read.json(corpus), spark.read.parquet(vectors)
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        return df.groupBy(F.col(id_col).alias("_id")).agg(F.first(whole).alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
+
+    both = once(docs, "_d").join(once(held, "_v"), "_id", "full")
+    wrong = F.raise_error(F.concat(F.lit("corpus and vectors don't fit at "), F.coalesce(F.col("_id").cast("string"), F.lit("null")))).cast("boolean")
+    both = both.where(F.when(F.coalesce((F.col("_d_n") == 1) & (F.col("_v_n") == 1), F.lit(False)), F.lit(True)).otherwise(wrong))
+    return both.select("_d.*", *[F.col(f"_v.{c}").alias(c) for c in held.columns if c not in docs.columns])
+
+
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     """Nested structs as columns of their own, names joined by sep."""
 
