@@ -103,7 +103,7 @@ def contest_ratings(tries: DataFrame, standings: DataFrame, most_tries: int) ->
     lost = F.when(bare & F.col("i").isNotNull(), 10 * F.col("i")).otherwise(0)
     scores = solved.groupBy("contest").agg(F.sum(gain).cast("long").alias("score"), F.sum(lost).cast("long").alias("penalty"))
     hist = standings.groupBy("contest", "r").agg(F.count(F.lit(1)).alias("n"))
-    people = standings.groupBy("contest", "points", "late").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(scores), "contest")
+    people = standings.groupBy("contest", "points", "late").agg(F.count(F.lit(1)).alias("n")).join(scores, "contest")
     behind = (F.col("points") < F.col("score")) | ((F.col("points") == F.col("score")) & (F.col("late") > F.col("penalty")))
     ranks = people.groupBy("contest", "score", "penalty").agg(F.sum(F.when(behind, 0).otherwise(F.col("n"))).alias("rank"))
     ratings = hist.groupBy("contest").agg(F.collect_list(F.struct("r", "n")).alias("hist"), F.max("r").alias("most"))

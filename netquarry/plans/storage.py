@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from netquarry.durable import names, settle, shared_folder
 from netquarry.functions import tls
 from netquarry.plans.registry import register, table
-from netquarry.sources import captures, logs, sinks
+from netquarry.sources import captures, files, logs, sinks
 
 
 def _micros(c="ts"):
@@ -302,3 +302,24 @@ def capture_conversations(spark, sf):
     rows = captures.capture_flows(_captured(spark, sf))
     exact = [F.round(c, 6).alias(c) for c in ("ts", "duration")]
     return rows.select("file", "proto", "id_orig_h", *exact, "orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes", "stream_payload_decoded")
+
+
+@register("archive_files", """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'json' WHEN 2 THEN 'csv' ELSE 'docx' END AS kind,
+       CASE doc_id % 4 WHEN 0 THEN CASE WHEN length(coalesce(text, '')) <= 500 THEN coalesce(text, '') ELSE substr(text, 1, 500) || chr(10) || '... (truncated, original length: ' || length(text) || ' chars)' END
+         WHEN 1 THEN '{"doc_id": ' || doc_id || ', "n": ' || n_chars || '}' WHEN 2 THEN '[{"doc_id": "' || doc_id || '", "n": "' || n_chars || '"}]' END AS content,
+       CASE WHEN doc_id % 4 = 3 THEN 'ValueError: unsupported file format: .docx' END AS error FROM documents""")
+def archive_files(spark, sf):
+    """Members of zip archives read by suffix, with delimiters told from the text, byte-order marks taken off and a bound on the
+    characters that are shown (S24)."""
+    folder, d = shared_folder(spark), table(spark, sf, "documents")
+    i = F.col("doc_id").cast("string")
+    n = F.col("n_chars").cast("string")
+    k = F.col("doc_id") % 4
+    body = F.when(k == 0, F.coalesce("text", F.lit(""))).when(k == 1, F.concat(F.lit('﻿{"doc_id":'), i, F.lit(', "n" : '), n, F.lit("}")))
+    body = body.when(k == 2, F.concat(F.lit("﻿doc_id;n\r\n"), i, F.lit(";"), n, F.lit("\r\n"))).otherwise("x")
+    kind = F.when(k == 0, "txt").when(k == 1, "json").when(k == 2, "csv").otherwise("docx")
+    rows = d.select(F.concat(F.lit("a"), F.floor(F.col("doc_id") / 500).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.lit("d/"), i, F.lit("."), kind).alias("name"), body.alias("body"))
+    files.write_archives(rows, folder, "archive", "name", "body")
+    got = files.read_files(spark, folder, max_chars=500)
+    return got.select(F.regexp_extract("part", r"d/(-?\d+)\.", 1).cast("long").alias("doc_id"), "kind", "content", "error")

@@ -103,17 +103,21 @@ def token_f1(spark, sf):
     """Best F1 and exact match of whole texts over a list of golds, and the decision by them."""
     docs, items = _all_answers(spark, sf)
     golds = items.groupBy("k").agg(F.collect_list("g").alias("golds"))
-    rows = docs.join(F.broadcast(golds), "k").select("doc_id", text.best_of_golds("p", "golds").alias("b"))
+    rows = docs.join(golds, "k").select("doc_id", text.best_of_golds("p", "golds").alias("b"))
     return rows.select("doc_id", F.round("b.f1", 6).alias("f1"), "b.exact", (F.col("b.exact") | (F.col("b.f1") >= 0.3)).alias("good"))
 
 
-@register("word_overlap", _GOLD_SQL + """
-SELECT doc_id, item_id, len(list_intersect(list_distinct(string_split(p, ' ')), list_distinct(string_split(g, ' ')))) AS n, p = g AS exact FROM x""")
+@register("word_overlap", _GOLD_SQL + """,
+s AS (SELECT doc_id, item_id, len(list_intersect(list_distinct(string_split(p, ' ')), list_distinct(string_split(g, ' ')))) AS n, p = g AS exact FROM x)
+SELECT doc_id, max(n) AS n, arg_max(item_id, (n, -item_id)) AS best, bool_or(exact) AS exact, count(*) AS golds FROM s GROUP BY 1""")
 def word_overlap(spark, sf):
-    """Set intersection of words, and exact match, of whole texts with every gold."""
+    """Set intersection of words with every gold: the best gold of each whole text, and whether any is equal."""
     docs, items = _all_answers(spark, sf)
-    words = F.array_intersect(F.split("p", " "), F.split("g", " "))
-    return docs.join(F.broadcast(items), "k").select("doc_id", "item_id", F.size(words).cast("long").alias("n"), (F.col("p") == F.col("g")).alias("exact"))
+    pairs = docs.join(items, "k")
+    n = F.size(F.array_intersect(F.split("p", " "), F.split("g", " "))).cast("long")
+    rows = pairs.select("doc_id", "item_id", n.alias("n"), (F.col("p") == F.col("g")).alias("exact"))
+    best = F.max_by("item_id", F.struct("n", -F.col("item_id")))
+    return rows.groupBy("doc_id").agg(F.max("n").alias("n"), best.alias("best"), F.bool_or("exact").alias("exact"), F.count(F.lit(1)).alias("golds"))
 
 
 @register("tag_answer", r"""
@@ -363,7 +367,7 @@ def bm25_topk(spark, sf):
 
 
 _FUSION_SQL = f"""
-WITH kb AS (SELECT doc_id AS d, text, embedding AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+WITH kb AS (SELECT doc_id AS d, text, embedding AS e FROM documents JOIN embeddings ON vec_id = doc_id WHERE len(embedding) > 0),
 dt AS (SELECT d, CASE WHEN len(ts) > 0 THEN ts ELSE ['__empty__'] END AS ts FROM (SELECT d, regexp_extract_all(regexp_replace(lower(text), '(\\p{{Han}})', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS ts FROM kb)),
 st AS (SELECT count(*) AS n_docs, avg(len(ts)) AS mean_len FROM dt),
 tf AS (SELECT d, l, t, count(*) AS tf FROM (SELECT d, len(ts) AS l, unnest(ts) AS t FROM dt) GROUP BY 1, 2, 3),
@@ -385,7 +389,8 @@ def rank_fusion(spark, sf):
     """A knowledge base searched by meaning and by words: the three best of each query by reciprocal rank fusion of the first
     hundred of either list, itself and entries without a vector left out (R4, R5, W18)."""
     words, vectors_ = table(spark, sf, "documents").select("doc_id", text.search_words(F.col("text")).alias("ts")), table(spark, sf, "embeddings")
-    kb = settle(words.join(vectors_.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id"))
+    held = vectors_.where("size(embedding) > 0").select(F.col("vec_id").alias("doc_id"), "embedding")
+    kb = settle(words.join(held, "doc_id"))
     asked = kb.where("doc_id % 50 = 0")
     lexical = retrieval.bm25(kb, asked, "doc_id", "doc_id", "ts", 100, itself=False)
     near = VectorIndex(kb, "doc_id", "embedding").search(asked, "doc_id", "embedding", 100, exact=True)

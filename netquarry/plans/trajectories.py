@@ -209,7 +209,7 @@ def percentile_rank(spark, sf):
     before = Window.partitionBy("c").orderBy("total").rowsBetween(Window.unboundedPreceding, -1)
     tops = counts.groupBy(coarse.alias("c")).agg(F.sum("n").alias("n"))
     tops = tops.select("c", F.coalesce(F.sum("n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    ranks = counts.withColumn("c", coarse).withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(tops), "c")
+    ranks = counts.withColumn("c", coarse).withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(tops, "c")
     pct = F.round(100.0 * (F.col("below") + F.col("inside")) / F.col("all"), 1)
     return rows.join(ranks.select("total", pct.alias("pct")), "total").select("o_custkey", "pct")
 

@@ -84,18 +84,6 @@ def _bm25(docs, items):
     return out
 
 
-def _fused(lexical, docs):
-    out = {}
-    for q, found in lexical.items():
-        near = sorted(docs, key=lambda d: (abs(q * 25 - d), d))[:50]
-        score = Counter()
-        for ranks in (found[:50], near):
-            for k, d in enumerate(ranks, 1):
-                score[d] += 1 / (60 + k)
-        out |= {(q, k): d for k, d in enumerate(sorted(score, key=lambda d: (-round(score[d], 8), d))[:3], 1)}
-    return out
-
-
 @pytest.fixture
 def corpus(tmp_path):
     """Documents of several languages and of none, far apart in number."""
@@ -123,12 +111,27 @@ def test_bm25_of_many_query_terms_is_the_same(spark, corpus, monkeypatch):
     assert rows() == few
 
 
-@pytest.mark.parametrize("name", ["rank_fusion"])
-def test_second_list_has_the_nearest_however_far(spark, corpus, name):
-    folder, docs, items = corpus
-    texts = {d: t for d, (t, _) in docs.items()}
-    got = {(r.q, r.rank): r.d for r in registry.QUERIES[name](spark, folder).collect()}
-    assert got == _fused(_bm25(texts, items), texts)
+def test_fusion_of_words_and_vectors(spark, tmp_path):
+    r = random.Random(8)
+    vocabulary = ["rot", "blau", "red", "blue", "x1", "net", "flow", "port", "scan", "key"]
+    docs = {d: " ".join(r.choices(vocabulary, k=r.randint(3, 30))) for d in range(0, 130 * 10, 10)}
+    vectors = {d: [r.gauss(0, 1) for _ in range(64)] for d in docs if d % 70} | {150: []}  # 0, 70, ... have none, 150 an empty one
+    folder = _write(
+        tmp_path,
+        documents={"doc_id": pa.array(docs, pa.int64()), "text": list(docs.values())},
+        embeddings={"vec_id": pa.array(vectors, pa.int64()), "embedding": pa.array(list(vectors.values()), pa.list_(pa.float64()))},
+    )
+    kb = {d: t for d, t in docs.items() if vectors.get(d)}
+    got = {(r.q, r.rank): r.d for r in registry.QUERIES["rank_fusion"](spark, folder).collect()}
+    want, words = {}, _bm25(kb, {q: t for q, t in kb.items() if q % 50 == 0})
+    for q, found in words.items():
+        near = sorted((d for d in kb if d != q), key=lambda d: (-round(_cosine(vectors[q], vectors[d]), 6), d))[:100]
+        score = Counter()
+        for ranks in ([d for d in found if d != q][:100], near):
+            for k, d in enumerate(ranks, 1):
+                score[d] += 1 / (60 + k)
+        want |= {(q, k): d for k, d in enumerate(sorted(score, key=lambda d: (-round(score[d], 8), d))[:3], 1)}
+    assert got == want and {q for q, _ in got} == {q for q in kb if q % 50 == 0}
 
 
 def _normal(text):
@@ -159,8 +162,8 @@ def test_answers_are_whole_and_golds_are_all(spark, tmp_path):
         f1 = max(_f1(p, g) for g in gs)
         assert got[d] == (round(f1, 6), p in gs, p in gs or f1 >= 0.3)
     assert got[0] == (1.0, True, True)
-    words = {(r.doc_id, r.item_id): (r.n, r.exact) for r in registry.QUERIES["word_overlap"](spark, folder).collect()}
-    assert words[0, 40] == (61, True) and (1, 41) in words and len(words) == 6
+    words = {r.doc_id: (r.n, r.best, r.exact, r.golds) for r in registry.QUERIES["word_overlap"](spark, folder).collect()}
+    assert words == {0: (61, 40, True, 2), 1: (4, 1, False, 2), 2: (0, 2, False, 1), 3: (0, 43, False, 1)}
 
 
 def test_text_operators_take_whole_texts(spark, tmp_path):
