@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens over the same bytes, and how often id pairs are linked across a corpus.
 
 Each partition encodes its texts twice and gives DuckDB two interval tables, tokens of A and of B, on one byte axis for
-some megabytes of documents. Where a token of A and one of B end together is a cut. A window sum over the cuts numbers
-A's groups, an ASOF join takes each token of B to the first cut at or behind its end, and a join on the group gives the
-links. A partition adds up in how many of its documents each pair of ids is linked; Spark merges these partial counts.
+a megabyte of documents. Where a token of A and one of B end together is a cut. Tokens that also begin together are a group;
+for the others a window sum over the cuts numbers A's groups, an ASOF join takes each token of B to the first cut at or behind
+its end, and a join on the group gives the links. A partition adds up in how many of its documents each pair of ids is linked; Spark merges these partial counts.
 
 `aligned` gives each document's groups and id pairs, `rated` adds what the corpus-wide counts say about them. Counts
 are joined to the documents' pairs in two parts: at most `BROADCAST_PAIRS` of the commonest pairs, which are most of all
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +29,35 @@ from pyspark.sql import functions as F
 
 from netquarry.llm.common import Scratch, settle
 
-SLICE_BYTES = 2_000_000  # of text in one set of interval tables
+SLICE_BYTES = 1_000_000  # of text in one set of interval tables
 LARGE = 256  # links in a group from which equal ids are counted before the join
 KEPT_PAIRS = 2_000_000  # partial counts that a partition holds before it gives them away
 BROADCAST_PAIRS = 500_000
 _BLOCK = 65_536  # partial counts in one row
+_MOST = 200_000  # words with known ids
 
+#: Tokens of both kinds with the same begin and end are groups of their own; what is left is grouped between cuts.
 _ALIGN = """
-CREATE OR REPLACE TEMP TABLE group_a AS
-SELECT doc, id, e, hit, CAST(sum(hit) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - hit AS BIGINT) AS g
-FROM (SELECT a.doc, a.id, a.e, CAST(b.e IS NOT NULL AS INTEGER) AS hit FROM tokens_a a LEFT JOIN tokens_b b ON a.e = b.e);
-CREATE OR REPLACE TEMP TABLE group_b AS
-SELECT b.id, b.e, cut.g FROM tokens_b b ASOF JOIN (SELECT e, g FROM group_a WHERE hit = 1) cut ON b.e <= cut.e;
+CREATE OR REPLACE TEMP TABLE met AS
+SELECT a.doc, a.id AS a, a.s, a.e, b.id AS b, b.s AS other FROM tokens_a a LEFT JOIN tokens_b b ON a.e = b.e;
+CREATE OR REPLACE TEMP TABLE rest_a AS
+SELECT doc, a AS id, e, hit, CAST(sum(hit) OVER (ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - hit AS BIGINT) AS g
+FROM (SELECT *, CAST(other IS NOT NULL AS INTEGER) AS hit FROM met WHERE other IS NULL OR other <> s);
+CREATE OR REPLACE TEMP TABLE rest_b AS
+SELECT b.id, b.e, cut.g FROM (SELECT id, e FROM tokens_b ANTI JOIN (SELECT e FROM met WHERE other = s) USING (e)) b
+ASOF JOIN (SELECT e, g FROM rest_a WHERE hit = 1) cut ON b.e <= cut.e
 """
 _LINK = """
 CREATE OR REPLACE TEMP TABLE links AS
-SELECT doc, a.id AS a, b.id AS b, count(*) AS n FROM group_a a JOIN group_b b USING (g) GROUP BY ALL
-"""
-#: The same where groups are large: equal ids of a group are counted before the join.
-_LINK_LARGE = """
-CREATE OR REPLACE TEMP TABLE links AS
-SELECT doc, a.id AS a, b.id AS b, CAST(sum(a.n * b.n) AS BIGINT) AS n
-FROM (SELECT doc, g, id, count(*) AS n FROM group_a GROUP BY ALL) a
-JOIN (SELECT g, id, count(*) AS n FROM group_b GROUP BY ALL) b USING (g) GROUP BY ALL
+SELECT doc, a, b, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT doc, a, b, 1 AS n FROM met WHERE other = s
+  UNION ALL SELECT doc, x.id, y.id, x.n * y.n FROM REST_A x JOIN REST_B y USING (g)) GROUP BY ALL
 """
+_EACH = _LINK.replace("REST_A", "(SELECT *, 1 AS n FROM rest_a)").replace("REST_B", "(SELECT *, 1 AS n FROM rest_b)")
+#: Where groups are large, equal ids of a group are counted before the join.
+_COUNTED = _LINK.replace("REST_A", "(SELECT doc, g, id, count(*) AS n FROM rest_a GROUP BY ALL)").replace(
+    "REST_B", "(SELECT g, id, count(*) AS n FROM rest_b GROUP BY ALL)"
+)
 
 
 class ByteLevel:
@@ -78,7 +84,8 @@ class ByteLevel:
 
 
 class Pieces:
-    """A sentencepiece model that adds a space itself."""
+    """A sentencepiece model that adds a space itself. Where no piece joins over a space between other signs, texts whose spaces
+    are all such are put together from their words, about _MOST of which are kept."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -91,13 +98,51 @@ class Pieces:
         self.sizes = np.array([len(s) for s in self.spelled], dtype=np.int64)
 
 
+        self.by_word = not any(b" " in s.lstrip(b" ") for s in self.spelled)
+        self.known: dict[str, bytes] = {}
+        self.special: set[str] = set()
+
+    def _whole(self, text: str) -> np.ndarray | None:
+        ids = self.library.encode(text)
+        same = b"".join(map(self.spelled.__getitem__, ids)) == b" " + text.encode("utf-8")
+        return np.array(ids, dtype=np.int32) if same else None
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words as bytes. Special are words that begin with white space or are altered: their texts are encoded whole."""
+        plain = [w for w in words if w and not w[0].isspace()]
+        self.special.update(w for w in words if not w or w[0].isspace())
+        made = self.library.encode(plain, num_threads=1)
+        flat = np.fromiter(chain.from_iterable(made), dtype=np.int32, count=sum(map(len, made)))
+        ends = np.cumsum([0, *map(len, made)])
+        spelled = b"".join(map(self.spelled.__getitem__, flat.tolist()))
+        lengths = np.append(0, np.cumsum(self.sizes[flat]))[ends]
+        data, at = flat.tobytes(), (4 * ends).tolist()
+        if spelled == b" " + " ".join(plain).encode("utf-8") and (np.diff(lengths) > 0).all():
+            begins = np.frombuffer(spelled, dtype=np.uint8)[lengths[:-1]] == 32
+            if begins.all():  # as many spaces as words, each where a word begins: no word is altered
+                self.known.update(zip(plain, [data[lo:hi] for lo, hi in zip(at, at[1:], strict=False)], strict=True))
+                return
+        for w, ids, lo, hi in zip(plain, made, at, at[1:], strict=False):
+            if b"".join(map(self.spelled.__getitem__, ids)) == b" " + w.encode("utf-8"):
+                self.known[w] = data[lo:hi]
+            else:
+                self.special.add(w)
+
     def encode(self, texts: list[str]) -> list[np.ndarray | None]:
         """Ids of a space and each text; None where their bytes differ from it."""
-        spelled, out = self.spelled.__getitem__, []
-        for text, ids in zip(texts, self.library.encode(texts, num_threads=1), strict=True):
-            same = b"".join(map(spelled, ids)) == b" " + text.encode("utf-8")
-            out.append(np.array(ids, dtype=np.int32) if same else None)
-        return out
+        if not self.by_word:
+            return list(map(self._whole, texts))
+        words = [t.split(" ") for t in texts]
+        met = set(chain.from_iterable(words))
+        if len(self.known) > _MOST:
+            self.known = {w: self.known[w] for w in met & self.known.keys()}
+            self.special &= met
+        if missing := list(met - self.known.keys() - self.special):
+            self._learn(missing)
+        return [
+            np.frombuffer(b"".join(map(self.known.__getitem__, w)), dtype=np.int32) if self.special.isdisjoint(w) else self._whole(t)
+            for t, w in zip(texts, words, strict=True)
+        ]
 
 
 _WORKER: dict = {}
@@ -138,17 +183,16 @@ def _ordered(table: pa.Table, by: str) -> pa.Table:
     return table if (key[1:] >= key[:-1]).all() else table.take(pa.array(np.argsort(key, kind="stable")))
 
 
-def _group_texts(a: pa.Table, b: pa.Table, names_a: np.ndarray, names_b: np.ndarray, ends: np.ndarray) -> list[str]:
-    """`a1,a2|b1;a3|b2,b3` for each document: A's tokens of a group, then B's. ends: number of A's and of B's tokens, and so
-    of places, up to each document's end."""
-    ga, gb = a["g"].to_numpy(), b["g"].to_numpy()
-    n = int(max(ga[-1], gb[-1])) + 1
+def _group_texts(a, ga, b, gb, names_a: np.ndarray, names_b: np.ndarray, ends: np.ndarray) -> list[str]:
+    """`a1,a2|b1;a3|b2,b3` for each document from ids and their groups: A's tokens of a group, then B's. ends: number of both
+    kinds' tokens, and so of places, up to each document's end."""
+    n = int(ga[-1]) + 1
     ends_a, ends_b = np.cumsum(np.bincount(ga, minlength=n)), np.cumsum(np.bincount(gb, minlength=n))
-    out = np.empty(len(ga) + len(gb), dtype=object)
-    last_a, last_b = np.zeros(len(ga), dtype=np.int64), np.zeros(len(gb), dtype=np.int64)
+    out = np.empty(len(a) + len(b), dtype=object)
+    last_a, last_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
     last_a[ends_a - 1] = last_b[ends_b - 1] = 1
-    out[np.arange(len(ga)) + np.concatenate([[0], ends_b])[ga]] = names_a[a["id"].to_numpy() + last_a * (len(names_a) // 2)]
-    out[np.arange(len(gb)) + ends_a[gb]] = names_b[b["id"].to_numpy() + last_b * (len(names_b) // 2)]
+    out[np.arange(len(a)) + np.concatenate([[0], ends_b])[ga]] = names_a[a + last_a * (len(names_a) // 2)]
+    out[np.arange(len(b)) + ends_a[gb]] = names_b[b + last_b * (len(names_b) // 2)]
     places = out.tolist()
     return ["".join(places[lo:hi])[:-1] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
@@ -209,21 +253,25 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
                 at = np.array([k for k, _, _ in found])
                 sizes_a, sizes_b = np.array([len(x) for _, x, _ in found]), np.array([len(y) for _, _, y in found])
                 a, b = np.concatenate([x for _, x, _ in found]), np.concatenate([y for _, _, y in found])
-                tokens_a = pa.table({"doc": np.repeat(at, sizes_a).astype(np.int32), "id": a, "e": np.cumsum(enc_a.sizes[a])})  # noqa: F841
-                tokens_b = pa.table({"id": b, "e": np.cumsum(enc_b.sizes[b])})  # noqa: F841
+                ends_a, ends_b = np.cumsum(enc_a.sizes[a]), np.cumsum(enc_b.sizes[b])
+                begins_a, begins_b = ends_a - enc_a.sizes[a], ends_b - enc_b.sizes[b]
+                tokens_a = pa.table({"doc": np.repeat(at, sizes_a).astype(np.int32), "id": a, "s": begins_a, "e": ends_a})  # noqa: F841
+                tokens_b = pa.table({"id": b, "s": begins_b, "e": ends_b})  # noqa: F841
                 db.execute(_ALIGN)
-                side_a = db.sql("SELECT id, g, doc, hit, e FROM group_a").to_arrow_table()
-                side_b = db.sql("SELECT id, g, e FROM group_b").to_arrow_table()
-                each = np.bincount(side_a["g"].to_numpy()) * np.bincount(side_b["g"].to_numpy())
-                db.execute(_LINK if each.max() < LARGE else _LINK_LARGE)
+                cuts = np.sort(db.sql("SELECT e FROM met WHERE other IS NOT NULL").to_arrow_table()["e"].to_numpy())
+                group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+                each = np.bincount(group_a) * np.bincount(group_b)
+                db.execute(_EACH if each.max() < LARGE else _COUNTED)
                 db.execute("INSERT INTO pair_docs SELECT a, b, count(*) FROM links GROUP BY ALL")
                 pairs_table = _ordered(db.sql("SELECT doc, a, b, n FROM links").to_arrow_table(), "doc")
                 numbers[0][at], numbers[1][at] = sizes_a, sizes_b
-                numbers[2] = np.bincount(side_a["doc"].to_numpy(), weights=side_a["hit"].to_numpy(), minlength=n)
+                whole = np.cumsum(sizes_a) - 1  # each document's last token ends its last group
+                numbers[2][at] = np.diff(group_a[whole] + 1, prepend=0)
                 of = pairs_table["doc"].to_numpy()
                 numbers[3] = np.bincount(of, weights=pairs_table["n"].to_numpy(), minlength=n)
                 bounds = np.searchsorted(of, np.arange(n + 1))
-                for k, text in zip(at.tolist(), _group_texts(_ordered(side_a, "e"), _ordered(side_b, "e"), names_a, names_b, np.cumsum(sizes_a + sizes_b)), strict=True):
+                texts_of = _group_texts(a, group_a, b, group_b, names_a, names_b, np.cumsum(sizes_a + sizes_b))
+                for k, text in zip(at.tolist(), texts_of, strict=True):
                     groups[k] = text
                 held = db.sql("SELECT count(*) FROM pair_docs").fetchall()[0][0]
             rows = pa.array(np.arange(number, number + n))
