@@ -4,8 +4,9 @@ A plan is made in length space, so its size depends on the sequence length and n
 
 1. patterns of few documents that fill a sequence are enumerated from the histogram's lengths (`patterns`);
 2. non-negative least squares fits how often to repeat each pattern so that the histogram is met (`fit`);
-3. repeat counts are rounded (and cut to what the histogram still has), and the residual lengths, longest first, go
-   to the open sequences where they fit best, whole classes of equal sequences at a time (`plan`).
+3. repeat counts are rounded (and cut to what the histogram still has); what is left is fitted again, a few times, and the
+   residual lengths, longest first, go to the open sequences where they fit best, whole classes of equal sequences at a
+   time (`plan`).
 
 Spark then numbers the documents of each length (salted, so a length that holds a third of all rows is many tasks'
 work) and joins them with the plan's slots. Only the histogram (at most `width` rows) comes to the driver and only
@@ -32,6 +33,8 @@ from netquarry.llm.common import parts, ranked, settle
 BROADCAST_ROWS = 200_000
 COMPANY = 5  # lengths that stand for all, as many documents being between each and the next
 SPLITS = 5  # documents that share the room beside a length and its company
+SLACK = 64  # a pattern whose missing lengths are replaced by shorter ones may leave one part in so many of its room
+ROUNDS = 8  # fits, each of what the ones before have left over
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -112,28 +115,78 @@ def rounded(x: np.ndarray) -> np.ndarray:
     return np.diff(np.floor(np.cumsum(x) + 0.5), prepend=0).astype(np.int64)
 
 
+def _fitted(left: np.ndarray, width: int, level: int, opened: dict[int, dict[tuple[int, ...], int]]) -> None:
+    """Fits patterns to what is left of the histogram and opens sequences for them, taking their lengths off `left`.
+
+    Repeat counts are rounded by running sums first. Where lengths are rare, most counts are fractions of one, and patterns
+    that share a length can't all be taken: from level 1 on those still possible are taken by falling count, each rounded up, and
+    at level 2 once more with the next shorter lengths in place of those that are gone, as long as little room is left."""
+    lengths = np.flatnonzero(left[:width])
+    if not len(lengths):
+        return
+    counts = left.astype(float)
+    shapes = patterns(lengths, counts[lengths], width)
+    shapes = shapes[np.lexsort((*shapes.T, -shapes.sum(axis=1)))]  # fullest first
+    x = fit(shapes, counts)
+    repeats = rounded(x)
+    order = [k for k in np.argsort(-x, kind="stable").tolist() if x[k] > 1e-6]
+
+    def take(shape: tuple[int, ...], n: int) -> bool:
+        for length in set(shape):
+            n = min(n, int(left[length]) // shape.count(length))
+        if n:
+            for length in shape:
+                left[length] -= n
+            opened[width - sum(shape)][shape] += n
+        return n > 0
+
+    lots = [(k, int(repeats[k])) for k in np.flatnonzero(repeats).tolist()]
+    for k, n in lots + [(k, int(np.ceil(x[k]))) for k in order if level]:
+        take(tuple(v for v in shapes[k].tolist() if v), n)
+    there = np.flatnonzero(left[:width]).tolist()
+    for k in order if level == 2 else ():
+        shape = []
+        for v in shapes[k].tolist() if there else ():  # the longest that is left and no longer than the pattern's
+            at = bisect.bisect_right(there, v) - 1
+            while v and at >= 0 and left[there[at]] <= shape.count(there[at]):
+                if not left[there[at]]:
+                    there.pop(at)
+                at -= 1
+            if v and at >= 0:
+                shape.append(there[at])
+        if len(shape) > 1 and width - sum(shape) <= width // SLACK:
+            take(tuple(shape), 1)
+
+
 def plan(histogram: dict[int, int], width: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences) that use up the histogram."""
+    """(lengths of a sequence, number of such sequences) that use up the histogram. The more is placed by the fit the better, but
+    if that costs sequences over the least possible number, plans that leave more to the best fit are made too, and the one of
+    fewest sequences is taken."""
+    least = -(-sum(length * n for length, n in histogram.items()) // width)
+    best, fewest = None, None
+    for level in (2, 1, 0):
+        made = _planned(histogram, width, level)
+        size = sum(n for _, n in made)
+        if best is None or size < fewest:
+            best, fewest = made, size
+        if fewest <= least:
+            break
+    return best
+
+
+def _planned(histogram: dict[int, int], width: int, level: int) -> list[tuple[tuple[int, ...], int]]:
     counts = np.zeros(width + 1)
     for length, n in histogram.items():
         counts[length] = n
-    lengths = np.flatnonzero(counts[:width])
     done: list[tuple[tuple[int, ...], int]] = [((width,), int(counts[width]))] if counts[width] else []
     left = counts.astype(np.int64)
     left[width] = 0
     opened: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))  # by the room left
-    if len(lengths):
-        shapes = patterns(lengths, counts[lengths], width)
-        shapes = shapes[np.lexsort((*shapes.T, -shapes.sum(axis=1)))]  # fullest first
-        repeats = rounded(fit(shapes, np.where(np.arange(width + 1) < width, counts, 0)))
-        for k in np.flatnonzero(repeats).tolist():
-            shape, n = tuple(x for x in shapes[k].tolist() if x), int(repeats[k])
-            for length in set(shape):
-                n = min(n, int(left[length]) // shape.count(length))
-            if n:
-                for length in shape:
-                    left[length] -= n
-                opened[width - sum(shape)][shape] += n
+    for _ in range(ROUNDS if level else 1):
+        before = int(left.sum())
+        _fitted(left, width, level, opened)
+        if before - int(left.sum()) <= before // 50:
+            break
     rooms = sorted(opened)
     for length in range(width - 1, 0, -1):
         while n := int(left[length]):
