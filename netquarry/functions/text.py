@@ -54,6 +54,22 @@ def resolved(value: Column, context: Column) -> Column:
     return F.when(F.startswith(value, F.lit("$")), F.coalesce(found, F.lit(""))).otherwise(value)
 
 
+def expected(rule: Column, value: Column, about: float = 3) -> Column:
+    """Whether a number is as a rule in text says: `[a, b]` in the range, `≈ n` within `about` of it, `> n` above it. Other rules
+    and null fail."""
+    num = lambda p, g=1: F.regexp_extract(rule, p, g).try_cast("double")
+    span = r"^\[\s*(-?[\d.]+)\s*,\s*(-?[\d.]+)\s*\]$"
+    ok = F.when(rule.rlike(span), value.between(num(span), num(span, 2)))
+    ok = ok.when(rule.rlike(r"^≈"), F.abs(value - num(r"≈\s*([\d.]+)")) <= about).when(rule.rlike(r"^>"), value > num(r">\s*([\d.]+)"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def foreign_names(names: Column, allowed: list[str]) -> Column:
+    """Whether some name has no allowed domain as a part of it; no for no names."""
+    known = F.array(*map(F.lit, allowed)) if allowed else F.array().cast("array<string>")
+    return F.coalesce(F.exists(names, lambda n: ~F.exists(known, lambda a: F.contains(n, a))), F.lit(False))
+
+
 def last_code_block(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"(?s)```(?:\w+)?\n(.*?)```"), 1)
     return F.when(F.size(found) > 0, F.element_at(found, -1))

@@ -89,6 +89,36 @@ def endpoints(packets: DataFrame, src: str, dst: str, size: str) -> DataFrame:
     return rows.groupBy("ip").agg(F.count(F.lit(1)).alias("frames"), F.sum(size).alias("bytes"))
 
 
+def direction_ratio(packets: DataFrame, by: list[str], size: Column, forward: Column, suspect: float = 1.1) -> DataFrame:
+    """Bytes each way, backward by forward (0 where nothing went forward), and whether that is over `suspect`."""
+    way = lambda c: F.coalesce(F.sum(F.when(c, size)), F.lit(0)).cast("double")
+    rows = packets.groupBy(*by).agg(way(forward).alias("ab"), way(~forward).alias("ba"))
+    ratio = F.coalesce(F.try_divide("ba", "ab"), F.lit(0.0))
+    return rows.withColumn("ratio", ratio).withColumn("suspect", F.col("ratio") > suspect)
+
+
+def session_span(packets: DataFrame, by: list[str], seconds: Column, long: float) -> DataFrame:
+    """Seconds from each session's first to its last packet, and whether they are over `long`."""
+    span = F.max(seconds) - F.min(seconds)
+    return packets.groupBy(*by).agg(span.alias("span"), (span > long).alias("long"))
+
+
+def protocol_hierarchy(packets: DataFrame, stack: Column, size: Column) -> DataFrame:
+    """Frames and bytes of every prefix of the protocol stacks (`eth:ip:tcp`). Whole stacks are summed up first, so that
+    prefixes are made from a few rows and not from every packet."""
+    rows = packets.groupBy(F.split(stack, ":").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("q"))
+    rows = rows.withColumn("depth", F.explode(F.sequence(F.lit(1).cast("long"), F.size("p").cast("long"))))
+    rows = rows.withColumn("path", F.array_join(F.slice("p", F.lit(1), F.col("depth").cast("int")), ":"))
+    return rows.groupBy("path", "depth").agg(F.sum("n").alias("frames"), F.sum("q").alias("bytes"))
+
+
+def neighbours(edges: DataFrame, src: str, dst: str, hosts: list) -> DataFrame:
+    """(host, way, other): the distinct ends of edges that begin ('out') or end ('in') at one of `hosts`."""
+    out = edges.where(F.col(src).isin(hosts)).select(F.col(src).alias("host"), F.lit("out").alias("way"), F.col(dst).alias("other"))
+    back = edges.where(F.col(dst).isin(hosts)).select(F.col(dst).alias("host"), F.lit("in").alias("way"), F.col(src).alias("other"))
+    return out.unionByName(back).distinct()
+
+
 def verdict(evidence: DataFrame, case: str, skill: str, step: str) -> DataFrame:
     """The skill that the evidence of each case speaks for, with a confidence.
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.functions import text
-from netquarry.operators import packets
+from netquarry.functions import text, tls
+from netquarry.operators import handshakes, packets
 
 Tool = Callable[[DataFrame, dict], DataFrame]
 TOOLS: dict[str, Tool] = {}
@@ -52,8 +52,45 @@ def endpoints(rows: DataFrame, params: dict) -> DataFrame:
 
 @tool
 def heartbeat(rows: DataFrame, params: dict) -> DataFrame:
-    small = _filtered(rows, params).where(F.col("len") <= int(params.get("most_bytes", 200))).withColumn("all", F.lit(1))
-    return packets.heartbeat(small, "all", F.floor("t"), int(params.get("most", 10))).drop("all")
+    """The period of small packets, of each capture where rows name theirs (`file`), else of all."""
+    small = _filtered(rows, params).where(F.col("len") <= int(params.get("most_bytes", 200)))
+    if "file" in rows.columns:
+        return packets.heartbeat(small, "file", F.floor("t"), int(params.get("most", 10)))
+    return packets.heartbeat(small.withColumn("all", F.lit(1)), "all", F.floor("t"), int(params.get("most", 10))).drop("all")
+
+
+def _by(rows: DataFrame) -> list[str]:
+    return ["file"] if "file" in rows.columns else []
+
+
+@tool
+def session_span(rows: DataFrame, params: dict) -> DataFrame:
+    return packets.session_span(_filtered(rows, params), _by(rows), F.col("t"), float(params.get("long", 60)))
+
+
+@tool
+def direction_ratio(rows: DataFrame, params: dict) -> DataFrame:
+    """Bytes between the hosts `a` and `b` each way; other packets don't count."""
+    a, b = params["a"], params["b"]
+    between = rows.where(((F.col("src") == a) & (F.col("dst") == b)) | ((F.col("src") == b) & (F.col("dst") == a)))
+    return packets.direction_ratio(between, _by(rows), F.col("len"), F.col("src") == a, float(params.get("suspect", 1.1)))
+
+
+@tool
+def protocol_hierarchy(rows: DataFrame, params: dict) -> DataFrame:
+    return packets.protocol_hierarchy(_filtered(rows, params), F.col("protocols"), F.col("len"))
+
+
+@tool
+def client_hellos(rows: DataFrame, params: dict) -> DataFrame:
+    """Packets whose payload begins or holds a client hello, with what it says."""
+    found = _filtered(rows, params).withColumn("hello", tls.first_client_hello("payload_hex"))
+    return found.where("hello.ja3 is not null").select(*rows.columns, "hello.*")
+
+
+@tool
+def quic(rows: DataFrame, params: dict) -> DataFrame:
+    return handshakes.quic_headers(_filtered(rows, params), "payload_hex")
 
 
 @tool

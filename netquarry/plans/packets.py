@@ -95,19 +95,17 @@ WITH d AS (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity EL
 SELECT l_suppkey, ab, ba, round(coalesce(ba / nullif(ab, 0), 0), 4) AS ratio, coalesce(ba / nullif(ab, 0), 0) > 1.1 AS suspect FROM d""")
 def direction_ratio(spark, sf):
     """Bytes each way and their ratio, guarded at zero (A38, D12, 1.4 item 13)."""
-    way = F.col("l_returnflag") == "N"
-    rows = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum(F.when(way, F.col("l_quantity")).otherwise(0.0)).alias("ab"), F.sum(F.when(~way, F.col("l_quantity")).otherwise(0.0)).alias("ba"))
-    ratio = F.coalesce(F.try_divide("ba", "ab"), F.lit(0.0))
-    return rows.select("l_suppkey", "ab", "ba", F.round(ratio, 4).alias("ratio"), (ratio > 1.1).alias("suspect"))
+    rows = packets.direction_ratio(table(spark, sf, "lineitem"), ["l_suppkey"], F.col("l_quantity"), F.col("l_returnflag") == "N")
+    return rows.withColumn("ratio", F.round("ratio", 4))
 
 
 @register("session_span", """
 SELECT user_id AS host, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS span, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 > 2500000 AS long FROM events GROUP BY 1""")
 def session_span(spark, sf):
     """Span of each session, and whether it is long."""
-    t = F.expr("unix_micros(cast(ts as timestamp))")
-    span = (F.max(t) - F.min(t)) / 1e6
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("host")).agg(F.round(span, 3).alias("span"), (span > 2_500_000).alias("long"))
+    rows = table(spark, sf, "events").withColumn("host", F.col("user_id"))
+    got = packets.session_span(rows, ["host"], F.expr("unix_micros(cast(ts as timestamp))") / 1e6, 2_500_000)
+    return got.withColumn("span", F.round("span", 3))
 
 
 @register("endpoint_totals", """
@@ -134,12 +132,7 @@ SELECT path, depth, count(*) AS frames, sum(q) AS bytes FROM x GROUP BY 1, 2""")
 def protocol_hierarchy(spark, sf):
     """Frames and bytes of every prefix of the protocol stack."""
     path = F.concat(F.lit("eth:ip:"), F.lower("l_returnflag"), F.lit(":"), F.lower("l_linestatus"), (F.col("l_linenumber") % 2).cast("string"))
-    rows = table(spark, sf, "lineitem").select(F.split(path, ":").alias("p"), F.col("l_quantity").alias("q"))
-    # Whole stacks are summed up first, so that prefixes are made from a few rows and not from every packet.
-    rows = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"))
-    rows = rows.withColumn("depth", F.explode(F.sequence(F.lit(1).cast("long"), F.size("p").cast("long"))))
-    rows = rows.withColumn("path", F.array_join(F.slice("p", F.lit(1), F.col("depth").cast("int")), ":"))
-    return rows.groupBy("path", "depth").agg(F.sum("n").alias("frames"), F.sum("q").alias("bytes"))
+    return packets.protocol_hierarchy(table(spark, sf, "lineitem"), path, F.col("l_quantity"))
 
 
 @register("handshake_sets", """
@@ -202,10 +195,7 @@ SELECT host, 'out' AS way, dst AS other FROM h JOIN e ON src = host UNION SELECT
 def graph_neighbours(spark, sf):
     """Outgoing and incoming neighbours of a set of hosts."""
     e = table(spark, sf, "lineitem").select((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 300).alias("dst"))
-    wanted = [3, 7, 21]
-    out = e.where(F.col("src").isin(wanted)).select(F.col("src").alias("host"), F.lit("out").alias("way"), F.col("dst").alias("other"))
-    back = e.where(F.col("dst").isin(wanted)).select(F.col("dst").alias("host"), F.lit("in").alias("way"), F.col("src").alias("other"))
-    return out.unionByName(back).distinct()
+    return packets.neighbours(e, "src", "dst", [3, 7, 21])
 
 
 @register("asset_service", """
@@ -238,22 +228,15 @@ def expectation_rules(spark, sf):
     n = F.col("doc_id") % 4
     rule = F.when(n == 0, "[100, 500]").when(n == 1, "≈ 400").when(n == 2, "> 1000").otherwise("whatever")
     rows = table(spark, sf, "documents").withColumn("rule", rule)
-    num = lambda p, g=1: F.regexp_extract("rule", p, g).try_cast("double")
-    x = F.col("n_chars")
-    span = r"^\[\s*(-?[\d.]+)\s*,\s*(-?[\d.]+)\s*\]$"
-    ok = F.when(F.col("rule").rlike(span), x.between(num(span), num(span, 2)))
-    ok = ok.when(F.col("rule").rlike(r"^≈"), F.abs(x - num(r"≈\s*([\d.]+)")) <= 3).when(F.col("rule").rlike(r"^>"), x > num(r">\s*([\d.]+)"))
-    return rows.select("doc_id", ok.otherwise(False).alias("ok"))
+    return rows.select("doc_id", text.expected(F.col("rule"), F.col("n_chars")).alias("ok"))
 
 
 @register("allow_list", """
 SELECT s_suppkey, len(list_filter(['name' || s_nationkey || '.example.com', 'x.org'], lambda n: NOT contains(n, 'example') AND NOT contains(n, 'name1'))) > 0 AS foreign_name FROM supplier""")
 def allow_list(spark, sf):
     """Names that no allowed domain is a part of."""
-    allowed = ["example", "name1"]
     names = F.array(F.concat(F.lit("name"), F.col("s_nationkey").cast("string"), F.lit(".example.com")), F.lit("x.org"))
-    odd = F.exists(names, lambda n: ~F.exists(F.array(*map(F.lit, allowed)), lambda a: F.contains(n, a)))
-    return table(spark, sf, "supplier").select("s_suppkey", odd.alias("foreign_name"))
+    return table(spark, sf, "supplier").select("s_suppkey", text.foreign_names(names, ["example", "name1"]).alias("foreign_name"))
 
 
 @register("tls_fingerprint", """
