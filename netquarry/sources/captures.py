@@ -195,9 +195,19 @@ def capture_flows(packets: DataFrame, max_chars: int = 1024, most: int = 5) -> D
     return made.withColumn("batch_index", F.row_number().over(Window.partitionBy("file").orderBy("ts", "proto", "uid")) - 1)
 
 
+def ipv4_number(address: Column) -> Column:
+    """An IPv4 address as a number, null for anything else."""
+    parts = F.split(address, r"\.")
+    number = F.lit(0).cast("long")
+    for k in range(4):
+        number = number * 256 + F.get(parts, F.lit(k)).try_cast("long")
+    return F.when(F.size(parts) == 4, number)
+
+
 def frame_hex(src: Column, src_port: Column, dst: Column, dst_port: Column, udp: Column, seq: Column, payload: Column) -> Column:
-    """An Ethernet frame with IPv4 and TCP or UDP as hex; addresses are numbers, payload is hex. Checksums are zero."""
-    number = lambda n, size: F.lpad(F.hex(n), 2 * size, "0")
+    """An Ethernet frame with IPv4 and TCP or UDP as hex; addresses are numbers, payload is hex. Checksums are zero. Of a number
+    that is too large for its field (a port of 16 bits) the low bytes are written."""
+    number = lambda n, size: F.right(F.concat(F.lit("0" * 2 * size), F.hex(n)), F.lit(2 * size))
     size = (F.char_length(payload) / 2).cast("int")
     ports = F.concat(number(src_port, 2), number(dst_port, 2))
     tcp = F.concat(ports, number(seq, 4), F.lit("00000000501820000000" + "0000"), payload)
