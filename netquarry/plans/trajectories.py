@@ -202,8 +202,10 @@ def interval_reward(spark, sf):
 @register("percentile_rank", """
 SELECT o_custkey, round(100.0 * (rank() OVER (ORDER BY total) - 1) / count(*) OVER (), 1) AS pct FROM (SELECT o_custkey, CAST(round(sum(o_totalprice)) AS BIGINT) AS total FROM orders GROUP BY 1)""")
 def percentile_rank(spark, sf):
-    """Share of smaller values, from counts of distinct values."""
-    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice")).cast("long").alias("total"))
+    """Share of smaller values, from counts of distinct values (A30). Totals are summed as decimals: a sum of doubles that ends
+    in a half is rounded up or down by the order of its rows."""
+    exact = F.sum(F.col("o_totalprice").cast("decimal(28,8)"))
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.round(exact).cast("long").alias("total"))
     counts = rows.groupBy("total").agg(F.count(F.lit(1)).alias("n"))
     coarse = F.floor(F.col("total") / 100_000)
     before = Window.partitionBy("c").orderBy("total").rowsBetween(Window.unboundedPreceding, -1)
