@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netquarry.functions import vectors
 from netquarry.durable import shared_folder
 from netquarry.operators import state
 from netquarry.operators.keyed import KeyedTable, edges_merged
 from netquarry.operators.queue import DetectionCursor, WorkQueue
+from netquarry.operators.vector_search import nearest_rows
 from netquarry.plans.registry import register, table
 
 _CURSOR = """
@@ -168,13 +168,9 @@ p AS (SELECT a.vec_id AS q, b.vec_id AS c, round(list_dot_product(a.e, b.e), 7)
 SELECT q, arg_max(c, (score, -c)) AS best, count(*) AS seen FROM p GROUP BY 1""")
 def incremental_search(spark, sf):
     """A stated query set searches all rows before each by the whole vector."""
-    v = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    # As above; blocks are larger, as a query's vector travels once for each block before it.
-    block = F.floor(F.col("vec_id") / 512)
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), block)).alias("block"))
-    c = v.select(F.col("vec_id").alias("c"), F.col("e").alias("b"), block.alias("block"))
-    pairs = q.join(c, "block").where("c < q").withColumn("score", F.round(vectors.dot(F.col("a"), F.col("b")), 7))
-    return pairs.groupBy("q").agg(F.max_by("c", F.struct("score", -F.col("c"))).alias("best"), F.count(F.lit(1)).alias("seen"))
+    e = table(spark, sf, "embeddings")
+    found = nearest_rows(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 1, digits=7, unit=False, before=True)
+    return found.select("q", F.col("c").alias("best"), F.col("met").alias("seen"))
 
 
 @register("attempt_ids", """
