@@ -173,8 +173,16 @@ def printable(hex_text: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.decode(F.try_to_binary(hex_text, F.lit("hex")), "ISO-8859-1"), r"[^\x20-\x7e]", "."), F.lit("?"))
 
 
+def hex_to_text(hex_text: Column | str) -> Column:
+    """Hex as UTF-8; bad bytes as \\xNN, and a marker for text that is no hex. Only what isn't plain hex of UTF-8 goes to Python."""
+    hex_text = F.col(hex_text) if isinstance(hex_text, str) else hex_text
+    data = F.when(F.char_length(hex_text) % 2 == 0, F.try_to_binary(hex_text, F.lit("hex"))).cast("string")
+    plain = F.when(F.is_valid_utf8(data), data)
+    return F.coalesce(plain, _escaped_hex(F.when(plain.isNull(), hex_text)))
+
+
 @F.pandas_udf(T.StringType())
-def hex_to_text(values: pd.Series) -> pd.Series:
+def _escaped_hex(values: pd.Series) -> pd.Series:
     """Hex as UTF-8; bad bytes as \\xNN, and a marker for text that is no hex."""
 
     def one(value):
