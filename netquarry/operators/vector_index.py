@@ -19,16 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from netquarry.durable import settle
+from netquarry.operators.vector_search import best_places
 
 SAMPLE = 16_384
 MOST_CELLS = 4_096
 BLOCK = 1_024
 QUERY_BLOCK = 512
+ASKED = 128  # queries whose cells are written in one batch: 128 x 4,096 cells at most, and as many vectors
 STEPS = 12
 MOST_BROADCAST = 100_000  # (query, cell) pairs whose vectors are broadcast, 100 MB at 128 dimensions; more are joined by shuffle
 
@@ -120,7 +123,7 @@ class VectorIndex:
         kind = queries.schema["q"].dataType.simpleString()
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(i, ASKED) for b in batches for i in range(0, b.num_rows, ASKED)):  # a query may ask for every cell
                 at, x = _matrix(batch.column(1), dim)
                 angles = np.arccos(np.clip(x @ shared.value.T, -1, 1))
                 least = batch.column(2).to_numpy(zero_copy_only=False)[at]
@@ -131,11 +134,11 @@ class VectorIndex:
 
         return queries.mapInArrow(ask, f"cell int, q {kind}, qv array<double>")
 
-    def _scored(self, asked: DataFrame, k: int, q_kind: str, q_type: pa.DataType) -> DataFrame:
+    def _scored(self, asked: DataFrame, queries: int, k: int, q_kind: str, q_type: pa.DataType) -> DataFrame:
         """(q, c, score): the k best rows of each block that is read for a query, itself left out."""
         asked = settle(asked)
         n = asked.count()
-        deal = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // QUERY_BLOCK))))
+        deal = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-queries // QUERY_BLOCK))))
         sets = asked.groupBy("cell", deal.alias("deal")).agg(F.collect_list(F.struct("q", "qv")).alias("r"))
         sets = sets.select("cell", F.col("r.q").alias("qs"), F.flatten("r.qv").alias("qvs"))
         met = self.blocks.join(F.broadcast(sets) if n <= MOST_BROADCAST else sets.hint("merge"), "cell").select("ids", "vecs", "qs", "qvs")
@@ -154,6 +157,9 @@ class VectorIndex:
                             s[r, own[q]] = -np.inf
                     least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
                     row, col = np.nonzero((s >= least[:, None]) & (s > -2))
+                    ties = pc.rank(ids, tiebreaker="first").to_numpy()[col]
+                    at, _ = best_places(row, s[row, col], ties, k)
+                    row, col = row[at], col[at]
                     yield pa.RecordBatch.from_arrays([qs.take(pa.array(row)), ids.take(pa.array(col)), pa.array(s[row, col])], ["q", "c", "score"])
 
         found = met.mapInArrow(score, f"q {q_kind}, c {self.kind.simpleString()}, score double")
@@ -164,14 +170,14 @@ class VectorIndex:
         """(q, c, score, rank): the k nearest rows of each query, but for the row with the query's own identifier."""
         q = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("vec"))
         q_field = q.schema["q"].dataType
-        args = k, q_field.simpleString(), to_arrow_type(q_field)
+        args = q.count(), k, q_field.simpleString(), to_arrow_type(q_field)
         probes = int(self.reach[min(len(self.reach) - 1, int(np.ceil(recall * len(self.reach))))])
 
         def nearest(angles: np.ndarray, _) -> tuple[np.ndarray, np.ndarray]:
             cells = np.argsort(angles, axis=1, kind="stable")[:, :probes]
             return np.repeat(np.arange(len(angles)), probes), cells.ravel()
 
-        first = self._scored(self._asked(q.withColumn("least", F.lit(None).cast("double")), args[2], nearest), *args)
+        first = self._scored(self._asked(q.withColumn("least", F.lit(None).cast("double")), args[3], nearest), *args)
         if not exact or probes == len(self.centres):
             return first
         wide = self.wide
@@ -184,7 +190,7 @@ class VectorIndex:
 
         kth = first.where(F.col("rank") == k).select(F.col("q").alias("_q"), F.col("score").alias("least"))
         again = q.join(kth, F.col("q").eqNullSafe(F.col("_q")), "left").select("q", "vec", "least")
-        more = self._scored(self._asked(again, args[2], possible), *args)
+        more = self._scored(self._asked(again, args[3], possible), *args)
         w = Window.partitionBy("q").orderBy(F.desc("score"), F.col("c").asc_nulls_last())
         both = first.drop("rank").unionByName(more.drop("rank")).withColumn("rank", F.row_number().over(w))
         return both.where(F.col("rank") <= k)
