@@ -26,6 +26,28 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: Column
     return lhs.join(rhs, match & near).drop("_bin", "r__bin")
 
 
+def best_in_range(left: DataFrame, right: DataFrame, key: str, on: list[str], ts: str, values: list[str], before: float, after: float, score: Column, digits: int) -> DataFrame:
+    """(key, r_<key>, score): for each left row the right row of least score, rounded to `digits`, and of equal ones the least
+    key, among the pairs of range_join; a missing score comes last. `score` is made of `ts`, `values` and the same with r_.
+
+    Rows that agree in all of `on`, `ts` and `values` have the same scores, so they meet as one. The pairs are walked twice, for
+    the least score and for the key at it: both are aggregates of numbers, so no pairs are sorted, spilled or shuffled."""
+    same = list(dict.fromkeys([*on, ts, *values]))
+    places = left.select(*same).distinct()
+    flows = right.groupBy(*same).agg(F.min(key).alias(key))
+    pairs = lambda df: range_join(df, flows, on, F.col(ts), F.col(ts), before, after)
+    # Rounding keeps the order: the least rounded score is the least score rounded.
+    least = pairs(places).groupBy(*same).agg(F.round(F.min(score), digits).alias("score"))
+    near = score.isNull() | (score <= F.col("score") + 10.0**-digits)
+    first = pairs(least).where(near & F.round(score, digits).eqNullSafe(F.col("score")))
+    found = first.groupBy(*same, "score").agg(F.min(f"r_{key}").alias(f"r_{key}"))
+    found = found.withColumnsRenamed({c: f"_{c}" for c in same})
+    match = F.lit(True)
+    for c in same:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return left.join(found, match).select(key, f"r_{key}", "score")
+
+
 def _carried(left: DataFrame, right: DataFrame, on: list[str], t: str, side: tuple[int, int]) -> DataFrame:
     """Left rows with `_last`: the `_right` of the last right row before them in the order of (on, t, side).
 

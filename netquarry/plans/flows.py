@@ -252,11 +252,9 @@ def anchor_match(spark, sf):
     """Interval join with the best score for each ground-truth row."""
     e = _events(spark, sf).withColumn("port", F.col("host") % 10)
     truth, flows = e.where("uid % 5 = 0"), e.where("uid % 5 <> 0")
-    pairs = joins.range_join(truth, flows, ["port"], F.col("ts"), F.col("ts"), 600, 600)
     score = 1000.0 * (F.col("kind") != F.col("r_kind")).cast("int") + 10 * F.abs(F.col("bytes") - F.col("r_bytes")) + F.abs(F.col("ts") - F.col("r_ts"))
-    rows = pairs.select(F.col("uid").alias("csv_uid"), F.col("r_uid").alias("uid"), F.round(score, 4).alias("score"))
-    best = rows.groupBy("csv_uid").agg(F.min(F.struct("score", "uid")).alias("best"))
-    return best.select("csv_uid", "best.uid", "best.score")
+    best = joins.best_in_range(truth, flows, "uid", ["port"], "ts", ["kind", "bytes"], 600, 600, score, 4)
+    return best.select(F.col("uid").alias("csv_uid"), F.col("r_uid").alias("uid"), "score")
 
 
 @register("fragment_recovery", f"""
