@@ -8,13 +8,8 @@ from pyspark.sql import functions as F
 from netquarry.durable import settle
 
 
-def global_index(df: DataFrame, bucket: Column, order: list[str], name: str = "rn") -> DataFrame:
-    """1-based position of each row in the total order (bucket, order).
-
-    Rows are dealt to as many ranges as there are shuffle partitions, by a sample that Spark takes, and sorted there: a bucket
-    that holds all rows is many tasks' work, as long as the order tells rows apart. Sorted ranges are written once, so that
-    numbers and counts agree; a row's number is its place in its range and the counts of the ranges before, one row each.
-    """
+def _ranged(df: DataFrame, bucket: Column, order: list[str], name: str) -> DataFrame:
+    """global_index, with the numbers `_first` and `_last` of each row's range; a range is one partition, in order."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn("_bucket", bucket)
     keys = [c for c in ("_bucket", *order)]
@@ -22,11 +17,31 @@ def global_index(df: DataFrame, bucket: Column, order: list[str], name: str = "r
     dealt = settle(dealt)
     part = F.shiftright("_at", 33).cast("int")
     counts = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row for each range
-    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    numbered = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return numbered.withColumn(name, F.col("_start") + place).drop("_part", "_at", "_start")
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counts.withColumn("_last", F.sum("_n").over(upto))  # one row for each range
+    ends = ends.select("_part", (F.col("_last") - F.col("_n") + 1).alias("_first"), "_last")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = dealt.withColumn("_part", part).join(F.broadcast(ends), "_part")
+    return numbered.withColumn(name, F.col("_first") + place).drop("_part", "_at")
+
+
+def global_index(df: DataFrame, bucket: Column, order: list[str], name: str = "rn") -> DataFrame:
+    """1-based position of each row in the total order (bucket, order).
+
+    Rows are dealt to as many ranges as there are shuffle partitions, by a sample that Spark takes, and sorted there: a bucket
+    that holds all rows is many tasks' work, as long as the order tells rows apart. Sorted ranges are written once, so that
+    numbers and counts agree; a row's number is its place in its range and the counts of the ranges before, one row each.
+    """
+    return _ranged(df, bucket, order, name).drop("_first", "_last")
+
+
+def count_windows(df: DataFrame, bucket: Column, order: list[str], size: int, name: str = "batch") -> tuple[DataFrame, DataFrame]:
+    """Rows with the 0-based number of their window of `size` rows in the total order (bucket, order), in two tables: windows
+    that lie inside one sorted range, whose rows are neighbours in one partition and need no shuffle, and the few rows of those
+    that go on in another range, or are the last one."""
+    rows = _ranged(df, bucket, order, "_rn").withColumn(name, F.floor((F.col("_rn") - 1) / size))
+    inside = (F.col(name) * size + 1 >= F.col("_first")) & ((F.col(name) + 1) * size <= F.col("_last"))
+    return tuple(rows.where(c).drop("_rn", "_first", "_last") for c in (inside, ~inside))
 
 
 def page(df: DataFrame, skip: int, limit: int, name: str = "rn") -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,33 +32,87 @@ PORT_BINS = [(0, 1023), (1024, 49151), (49152, 1 << 31)]
 MEASURES = ["duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts"]
 
 
-def batch_profile(flows: DataFrame, by: str) -> DataFrame:
+#: Rows that are profiled at a time.
+_CHUNK = 1 << 15
+
+
+def batch_profile(flows: DataFrame, by: str, dealt: bool = False) -> DataFrame:
     """(batch, v): 46 statistics of each batch of flows, at norm 1.
 
     Of the five measures and of the ports of either side: max, min, median and deviation; of the ports: shares of the
     bins and of risk ports; distinct addresses of either side by flows, share of sent bytes, TCP and UDP; distinct ports
     of either side by flows, share of the commonest one, share of port 53. Nulls count as 0. A batch is a window of some 30
-    rows, so its ports and addresses are one small array."""
-    zero = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
-    n = F.count(F.lit(1))
-    port = {c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)) for c in ("resp_p", "orig_p")}
-    spread = lambda c: [F.max(c), F.min(c), F.median(c), F.stddev_pop(c)]
-    stats = [x for c in MEASURES for x in spread(zero(c))] + [x for p in port.values() for x in spread(p)]
-    for p in port.values():
-        stats += [F.count_if(p.between(lo, hi)) / n for lo, hi in PORT_BINS] + [F.count_if(p.isin(RISK_PORTS)) / n]
-    stats += [F.size(F.collect_set(F.coalesce(F.col(c), F.lit("")))) / n for c in ("orig_h", "resp_h")]
-    sent, got = F.sum(zero("orig_bytes")), F.sum(zero("resp_bytes"))
-    stats += [sent / (sent + got + 1)] + [F.count_if(F.lower("proto") == x) / n for x in ("tcp", "udp")]
-    stats += [F.size(F.collect_set(p)) / n for p in port.values()]
-    made = flows.groupBy(by).agg(
-        n.alias("_n"), *[F.collect_list(p).alias(f"_{c}") for c, p in port.items()], (F.count_if(port["resp_p"] == 53) / n).alias("_dns"),
-        *[s.cast("double").alias(f"_s{i}") for i, s in enumerate(stats)],
+    rows, and a task holds _CHUNK rows and a batch. With `dealt`, each batch's rows are neighbours in one partition already
+    (ordering.count_windows), and nothing is shuffled."""
+    number = lambda c, kind, none: F.coalesce(F.col(c).try_cast(kind), F.lit(none)).alias(c)
+    rows = flows.select(
+        F.col(by).alias("_by"), *[number(c, "double", 0.0) for c in MEASURES], *[number(c, "int", 0) for c in ("resp_p", "orig_p")],
+        *[number(c, "string", "") for c in ("orig_h", "resp_h")], *[F.coalesce(F.lower("proto") == x, F.lit(False)).alias(x) for x in ("tcp", "udp")],
     )
-    commonest = lambda ps: F.array_max(F.transform(F.array_distinct(ps), lambda p: F.size(F.filter(ps, lambda x: x == p))))
-    often = [commonest(F.col(f"_{c}")) / F.col("_n") for c in port]
-    rows = made.select(by, F.array(*[F.col(f"_s{i}") for i in range(len(stats))], *often, F.col("_dns")).alias("v"))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("v", F.when(size > 0, F.transform("v", lambda x: x / size)).otherwise(F.col("v")))
+    if not dealt:
+        rows = rows.repartition("_by").sortWithinPartitions("_by")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= _CHUNK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                if last := int(_starts(table.column("_by"))[-1]):  # the last batch may go on
+                    yield _profiles(table.slice(0, last))
+                held = table.slice(last).combine_chunks().to_batches()
+        if sum(b.num_rows for b in held):
+            yield _profiles(pa.Table.from_batches(held).combine_chunks())
+
+    kind = flows.schema[by].dataType.simpleString()
+    return rows.mapInArrow(run, f"_by {kind}, v array<double>").withColumnRenamed("_by", by)
+
+
+def _starts(keys: pa.ChunkedArray) -> np.ndarray:
+    """Where each run of equal keys begins; null equals null."""
+    a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+    other = pc.coalesce(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b)))
+    return np.concatenate([[0], np.flatnonzero(other.to_numpy()) + 1])
+
+
+def _profiles(rows: pa.Table) -> pa.RecordBatch:
+    """The profile of each run of equal keys."""
+    start = _starts(rows.column("_by"))
+    n = np.diff(np.append(start, rows.num_rows))
+    group = np.repeat(np.arange(len(n)), n)
+    columns = {c: rows.column(c).to_numpy() for c in (*MEASURES, "resp_p", "orig_p", "tcp", "udp")}
+    columns |= {c: rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("orig_h", "resp_h")}
+    share = lambda flags: np.add.reduceat(flags.astype(np.int64), start) / n
+    ordered = {c: x[np.lexsort((x, group))] for c, x in columns.items() if c not in ("tcp", "udp")}
+
+    def spread(c: str) -> list[np.ndarray]:
+        x, up = columns[c].astype(np.float64), ordered[c].astype(np.float64)
+        mean = np.add.reduceat(x, start) / n
+        deviation = np.sqrt(np.add.reduceat((x - mean[group]) ** 2, start) / n)
+        low, high = up[start + (n - 1) // 2], up[start + n // 2]
+        return [np.maximum.reduceat(x, start), np.fmin.reduceat(x, start), low + (high - low) / 2, deviation]
+
+    def runs(c: str) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct values, how often the commonest one is there) of each batch."""
+        opens = np.append(True, np.diff(ordered[c]) != 0)
+        opens[start] = True
+        first = np.flatnonzero(opens)
+        at = np.searchsorted(first, start)
+        return np.diff(np.append(at, len(first))), np.maximum.reduceat(np.diff(np.append(first, len(opens))), at)
+
+    ports = ("resp_p", "orig_p")
+    stats = [x for c in (*MEASURES, *ports) for x in spread(c)]
+    for p in (columns[c] for c in ports):
+        stats += [share((p >= lo) & (p <= hi)) for lo, hi in PORT_BINS] + [share(np.isin(p, RISK_PORTS))]
+    stats += [runs(c)[0] / n for c in ("orig_h", "resp_h")]
+    sent, got = (np.add.reduceat(columns[c], start) for c in ("orig_bytes", "resp_bytes"))
+    stats += [sent / (sent + got + 1), share(columns["tcp"]), share(columns["udp"])]
+    stats += [runs(c)[0] / n for c in ports] + [runs(c)[1] / n for c in ports] + [share(columns["resp_p"] == 53)]
+    v = np.stack(stats, axis=1)
+    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    v = np.divide(v, size, out=v.copy(), where=size > 0).ravel()
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) + 1, len(stats)), pa.int32()), pa.array(v, pa.float64()))
+    return pa.RecordBatch.from_arrays([rows.column("_by").combine_chunks().take(pa.array(start)), lists], ["_by", "v"])
 
 
 def heartbeat(packets: DataFrame, by: str, second: Column, most: int = 10) -> DataFrame:

@@ -47,14 +47,21 @@ z AS (SELECT batch, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s F
 SELECT batch, CAST(i AS INT) AS pos, round(v[i + 1] / s, 7) AS x FROM (SELECT *, unnest(range(0, len(v))) AS i FROM z)""")
 def batch_profile(spark, sf):
     """Statistical profile of each window of 30 flows: 46 numbers at norm 1 (A10, C5, 1.4 items 5 and 6)."""
-    rows = ordering.global_index(table(spark, sf, "lineitem"), F.floor(F.col("l_orderkey") / 4096), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = table(spark, sf, "lineitem").select(*order, "l_quantity", "l_discount", "l_tax", "l_returnflag")
     proto = F.when(F.col("l_returnflag") == "A", "TCP").when(F.col("l_returnflag") == "N", "udp").otherwise("icmp")
-    flows = rows.select(
-        F.floor((F.col("rn") - 1) / 30).alias("batch"), F.col("l_quantity").alias("duration"), F.col("l_extendedprice").alias("orig_bytes"), (F.col("l_discount") * 100000).alias("resp_bytes"),
-        F.col("l_linenumber").alias("orig_pkts"), F.col("l_tax").alias("resp_pkts"), F.when(F.col("l_partkey") % 9 == 0, 53).otherwise(F.col("l_partkey") * 37 % 65536).alias("resp_p"),
-        (F.col("l_suppkey") * 991 % 65536).alias("orig_p"), F.col("l_suppkey").cast("string").alias("orig_h"), (F.col("l_partkey") % 10).cast("string").alias("resp_h"), proto.alias("proto"),
-    )
-    return packets.batch_profile(flows, "batch").select("batch", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 7))
+
+    def profiles(rows, dealt):
+        flows = rows.select(
+            "batch", F.col("l_quantity").alias("duration"), F.col("l_extendedprice").alias("orig_bytes"), (F.col("l_discount") * 100000).alias("resp_bytes"),
+            F.col("l_linenumber").alias("orig_pkts"), F.col("l_tax").alias("resp_pkts"), F.when(F.col("l_partkey") % 9 == 0, 53).otherwise(F.col("l_partkey") * 37 % 65536).alias("resp_p"),
+            (F.col("l_suppkey") * 991 % 65536).alias("orig_p"), F.col("l_suppkey").cast("string").alias("orig_h"), (F.col("l_partkey") % 10).cast("string").alias("resp_h"), proto.alias("proto"),
+        )
+        return packets.batch_profile(flows, "batch", dealt)
+
+    inside, across = ordering.count_windows(rows, F.floor(F.col("l_orderkey") / 4096), order, 30)
+    made = profiles(inside, True).unionByName(profiles(across, False))
+    return made.select("batch", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 7))
 
 
 @register("payload_summary", r"""
