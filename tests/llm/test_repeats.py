@@ -86,3 +86,31 @@ def test_identifiers_of_other_types(spark, kind):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 8])
+def test_many_contexts_of_a_gram_are_not_taken_apart_to_strings(spark, monkeypatch, hot):
+    """Near copies have very many contexts round one gram; each of their strings was a row."""
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh ") for _ in range(500))
+    texts = []
+    for _ in range(60):
+        k = r.randrange(len(text))
+        texts.append(text[:k] + "".join(r.choice("xyz") for _ in range(4)) + text[k + 4 :])
+    kept, keep = [], repeats.Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats.Scratch, "keep", counted)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in enumerate(texts)], SCHEMA)
+    got = {g.doc_id: g for g in repeats.remove_repeats(df, length=200, gram=48).collect()}
+    data, covered = _brute(texts, 200)
+    for k, b in enumerate(data):
+        assert bytes(got[k].kept) == np.frombuffer(b, dtype=np.uint8)[~covered[k]].tobytes()
+    assert any(c.any() and not c.all() for c in covered)
+    strings = sum(len(b) - 200 + 1 for b in data)
+    assert max(kept) < strings / 10
