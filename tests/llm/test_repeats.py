@@ -114,3 +114,21 @@ def test_many_contexts_of_a_gram_are_not_taken_apart_to_strings(spark, monkeypat
     assert any(c.any() and not c.all() for c in covered)
     strings = sum(len(b) - 200 + 1 for b in data)
     assert max(kept) < strings / 10
+
+
+def test_planted_passages_are_removed_from_400_bytes_on(spark):
+    """A passage of over 50 words in two documents goes where it has 400 bytes, at any place; others and clean texts stay whole."""
+    r = random.Random(11)
+    words = lambda n, k: " ".join("".join(r.choice("abcdefghij") for _ in range(k)) for _ in range(n))
+    short, long = [words(52, 6) for _ in range(20)], [words(57, 7) for _ in range(20)]  # 363 and 455 bytes
+    made = [(f"{words(r.randint(0, 60), 5)}|{p}|{words(r.randint(0, 60), 5)}", p) for p in short + long for _ in range(2)]
+    made += [(words(r.randint(0, 200), 5), "") for _ in range(40)]
+    df = spark.createDataFrame([(i, t, "c", "c") for i, (t, _) in enumerate(made)], SCHEMA)
+    for g in repeats.remove_repeats(df).collect():
+        text, passage = made[g.doc_id]
+        kept = bytes(g.kept).decode()
+        assert g.n_bytes == len(text)
+        if passage in long:  # the marks beside it are equal in both documents, and so are bytes beyond them by chance
+            assert passage not in kept and 0 <= len(text) - len(kept) - len(passage) <= 12
+        else:
+            assert kept == text
