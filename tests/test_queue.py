@@ -113,8 +113,9 @@ def test_new_rows_of_a_finished_dataset(spark, tmp_path):
     assert [r.skip for r in c.results().orderBy("window").collect()] == [0, 25, 50, 75, 100, 125, 150, 175]
 
 
-@pytest.mark.parametrize("budget", [None, 90])
-def test_segments_equal_one_walk(spark, tmp_path, budget):
+@pytest.mark.parametrize(("budget", "small"), [(None, 100_000), (90, 0)])
+def test_segments_equal_one_walk(spark, tmp_path, monkeypatch, budget, small):
+    monkeypatch.setattr(queue, "SMALL", small)
     # "a" has an alert, then none over many segments, so that a walk that begins elsewhere never meets the right one.
     rows = [("a", i, i in (3, 4, 5, 3903) or 4500 < i < 4600, i * i % 91) for i in range(5210)] + _rows({"b": 3001, None: 500, "c": 501})
     c = DetectionCursor(spark, str(tmp_path), "d", "place", part=500)
