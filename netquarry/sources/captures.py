@@ -2,7 +2,7 @@
 
 A capture has no marks between its records, so a place inside it can't be told to be a record's begin. One task for each
 file walks the record heads once and writes down every `SPLIT` bytes where a record begins and its number; this index is
-small and settled. Then each stretch is read and parsed by a task of its own.
+small and settled. Then the stretches are dealt to tasks by their bytes, some `SPLIT` each, and read and parsed one by one.
 
 Files are opened through pyarrow's file systems (local, HDFS, S3, ...). A file that isn't a capture is an error; a record
 that is cut off at the end of a file ends it. Both byte orders, micro- and nanoseconds are read. Packets without an IP head
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from netquarry.durable import settle
+from netquarry.durable import settle, stored
 from netquarry.functions.text import printable
 
 SPLIT = 32 << 20
@@ -69,6 +69,10 @@ def _index(path: str, split: int) -> Iterator[tuple]:
             yield path, begin, at, first, head[:4], link
 
 
+def _address(raw: bytes) -> str:
+    return "%d.%d.%d.%d" % tuple(raw) if len(raw) == 4 else str(ipaddress.ip_address(raw))
+
+
 def parsed(data: bytes, link: int) -> tuple:
     """(src, src_port, dst, dst_port, proto, seq, flags, payload) of a packet; nulls for what it doesn't have."""
     nothing = (None, None, None, None, None, None, None, b"")
@@ -90,7 +94,7 @@ def parsed(data: bytes, link: int) -> tuple:
     else:
         return nothing
     body = ip[head : end or len(ip)]
-    src, dst, name = str(ipaddress.ip_address(src)), str(ipaddress.ip_address(dst)), _NAMES.get(number, str(number))
+    src, dst, name = _address(src), _address(dst), _NAMES.get(number, str(number))
     if not first or number not in (6, 17) or len(body) < (20 if number == 6 else 8):
         return src, None, dst, None, name, None, None, body
     sport, dport = struct.unpack(">HH", body[:4])
@@ -150,8 +154,11 @@ def read_captures(spark: SparkSession, folder: str, pattern: str = "*.pcap", spl
             for row in batch.to_pylist():
                 yield from _batches(_packets(**row), packet_type)
 
-    stretches = settle(files.repartition("path").mapInArrow(index, _INDEX))
-    return stretches.repartition("path", "start").mapInArrow(read, PACKETS)
+    some = spark.sparkContext.defaultParallelism
+    stretches = settle(files.coalesce(4 * some).mapInArrow(index, _INDEX))
+    n, size = stretches.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    tasks = max(1, min(n, max(2 * some, -(-size // SPLIT))))  # else their few bytes are one task
+    return stretches.repartition(tasks, "path", "start").mapInArrow(read, PACKETS)
 
 
 def listed(packets: DataFrame, where: Column | None = None, n: int = 20) -> DataFrame:
@@ -166,8 +173,9 @@ def listed(packets: DataFrame, where: Column | None = None, n: int = 20) -> Data
 def capture_flows(packets: DataFrame, max_chars: int = 1024, most: int = 5) -> DataFrame:
     """Conversations of each file: uid, ts (since the file's first packet), both ends (the first packet's sender is the
     originator), duration, packets and bytes each way, state, history, and the printable text of the originator's first
-    `most` packets with a payload."""
+    `most` packets with a payload. Packets are read and written once, as three ways lead from them."""
     ends = [F.struct(F.col(a).alias("h"), F.col(f"{a}_port").alias("p")) for a in ("src", "dst")]
+    packets = stored(packets.select("file", "frame", "ts", "src", "src_port", "dst", "dst_port", "proto", "length", "payload"))
     rows = packets.where(F.col("proto").isin("tcp", "udp") & F.col("src_port").isNotNull())
     rows = rows.withColumns({"_lo": F.least(*ends), "_hi": F.greatest(*ends)}).withColumn("_up", ends[0] == F.col("_lo"))
     key = ["file", "proto", "_lo", "_hi"]
@@ -181,7 +189,8 @@ def capture_flows(packets: DataFrame, max_chars: int = 1024, most: int = 5) -> D
     data = rows.where(F.octet_length("payload") > 0).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.hex("payload").alias("x")))), lambda r: r["x"]), "")
     shown = data.groupBy(*key, "_up").agg(F.substring(printable(F.substring(text, 1, 2 * max_chars)), 1, max_chars).alias("stream_payload_decoded"))
-    out = sums.join(shown, [*key, "_up"], "left").join(start, "file")
+    # Of packed packets Spark takes a small part of their size for all of it, and would send payloads to the driver.
+    out = sums.join(shown.hint("merge"), [*key, "_up"], "left").join(start, "file")
     pick = lambda a, b: F.when(F.col("_up"), a).otherwise(b)
     orig, resp = pick(F.col("_lo"), F.col("_hi")), pick(F.col("_hi"), F.col("_lo"))
     names = F.concat_ws("-", orig["h"], orig["p"].cast("string"), resp["h"], resp["p"].cast("string"), "proto")
